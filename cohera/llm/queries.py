@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .bytebpe import op6_byte_bpe
 from .idfile import op5_token_ids
+from .mpegts import op2_media
 from .packing import op4_packing
+from .topk import OP7_SQL, op7_topk
 
 QUERIES = {
+    "op2_media": op2_media,
     "op4_packing": op4_packing,
     "op5_token_ids": op5_token_ids,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_topk": op7_topk,
+}
+ORACLE: dict[str, str] = {
+    "op7_topk": OP7_SQL,
 }
-ORACLE: dict[str, str] = {}
