@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str, spark: SparkSession | None = None) -> Data
     """Writes df as Parquet into the shared folder and reads it again: this cuts lineage and survives lost executors."""
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

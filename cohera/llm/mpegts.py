@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, shared_dir, table, tune, written
+from .common import picked, table, tune, written
 
 UNIT = 576  # payload bytes of an access unit
 GROUP = 8  # access units from one random-access point to the next
@@ -258,6 +258,4 @@ def summarise(stored: DataFrame) -> DataFrame:
 
 
 def op2_media(spark, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    shared_dir(spark)
     return summarise(written(store_text(table(spark, sf_dir, "documents")), "media"))

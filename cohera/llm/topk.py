@@ -73,7 +73,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
     key = F.xxhash64("vec_id", "v")
     cand = src.withColumn("block", F.pmod(key, F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = src.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query_block", F.pmod(key, F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    asked = src.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query_block", F.pmod(key, F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def search(pdf: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(queries):
