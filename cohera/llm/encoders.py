@@ -2,115 +2,186 @@
 
 Both vocabularies cut a text at white space before pairs are merged: the byte-level one cuts wherever white space follows
 another character (the white space goes with what comes after it), the word-level one drops white space. So a text's ids are
-those of its words in turn. Words that the cache lacks are encoded by the library in one call. Texts in which a word's ids
-could depend on its neighbours (runs of white space) go to the library whole.
+those of its words in turn. Arrow splits a batch into words and numbers the distinct ones; the cache maps each of those to a
+slice of known ids; numpy then gathers the slices. A new word goes to the library's model when it is letters with punctuation
+after them, and through the whole library otherwise. Texts in which a word's ids could depend on its neighbours (runs
+of white space) go to the library whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MOST_WORDS = 1_200_000  # kept per worker; then the cache starts anew
+MOST_WORDS = 1_000_000  # kept per worker; then the cache starts anew
+BATCH_BYTES = 16 << 20  # of text that is encoded at once
+MARKS = ".,;:!?\"'()[]-*&$%#@/|"
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell each byte: printable Latin-1 as itself, the others from code point 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+SPELT = _byte_letters()
+
+
+def buffered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.Table]:
+    """The same rows in batches of about `most` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size or held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 class WordCache:
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.words: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.clear()
 
-    def _direct(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def clear(self) -> None:
+        """words: the number of each word that is known; first and size: its slice of ids. Number 0 is no ids at all."""
+        self.words: dict[str, int] = {"": 0}
+        self.first, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
 
-    def _head(self, text: str) -> bytes:
-        found = self.heads.get(text)
-        if found is None:
-            if len(self.heads) > MOST_WORDS // 4:
-                self.heads.clear()
-            found = self.heads[text] = self._direct(text)
-        return found
+    def _direct(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _make_room(self) -> None:
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-
-    def _learn(self, missing: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
-        ends = np.append(starts[1:], len(ids))
-        if len(starts) != len(missing):
-            raise ValueError("words and their ids do not line up")
-        raw, put = ids.tobytes(), self.words
-        for w, a, b in zip(missing, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-            put[w] = raw[a:b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text, its ids as little-endian unsigned 32-bit integers."""
+    def _model(self, letters: str, lead: str = "") -> list[int]:
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(SPELT)
+        return [x.id for x in self.model.tokenize(lead + letters)]
+
+    def _word(self, word: str) -> list[int]:
+        raise NotImplementedError
+
+    def _add(self, found: list[list[int]]) -> None:
+        """Appends the ids of new words, in the order of their numbers."""
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.first = np.append(self.first, self.used + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.used += len(flat)
+
+    def numbers(self, words: list[str], make=None) -> np.ndarray:
+        """The number of each word; new ones are encoded."""
+        known, get = self.words, self.words.get
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = list(dict.fromkeys(words[k] for k in np.flatnonzero(out < 0).tolist()))
+        if new:
+            n, make = len(self.first), make or self._word
+            self._add([make(w) for w in new])
+            known.update(zip(new, range(n, n + len(new)), strict=True))
+            miss = np.flatnonzero(out < 0)
+            out[miss] = [known[words[k]] for k in miss.tolist()]
+        return out
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        n = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.first[numbers] - ends + size, size) + np.arange(n)]
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
         raise NotImplementedError
 
+    def _fit(self, numbers: np.ndarray, begins: np.ndarray, ends: np.ndarray, code: np.ndarray, distinct: list[str], texts: pa.Array) -> None:
+        """Mends the numbers of words that stand in special places."""
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, and each text's number of ids."""
+        if len(self.words) > MOST_WORDS:
+            self.clear()
+        texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
+        split = self._split(texts)
+        at = np.asarray(split.offsets).astype(np.int64)
+        flat = split.values.slice(at[0], at[-1] - at[0])
+        at -= at[0]
+        coded = flat.dictionary_encode()
+        distinct, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        numbers = self.numbers(distinct)[code]
+        self._fit(numbers, at[:-1], at[1:], code, distinct, texts)
+        ends = np.append(0, np.cumsum(self.size[numbers]))[at]
+        return self.gather(numbers), np.diff(ends)
+
 
 class ByteLevel(WordCache):
-    """A word keeps the one space before it; a None in the cache marks a word that runs into the white space after it."""
+    """A word keeps the one space before it. Keys that start with a space are chunks of other kinds: "  x" is x itself."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        vocab = self.tok.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.spaced[[i for piece, i in vocab.items() if piece.startswith("Ġ")]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self._make_room()
-        cut, missing = [], set()
-        for text in texts:
-            body = text.rstrip()
-            words = body.split(" ")
-            cut.append((words[0], words[1:], text[len(body):]))
-            missing |= set(cut[-1][1]).difference(self.words)
-        for w in [w for w in missing if not w or w[-1].isspace()]:
-            self.words[w] = None
-            missing.discard(w)
-        if missing:
-            missing = list(missing)
-            ids = np.asarray(self.tok.encode("".join([" " + w for w in missing]), add_special_tokens=False).ids, dtype="<u4")
-            self._learn(missing, ids, np.flatnonzero(self.spaced[ids]))
-        out, get = [], self.words.__getitem__
-        for text, (first, words, tail) in zip(texts, cut, strict=True):
-            if not first or first[-1].isspace():
-                out.append(self._direct(text) if text else b"")
-                continue
-            try:
-                body = b"".join(map(get, words))
-            except TypeError:
-                out.append(self._direct(text))
-                continue
-            out.append(self._head(first) + body + (self._head(tail) if tail else b""))
-        return out
+        self.line_end = self._direct("\n")
+
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(texts, " ")
+
+    def _chunk(self, lead: str, word: str) -> list[int]:
+        letters = word.rstrip(MARKS)
+        if letters.isalpha():
+            tail = word[len(letters) :]
+            return self._model(letters, "Ġ" if lead else "") + (self._model(tail) if tail else [])
+        a, cut, b = word.partition("\n")
+        if cut and a and b and not a[-1].isspace() and not b[0].isspace():
+            return self._chunk(lead, a) + self.line_end + self._chunk("", b)
+        return self._direct(lead + word)
+
+    def _word(self, word: str) -> list[int]:
+        return self._chunk(" ", word) if word and not word[-1].isspace() else []
+
+    def _fit(self, numbers, begins, ends, code, distinct, texts) -> None:
+        risky = np.fromiter((not w or w[-1].isspace() for w in distinct), bool, len(distinct))[code]  # before another word they would run into its space
+        risky[begins[[not distinct[c] for c in code[begins].tolist()]]] = False  # a text may begin with one space, or be empty
+        last = np.flatnonzero(risky[ends - 1] & (ends - begins > 1))
+        risky[ends - 1] = False
+        heads = [distinct[c] for c in code[begins].tolist()]
+        numbers[begins] = self.numbers(["  " + h if h else "" for h in heads], lambda k: self._direct(k[2:]) if k[-1].isspace() else self._chunk("", k[2:]))
+        if len(last):  # white space at a text's end stays with its last word
+            numbers[ends[last] - 1] = self.numbers(["   " + distinct[c] for c in code[ends[last] - 1].tolist()], lambda k: self._direct(k[2:]))
+        whole = np.flatnonzero(np.add.reduceat(risky, begins)) if len(begins) else []
+        for k in whole:
+            numbers[begins[k] : ends[k]] = 0
+            numbers[begins[k]] = self._once(texts[int(k)].as_py())
+
+    def _once(self, text: str) -> int:
+        self._add([self._direct(text)])
+        return len(self.first) - 1
 
 
 class WordLevel(WordCache):
-    """White space is dropped. A lone control character, one id of its own, parts the words in the library's answer."""
+    """White space is dropped; words in other than ASCII white space go through the whole library."""
 
-    MARK = "\x01"
+    def _split(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts))
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        (self.mark,) = self.tok.encode(self.MARK, add_special_tokens=False).ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self._make_room()
-        whole = lambda t: any(c in t for c in "\x1c\x1d\x1e\x1f")  # noqa: E731  white space for Python alone
-        cut = [None if whole(t) else t.split() for t in texts]
-        missing = set().union(*[set(words).difference(self.words) for words in cut if words])
-        for w in [w for w in missing if self.MARK in w]:
-            self.words[w] = self._direct(w)
-            missing.discard(w)
-        if missing:
-            missing = list(missing)
-            ids = np.asarray(self.tok.encode("".join([f"{self.MARK} {w} " for w in missing]), add_special_tokens=False).ids, dtype="<u4")
-            at = np.flatnonzero(ids == self.mark)
-            self._learn(missing, ids[ids != self.mark], at - np.arange(len(at)))
-        get = self.words.__getitem__
-        return [self._direct(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+    def _word(self, word: str) -> list[int]:
+        plain = word.lower() if word.isascii() else self.tok.normalizer.normalize_str(word)
+        letters = plain.rstrip(MARKS)
+        if letters.isalpha() and not ("'" in plain and plain[len(letters) :] != "'"):
+            tail = plain[len(letters) :]
+            return self._model(letters) + (self._model(tail) if tail else [])
+        return self._direct(word)
+
+
+def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of every text with end_id after them, and the new sizes."""
+    return np.insert(ids, np.cumsum(sizes), end_id).astype("<u4"), sizes + 1
 
 
 _made: dict[tuple[type, str], WordCache] = {}

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import picked, shared_dir, table, tune, vocabulary, written
-from .encoders import WordLevel, encoder
+from .encoders import WordLevel, buffered, encoder, with_end
 
 MAGIC = b"FRQ1"
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -61,22 +62,27 @@ def decode_ranks(image: bytes) -> np.ndarray:
 def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """Blocks of ids in order of doc_id: part and seq order the blocks, `docs` and `lengths` describe their documents."""
     tune(docs.sparkSession)
-    path, end = vocabulary("word_bpe_49k.json"), int(end_id).to_bytes(4, "little")
+    path = vocabulary("word_bpe_49k.json")
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seq = encoder(WordLevel, path), 0
-        for pdf in batches:
-            for a in range(0, len(pdf), BLOCK_DOCS):
-                p = pdf.iloc[a : a + BLOCK_DOCS]
-                ids = [x + end for x in enc.encode(p.text.tolist())]
-                raw = np.frombuffer(b"".join(ids), "<u4")
-                yield pd.DataFrame({"part": [int(p.part.iloc[0])], "seq": [seq], "docs": [p.doc_id.fillna(0).to_numpy("<i8").tobytes()], "has_id": [p.doc_id.notna().to_numpy().tobytes()], "lengths": [np.array([len(x) // 4 for x in ids], "<i8").tobytes()], "ids": [(raw.astype("<u2") if not len(raw) or raw.max() < 1 << 16 else raw).tobytes()]})
+        for t in buffered(batches):
+            ids, sizes = with_end(*enc.encode(t["text"].combine_chunks()), end_id)
+            ids = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
+            doc, part = t["doc_id"].combine_chunks(), t["part"][0].as_py() if len(t) else 0
+            has, doc, at = np.asarray(doc.is_valid()), np.asarray(doc.fill_null(0)).astype("<i8"), np.append(0, np.cumsum(sizes))
+            rows = []
+            for a in range(0, len(t), BLOCK_DOCS):
+                b = min(len(t), a + BLOCK_DOCS)
+                rows.append({"part": part, "seq": seq, "docs": doc[a:b].tobytes(), "has_id": has[a:b].tobytes(), "lengths": sizes[a:b].astype("<i8").tobytes(), "ids": ids[at[a] : at[b]].tobytes()})
                 seq += 1
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("seq", pa.int64()), *[(n, pa.binary()) for n in ("docs", "has_id", "lengths", "ids")]]))
 
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInPandas(lambda it: blocks(p.astype({"doc_id": "Int64"}) for p in it), RAW)
+    return ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(blocks, RAW)
 
 
 def _ids(raw: bytes, lengths: np.ndarray) -> np.ndarray:

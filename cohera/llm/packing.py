@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import picked, table, tune, vocabulary
-from .encoders import ByteLevel, encoder
+from .encoders import ByteLevel, buffered, encoder, with_end
 
 WINDOW = 1024
 GROUP_DOCS = 4096  # expected documents of a packing group
@@ -87,20 +88,21 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row per piece: whole windows of an overlong document, then its rest; `ids` are its ids, 4 bytes each."""
     tune(docs.sparkSession)
     path = vocabulary("byte_bpe_50k.json")
-    end, step = int(end_id).to_bytes(4, "little"), 4 * window
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ByteLevel, path)
-        for pdf in batches:
-            rows = []
-            for doc, key, ids in zip(pdf.doc_id.tolist(), pdf.row_hash.tolist(), enc.encode(pdf.text.tolist()), strict=True):
-                ids += end
-                rows += [(doc, key, at // 4, (len(part := ids[at : at + step])) // 4, len(ids) // 4, part) for at in range(0, len(ids), step)]
-            out = pd.DataFrame(rows, columns=["doc_id", "row_hash", "start", "length", "doc_tokens", "ids"])
-            yield out.astype({"doc_id": "Int64"})
+        for t in buffered(batches):
+            ids, sizes = with_end(*enc.encode(t["text"].combine_chunks()), end_id)
+            n = -(-sizes // window)
+            of = np.repeat(np.arange(len(n)), n)
+            start = window * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
+            length = np.minimum(window, sizes[of] - start)
+            ends = np.append(0, 4 * np.cumsum(length))
+            parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(of), t["row_hash"].combine_chunks().take(of), pa.array(start), pa.array(length), pa.array(sizes[of]), parts], names=["doc_id", "row_hash", "start", "length", "doc_tokens", "ids"])
 
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInPandas(lambda it: cut(p.astype({"doc_id": "Int64"}) for p in it), PIECES)
+    return src.mapInArrow(cut, PIECES)
 
 
 def pack(pieces: DataFrame, n_docs: int, window: int = WINDOW, group_docs: int = GROUP_DOCS) -> DataFrame:
