@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 WINDOW = 2
 DIVISOR = 3
@@ -36,7 +36,7 @@ def _line_hash(line: Column) -> Column:
 
 
 def _chunked(df: DataFrame, window: int, divisor: int) -> DataFrame:
-    """Adds _lines and _spans (first and last line of each chunk, from 1)."""
+    """_lines for _text, and _spans (first and last line of each chunk, from 1)."""
     df = df.select("*", _once(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("_lines"))
     df = df.select("*", _once(F.transform("_lines", _line_hash)).alias("_hashes"))
 
@@ -49,7 +49,7 @@ def _chunked(df: DataFrame, window: int, divisor: int) -> DataFrame:
     ends = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: (i == F.size("_lines")) | F.when(i >= window, F.pmod(rolling(i), F.lit(divisor)) == 0).otherwise(False))
     df = df.select("*", _once(ends).alias("_ends"))
     spans = F.transform("_ends", lambda e, k: F.struct(F.when(k == 0, F.lit(1)).otherwise(F.get("_ends", k - 1) + 1).alias("s"), e.alias("t")))
-    return df.select(*[c for c in df.columns if c not in ("_hashes", "_ends")], _once(spans).alias("_spans"))
+    return df.select(*[c for c in df.columns if c not in ("_text", "_hashes", "_ends")], _once(spans).alias("_spans"))
 
 
 def _body(s: Column, t: Column) -> Column:
@@ -64,20 +64,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = _chunked(src.select("_id", "_key", "_text"), window, divisor).select("_id", "_key", "_lines", F.explode("_spans").alias("_c"))
     places = places.where("_c.t > _c.s").select("_id", "_key", F.col("_c.s").alias("_s"), F.col("_c.t").alias("_t"), _body(F.col("_c.s"), F.col("_c.t")).alias("_b"))
     places = places.where("trim(replace(_b, '\n', '')) <> ''").select("_id", "_key", "_s", "_t", F.xxhash64("_b").alias("_h"))
+    places = written(places, "places")
     often = places.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
     back = places.join(often, "_h").groupBy("_id", "_key").agg(F.collect_set(F.struct("_s", "_t", "_h")).alias("_maybe"))
     joined = src.join(back.withColumnsRenamed({"_id": "_i", "_key": "_k"}), F.col("_id").eqNullSafe(F.col("_i")) & F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_i", "_k")
     cut = joined.where("_maybe is not null").select("_id", "_key", "_maybe", _once(F.split("_text", "\n")).alias("_lines"))
-    cut = cut.select("_id", "_key", "_lines", F.explode("_maybe").alias("_c")).select("_id", "_key", F.col("_c._s").alias("_s"), F.col("_c._h").alias("_h"), _body(F.col("_c._s"), F.col("_c._t")).alias("_b"))
+    cut = cut.select("_id", "_key", "_lines", F.explode("_maybe").alias("_c")).select("_id", "_key", F.col("_c._s").alias("_s"), F.col("_c._t").alias("_t"), F.col("_c._h").alias("_h"), _body(F.col("_c._s"), F.col("_c._t")).alias("_b"))
     first = cut.groupBy("_h", "_b").agg(F.min(F.struct("_id", "_key", "_s")).alias("_first"), F.count("*").alias("n")).where("n > 1").select("_h", F.sha2("_b", 256).alias("_d"), "_first")
-    gone = cut.select("_id", "_key", "_s", "_h", F.sha2("_b", 256).alias("_d")).join(first, ["_h", "_d"]).where(~F.struct("_id", "_key", "_s").eqNullSafe(F.col("_first")))
-    gone = gone.groupBy("_id", "_key").agg(F.collect_set("_s").alias("_gone")).withColumnsRenamed({"_id": "_i", "_key": "_k"})
-    out = joined.drop("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_i", "_k")
-    out = _chunked(out.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>"))), window, divisor)
-    kept = F.filter("_spans", lambda c: ~F.array_contains("_gone", c["s"]))
-    out = out.select("_row", "_text", "_gone", "_lines", _once(F.flatten(F.transform(kept, lambda c: F.slice("_lines", c["s"], c["t"] - c["s"] + 1)))).alias("_kept"))
-    text = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(F.array_join("_kept", "\n")).alias(text_col)
-    counts = [F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_removed")] if count_cols else []
+    gone = cut.select("_id", "_key", "_s", "_t", "_h", F.sha2("_b", 256).alias("_d")).join(first, ["_h", "_d"]).where(~F.struct("_id", "_key", "_s").eqNullSafe(F.col("_first")))
+    gone = gone.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("_s", "_t")))).alias("_gone")).withColumnsRenamed({"_id": "_i", "_key": "_k"})
+    out = joined.drop("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    out = out.select("_row", "_text", "_gone", _once(F.when(F.col("_gone").isNotNull(), F.split("_text", "\n"))).alias("_lines"))
+    stay = F.array_except(F.sequence(F.lit(1), F.size("_lines")), "_gone")
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i)), "\n")).alias(text_col)
+    n_lines = F.length(F.coalesce("_text", F.lit(""))) - F.length(F.replace(F.coalesce("_text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    counts = [n_lines.cast("long").alias("n_lines"), F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if count_cols else []
     named = {c: F.col("_row")[c].alias(c) for c in others if not count_cols or c not in ("n_lines", "n_removed")} | {text_col: text}
     return out.select(*[named[c] for c in docs.columns if c in named], *counts)
 
