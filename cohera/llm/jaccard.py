@@ -2,8 +2,8 @@
 
 The join is a sparse product of the incidence of documents by n-grams with its transpose, by blocks: rows that are equal
 (documents with one set) are one row; a column stays in a row only while the size bound lets it matter (of n n-grams, ordered
-rarest first, two rows that reach the threshold share one of the first n - ceil(t n) + 1); columns with one row left
-go; joining the rest on the n-gram and counting per pair accumulates overlaps; pairs whose sizes alone rule the threshold out go.
+rarest first, two rows that reach the threshold share one of the first n - ceil(t n) + 1, and at the first that they share
+enough of both must be left); columns with one row left go; joining the rest on the n-gram and counting per pair accumulates overlaps; pairs whose sizes alone rule the threshold out go.
 What is left is verified on whole sets.
 
 Not all pairs of a group are made. First each row meets the rows that lead most of its n-grams (stars); verified links make
@@ -30,17 +30,16 @@ from pyspark.sql import functions as F
 from .common import picked, table, tune, written
 from .encoders import buffered
 from .graphs import bloom, components, maybe_in
-from .words import Hasher, runs
+from .words import in_bitmap, key_bitmap, runs, split_words
 
 BUCKETS = 1 << 18  # of the sketch of n-gram counts
 CHUNK = 1 << 14
 STAR_HUBS = (1, 4)  # hubs per row in each star round
-_hasher = Hasher()
 
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """For each text, the sorted hashes of its distinct n-grams (ASCII letters in lower case); a shorter text is one n-gram."""
-    h, at, _ = _hasher.words(texts, lower=True)
+    h, at, _ = split_words(texts, lower=True)
     grams, out = runs(h, words), []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= words:
@@ -55,7 +54,7 @@ def _sketch(src: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for t in buffered(batches):
+        for t in buffered(batches, 8 << 20):
             sets = shingle_sets(t["text"].combine_chunks(), words)
             if sets:
                 total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
@@ -78,7 +77,7 @@ def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
     counts = src.sparkSession.sparkContext.broadcast(_sketch(src, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in buffered(batches):
+        for t in buffered(batches, 8 << 20):
             sets = shingle_sets(t["text"].combine_chunks(), words)
             heads = []
             for s in sets:
@@ -90,6 +89,23 @@ def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
     return src.mapInArrow(rows, "doc_id long, text_hash long, n long, set_key binary, head array<long>")
 
 
+def _hits(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """class, n, gram, left (n-grams from this one on) for the columns that may have more than one row."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head = b.column(2)
+            gram, size = np.asarray(head.flatten()), np.diff(np.asarray(head.offsets))
+            hit = in_bitmap(gram.view(np.uint64), sent.value)
+            row = np.repeat(np.arange(b.num_rows), size)
+            place = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
+            n = np.asarray(b.column(1))[row]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[row[hit]]), pa.array(n[hit]), pa.array(gram[hit]), pa.array((n - place)[hit])], names=["class", "n", "gram", "left"])
+
+    return rows.select("class", "n", "head").mapInArrow(pick, "class long, n long, gram long, left long")
+
+
 def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold; texts are fetched for the rows in pairs alone."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -97,7 +113,7 @@ def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame, words: int,
     sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in buffered(batches):
+        for t in buffered(batches, 8 << 20):
             left, right = shingle_sets(t["text_a"].combine_chunks(), words), shingle_sets(t["text_b"].combine_chunks(), words)
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
             size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
@@ -113,27 +129,33 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     rows = written(incidence(src, words, percent), "incidence")
     known = rows.where("doc_id is not null and n > 0")
-    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = written(known.join(reps, [known.set_key == reps.set_key, known.doc_id == reps.rep]).select("rep", "text_hash", "n", "head"), "heads")
-    grams = classes.select("rep", "n", F.explode("head").alias("gram"))
-    shared = grams.groupBy("gram").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("gram")
-    grams = written(grams.join(shared, "gram").select("gram", "rep", F.col("rep").alias("component"), "n").distinct(), "shared")
+    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")).withColumn("class", F.xxhash64("set_key")), "classes")
+    classes = written(known.select("set_key", "doc_id", "text_hash").join(reps, [known.set_key == reps.set_key, known.doc_id == reps.rep]).select("rep", "text_hash").distinct(), "heads")
+    known = known.withColumn("class", F.xxhash64("set_key"))
+    shared = known.select("class", F.explode("head").alias("gram")).groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
+    shared = written(shared, "columns")
+    hits = _hits(known, key_bitmap(shared, "gram")).join(shared, "gram").distinct()
+    grams = written(hits.join(reps.select("class", "rep"), "class").select("gram", "rep", F.col("rep").alias("component"), "n", "left"), "shared")
     links = None
     for k, most in enumerate([*STAR_HUBS, None]):
         if k:
             found = components(links)
-            grams = written(grams.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gram", "rep", F.coalesce("component", "rep").alias("component"), "n"), "shared")
-        mixed = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("rep", "component", "n"), F.xxhash64("rep", F.lit(k)) if k else F.col("rep")).alias("hub")).where("lo < hi")
-        left = grams.join(mixed, "gram")
-        close = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
+            grams = written(grams.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gram", "rep", F.coalesce("component", "rep").alias("component"), "n", "left"), "shared")
+        # a hub: the row with most n-grams still to come, so the one with fewest of its own; in later rounds any
+        row, rank = F.struct("rep", "component", "n", "left"), F.xxhash64("rep", F.lit(k)) if k else F.struct(F.col("n") - F.col("left"), F.col("rep"))
+        mixed = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n"), F.min_by(row, rank).alias("hub")).where("lo < hi")
+        # at the first n-gram that two rows share, the shorter rest of the two bounds the overlap; sums stand for unions
+        reach = lambda rest, x, y: rest * (100 + percent) >= percent * (x + y)
+        fits = lambda x, y, rx, ry: reach(F.least(rx, ry), x, y)
+        rest = grams.join(mixed, "gram").where(reach(F.col("left"), F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))))
         if most:
-            star = left.where((F.col("rep") != F.col("hub.rep")) & (F.col("component") != F.col("hub.component")) & close(F.col("n"), F.col("hub.n")))
+            star = rest.where((F.col("rep") != F.col("hub.rep")) & (F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n"), F.col("left"), F.col("hub.left")))
             counted = star.groupBy("rep", F.col("hub.rep").alias("other")).agg(F.count("*").alias("overlap"))
             best = counted.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("overlap", "other")), asc=False), 1, most).alias("best"))  # no more hubs than a row has n-grams
             pairs = best.select("rep", F.explode("best.other").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         else:
-            x, y = left.select("gram", "rep", "component", "n").alias("x"), left.select("gram", "rep", "component", "n").alias("y")
-            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & close(F.col("x.n"), F.col("y.n"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+            x, y = rest.select("gram", "rep", "component", "n", "left").alias("x"), rest.select("gram", "rep", "component", "n", "left").alias("y")
+            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         good = _verified(written(pairs, "pairs"), src, classes, words, percent)
         links = written(good if links is None else links.union(good), "links")
     same = rows.where("doc_id is not null and n > 0").join(reps, "set_key")

@@ -26,20 +26,18 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import picked, table, tune, written
 from .encoders import buffered
 from .graphs import bloom, maybe_in
-from .words import PRIME, Hasher, mixed, runs
+from .words import in_bitmap, key_bitmap, mixed, runs, split_words
 
 WINDOW, ANCHOR = 50, 8
 GROUP_DOCS = 1500  # expected documents of a group
-BLOOM_BITS = 1 << 26
-HASHES = 3
-BATCH = 8 << 20
-_hasher = Hasher()
+BATCH = 4 << 20
 # an odd multiplier, and its inverse modulo 2**64, for hashes of windows from running sums
 STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
@@ -76,38 +74,12 @@ def window_hashes(h: np.ndarray, start: np.ndarray, window: int) -> tuple[np.nda
     return out[0], out[1]
 
 
-def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    shift = np.uint64(64 - (bits.bit_length() - 1))
-    return [mixed(keys + np.uint64((k + 1) * int(PRIME) % 2**64)) >> shift for k in range(HASHES)]
-
-
-def anchor_bloom(anchors: DataFrame, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A bit map of fixed size of the column anchor."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.concatenate(_places(np.asarray(b.column(0)).view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["w", "b"])
-
-    got = anchors.select("anchor").mapInArrow(words, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[np.asarray(got["w"])] = np.asarray(got["b"]).view(np.uint64)
-    return out
-
-
-def in_bloom(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    hit = np.ones(len(keys), bool)
-    for p in _places(keys, len(bitmap) * 64):
-        hit &= (bitmap[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return hit
-
-
 def _anchor_rows(src: DataFrame, window: int, anchor: int) -> DataFrame:
     """doc_id, anchor: every anchor of a document once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buffered(batches, BATCH):
-            h, at, _ = _hasher.words(t["text"].combine_chunks())
+            h, at, _ = split_words(t["text"].combine_chunks())
             _, doc, a = window_anchors(h, at, window, anchor)
             new = np.append(True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])) if len(a) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(pa.array(doc[new])), pa.array(a[new].view(np.int64))], names=["doc_id", "anchor"])
@@ -121,10 +93,13 @@ def _window_rows(src: DataFrame, bitmap: np.ndarray, window: int, anchor: int) -
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buffered(batches, BATCH):
-            h, at, _ = _hasher.words(t["text"].combine_chunks())
+            h, at, _ = split_words(t["text"].combine_chunks())
             start, doc, a = window_anchors(h, at, window, anchor)
-            hit = in_bloom(a, sent.value)
-            x, y = window_hashes(h, start[hit], window)
+            hit = in_bitmap(a, sent.value)
+            some = np.zeros(len(at) - 1, bool)
+            some[doc[hit]] = True
+            words = np.repeat(some, np.diff(at))  # of the documents concerned
+            x, y = window_hashes(h[words], (np.cumsum(words) - 1)[start[hit]], window)
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(pa.array(doc[hit])), pa.array(x), pa.array(y)], names=["doc_id", "h", "g"])
 
     return src.mapInArrow(rows, "doc_id long, h long, g long")
@@ -135,7 +110,7 @@ def _passages(owners: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buffered(batches, BATCH):
-            h, at, words = _hasher.words(t["text"].combine_chunks())
+            h, at, words = split_words(t["text"].combine_chunks())
             start, doc, a = window_anchors(h, at, window, anchor)
             x, _ = window_hashes(h, start, window)
             grams, out = runs(h, anchor), []
@@ -161,12 +136,11 @@ def _routed(src: DataFrame, bitmap: np.ndarray, window: int, anchor: int) -> Dat
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buffered(batches, BATCH):
-            h, at, words = _hasher.words(t["text"].combine_chunks())
+            h, at, words = split_words(t["text"].combine_chunks())
             _, doc, a = window_anchors(h, at, window, anchor)
-            hit = np.bincount(doc[in_bloom(a, sent.value)], minlength=len(t)) > 0
-            words = words.to_pylist()
-            whole = [" ".join(words[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(np.diff(at)), pa.array(whole, pa.string()), pa.array(hit)], names=["doc_id", "n_words", "kept", "open"])
+            hit = np.bincount(doc[in_bitmap(a, sent.value)], minlength=len(t)) > 0
+            whole = pc.binary_join(pa.ListArray.from_arrays(at.astype(np.int32), words), pa.scalar(" ", pa.large_string()))
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(np.diff(at)), whole.cast(pa.string()), pa.array(hit)], names=["doc_id", "n_words", "kept", "open"])
 
     return src.mapInArrow(rows, "doc_id long, n_words long, kept string, open boolean")
 
@@ -214,17 +188,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dated = src.where("doc_id is not null")
     held = written(_anchor_rows(dated, window, anchor), "anchors")
     recurring = held.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    windows = _window_rows(dated, anchor_bloom(recurring), window, anchor)
+    windows = _window_rows(dated, key_bitmap(recurring, "anchor"), window, anchor)
     firsts = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     own = written(firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("h").alias("own")), "firsts")  # no more than the document has windows
     owners = maybe_in(dated, "doc_id", bloom(own, "doc_id")).join(own, "doc_id")
     passages = written(_passages(owners, window, anchor), "passages")
-    known = passages.select("anchor").distinct()
+    known = passages.groupBy("anchor").agg(F.min("first").alias("first"))
     groups = max(1, -(-docs.count() // group_docs))
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group")
-    where = held.join(known, "anchor", "left_semi").select("anchor", group).distinct()
+    later = held.alias("x").join(known.alias("k"), (F.col("x.anchor") == F.col("k.anchor")) & (F.col("x.doc_id") > F.col("k.first"))).select("x.anchor", "doc_id")
+    where = later.select("anchor", group).distinct()
     needed = where.join(passages, "anchor").select("group", "first", "run", "words")
-    routed = _routed(src, anchor_bloom(known), window, anchor)
+    routed = _routed(src, key_bitmap(known, "anchor"), window, anchor)
 
     def locate(pdf: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
         out, removed = pdf["kept"].tolist(), np.zeros(len(pdf), np.int64)

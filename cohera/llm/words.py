@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+BITMAP_BITS, HASHES = 1 << 26, 3
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -19,32 +23,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Hasher:
-    """64-bit hashes of words; those of frequent words are kept."""
+LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * PRIME)  # a number for each byte
+PLACES = mixed(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)  # a factor for each place in a word
+
 
-    MOST = 1_000_000
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """The hash of each word (none is empty): a sum over its bytes of letter times place, and its length."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = words.buffers()
+    off = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]]
+    size = np.diff(off)
+    place = np.arange(len(raw)) - np.repeat(off[:-1] - off[0], size)
+    factor = PLACES[place] if size.max() <= len(PLACES) else mixed(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    return mixed(np.add.reduceat(LETTERS[raw] * factor, off[:-1] - off[0]) + size.astype(np.uint64) * PRIME)
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
 
-    def words(self, texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Every word's hash, each text's bounds among them (one more than texts), and the words."""
-        texts = texts.fill_null("").cast(pa.large_string())
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
-        at = np.asarray(split.offsets).astype(np.int64)
-        flat = split.values.slice(at[0], at[-1] - at[0])
-        full = np.asarray(pc.not_equal(flat, ""))
-        at = np.append(0, np.cumsum(full))[at - at[0]]
-        flat = flat.filter(pa.array(full))
-        coded = flat.dictionary_encode()
-        distinct, get = coded.dictionary.to_pylist(), self.known.get
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        values = [get(w) for w in distinct]
-        for k, v in enumerate(values):
-            if v is None:
-                values[k] = self.known[distinct[k]] = xxhash.xxh3_64_intdigest(distinct[k].encode())
-        return np.array(values, np.uint64)[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.uint64), at, flat
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Every word's hash, each text's bounds among them (one more than texts), and the words."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    at = np.asarray(split.offsets).astype(np.int64)
+    flat = split.values.slice(at[0], at[-1] - at[0])
+    full = np.asarray(pc.not_equal(flat, ""))
+    at = np.append(0, np.cumsum(full))[at - at[0]]
+    flat = flat if full.all() else flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return word_hashes(coded.dictionary)[np.asarray(coded.indices)], at, flat
 
 
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -54,3 +60,29 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
         out = out * PRIME
         out[: len(hashes) - j] += hashes[j:]
     return mixed(out + np.uint64(k))
+
+
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return [mixed(keys + np.uint64((k + 1) * int(PRIME) % 2**64)) >> shift for k in range(HASHES)]
+
+
+def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
+    """A Bloom filter of a column of longs; its size is fixed, only its share of false hits grows with the keys."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.concatenate(_places(np.asarray(b.column(0)).view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((p >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (p & np.uint64(63))).view(np.int64))], names=["w", "b"])
+
+    got = keys.select(column).mapInArrow(words, "w long, b long").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[np.asarray(got["w"])] = np.asarray(got["b"]).view(np.uint64)
+    return out
+
+
+def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(keys), bool)
+    for p in _places(keys, len(bitmap) * 64):
+        hit &= (bitmap[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
