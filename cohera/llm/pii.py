@@ -210,8 +210,10 @@ def all_spans(text: str, theta: dict[str, np.ndarray]) -> tuple[list[tuple[int,
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """Weights learnt from at most sample_docs documents, those with the least hashes."""
-    sample = picked(docs, text=text_col).where("text rlike '[0-9@]'").orderBy(F.xxhash64("text")).limit(sample_docs)
+    """Weights learnt from at most sample_docs documents, the texts with the least hashes."""
+    src = picked(docs, text=text_col).where("text rlike '[0-9@]'").withColumn("h", F.xxhash64("text"))
+    most = src.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    sample = src.where(F.col("h") <= F.lit(most)).dropDuplicates(["h"])
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
