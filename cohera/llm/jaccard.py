@@ -4,7 +4,7 @@ The join is a sparse product of the incidence of documents by n-grams with its t
 (documents with one set) are one row; a column stays in a row only while the size bound lets it matter (of n n-grams, ordered
 rarest first, two rows that reach the threshold share one of the first n - ceil(t n) + 1, and at the first that they share
 enough of both must be left); columns with one row left go; joining the rest on the n-gram and counting per pair accumulates overlaps; pairs whose sizes alone rule the threshold out go.
-What is left is verified on whole sets.
+Signatures of fixed size then bound each pair's overlap, and what is left is verified on whole sets.
 
 Not all pairs of a group are made. First each row meets the rows that lead most of its n-grams (stars); verified links make
 components; only n-grams with more than one component are joined in full, and only across components. So a large group of
@@ -34,6 +34,7 @@ from .words import in_bitmap, key_bitmap, runs, split_words
 
 BUCKETS = 1 << 18  # of the sketch of n-gram counts
 CHUNK = 1 << 14
+BITS = 2048  # of a set's signature
 STAR_HUBS = (1, 4)  # hubs per row in each star round
 
 
@@ -73,7 +74,7 @@ def _sketch(src: DataFrame, words: int) -> np.ndarray:
 
 
 def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n (size of the set), set_key (its digest) and head (the n-grams that the bound leaves)."""
+    """doc_id, text_hash, n (size of the set), set_key (its digest), head (the n-grams that the bound leaves) and bits (its signature)."""
     counts = src.sparkSession.sparkContext.broadcast(_sketch(src, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +84,14 @@ def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
             for s in sets:
                 n = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 heads.append(s[np.lexsort((s, counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:n]].view(np.int64))
+            bits = np.zeros((len(sets), BITS), bool)
+            for k, s in enumerate(sets):
+                bits[k, (s >> np.uint64(32) & np.uint64(BITS - 1)).astype(np.int64)] = True
+            bits = [x.tobytes() for x in np.packbits(bits, axis=1)]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["text_hash"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n", "set_key", "head"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["text_hash"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "text_hash", "n", "set_key", "head", "bits"])
 
-    return src.mapInArrow(rows, "doc_id long, text_hash long, n long, set_key binary, head array<long>")
+    return src.mapInArrow(rows, "doc_id long, text_hash long, n long, set_key binary, head array<long>, bits binary")
 
 
 def _hits(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -106,6 +111,22 @@ def _hits(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return rows.select("class", "n", "head").mapInArrow(pick, "class long, n long, gram long, left long")
 
 
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their signatures leave: each bit that one set has alone is an n-gram that the other lacks."""
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in buffered(batches, 8 << 20):
+            x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
+            n, m = np.asarray(t["n_a"]), np.asarray(t["n_b"])
+            most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            good = pa.array((100 + percent) * most >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([t["a"].combine_chunks().filter(good), t["b"].combine_chunks().filter(good)], names=["a", "b"])
+
+    return both.mapInArrow(pick, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold; texts are fetched for the rows in pairs alone."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -130,7 +151,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     rows = written(incidence(src, words, percent), "incidence")
     known = rows.where("doc_id is not null and n > 0")
     reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")).withColumn("class", F.xxhash64("set_key")), "classes")
-    classes = written(known.select("set_key", "doc_id", "text_hash").join(reps, [known.set_key == reps.set_key, known.doc_id == reps.rep]).select("rep", "text_hash").distinct(), "heads")
+    classes = written(known.select("set_key", "doc_id", "text_hash", "n", "bits").join(reps, [known.set_key == reps.set_key, known.doc_id == reps.rep]).select("rep", "text_hash", "n", "bits").distinct(), "nodes")
     known = known.withColumn("class", F.xxhash64("set_key"))
     shared = known.select("class", F.explode("head").alias("gram")).groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
     shared = written(shared, "columns")
@@ -156,7 +177,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         else:
             x, y = rest.select("gram", "rep", "component", "n", "left").alias("x"), rest.select("gram", "rep", "component", "n", "left").alias("y")
             pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        good = _verified(written(pairs, "pairs"), src, classes, words, percent)
+        good = _verified(written(_near(pairs, classes, percent), "pairs"), src, classes, words, percent)
         links = written(good if links is None else links.union(good), "links")
     same = rows.where("doc_id is not null and n > 0").join(reps, "set_key")
     again = known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
