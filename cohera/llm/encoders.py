@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MOST_WORDS = 1_000_000  # kept per worker; then the cache starts anew
-BATCH_BYTES = 16 << 20  # of text that is encoded at once
+MOST_WORDS = 600_000  # kept per worker; then the cache starts anew
+BATCH_BYTES = 12 << 20  # of text that is encoded at once
 MARKS = ".,;:!?\"'()[]-*&$%#@/|"
 
 

@@ -55,7 +55,7 @@ def _sketch(src: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for t in buffered(batches, 8 << 20):
+        for t in buffered(batches, 3 << 20):
             sets = shingle_sets(t["text"].combine_chunks(), words)
             if sets:
                 total += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
@@ -78,7 +78,7 @@ def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
     counts = src.sparkSession.sparkContext.broadcast(_sketch(src, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in buffered(batches, 8 << 20):
+        for t in buffered(batches, 3 << 20):
             sets = shingle_sets(t["text"].combine_chunks(), words)
             heads = []
             for s in sets:
@@ -117,7 +117,7 @@ def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in buffered(batches, 8 << 20):
+        for t in buffered(batches, 3 << 20):
             x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
             n, m = np.asarray(t["n_a"]), np.asarray(t["n_b"])
             most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
@@ -134,7 +134,7 @@ def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame, words: int,
     sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in buffered(batches, 8 << 20):
+        for t in buffered(batches, 3 << 20):
             left, right = shingle_sets(t["text_a"].combine_chunks(), words), shingle_sets(t["text_b"].combine_chunks(), words)
             both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
             size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)

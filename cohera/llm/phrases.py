@@ -37,7 +37,7 @@ from .words import in_bitmap, key_bitmap, mixed, runs, split_words
 
 WINDOW, ANCHOR = 50, 8
 GROUP_DOCS = 1500  # expected documents of a group
-BATCH = 4 << 20
+BATCH = 3 << 20
 # an odd multiplier, and its inverse modulo 2**64, for hashes of windows from running sums
 STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
