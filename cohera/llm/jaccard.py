@@ -34,7 +34,7 @@ from .words import in_bitmap, key_bitmap, runs, split_words
 
 BUCKETS = 1 << 18  # of the sketch of n-gram counts
 CHUNK = 1 << 14
-BITS = 2048  # of a set's signature
+BITS = 1024  # of a set's signature
 STAR_HUBS = (1, 4)  # hubs per row in each star round
 
 
