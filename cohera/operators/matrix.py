@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import with_midrank
+
 
 def long_form(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     return df.unpivot(ids, features, "feature", "value")
@@ -70,3 +72,48 @@ def cumulative_gain(df: DataFrame, feature: str, gain: str, fraction: float) ->
     total = F.sum(gain).over(Window.partitionBy())
     kept = df.withColumn("_t", total).withColumn("_before", F.coalesce(F.sum(gain).over(w), F.lit(0.0)))
     return kept.where(F.col("_before") < fraction * F.col("_t")).drop("_t", "_before")
+
+
+def z_against(df: DataFrame, reference: DataFrame, feature: str, value: str, out: str = "z") -> DataFrame:
+    """Population z by the reference rows' mean and spread per feature (fit on training rows, apply to others); a spread of 0 counts as 1."""
+    fit = reference.groupBy(feature).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return df.join(fit, feature).withColumn(out, (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse normal distribution function by Acklam's rational approximation (relative error below 1.2e-9), plain arithmetic."""
+    # The published coefficients of the approximation.
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+    def poly(x, k, last=None):
+        out = F.lit(k[0])
+        for v in k[1:]:
+            out = out * x + v
+        return out if last is None else out * x + last
+
+    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
+    low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
+    return F.when(p < 0.02425, poly(low, c) / poly(low, d, 1.0)).when(p > 0.97575, -poly(high, c) / poly(high, d, 1.0)).otherwise(poly(r, a) * q / poly(r, b, 1.0))
+
+
+def normal_scores(df: DataFrame, sample: str, value: str, out: str = "score") -> DataFrame:
+    """Per sample, the normal quantile of midrank / (n + 1); null values have none."""
+    ranked = with_midrank(df, value, [sample], "_r")
+    return ranked.withColumn(out, normal_quantile(F.col("_r") / (F.count(value).over(Window.partitionBy(sample)) + 1))).drop("_r")
+
+
+def break_even(df: DataFrame, k: str, metric: str) -> DataFrame:
+    """The first k whose gain over the one before falls below the mean gain of the whole curve (one row per k: a curve, not a data table)."""
+    gain = df.withColumn("_g", F.col(metric) - F.lag(metric).over(Window.orderBy(k)))
+    mean = gain.agg(F.avg("_g").alias("_mean"))
+    return gain.join(F.broadcast(mean)).where("_g < _mean").agg(F.min(k).alias(k))
+
+
+def ratio_to_next(df: DataFrame, feature: str, kind: str, value: str, out: str = "margin") -> DataFrame:
+    """Value minus the best value of any other kind for the same feature."""
+    w = Window.partitionBy(feature)
+    two = F.slice(F.sort_array(F.collect_list(value).over(w), asc=False), 1, 2)
+    return df.withColumn("_t", two).withColumn(out, F.col(value) - F.when(F.col(value) == F.col("_t")[0], F.get("_t", F.lit(1))).otherwise(F.col("_t")[0])).drop("_t")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,126 @@ def pseudobulk(df: DataFrame, donor: str, kind: str, value: str, least: int) ->
     g = df.groupBy(donor, kind).agg(F.count("*").alias("n"), F.avg(value).alias("_m"))
     t = g.groupBy(donor).agg(F.sum("n").alias("_t"))
     return g.join(t, donor).select(donor, kind, "n", (F.col("n") / F.col("_t")).alias("fraction"), F.when(F.col("n") >= least, F.col("_m")).alias("mean"))
+
+
+def relabel(df: DataFrame, names: DataFrame, key: str, old: str, new: str) -> DataFrame:
+    """Keys found in names (one row each) take the new name, others stay."""
+    return df.join(names.select(F.col(old).alias(key), F.col(new).alias("_new")), key, "left").withColumn(key, F.coalesce("_new", key)).drop("_new")
+
+
+def lookup(df: DataFrame, table: DataFrame, key: str, value: str, order: str, keep: str = "first") -> DataFrame:
+    """The value under the key; of rows with the same key the first or last by order counts. Missing keys give null."""
+    pick = F.min_by if keep == "first" else F.max_by
+    return df.join(table.groupBy(key).agg(pick(value, order).alias(value)), key, "left")
+
+
+def reindex(keys: DataFrame, df: DataFrame, key: str, pos: str) -> DataFrame:
+    """The rows of df in the order of the keys (column pos), nulls where a key is missing."""
+    return keys.select(key, pos).join(df, key, "left").orderBy(pos)
+
+
+def first_prefix(text: Column, aliases: list[tuple[str, str]]) -> Column:
+    """The name of the first alias (prefix, name) that the lower-cased text begins with, else null."""
+    out = F.lit(None).cast("string")
+    for prefix, name in reversed(aliases):
+        out = F.when(F.lower(text).startswith(prefix), F.lit(name)).otherwise(out)
+    return out
+
+
+def ordered_labels(text: Column, patterns: list[tuple[str, object]]) -> Column:
+    """The label of the first pattern found anywhere in the text, in any case, else null."""
+    out = F.lit(None)
+    for pattern, label in reversed(patterns):
+        out = F.when(text.rlike(f"(?i){pattern}"), F.lit(label)).otherwise(out)
+    return out
+
+
+def match_features(features: DataFrame, panel: DataFrame, kinds: list[str], target: str) -> DataFrame:
+    """Each panel row (kind, id, target) meets the features of the same kind of identifier; per target the best kind, then the least feature."""
+    ids = features.select("feature", F.explode(F.array(*[F.struct(F.lit(n).alias("_at"), F.lit(k).alias("kind"), F.col(k).cast("string").alias("id")) for n, k in enumerate(kinds)])).alias("i"))
+    ids = ids.select("feature", "i.*").where("id is not null")
+    found = ids.join(panel.select("kind", "id", target), ["kind", "id"])
+    return found.groupBy(target).agg(F.min(F.struct("_at", "feature", "kind")).alias("b")).select(target, "b.feature", "b.kind")
+
+
+def contained_probes(probes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Places (from 1) where a probe (probe, seq of k letters at least) lies in a text (name, sequence), on either strand.
+
+    Every text gives its k-mers with their places; a probe is looked up by its first k letters and then compared whole.
+    Probes shorter than k cannot be looked up and are left out.
+    """
+    kmers = texts.where(F.length("sequence") >= k).select("name", "sequence", F.explode(F.sequence(F.lit(1), F.length("sequence") - k + 1)).alias("at"))
+    kmers = kmers.withColumn("_k", F.substring("sequence", F.col("at"), F.lit(k))).withColumn("_rest", F.col("sequence"))
+    strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("_s")), F.struct(F.lit("-").alias("strand"), F.reverse(F.translate("seq", "ACGT", "TGCA")).alias("_s")))
+    p = probes.where(F.length("seq") >= k).select("probe", F.explode(strands).alias("x")).select("probe", "x.*").withColumn("_k", F.substring("_s", 1, k))
+    return kmers.join(p, "_k").where(F.substring("_rest", F.col("at"), F.length("_s")) == F.col("_s")).select("probe", "name", "strand", "at")
+
+
+def overlaps(a: DataFrame, b: DataFrame, chrom: str, window: int, width: int) -> DataFrame:
+    """Pairs of intervals (a_start..a_end, b_start..b_end on one chrom) within the window, both ends included.
+
+    Both sides are dealt to bins of the width; a pair counts in the first bin that both touch, so it comes out once.
+    """
+    def binned(df, lo, hi):
+        return df.withColumn("_lo", F.floor(lo / width)).withColumn("_bin", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
+
+    x = binned(a, F.col("a_start") - window, F.col("a_end") + window).withColumnRenamed("_lo", "_alo")
+    y = binned(b, F.col("b_start"), F.col("b_end")).withColumnRenamed("_lo", "_blo")
+    near = (F.col("b_start") <= F.col("a_end") + window) & (F.col("b_end") >= F.col("a_start") - window)
+    return x.join(y, [chrom, "_bin"]).where(near & (F.col("_bin") == F.greatest("_alo", "_blo"))).drop("_bin", "_alo", "_blo")
+
+
+def strata(df: DataFrame, key: str, group: str) -> DataFrame:
+    """The sorted groups that hold each key, as one string."""
+    return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(group).cast("string"))), "+").alias("pattern"))
+
+
+def greedy_match(candidates: DataFrame, group: str, left: str, right: str, score: str, order: str) -> DataFrame:
+    """Within each group (a cohort's candidates, a few thousand rows) every left, by order, takes its best right that is still free."""
+    import pandas as pd
+
+    def go(p: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for _, rows in p.sort_values([order, score, right], ascending=[True, False, True]).groupby(order, sort=False):
+            free = rows[~rows[right].isin(taken)]
+            if len(free):
+                taken.add(free.iloc[0][right])
+                out.append(free.iloc[0])
+        return pd.DataFrame(out, columns=p.columns)
+
+    cols = candidates.select(group, left, right, score, order)
+    return cols.groupBy(group).applyInPandas(go, cols.schema)
+
+
+def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:
+    return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(F.when(F.col(value).isNotNull(), F.col(weight)))).alias(value))
+
+
+def largest_absolute(df: DataFrame, key: str, value: str, row: str) -> DataFrame:
+    """Per key the row whose value is largest in size; ties go to the smaller row."""
+    return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.min(F.struct((-F.abs(F.col(value))).alias("_o"), F.col(row), F.col(value))).alias("b")).select(key, f"b.{row}", f"b.{value}")
+
+
+def jaccard_of_lists(df: DataFrame, group: str, member: str) -> DataFrame:
+    """Shared members, union and Jaccard index of every pair of groups that share any; cost follows shared members."""
+    m = df.select(group, member).distinct()
+    n = m.groupBy(group).agg(F.count("*").alias("n"))
+    a, b = m.select(F.col(group).alias("a"), member), m.select(F.col(group).alias("b"), member)
+    shared = a.join(b, member).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sized = shared.join(n.select(F.col(group).alias("a"), F.col("n").alias("_na")), "a").join(n.select(F.col(group).alias("b"), F.col("n").alias("_nb")), "b")
+    union = F.col("_na") + F.col("_nb") - F.col("shared")
+    return sized.select("a", "b", "shared", union.alias("either"), (F.col("shared") / union).alias("jaccard"))
+
+
+def fallback_filter(df: DataFrame, conditions: list[Column], order: list, n: int, least: int = 1) -> DataFrame:
+    """Rows of the first condition that at least `least` rows meet, else the first n rows by order. One pass counts for all conditions."""
+    counts = df.agg(*[F.count(F.when(c, 1)).alias(f"_c{k}") for k, c in enumerate(conditions)])
+    pick = F.lit(len(conditions))
+    for k in reversed(range(len(conditions))):
+        pick = F.when(F.col(f"_c{k}") >= least, F.lit(k)).otherwise(pick)
+    chosen = df.join(F.broadcast(counts.select(pick.alias("_pick"))))  # one row
+    keep = F.lit(False)
+    for k, c in enumerate(conditions):
+        keep = keep | ((F.col("_pick") == k) & c)
+    top = chosen.where(F.col("_pick") == len(conditions)).orderBy(*order).limit(n)
+    return chosen.where(keep).unionByName(top).drop("_pick")

@@ -1 +1,6 @@
-"""Cohort analytics on Spark DataFrames."""
+"""The registered queries, each with its DuckDB twin where SQL can say it."""
+
+from . import catalogue, selection, statistics
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "catalogue", "selection", "statistics"]

@@ -9,20 +9,7 @@ from ..operators import matrix as mx
 from ..operators import relational as rel
 from ..operators import stats as st
 from ..sources.tables import parquet
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import normal_p, query
 
 def _lines(spark, d):
     li, part = parquet(spark, d, "lineitem"), parquet(spark, d, "part")
@@ -35,7 +22,7 @@ auc AS (SELECT p_brand, sum(label) AS n1, sum(1 - label) AS n0, (CAST(sum(r) FIL
 
 
 @query(f"""WITH {LINES}, {AUC}, z AS (SELECT *, 2 * auc - 1 AS rank_biserial, (auc - 0.5) * n1 * n0 / sqrt(n1 * n0 * (n1 + n0 + 1) / 12.0) AS z FROM auc),
-p AS (SELECT *, 2 / (1 + exp(1.5976 * abs(z) + 0.07056 * abs(z) ** 3)) AS p FROM z),
+{normal_p("z", "z")},
 q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p)
 SELECT p_brand, CAST(n1 AS BIGINT) AS n1, CAST(n0 AS BIGINT) AS n0, auc, rank_biserial, p, least(1.0, min(raw) OVER (ORDER BY p DESC, raw DESC ROWS UNBOUNDED PRECEDING)) AS q FROM q""")
 def label_two_group_auc_bh(spark, d):
