@@ -9,6 +9,7 @@ import pandas as pd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def with_midrank(df: DataFrame, value: str, by: list[str], out: str = "midrank") -> DataFrame:
@@ -148,7 +149,7 @@ def signed_rank(df: DataFrame, difference: str, by: list[str]) -> DataFrame:
     return g.withColumn("p", normal_two_sided_p(F.col("z"))).select(*by, "n", "w", "z", "p")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_exact_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher exact p of the table ((a, b), (c, d)): tables of the same margins that are no likelier. Null cells give null."""
     def one(a, b, c, d):
@@ -169,7 +170,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(float(v)) for v in np.ravel(x)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sign_test_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
     """One-sided binomial tail P(X >= wins) of fair coins; ties are left out by the caller."""
     def one(w, n):
@@ -179,7 +180,7 @@ def sign_test_p(wins: pd.Series, losses: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(w) or pd.isna(v) else one(int(w), int(w + v)) for w, v in zip(wins, losses)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t through the continued fraction of the incomplete beta function. Null where either is null or dof < 1."""
     def beta(a, b, x):
@@ -301,7 +302,7 @@ def hypergeometric_overlap(hits: DataFrame, sets: DataFrame, universe: int) -> D
     return o.withColumn("p", _hypergeometric_tail(F.col("overlap"), F.col("size"), F.col("hits"), F.lit(universe))).select("term", "overlap", "size", "p")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _hypergeometric_tail(k: pd.Series, size: pd.Series, hits: pd.Series, universe: pd.Series) -> pd.Series:
     def one(k, m, n, u):
         x = np.arange(k, min(m, n) + 1)
