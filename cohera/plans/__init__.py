@@ -1,6 +1,6 @@
 """The registered queries, each with its DuckDB twin where SQL can say it."""
 
-from . import catalogue, selection, statistics
+from . import catalogue, modelling, selection, statistics
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "catalogue", "selection", "statistics"]
+__all__ = ["ORACLE", "QUERIES", "catalogue", "modelling", "selection", "statistics"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows from the shared checkpoint folder of the session, without their lineage; a folder of its own only where none is named (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """term, direction and gene of lines "term<TAB>description<TAB>gene<TAB>..."; a last word Up or Down is the direction."""
     parts = spark.read.text(path).select(F.split("value", "\t").alias("p")).where(F.size("p") > 2)
