@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .stats import with_midrank
+from .stats import correlation, with_midrank
 
 
 def module_scores(df: DataFrame, sample: str, feature: str, value: str, markers: DataFrame, kind: str) -> DataFrame:
@@ -28,7 +28,7 @@ def nearest_centroid(df: DataFrame, sample: str, feature: str, value: str, centr
     """Spearman of every sample with every kind's centroid over the features they share; the best kind and its rho."""
     j = df.select(sample, feature, value).join(centroids.select(feature, kind, reference), feature)
     r = with_midrank(with_midrank(j, value, [sample, kind], "_a"), reference, [sample, kind], "_b")
-    rho = r.groupBy(sample, kind).agg(F.corr("_a", "_b").alias("score"))
+    rho = r.groupBy(sample, kind).agg(correlation("_a", "_b").alias("score"))
     return best_kind(rho, sample, kind).join(rho, [sample, kind]).withColumnRenamed("score", "rho")
 
 
@@ -109,4 +109,4 @@ def array_quality(df: DataFrame, sample: str, feature: str, value: str) -> DataF
     med = df.groupBy(feature).agg(F.median(value).alias("_m"))
     cut = med.agg(F.median("_m").alias("_c"))
     upper = med.join(F.broadcast(cut)).where("_m >= _c")  # one row
-    return df.join(upper, feature).groupBy(sample).agg(F.corr(F.col(value).cast("double"), F.col("_m").cast("double")).alias("r"))
+    return df.join(upper, feature).groupBy(sample).agg(correlation(value, "_m").alias("r"))

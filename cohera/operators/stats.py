@@ -78,10 +78,17 @@ def adjusted(df: DataFrame, p: str, family: list[str] | None = None, out: str =
     return df.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw")
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where a side does not vary."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = with_midrank(with_midrank(full, x, by, "_rx"), y, by, "_ry")
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -231,7 +238,7 @@ def pearson_screen(df: DataFrame, sample: str, feature: str, value: str, target:
 
     One equi-join on the sample and one aggregate over all features; nothing is paired with itself.
     """
-    g = df.join(target.select(sample, "t"), sample).where(F.col(value).isNotNull() & F.col("t").isNotNull()).groupBy(feature).agg(F.count("*").alias("n"), F.corr(value, "t").alias("r"))
+    g = df.join(target.select(sample, "t"), sample).where(F.col(value).isNotNull() & F.col("t").isNotNull()).groupBy(feature).agg(F.count("*").alias("n"), correlation(value, "t").alias("r"))
     tests = g.agg(F.count("r").alias("_tests"))
     t = F.col("r") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - F.col("r") * F.col("r")))
     s = g.join(F.broadcast(tests)).where(F.abs(F.col("r")) >= least_r).withColumn("p", F.when(F.abs(F.col("r")) >= 1, 0.0).otherwise(student_t_p(t, F.col("n") - 2)))  # one row
@@ -260,13 +267,13 @@ def quasi_poisson(df: DataFrame, count: str, library: str, group: str, by: list[
 def clustered_ols(df: DataFrame, y: str, x: str, cluster: str, by: list[str]) -> DataFrame:
     """Slope of y on x with a standard error clustered by donor (small-sample factor included), from moments alone."""
     d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
-    m = d.groupBy(*by).agg(F.avg(x).alias("_xm"), F.avg(y).alias("_ym"), F.regr_slope(y, x).alias("slope"), (F.var_pop(x) * F.count("*")).alias("_sxx"), F.count("*").alias("n"))
+    m = d.groupBy(*by).agg(F.avg(x).alias("_xm"), F.avg(y).alias("_ym"), F.try_divide(F.covar_pop(x, y), F.var_pop(x)).alias("slope"), (F.var_pop(x) * F.count("*")).alias("_sxx"), F.count("*").alias("n"))
     joined = d.join(m, by) if by else d.join(F.broadcast(m))  # one row
     cx = F.col(x) - F.col("_xm")
     c = joined.groupBy(*by, cluster, "slope", "_sxx", "n").agg(F.sum(cx * (F.col(y) - F.col("_ym") - F.col("slope") * cx)).alias("_u"))
     out = c.groupBy(*by, "slope", "_sxx", "n").agg(F.count("*").alias("clusters"), F.sum(F.col("_u") ** 2).alias("_uu"))
     factor = F.try_divide(F.col("clusters").cast("double"), F.col("clusters") - 1) * F.try_divide((F.col("n") - 1).cast("double"), F.col("n") - 2)
-    return out.select(*by, "n", "clusters", "slope", (F.sqrt(factor * F.col("_uu")) / F.col("_sxx")).alias("se"))
+    return out.select(*by, "n", "clusters", "slope", F.try_divide(F.sqrt(factor * F.col("_uu")), F.col("_sxx")).alias("se"))
 
 
 def pooled_auc(df: DataFrame, auc: str, n1: str, n0: str, sd: str, by: list[str]) -> DataFrame:
