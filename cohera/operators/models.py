@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..sources.tables import checkpointed
 from .resampling import weighted_auc
@@ -107,3 +107,26 @@ def combo_gain(single: DataFrame, combos: DataFrame) -> DataFrame:
     c = combos.withColumn("_m", F.array_sort("members")).dropDuplicates(["_m"])
     best = c.select("_m", F.explode("_m").alias("feature")).join(single.withColumnRenamed("auc", "_a"), "feature").groupBy("_m").agg(F.max("_a").alias("_best"))
     return c.join(best, "_m").select(F.col("_m").alias("members"), "auc", (F.col("auc") - F.col("_best")).alias("synergy"))
+
+
+def covariate_adjustment(df: DataFrame, by: list[str], label: str, score: str, covariates: list[str], c: float = 1.0) -> DataFrame:
+    """by, model, coefficient of the standardised score (null in the covariates' own model), auc of the fitted values, for score, covariates and both. Incomplete rows are left out; one class alone gives no rows."""
+    models = {"score": [score], "covariates": covariates, "both": [score, *covariates]}
+    rows = df.select(*by, label, *[F.col(x).cast("double").alias(x) for x in models["both"]]).dropna(subset=[label, *models["both"]])
+    rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    schema = StructType([*[df.schema[b] for b in by], StructField("model", StringType()), StructField("coefficient", DoubleType()), StructField("auc", DoubleType())])
+
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        use, y = models[p["model"].iloc[0]], p[label].to_numpy(dtype=float)
+        if len(set(y)) < 2:
+            return p.iloc[:0].assign(coefficient=0.0, auc=0.0)[schema.names]
+        x = p[use].to_numpy()
+        sd = x.std(axis=0)
+        x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
+        beta = ridge_logistic(x, y, np.ones(len(y)), c)
+        rank = pd.Series(beta[0] + x @ beta[1:]).rank().to_numpy()
+        n1 = y.sum()
+        auc = (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+        return p.iloc[:1].assign(coefficient=beta[1] if score in use else None, auc=auc)[schema.names]
+
+    return rows.groupBy(*by, "model").applyInPandas(fit, schema)

@@ -89,3 +89,16 @@ def empirical_p(null: DataFrame, value: str, observed: float) -> DataFrame:
 def smallest_noninferior(losses: DataFrame, k: str, loss: str, margin: float, level: float = 0.95) -> DataFrame:
     """The smallest k whose upper bound of the replicates' loss is below the margin."""
     return losses.groupBy(k).agg(F.percentile(loss, level).alias("_u")).where(F.col("_u") < margin).agg(F.min(k).alias(k))
+
+
+def selection_stability(df: DataFrame, donor: str, feature: str, value: str, label: str, k: int, replicates: int, seed: int = 0) -> DataFrame:
+    """feature, frequency: how often a feature is among the k of largest difference of class means when donors are drawn anew."""
+    rows = df.join(draws(df.select(donor).distinct(), donor, replicates, seed=seed), donor)
+
+    def mean(y):
+        n = F.when(F.col(label) == y, F.col("times"))
+        return F.try_divide(F.sum(F.col(value) * n), F.sum(n))
+
+    effect = rows.groupBy("replicate", feature).agg(F.abs(mean(1) - mean(0)).alias("_e")).where("_e is not null")
+    top = effect.withColumn("_r", F.row_number().over(Window.partitionBy("replicate").orderBy(F.desc("_e"), feature))).where(F.col("_r") <= k)
+    return top.groupBy(feature).agg((F.count("*") / F.lit(replicates)).alias("frequency"))
