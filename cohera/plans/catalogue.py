@@ -179,9 +179,9 @@ def candidate_union_provenance(spark, d):
     return rel.union_with_provenance(p.where("p_size > 25"), p.where("p_retailprice > 1000"), "p_partkey", ("size", "price"))
 
 
-@query("SELECT p_size FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) = (SELECT count(DISTINCT p_brand) FROM part)")
+@query("SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def vocabulary_intersection_all(spark, d):
-    return rel.in_all(parquet(spark, d, "part"), "p_size", "p_brand")
+    return rel.in_all(parquet(spark, d, "events"), "user_id", "event_type")
 
 
 @query("WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day FROM events) SELECT user_id, count(DISTINCT day) / CAST((SELECT count(DISTINCT day) FROM e) AS DOUBLE) AS frequency FROM e GROUP BY 1")
