@@ -1,6 +1,7 @@
 """Identity, evidence, feature search and file readers on small cases, against plain programs where SQL has no twin."""
 
 import zipfile
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -100,3 +101,25 @@ def test_files(spark, tmp_path):
     assert [r["values"] for r in files.array_rows(spark, str(tmp_path / "x.npy"), [2, 0]).orderBy("row").collect()] == [[2.0, 0.0], [5.0, 3.0], [8.0, 6.0], [11.0, 9.0]]
     (tmp_path / "r.txt").write_text("Report\n  k = 3  AUC = 0.91\n  k = 4  AUC = 0.88\n")
     assert [tuple(r) for r in files.report_fields(spark, str(tmp_path / "r.txt"), r"k = (\d+)\s+AUC = ([\d.]+)", ["k", "auc"]).collect()] == [("3", "0.91"), ("4", "0.88")]
+
+
+def test_normal_scores_by_query(spark):
+    o = spark.read.parquet(f"{SF}/orders.parquet").toPandas()
+    g = o.groupby("o_orderpriority").o_totalprice
+    want = dict(zip(o.o_orderkey, [NormalDist().inv_cdf(p) for p in g.rank() / (g.transform("size") + 1)]))
+    got = {r.o_orderkey: r.score for r in QUERIES["rank_inverse_normal"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
+def test_greedy_match_by_query(spark):
+    p = spark.read.parquet(f"{SF}/part.parquet").where("p_size > 45").toPandas()
+    want = set()
+    for kind, g in p.groupby("p_type"):
+        used = set()
+        price = dict(zip(g.p_partkey, g.p_retailprice))
+        for gene in sorted(price):
+            near = [(abs(price[gene] - price[s]), s) for s in price if s != gene and s not in used and abs(price[gene] - price[s]) < 20]
+            if near:
+                used.add(min(near)[1])
+                want.add((kind, gene, min(near)[1]))
+    assert {(r.p_type, r.gene, r.substitute) for r in QUERIES["greedy_best_match"](spark, SF).collect()} == want
