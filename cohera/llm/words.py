@@ -58,7 +58,7 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros(len(hashes), np.uint64)
     for j in range(k):
         out = out * PRIME
-        out[: len(hashes) - j] += hashes[j:]
+        out[: max(0, len(hashes) - j)] += hashes[j:]  # a batch may hold fewer than k words
     return mixed(out + np.uint64(k))
 
 
