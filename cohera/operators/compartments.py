@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -32,41 +34,68 @@ def nearest_centroid(df: DataFrame, sample: str, feature: str, value: str, centr
     return best_kind(rho, sample, kind).join(rho, [sample, kind]).withColumnRenamed("score", "rho")
 
 
+def _known(c: str) -> Column:
+    """A number, null where it is missing or NaN."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def first_component(df: DataFrame, sample: str, feature: str, value: str, markers: DataFrame, kind: str) -> DataFrame:
-    """First principal component of every marker set over the samples: unit variance, sign of the mean marker. One kind's marker matrix is one group."""
-    rows = df.join(markers.select(feature, kind), feature).select(kind, sample, feature, F.col(value).cast("double").alias("_v"))
-    schema = StructType([markers.schema[kind], df.schema[sample], StructField("score", DoubleType())])
+    """First principal component of every marker set over the samples: unit variance, sign of the mean marker. Missing values count as the marker's mean.
 
-    def component(p: pd.DataFrame) -> pd.DataFrame:
-        m = p.pivot_table(index=sample, columns=feature, values="_v").sort_index()
-        x = m.to_numpy()
-        x = np.where(np.isnan(x), np.nanmean(x, axis=0), x)
-        x = x - x.mean(axis=0)
-        u, s, _ = np.linalg.svd(x, full_matrices=False)
-        pc = u[:, 0] * s[0]
-        pc = pc * (1.0 if np.dot(pc, x.mean(axis=1)) >= 0 else -1.0)
-        return pd.DataFrame({kind: p[kind].iloc[0], sample: m.index, "score": pc / (pc.std() or 1.0)})
+    Products of marker pairs are summed over the samples in Spark; only the markers x markers sums of a kind come to one group, and weights join back to the rows.
+    """
+    rows = df.join(markers.select(feature, kind), feature).select(kind, sample, feature, _known(value).alias("_v")).where("_v is not null").groupBy(kind, sample, feature).agg(F.avg("_v").alias("_v"))
+    mean = rows.groupBy(kind, feature).agg(F.avg("_v").alias("_m"))
+    x = rows.join(mean, [kind, feature]).select(kind, sample, feature, (F.col("_v") - F.col("_m")).alias("_x"))
+    pairs = x.join(x.select(kind, sample, F.col(feature).alias("_g"), F.col("_x").alias("_y")), [kind, sample])
+    sums = pairs.groupBy(kind, feature, "_g").agg(F.sum(F.col("_x") * F.col("_y")).alias("_c"))
+    n = rows.groupBy(kind).agg(F.count_distinct(sample).cast("double").alias("_samples"))
+    schema = StructType([markers.schema[kind], df.schema[feature], StructField("_w", DoubleType())])
 
-    return rows.groupBy(kind).applyInPandas(component, schema)
+    def weights(p: pd.DataFrame) -> pd.DataFrame:
+        c = p.pivot(index=feature, columns="_g", values="_c").sort_index().sort_index(axis=1).fillna(0.0)
+        size, vectors = np.linalg.eigh(c.to_numpy())
+        v = vectors[:, -1] * (1.0 if vectors[:, -1] @ c.to_numpy().sum(axis=1) >= 0 else -1.0)
+        spread = np.sqrt(max(size[-1], 0.0) / p["_samples"].iloc[0])
+        return pd.DataFrame({kind: p[kind].iloc[0], feature: c.index, "_w": v / (spread or 1.0)})
+
+    w = sums.join(n, kind).groupBy(kind).applyInPandas(weights, schema)
+    return x.join(w, [kind, feature]).groupBy(kind, sample).agg(F.sum(F.col("_x") * F.col("_w")).alias("score"))
 
 
 def residualise(df: DataFrame, sample: str, feature: str, value: str, covariates: DataFrame, names: list[str], train: DataFrame | None = None) -> DataFrame:
     """Every feature less its regression on the samples' covariates, fitted on the training samples (all where none are given) and applied to all.
 
-    One feature's samples are one group; the fit is a small least-squares problem.
+    Means and centred cross products are summed in Spark; one row of sums per feature is solved, and the slopes join back to the rows. A covariate that does
+    not vary in the training samples has slope 0; a feature without complete training rows stays as it is.
     """
-    rows = df.select(sample, feature, F.col(value).cast("double").alias(value)).join(covariates.select(sample, *names), sample)
+    rows = df.select(sample, feature, _known(value).alias(value)).join(covariates.select(sample, *[_known(x).alias(x) for x in names]), sample)
     rows = rows.withColumn("_fit", F.lit(True)) if train is None else rows.join(train.select(sample).distinct().withColumn("_fit", F.lit(True)), sample, "left").withColumn("_fit", F.coalesce("_fit", F.lit(False)))
-    schema = StructType([df.schema[sample], df.schema[feature], StructField("residual", DoubleType())])
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(p)), p[names].to_numpy(dtype=float)])
-        y = p[value].to_numpy(dtype=float)
-        use = p["_fit"].to_numpy() & ~np.isnan(y) & ~np.isnan(x).any(axis=1)
-        beta = np.linalg.lstsq(x[use], y[use], rcond=None)[0] if use.any() else np.zeros(x.shape[1])
-        return pd.DataFrame({sample: p[sample], feature: p[feature], "residual": y - x @ beta + (y[use].mean() if use.any() else 0.0)})
-
-    return rows.groupBy(feature).applyInPandas(fit, schema)
+    k, same = len(names), F.col(feature).eqNullSafe(F.col("_feature"))
+    used = rows.where("_fit").dropna(subset=[value, *names])
+    mean = used.groupBy(F.col(feature).alias("_feature")).agg(F.avg(value).alias("_ym"), *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(names)])
+    off = [F.col(x) - F.col(f"_m{i}") for i, x in enumerate(names)]
+    products = [F.sum(off[i] * (off[j] if j < k else F.col(value) - F.col("_ym"))).alias(f"_s{i}_{j}") for i in range(k) for j in range(i, k + 1)]
+    means = ["_ym", *[f"_m{i}" for i in range(k)]]
+    sums = used.join(mean, same).groupBy("_feature", *means).agg(*products)
+    schema = StructType([StructField("_feature", df.schema[feature].dataType), *[StructField(c, DoubleType()) for c in [*means, *[f"_b{i}" for i in range(k)]]]])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            xx = np.empty((len(p), k, k))
+            for i in range(k):
+                for j in range(i, k):
+                    xx[:, i, j] = xx[:, j, i] = p[f"_s{i}_{j}"]
+            size = np.sqrt(np.einsum("nii->ni", xx))
+            size = np.where(size > 0, size, 1.0)
+            xy = np.stack([p[f"_s{i}_{k}"].to_numpy(dtype=float) for i in range(k)], axis=1) / size
+            beta = np.einsum("nij,nj->ni", np.linalg.pinv(xx / size[:, :, None] / size[:, None, :], rcond=1e-10, hermitian=True), xy) / size
+            yield p[["_feature", *means]].assign(**{f"_b{i}": beta[:, i] for i in range(k)})
+
+    fitted = rows.join(sums.mapInPandas(solve, schema), same, "left")
+    move = sum((F.col(f"_b{i}") * c for i, c in enumerate(off)), F.lit(0.0))
+    return fitted.select(sample, feature, F.when(F.col("_ym").isNull(), F.col(value)).otherwise(F.col(value) - move).alias("residual"))
 
 
 def combat(df: DataFrame, sample: str, feature: str, value: str, batch: str) -> DataFrame:

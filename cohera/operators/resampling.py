@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 
 def hashed(*parts: Column | str | int, seed: int = 0) -> Column:
     """A whole number from 0 to 2^32 - 1 out of the parts; any engine with MD5 gives the same."""
@@ -15,11 +17,16 @@ def hashed(*parts: Column | str | int, seed: int = 0) -> Column:
 def draws(df: DataFrame, key: str, replicates: int, by: list[str] | None = None, seed: int = 0) -> DataFrame:
     """Rows drawn with replacement, as many as there are within each stratum: key, by, replicate and times (rows not drawn are left out).
 
-    Made for score tables of cohorts (one row per sample). Places are numbered per stratum, so the largest stratum bounds a task.
+    Places within a stratum are those within a range of keys plus the rows of the ranges before it, so neither the table nor a stratum goes through one task.
     """
     by = by or []
+    # kept as written: ranges computed anew could be cut at other keys than those that were counted
+    ranged = checkpointed(df.select(key, *by).repartitionByRange(*by, key).withColumn("_part", F.spark_partition_id()))
     w = Window.partitionBy(*by)
-    placed = df.select(key, *by, (F.row_number().over(w.orderBy(key)) - 1).cast("long").alias("_i"), F.count("*").over(w).alias("_n"))
+    before = F.coalesce(F.sum("_rows").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy("_part", *by).agg(F.count("*").alias("_rows")).select("_part", *by, before.alias("_before"), F.sum("_rows").over(w).alias("_n"))  # strata x ranges
+    within = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part", *by).orderBy(key)) - 1)
+    placed = within.join(sizes, ["_part", *by]).select(key, *by, (F.col("_k") + F.col("_before")).cast("long").alias("_i"), "_n")
     each = placed.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     picked = each.select(*by, "replicate", (hashed("replicate", "_i", *by, seed=seed) % F.col("_n")).alias("_i"))
     counted = picked.groupBy(*by, "replicate", "_i").agg(F.count("*").alias("times"))
