@@ -8,6 +8,8 @@ there. No regular expression runs. Pieces, as slices of the UTF-8 bytes, go thro
 The classes and rules below are the published pattern's: contractions, letters, numbers, others (each with one space before),
 white space that leaves its last character to what follows.
 
+Encoding keeps, beside the ids, where each id's bytes end; decoding puts the ids' bytes there.
+
 Rules: a null text is an empty text with no ids; rows are independent, so repeated rows give repeated results.
 """
 
@@ -24,13 +26,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, table, tune, vocabulary
+from .common import by_characters, picked, table, tune, vocabulary
 
 # states
 FREE, LETTER, NUMBER, OTHER, SPACE, WHITE, ONE, TWO = range(8)
 # classes: letters first (plain; s t m d; r v; e; l), then number, other, apostrophes by what follows, spaces and white space by what follows, end of a text
 PLAIN, STMD, RV, E, L, NUM, OTH, AP0, AP1, AP2, SP_LAST, SP, WS_LAST, WS, END = range(15)
 BLOCK = 32
+BATCH = 500_000  # characters that are cut at once
 MOST_PIECES = 1_000_000
 
 
@@ -207,13 +210,15 @@ class Encoder:
             first = k + 1
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        """The ids' bytes; `offsets` gives each id's place in them."""
+    def decode(self, ids: bytes, ends: bytes | None = None) -> bytes:
+        """The ids' bytes, each id's up to the place that `ends` retains for it (from the ids' lengths where it is not given)."""
         x = np.frombuffer(ids, "<u4")
-        size = self.length[x]
-        ends = np.cumsum(size)
         if not len(x):
             return b""
+        ends = np.frombuffer(ends, "<u8").astype(np.int64) if ends is not None else self.offsets(ids)[1:]
+        size = np.diff(ends, prepend=0)
+        if len(ends) != len(x) or (size != self.length[x]).any():
+            raise ValueError("the offsets are not those of the ids")
         return self.bytes[np.repeat(self.place[x] - ends + size, size) + np.arange(ends[-1])].tobytes()
 
     def offsets(self, ids: bytes) -> np.ndarray:
@@ -231,32 +236,32 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, ids (binary, 4 bytes each) and ends (binary, 4 bytes each: the byte after each id's, for slicing by token)."""
+    """doc_id, ids (binary, 4 bytes each) and ends (binary, 8 bytes each: the byte after each id's, for slicing by token)."""
     tune(docs.sparkSession)
     path = vocabulary(name)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
-            for a in range(0, len(pdf), 250):
-                p = pdf.iloc[a : a + 250]
+            for a, b in by_characters(pdf.text.tolist(), BATCH):
+                p = pdf.iloc[a:b]
                 ids = enc.encode(p.text.tolist())
-                yield pd.DataFrame({"doc_id": p.doc_id.to_numpy(), "ids": ids, "ends": [enc.offsets(x)[1:].astype("<u4").tobytes() for x in ids]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": p.doc_id.to_numpy(), "ids": ids, "ends": [enc.offsets(x)[1:].astype("<u8").tobytes() for x in ids]}).astype({"doc_id": "Int64"})
 
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return src.mapInPandas(lambda it: encode(p.astype({"doc_id": "Int64"}) for p in it), "doc_id long, ids binary, ends binary")
 
 
-def decoded(ids_col: str = "ids", name: str = "byte_bpe_50k.tiktoken"):
-    """A column of the bytes that the ids stand for."""
+def decoded(ids_col: str = "ids", ends_col: str = "ends", name: str = "byte_bpe_50k.tiktoken"):
+    """A column of the bytes that the ids stand for, placed by the retained offsets."""
     path = vocabulary(name)
 
     @F.pandas_udf("binary")
-    def decode(ids: pd.Series) -> pd.Series:
+    def decode(ids: pd.Series, ends: pd.Series) -> pd.Series:
         enc = encoder(path)
-        return ids.map(enc.decode)
+        return pd.Series([enc.decode(i, e) for i, e in zip(ids, ends, strict=True)], dtype=object)
 
-    return decode(F.col(ids_col))
+    return decode(F.col(ids_col), F.col(ends_col))
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:

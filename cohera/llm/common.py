@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch; one longer text is a batch of its own
+HOT_SHARES, SALTS = 1024, 64
 TOKENIZER_DIR = None  # None: the installed public_tokenizers; else a folder that every executor has
 
 
@@ -16,8 +19,9 @@ def vocabulary(name: str) -> str:
 
 
 def tune(spark: SparkSession) -> None:
-    """Smaller Arrow batches: whole texts can be long."""
+    """Smaller Arrow batches, bounded in bytes as well: whole texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local one only in local mode where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "/tmp/cohera-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,3 +54,29 @@ def picked(docs: DataFrame, **columns: str) -> DataFrame:
 
 def crc32_text(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
+
+
+def by_characters(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of texts that hold about `most` characters each; a longer text stands alone."""
+    begin, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield begin, k
+            begin, size = k, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, count: str, spread: list[str]) -> DataFrame:
+    """left joined to right on key, where right has few rows a key and `count`, how many rows of left hold it.
+
+    Keys with more than a HOT_SHARES-th of left's rows, of which there are fewer than HOT_SHARES, are dealt over SALTS tasks by the columns
+    `spread`; their rows of right are copied that often. No task gets more of one key than that share or a SALTS-th of the key.
+    """
+    total = left.count()
+    hot = F.broadcast(right.where(F.col(count) > total // HOT_SHARES).select(key).distinct().withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    dealt = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col(count) > total // HOT_SHARES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(copies)).drop(count), [key, "_salt"]).drop("_salt")

@@ -5,7 +5,8 @@ another character (the white space goes with what comes after it), the word-leve
 those of its words in turn. Arrow splits a batch into words and numbers the distinct ones; the cache maps each of those to a
 slice of known ids; numpy then gathers the slices. A new word goes to the library's model when it is letters with punctuation
 after them, and through the whole library otherwise. Texts in which a word's ids could depend on its neighbours (runs
-of white space) go to the library whole.
+of white space, the vocabulary's special markers) go to the library whole, so ids are those of the library as it stands; with
+markers=False a marker in a text is text like any other.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MOST_WORDS = 600_000  # kept per worker; then the cache starts anew
+MOST_WORDS, MOST_IDS = 600_000, 1 << 24  # kept per worker; then the cache starts anew
 BATCH_BYTES = 12 << 20  # of text that is encoded at once
 MARKS = ".,;:!?\"'()[]-*&$%#@/|"
 
@@ -46,9 +47,10 @@ def buffered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iter
 
 
 class WordCache:
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: bool = True):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not markers
+        self.markers = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()] if markers else []
         self.model = self.tok.model
         self.clear()
 
@@ -105,9 +107,15 @@ class WordCache:
     def _fit(self, numbers: np.ndarray, begins: np.ndarray, ends: np.ndarray, code: np.ndarray, distinct: list[str], texts: pa.Array) -> None:
         """Mends the numbers of words that stand in special places."""
 
+    def _whole(self, numbers: np.ndarray, begin: int, end: int, text: str) -> None:
+        """The words from begin to end become one entry: the whole text's ids by the library."""
+        self._add([self._direct(text)])
+        numbers[begin:end] = 0
+        numbers[begin] = len(self.first) - 1
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, and each text's number of ids."""
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > MOST_WORDS or self.used > MOST_IDS:
             self.clear()
         texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
         split = self._split(texts)
@@ -118,6 +126,11 @@ class WordCache:
         distinct, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
         numbers = self.numbers(distinct)[code]
         self._fit(numbers, at[:-1], at[1:], code, distinct, texts)
+        if self.markers:
+            lower = pc.utf8_lower(texts)
+            marked = np.logical_or.reduce([np.asarray(pc.match_substring(lower, m)) for m in self.markers])
+            for k in np.flatnonzero(marked & (np.diff(at) > 0)).tolist():
+                self._whole(numbers, at[k], at[k + 1], texts[k].as_py())
         ends = np.append(0, np.cumsum(self.size[numbers]))[at]
         return self.gather(numbers), np.diff(ends)
 
@@ -125,8 +138,8 @@ class WordCache:
 class ByteLevel(WordCache):
     """A word keeps the one space before it. Keys that start with a space are chunks of other kinds: "  x" is x itself."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, markers: bool = True):
+        super().__init__(path, markers)
         self.line_end = self._direct("\n")
 
     def _split(self, texts: pa.Array) -> pa.ListArray:
@@ -156,12 +169,7 @@ class ByteLevel(WordCache):
             numbers[ends[last] - 1] = self.numbers(["   " + distinct[c] for c in code[ends[last] - 1].tolist()], lambda k: self._direct(k[2:]))
         whole = np.flatnonzero(np.add.reduceat(risky, begins)) if len(begins) else []
         for k in whole:
-            numbers[begins[k] : ends[k]] = 0
-            numbers[begins[k]] = self._once(texts[int(k)].as_py())
-
-    def _once(self, text: str) -> int:
-        self._add([self._direct(text)])
-        return len(self.first) - 1
+            self._whole(numbers, begins[k], ends[k], texts[int(k)].as_py())
 
 
 class WordLevel(WordCache):
@@ -184,11 +192,11 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarra
     return np.insert(ids, np.cumsum(sizes), end_id).astype("<u4"), sizes + 1
 
 
-_made: dict[tuple[type, str], WordCache] = {}
+_made: dict[tuple[type, str, bool], WordCache] = {}
 
 
-def encoder(kind: type[WordCache], path: str) -> WordCache:
+def encoder(kind: type[WordCache], path: str, markers: bool = True) -> WordCache:
     """One encoder per Python worker."""
-    if (kind, path) not in _made:
-        _made[kind, path] = kind(path)
-    return _made[kind, path]
+    if (kind, path, markers) not in _made:
+        _made[kind, path, markers] = kind(path, markers)
+    return _made[kind, path, markers]

@@ -5,8 +5,10 @@ little end first. The id of each rank stands in a small table beside the blocks.
 written by tasks, committed as a whole and read from any store that Spark reads. Decoding is table lookup: 256 control bytes
 to four lengths, a running sum to places, and masked byte gathers.
 
+Ids are those of the tokenizers library as it stands: a special marker in a text is its own id (markers=False: plain text).
+
 Rules: a null text is an empty text; each document ends with the end id; documents go by ascending doc_id, nulls first, rows
-of equal doc_id by a hash of their text; an empty table gives no rows.
+of equal doc_id by a hash of their text, equal rows in any order (a random key spreads them over tasks); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import picked, shared_dir, table, tune, vocabulary, written
@@ -27,7 +29,7 @@ from .encoders import WordLevel, buffered, encoder, with_end
 MAGIC = b"FRQ1"
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 BLOCK_DOCS = 500
-RAW = "part int, seq long, docs binary, has_id binary, lengths binary, ids binary"
+RAW = "part int, before long, docs binary, has_id binary, lengths binary, ids binary"
 
 
 def encode_ranks(ranks: np.ndarray) -> bytes:
@@ -59,13 +61,13 @@ def decode_ranks(image: bytes) -> np.ndarray:
     return out
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int) -> DataFrame:
-    """Blocks of ids in order of doc_id: part and seq order the blocks, `docs` and `lengths` describe their documents."""
+def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int, markers: bool = True) -> DataFrame:
+    """Blocks of ids in order of doc_id: part, and in it the number of ids before, order the blocks; `docs` and `lengths` describe their documents."""
     tune(docs.sparkSession)
     path = vocabulary("word_bpe_49k.json")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seq = encoder(WordLevel, path), 0
+        enc, before = encoder(WordLevel, path, markers), 0
         for t in buffered(batches):
             ids, sizes = with_end(*enc.encode(t["text"].combine_chunks()), end_id)
             ids = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
@@ -74,14 +76,14 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, end_id: int) -> DataF
             rows = []
             for a in range(0, len(t), BLOCK_DOCS):
                 b = min(len(t), a + BLOCK_DOCS)
-                rows.append({"part": part, "seq": seq, "docs": doc[a:b].tobytes(), "has_id": has[a:b].tobytes(), "lengths": sizes[a:b].astype("<i8").tobytes(), "ids": ids[at[a] : at[b]].tobytes()})
-                seq += 1
+                rows.append({"part": part, "before": before, "docs": doc[a:b].tobytes(), "has_id": has[a:b].tobytes(), "lengths": sizes[a:b].astype("<i8").tobytes(), "ids": ids[at[a] : at[b]].tobytes()})
+                before += int(at[b] - at[a])
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("seq", pa.int64()), *[(n, pa.binary()) for n in ("docs", "has_id", "lengths", "ids")]]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("before", pa.int64()), *[(n, pa.binary()) for n in ("docs", "has_id", "lengths", "ids")]]))
 
-    src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
+    src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tie"), F.rand(5).alias("spread"))
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    ordered = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "tie", "spread").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     return ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(blocks, RAW)
 
 
@@ -89,10 +91,10 @@ def _ids(raw: bytes, lengths: np.ndarray) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * lengths.sum() else "<u4").astype("<u4")
 
 
-def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
+def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, markers: bool = True) -> None:
     """Writes path/blocks and path/ranks (a row per id that occurs, so at most the vocabulary)."""
     spark = docs.sparkSession
-    raw = written(tokenised(docs, id_col, text_col, end_id), "ids")
+    raw = written(tokenised(docs, id_col, text_col, end_id, markers), "ids")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1, np.int64)
@@ -117,7 +119,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             made = [encode_ranks(sent.value[_ids(i, np.frombuffer(n, "<i8"))]) for i, n in zip(pdf.ids, pdf.lengths, strict=True)]
             yield pdf.drop(columns="ids").assign(image=made)
 
-    raw.mapInPandas(images, "part int, seq long, docs binary, has_id binary, lengths binary, image binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    raw.mapInPandas(images, "part int, before long, docs binary, has_id binary, lengths binary, image binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_ids(spark, path: str) -> DataFrame:
@@ -135,18 +137,16 @@ def read_ids(spark, path: str) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(n)])
                 ids = [ids[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 doc = pd.Series(np.frombuffer(r.docs, "<i8")).astype("Int64").where(pd.Series(np.frombuffer(r.has_id, bool)))
-                yield pd.DataFrame({"doc_id": doc, "start": r.before + at[:-1], "n_tokens": n, "ids": ids})
+                yield pd.DataFrame({"doc_id": doc, "start": earlier[r.part] + r.before + at[:-1], "n_tokens": n, "ids": ids})
 
-    # ids before a block: those of earlier parts (a row per part), and of earlier blocks in its part
+    # ids before a block: those before it in its part, which it holds itself, and those of earlier parts; a row per part, which are as many as shuffle partitions
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"part": pdf.part, "seq": pdf.seq, "n": [int(np.frombuffer(x, "<i8").sum()) for x in pdf.lengths]})
+            yield pd.DataFrame({"part": pdf.part, "n": [int(np.frombuffer(x, "<i8").sum()) for x in pdf.lengths]})
 
-    n = stored.select("part", "seq", "lengths").mapInPandas(sums, "part int, seq long, n long")
-    parts = n.groupBy("part").agg(F.sum("n").alias("n")).withColumn("earlier", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("earlier", F.lit(0)).alias("earlier"))
-    within = n.withColumn("inner", F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = within.join(parts, "part").select("part", "seq", (F.col("inner") + F.col("earlier")).alias("before"))
-    return stored.join(before, ["part", "seq"]).mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
+    parts = stored.select("part", "lengths").mapInPandas(sums, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).toPandas().sort_values("part")
+    earlier = dict(zip(parts.part.tolist(), (parts.n.cumsum() - parts.n).tolist(), strict=True))
+    return stored.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_ids(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ with random-access points.
 
 Rules: a null text is an empty one (its payload is padding alone); rows are independent, so repeated rows give repeated
 results; an empty table gives no rows; a stream that is not whole 188-byte packets in sync is an error of that value's, not a crash:
-it gives no packets and counts in `faults`.
+it gives no packets and counts in `faults`; a damaged elementary packet is given with what arrived of it, marked.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ GROUP = 8  # access units from one random-access point to the next
 TICKS = 3600  # of the 90 kHz clock between units
 # fixed values of the format
 SIZE, SYNC, PAT_PID, PMT_PID, ES_PID, PRIVATE_STREAM, PRIVATE_TYPE, CRC_POLY = 188, 0x47, 0x0000, 0x1000, 0x0100, 0xBD, 0x06, 0x04C11DB7
+PADDING_STREAM, BARE_STREAMS = 0xBE, {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}  # elementary packets without an optional header
 
 
 def _crc_table() -> list[int]:
@@ -125,16 +126,47 @@ def mux(payload: bytes) -> bytes:
     return b"".join(parts)
 
 
-def _program(packet: bytes, start: int) -> tuple[int, bytes] | None:
-    """Table id and body of the section that begins in a packet, if it is whole and its checksum holds."""
-    start += 1 + packet[start]
-    if start + 8 > SIZE:
-        return None
-    length = (packet[start + 1] & 15) << 8 | packet[start + 2]
-    section = packet[start : start + 3 + length]
-    if length < 9 or len(section) < 3 + length or section_crc(section):
-        return None
-    return section[0], section[8:-4]
+class Sections:
+    """Table sections of one packet identifier, put together from its packets in turn; a section may span packets, and a packet hold several."""
+
+    def __init__(self, table_id: int):
+        self.table_id, self.held, self.found, self.faults, self.seen = table_id, None, [], 0, set()
+
+    def _take(self) -> None:
+        """Moves the whole sections at the head of what is held to found; 0xFF is padding."""
+        while self.held and self.held[0] != 0xFF:
+            if len(self.held) < 3 or len(self.held) < (size := 3 + ((self.held[1] & 15) << 8 | self.held[2])):
+                return
+            section, self.held = self.held[:size], self.held[size:]
+            if size < 12 or section_crc(section):
+                self.faults += 1
+            elif section[0] == self.table_id and section[5] & 1:  # one that applies now
+                self.found.append(section[8:-4])
+        self.held = None
+
+    def packet(self, data: bytes, begins: bool, lost: bool) -> None:
+        if lost:
+            self.drop()
+        if begins and data:
+            after = data[1 + data[0] :]
+            if self.held is not None:
+                self.held += data[1 : 1 + data[0]]
+                self._take()
+                self.drop()
+            if after in self.seen:
+                return
+            self.held = after
+            self._take()
+            if self.held is None:
+                self.seen.add(after)
+        elif self.held is not None:
+            self.held += data
+            self._take()
+
+    def drop(self) -> None:
+        """Gives up an unfinished section."""
+        self.faults += self.held is not None
+        self.held = None
 
 
 def _stamp(b: bytes) -> int:
@@ -142,65 +174,83 @@ def _stamp(b: bytes) -> int:
 
 
 def demux(media: bytes) -> tuple[list[dict], int]:
-    """Elementary packets in stream order (pid, stream_type, pts, dts, random_access, payload), and the number of faults."""
+    """Elementary packets in stream order (pid, stream_type, pts, dts, random_access, damaged, payload), and the number of faults.
+
+    A jump of a continuity counter is a fault, unless the packet announces it; packets marked as broken count as lost. An elementary packet
+    that lost one of its packets, or whose declared length is not met, is given as damaged.
+    """
     packets = np.frombuffer(media, np.uint8)
     if len(packets) % SIZE or (packets[::SIZE] != SYNC).any():
         return [], 1
     packets = packets.reshape(-1, SIZE)
+    broken = (packets[:, 1] & 0x80) > 0
+    faults = int(broken.sum())
+    packets = packets[~broken] if faults else packets
     head = packets[:, :6].astype(np.int64)
     pid, begins = (head[:, 1] & 0x1F) << 8 | head[:, 2], (head[:, 1] & 0x40) > 0
     adapts, carries, counter = (head[:, 3] & 0x20) > 0, (head[:, 3] & 0x10) > 0, head[:, 3] & 15
     start = np.where(adapts, np.minimum(5 + head[:, 4], SIZE), 4)
-    point = adapts & (head[:, 4] > 0) & ((head[:, 5] & 0x40) > 0)
-    streams, maps, faults, seen = {}, set(), 0, {}
-    for k in np.flatnonzero(begins & carries & (pid == PAT_PID)).tolist():
-        raw = packets[k].tobytes()
-        if raw[4:] in seen:
-            continue
-        seen[raw[4:]] = True
-        if (got := _program(raw, int(start[k]))) and got[0] == 0:
-            maps |= {(p & 0x1FFF) for n, p in struct.iter_unpack(">HH", got[1]) if n}
-        else:
-            faults += 1
+    flags = np.where(adapts & (head[:, 4] > 0), head[:, 5], 0)
+    point, announced = (flags & 0x40) > 0, (flags & 0x80) > 0
+
+    def in_turn(p: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of a packet identifier without packets sent twice, and before which of them others were lost."""
+        rows = np.flatnonzero((pid == p) & carries)
+        jump = np.append(1, (counter[rows][1:] - counter[rows][:-1]) & 15)[: len(rows)]
+        keep = (jump != 0) | announced[rows]
+        return rows[keep], (jump[keep] > 1) & ~announced[rows[keep]]
+
+    def sections(p: int, table_id: int) -> Sections:
+        out = Sections(table_id)
+        rows, lost = in_turn(p)
+        for k, gap in zip(rows.tolist(), lost.tolist(), strict=True):
+            out.packet(packets[k, start[k] :].tobytes(), bool(begins[k]), gap)
+        out.drop()
+        return out
+
+    programs = sections(PAT_PID, 0)
+    faults += programs.faults
+    maps = {p & 0x1FFF for body in programs.found for n, p in struct.iter_unpack(">HH", body[: len(body) // 4 * 4]) if n}
+    streams = {}
     for m in sorted(maps):
-        seen = {}
-        for k in np.flatnonzero(begins & carries & (pid == m)).tolist():
-            raw = packets[k].tobytes()
-            if raw[4:] in seen:
-                continue
-            seen[raw[4:]] = True
-            if not (got := _program(raw, int(start[k]))) or got[0] != 2:
-                faults += 1
-                continue
-            body = got[1]
-            at = 4 + ((body[2] & 15) << 8 | body[3])
+        program = sections(m, 2)
+        faults += program.faults
+        for body in program.found:
+            at = 4 + ((body[2] & 15) << 8 | body[3]) if len(body) >= 4 else len(body)
             while at + 5 <= len(body):
                 streams[(body[at + 1] & 0x1F) << 8 | body[at + 2]] = body[at]
                 at += 5 + ((body[at + 3] & 15) << 8 | body[at + 4])
     found = []
     for p in np.unique(pid).tolist():
-        rows = np.flatnonzero((pid == p) & carries)
-        if not len(rows):
-            continue
-        jump = (counter[rows][1:] - counter[rows][:-1]) & 15
-        faults += int((jump > 1).sum())
-        if p not in streams:
+        rows, lost = in_turn(p)
+        faults += int(lost.sum())
+        if p not in streams or not len(rows):
             continue
-        rows = rows[np.append(True, jump != 0)]  # the same counter again: a packet sent twice
         body = packets[rows][np.arange(SIZE) >= start[rows][:, None]].tobytes()
         size = SIZE - start[rows]
         at = np.cumsum(size) - size
         firsts = np.flatnonzero(begins[rows])
         ends = np.append(at[firsts[1:]], len(body))
-        for row, a, b in zip(rows[firsts].tolist(), at[firsts].tolist(), ends.tolist(), strict=True):
+        gaps = np.flatnonzero(lost)
+        hit = set((np.searchsorted(firsts, gaps) - 1).tolist())  # what a gap before a packet cut short
+        inside = set((np.searchsorted(firsts, gaps[~begins[rows[gaps]]]) - 1).tolist())
+        for k, (row, a, b) in enumerate(zip(rows[firsts].tolist(), at[firsts].tolist(), ends.tolist(), strict=True)):
             pes = body[a:b]
-            if pes[:3] != b"\0\0\1" or len(pes) < 9:
+            if pes[:3] != b"\0\0\1" or len(pes) < 6:
+                faults += 1
+                continue
+            length, bare = pes[4] << 8 | pes[5], pes[3] in BARE_STREAMS
+            if pes[3] == PADDING_STREAM:
+                continue
+            if not bare and len(pes) < 9:
                 faults += 1
                 continue
-            length, flags, more = pes[4] << 8 | pes[5], pes[7] >> 6, pes[8]
+            stamps, more = (0, -3) if bare else (pes[7] >> 6, pes[8])
+            short = bool(length) and len(pes) < 6 + length
+            faults += int(short)
+            damaged = short or k in inside or (k in hit and not length)
             data = pes[9 + more : 6 + length if length else None]
-            faults += int(bool(length) and len(pes) < 6 + length)
-            found.append({"at": row, "pid": p, "stream_type": streams[p], "pts": _stamp(pes[9:14]) if flags & 2 and more >= 5 else None, "dts": _stamp(pes[14:19]) if flags == 3 and more >= 10 else None, "random_access": bool(point[row]), "payload": data})
+            found.append({"at": row, "pid": p, "stream_type": streams[p], "pts": _stamp(pes[9:14]) if stamps & 2 and more >= 5 and len(pes) >= 14 else None, "dts": _stamp(pes[14:19]) if stamps == 3 and more >= 10 and len(pes) >= 19 else None, "random_access": bool(point[row]), "damaged": damaged, "payload": data})
     return sorted(found, key=lambda x: x["at"]), faults
 
 
@@ -218,17 +268,17 @@ def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def elementary_packets(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row per elementary packet of each stream: number, pid, stream_type, pts, dts, random_access, payload."""
+    """A row per elementary packet of each stream: number, pid, stream_type, pts, dts, random_access, damaged, payload."""
     tune(stored.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["doc_id", "number", "pid", "stream_type", "pts", "dts", "random_access", "payload"]
+        names = ["doc_id", "number", "pid", "stream_type", "pts", "dts", "random_access", "damaged", "payload"]
         for pdf in batches:
-            rows = [(d, k, x["pid"], x["stream_type"], x["pts"], x["dts"], x["random_access"], x["payload"]) for d, m in zip(pdf.doc_id.astype("Int64"), pdf.media, strict=True) if m is not None for k, x in enumerate(demux(m)[0])]
+            rows = [(d, k, x["pid"], x["stream_type"], x["pts"], x["dts"], x["random_access"], x["damaged"], x["payload"]) for d, m in zip(pdf.doc_id.astype("Int64"), pdf.media, strict=True) if m is not None for k, x in enumerate(demux(m)[0])]
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "pts": "Int64", "dts": "Int64"})
 
     src = picked(stored, doc_id=id_col, media=media_col)
-    return src.mapInPandas(read, "doc_id long, number long, pid int, stream_type int, pts long, dts long, random_access boolean, payload binary")
+    return src.mapInPandas(read, "doc_id long, number long, pid int, stream_type int, pts long, dts long, random_access boolean, damaged boolean, payload binary")
 
 
 def features(packets: list[dict], faults: int) -> str:

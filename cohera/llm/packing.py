@@ -1,21 +1,24 @@
 """Packing token sequences into fixed windows by best-fit decreasing.
 
 Overlong documents are first cut into full windows; the rest of each goes, longest first, into the open window with the least
-room that still holds it. A segment tree indexed by remaining room finds that window. Documents are dealt out by hash into
-groups of bounded expected size, and each group is packed by one task: the groups' number follows the input, nothing is
-packed in one place, and a group leaves at most its last windows partly filled.
+room that still holds it. A segment tree indexed by remaining room finds that window. Each task packs the documents it reads, a
+load of about LOAD bytes of text at a time: nothing is shuffled, no key can be hot, memory is bounded in bytes, and a load
+leaves at most its last windows partly filled. A sequence_id is the task's number and the window's number in it.
+
+Ids are those of the tokenizers library as it stands: a special marker in a text is its own id (markers=False: plain text).
 
 Rules: a null text is an empty text and still has its end id; rows that repeat a doc_id are documents of their own; a null
-doc_id is kept; an empty table gives no rows.
+doc_id is kept; other columns are left; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,8 @@ from .common import picked, table, tune, vocabulary
 from .encoders import ByteLevel, buffered, encoder, with_end
 
 WINDOW = 1024
-GROUP_DOCS = 4096  # expected documents of a packing group
-PIECES = "doc_id long, row_hash long, start long, length long, doc_tokens long, ids binary"
+LOAD = 12 << 20  # bytes of text that are packed together
+PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
 
 
 class RoomTree:
@@ -84,48 +87,33 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = WINDOW) -> tuple[np.nda
     return window, offset
 
 
-def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0) -> DataFrame:
-    """A row per piece: whole windows of an overlong document, then its rest; `ids` are its ids, 4 bytes each."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, digest: bool = False, markers: bool = True, load: int = LOAD) -> DataFrame:
+    """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (binary, 4 bytes each); with digest ids_crc32 instead."""
     tune(docs.sparkSession)
     path = vocabulary("byte_bpe_50k.json")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ByteLevel, path)
-        for t in buffered(batches):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, base = encoder(ByteLevel, path, markers), TaskContext.get().partitionId() << 40
+        for t in buffered(batches, load):
             ids, sizes = with_end(*enc.encode(t["text"].combine_chunks()), end_id)
             n = -(-sizes // window)
             of = np.repeat(np.arange(len(n)), n)
             start = window * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
             length = np.minimum(window, sizes[of] - start)
+            place, offset = best_fit_decreasing(length, window)
             ends = np.append(0, 4 * np.cumsum(length))
-            parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(of), t["row_hash"].combine_chunks().take(of), pa.array(start), pa.array(length), pa.array(sizes[of]), parts], names=["doc_id", "row_hash", "start", "length", "doc_tokens", "ids"])
-
-    src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(cut, PIECES)
-
-
-def pack(pieces: DataFrame, n_docs: int, window: int = WINDOW, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """Adds sequence_id and offset to rows that have doc_id, row_hash, start and length; other columns are carried."""
-    groups = max(1, -(-n_docs // group_docs))
-    schema = pieces.drop("row_hash").schema.add("sequence_id", "long").add("offset", "long")
-
-    def place(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "row_hash", "start"], kind="stable").reset_index(drop=True)  # the same packing when a task is run again
-        at, offset = best_fit_decreasing(pdf.length.to_numpy(), window)
-        return pdf.drop(columns=["_group", "row_hash"]).assign(sequence_id=(int(key[0]) << 32) + at, offset=offset)
-
-    # equal rows (hot copies) differ by doc_id; rows equal in all differ by start only and share a group, whose size stays that of its rows
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(place, schema)
-
+            if digest:
+                raw = memoryview(ids).cast("B") if len(ids) else b""
+                own = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
+            else:
+                own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
+            columns = [t["doc_id"].combine_chunks().take(of), pa.array(start), pa.array(length), pa.array(sizes[of]), pa.array(base + place), pa.array(offset), own]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids"])
+            base += int(place.max()) + 1 if len(place) else 0
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0) -> DataFrame:
-    """Packed pieces with their ids: doc_id, start, length, doc_tokens, ids (binary), sequence_id, offset."""
-    return pack(token_pieces(docs, id_col, text_col, window, end_id), docs.count(), window)
+    src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return src.mapInArrow(pack, f"{PIECES}, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pieces = token_pieces(docs).select("doc_id", "row_hash", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return pack(pieces, docs.count())
+    return pack_documents(table(spark, sf_dir, "documents"), digest=True)

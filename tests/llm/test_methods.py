@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -133,6 +134,62 @@ def test_transport_stream(spark):
         assert r.payload_bytes >= max(576, r.n_bytes)
 
 
+def packet(pid, counter, data, begins=False, adapt=b""):
+    room = 184 - len(data)
+    if room or adapt:
+        field = adapt or b"\0"
+        adapt = bytes([room - 1]) + (field + b"\xff" * (room - 1 - len(field)) if room > 1 else b"")
+    return bytes([0x47, (0x40 if begins else 0) | pid >> 8, pid & 255, (0x30 if adapt else 0x10) | counter & 15]) + adapt + data
+
+
+def test_tables_over_several_packets():
+    pmt = mpegts._section(2, 1, bytes([0xE1, 0, 0xF0, 0]) + b"".join(bytes([6, 0xE1, k, 0xF0, 0]) for k in range(60)))
+    assert len(pmt) > 184
+    pes = b"\0\0\1\xbd" + (3 + 100).to_bytes(2, "big") + b"\x80\0\0" + bytes(100)
+    parts = [mpegts.PAT, packet(0x1000, 0, b"\0" + pmt[:183], True), packet(0x1000, 1, pmt[183:]), packet(0x103, 0, pes, True)]
+    packets, faults = mpegts.demux(b"".join(map(bytes, parts)))
+    assert (faults, [(p["pid"], p["payload"], p["damaged"]) for p in packets]) == (0, [(0x103, bytes(100), False)])
+    packets, faults = mpegts.demux(b"".join(map(bytes, [parts[0], parts[1], parts[3]])))
+    assert (packets, faults) == ([], 1)
+
+
+def test_losses_and_announced_jumps():
+    media = bytearray(mpegts.mux(bytes(576 * 3)))
+    n = len(media) // 188
+    packets, faults = mpegts.demux(bytes(media[: 188 * 3]) + bytes(media[188 * 4 :]))
+    assert (faults, [p["damaged"] for p in packets]) == (2, [True, False, False])
+    media[188 * 3 + 1] |= 0x80  # the same packet, marked as broken
+    packets, faults = mpegts.demux(bytes(media))
+    assert (faults, [p["damaged"] for p in packets]) == (3, [True, False, False])
+    assert n == 2 + 3 * 4
+    unit = b"\0\0\1\xbd" + (3 + 20).to_bytes(2, "big") + b"\x80\0\0" + bytes(20)
+    padding = b"\0\0\1\xbe" + (20).to_bytes(2, "big") + b"\xff" * 20
+    bare = b"\0\0\1\xbf" + (20).to_bytes(2, "big") + b"z" * 20
+    tables = bytes(mpegts.PAT) + bytes(mpegts.PMT)
+    jump = packet(0x100, 9, unit, True, b"\x80")
+    packets, faults = mpegts.demux(tables + packet(0x100, 0, unit, True) + jump + packet(0x100, 10, padding, True) + packet(0x100, 11, bare, True))
+    assert (faults, [p["payload"] for p in packets]) == (0, [bytes(20), bytes(20), b"z" * 20])
+
+
+def test_media_query(spark, tmp_path):
+    texts = [*corpus(), "x" * 575, "x" * 576, "é" * 400]
+    docs = frame(spark, [*texts, texts[0]])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in mpegts.op2_media(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts) + 1
+    for k, t in enumerate([*texts, texts[0]]):
+        raw = (t or "").encode()
+        padded = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        r, units = rows[k], len(padded) // 576
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]))
+        media = mpegts.mux(padded)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        times, mean = f"0-{3600 * (units - 1)}", sum(padded) / len(padded)
+        assert r.feature == f"streams=256:6;packets={units};faults=0;pts={times};points={','.join(str(3600 * u) for u in range(0, units, 8))};mean_byte={mean:.4f}"
+    assert rows[0].feature == rows[len(texts)].feature
+    assert mpegts.summarise(mpegts.store_text(docs.limit(0))).count() == 0
+
+
 def test_threshold_search(spark):
     r = np.random.default_rng(1)
     v = r.integers(-3, 4, (300, 5)).astype(np.int64)

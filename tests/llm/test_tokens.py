@@ -11,7 +11,7 @@ import tiktoken
 from cohera.llm import bytebpe, encoders, idfile, packing
 from tokenizers import Tokenizer
 
-TEXTS = ["", None, "The cat, the DOG's hat.\nNew line", "  two  spaces ", "naïve Ünïcode 漢字 😀 İΣς", "don't 'tis ''s\n\n\nx", "<|endoftext|> a", "word " * 3000, "x" * 5000, "\n", " lead", "tail \n", "a　b\u0085c\x1cd"]
+TEXTS = ["", None, "The cat, the DOG's hat.\nNew line", "  two  spaces ", "naïve Ünïcode 漢字 😀 İΣς", "don't 'tis ''s\n\n\nx", "<|endoftext|> a", "x <|endoftext|> y", "a<|startoftext|>B  <|ENDOFTEXT|>", "word " * 3000, "x" * 5000, "\n", " lead", "tail \n", "a　b\u0085c\x1cd"]
 
 
 def frame(spark, texts=TEXTS):
@@ -20,9 +20,7 @@ def frame(spark, texts=TEXTS):
 
 
 def library(name, text):
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(P.path(name)).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("kind", "name"), [(encoders.ByteLevel, "byte_bpe_50k.json"), (encoders.WordLevel, "word_bpe_49k.json")])
@@ -30,11 +28,20 @@ def test_cached_encoder_equals_library(kind, name):
     r = random.Random(3)
     signs = "ab é'sß\n\t  \u0085　\x1c\x01.,!12Σς́漢٣😀İ'll"
     texts = [t or "" for t in TEXTS] + ["".join(r.choice(signs) for _ in range(r.randint(0, 12))) for _ in range(3000)]
-    enc = kind(P.path(name))
-    for _ in range(2):
-        ids, sizes = enc.encode(pa.array(texts))
-        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
-        assert got == [enc._direct(t) for t in texts]
+    plain = Tokenizer.from_file(P.path(name))
+    for markers in (True, False):
+        plain.encode_special_tokens = not markers
+        enc = kind(P.path(name), markers)
+        for _ in range(2):
+            ids, sizes = enc.encode(pa.array(texts))
+            got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+            assert got == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_markers_are_their_own_ids():
+    assert library("byte_bpe_50k.json", "x <|endoftext|> y") == [87, 220, 50256, 331]
+    ids, _ = encoders.ByteLevel(P.path("byte_bpe_50k.json")).encode(pa.array(["x <|endoftext|> y"]))
+    assert ids.tolist() == [87, 220, 50256, 331]
 
 
 def test_best_fit_decreasing_against_plain_search():
