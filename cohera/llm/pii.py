@@ -1,12 +1,19 @@
 """Personal data: base patterns, and a skip-chain conditional random field that adds what they miss.
 
-Nodes are the base spans of a document and its other tokens that hold an at sign or many digits. Neighbouring nodes share
-chain potentials; nodes whose digits (or address) are the same or end alike share skip potentials however far apart they are.
-The weights are learnt by pseudo-likelihood from the base labels of a bounded, documented sample of documents (SAMPLE_DOCS).
+Nodes are the base spans of a document and its other tokens that hold an at sign or many digits; a token ends at white space, quotes,
+brackets, slashes and the like, whatever its length. Neighbouring nodes share chain potentials. Nodes that repeat or resemble each
+other (the same local part, the same last or first digits) share skip potentials however far apart they are: each is linked
+to the one before it that is alike and to the nearest base span alike, so links grow with the nodes.
+
+The weights are learnt by pseudo-likelihood from a bounded, documented sample (SAMPLE_DOCS, SAMPLE_CHARACTERS). Base spans are evidence. What is
+predicted are tokens that the patterns do not take: every base span is mentioned once more in a form that they miss (a number
+without its plus sign, an address cut short) and keeps its label there, while a stranger of the same form but another value is
+no entity, so the form alone does not tell them apart and the link must. Other tokens that resemble a base span are hidden while learning.
 Loopy belief propagation gives each node's marginals; base spans are fixed, another node joins when an entity label
 has at least SURE of the probability. Documents without nodes need no inference.
 
-Rules: a null text is an empty one (no spans); rows are independent; an empty table gives no rows and unlearnt weights.
+Rules: a null text is an empty one (no spans); rows are independent; added spans overlap no base span; an empty table gives no rows and
+unlearnt weights, which add nothing; other columns are left by find and carried by mask.
 """
 
 from __future__ import annotations
@@ -22,9 +29,8 @@ from pyspark.sql import functions as F
 from .common import picked, table, tune
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS, SAMPLE_CHARACTERS = 4000, 8_000_000
 SURE = 0.9
-SKIP_PRIOR = 3.0
 ROUNDS = 12
 DAMPING = 0.5
 # fixed values: the base patterns; the guard before an address's first part only spares retries inside a run of digits
@@ -34,7 +40,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"[^\s]+")
+TOKEN = re.compile(r"[^\s\"'`<>\[\]{}|\\/=&?!,;:]+")
+CANDIDATE = "@|[0-9]([ ().-]?[0-9]){6}"  # texts with other than this have no nodes but base spans
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -73,15 +80,20 @@ def show(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{a}:{b}" for a, k, b in spans])
 
 
-def _node(text: str, start: int, end: int) -> tuple[list[float], str]:
-    """Features of a token and the key under which it meets tokens like it."""
-    word = text[start:end]
+def _features(word: str, before: str, after: str) -> list[float]:
     digits = NOT_DIGIT.sub("", word)
     n, letters = len(digits), sum(c.isalpha() for c in word)
-    before = text[max(0, start - 24) : start].lower()
-    fine = [1.0, "@" in word, word.startswith("+"), 0 < n < 7, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 15, 16 <= n <= 19, n > 19, word.count(".") == 3, letters > 0, letters > n, 14 <= n <= 19 and luhn(digits), any(c in word for c in "()-"), ":" in before[-2:], "/" in word]
-    key = word.lower().split("@")[0] if "@" in word else digits[-9:]
-    return [float(x) for x in fine], key if len(key) >= 3 else ""
+    fine = [1.0, "@" in word, word.startswith("+"), 0 < n < 7, 7 <= n <= 9, 10 <= n <= 13, 14 <= n <= 15, 16 <= n <= 19, n > 19, word.count(".") == 3, letters > 0, letters > n, 14 <= n <= 19 and luhn(digits), any(c in word for c in "()-"), ":" in before[-2:], before[-1:] == "/" or after == "/"]
+    return [float(x) for x in fine]
+
+
+def _keys(word: str) -> list[str]:
+    """What makes tokens alike: the local part of an address; the last 7 and, of long numbers, the first 12 digits."""
+    if "@" in word:
+        local = word.lower().split("@")[0]
+        return [f"@{local}"] if len(local) >= 3 else []
+    digits = NOT_DIGIT.sub("", word)
+    return ([f"-{digits[-7:]}"] if len(digits) >= 7 else []) + ([f"{digits[:12]}-"] if len(digits) >= 14 else [])
 
 
 def _cut_phones(text: str) -> Iterator[tuple[int, int]]:
@@ -99,76 +111,136 @@ def _cut_phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 FEATURES = 16
-MOST_TOKEN = 400  # a longer token is no node; base spans are nodes at any length
+
+
+def _apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans (by start) that overlap none of taken (by start)."""
+    out, at, far = [], 0, 0
+    for a, b in spans:
+        while at < len(taken) and taken[at][0] < b:
+            far = max(far, taken[at][1])
+            at += 1
+        if far <= a:
+            out.append((a, b))
+    return out
+
+
+def _links(keys: list[list[str]], labels: list[int]) -> list[tuple[int, int]]:
+    """Each node with the last node alike, and an unlabelled one with the nearest labelled node alike before and after it."""
+    last, base, waiting, out = {}, {}, {}, set()
+    for k, own in enumerate(keys):
+        for key in own:
+            if key in last:
+                out.add((last[key], k))
+            if labels[k] > 0:
+                out.update((w, k) for w in waiting.pop(key, ()))
+                base[key] = k
+            else:
+                if key in base:
+                    out.add((base[key], k))
+                waiting.setdefault(key, []).append(k)
+            last[key] = k
+    return sorted(out)
 
 
 def graph(text: str, base: list[tuple[int, int, int]]) -> dict | None:
-    """Nodes (start, end, label or -1), their features, chain edges and skip edges."""
+    """Nodes (start, end, label or -1), their features and keys, chain edges and skip edges."""
     if not base and "@" not in text and not DIGIT.search(text):
         return None
-    spans, covered, at = [(a, b, k + 1) for a, k, b in base], sorted((a, b) for a, _, b in base), 0
-    for a, b in _cut_phones(text) if "+" in text else ():
-        if not any(x < b and a < y for x, y in covered):
-            spans.append((a, b, -1))
-            covered = sorted([*covered, (a, b)])
+    spans, taken = [(a, b, k + 1) for a, k, b in base], sorted((a, b) for a, _, b in base)
+    cut = _apart(list(_cut_phones(text)), taken) if "+" in text else []
+    taken = sorted(taken + cut)
+    found = []
     if re.search(r"[0-9][^\s]*[0-9]|@", text):
         for m in TOKEN.finditer(text):
             a, b = m.span()
-            if b - a > MOST_TOKEN or ("@" not in m[0] and sum(c.isdigit() and c.isascii() for c in m[0]) < 7):
+            if "@" not in m[0] and sum(c.isdigit() and c.isascii() for c in m[0]) < 7:
                 continue
-            while at < len(covered) and covered[at][1] <= a:
-                at += 1
-            if at < len(covered) and covered[at][0] < b:
-                continue
-            while b > a and text[b - 1] in ".,;:!?)]}\"'>":
+            while b > a and text[b - 1] in ".)":
                 b -= 1
-            while a < b and text[a] in "([{\"'<":
+            while a < b and text[a] == "(" and ")" not in text[a:b]:
                 a += 1
             if a < b:
-                spans.append((a, b, -1))
+                found.append((a, b))
+    spans += [(a, b, -1) for a, b in cut + _apart(found, taken)]
     if not spans:
         return None
     spans.sort()
-    found = [_node(text, a, b) for a, b, _ in spans]
+    keys = [_keys(text[a:b]) for a, b, _ in spans]
     chain = [(k, k + 1) for k in range(len(spans) - 1) if spans[k + 1][0] - spans[k][1] <= 40]
-    last, skip = {}, []
-    for k, (_, key) in enumerate(found):
-        if key:
-            if key in last:
-                skip.append((last[key], k))
-            last[key] = k
-    return {"spans": spans, "x": np.array([f for f, _ in found]), "chain": chain, "skip": skip}
+    x = np.array([_features(text[a:b], text[max(0, a - 2) : a], text[b : b + 1]) for a, b, _ in spans])
+    return {"spans": spans, "x": x, "keys": keys, "chain": chain, "skip": _links(keys, [s[2] for s in spans])}
+
+
+def _mention(kind: int, word: str) -> str:
+    """The same value in a form that the patterns miss."""
+    digits = NOT_DIGIT.sub("", word)
+    if KINDS[kind] == "email":
+        return word[: word.index("@")] + "@" + word[word.index("@") + 1 :].split(".")[0]
+    if KINDS[kind] == "ip":
+        return word.replace(".", "-")
+    return digits[:-1] + str((int(digits[-1]) + 5) % 10) if KINDS[kind] == "card" else digits[-10:]
+
+
+OTHER_DIGITS = str.maketrans("0123456789", "3456789012")
+
+
+def example(text: str) -> dict | None:
+    """A document to learn from: its graph, to which each base span's mention and a stranger of the mention's form are added.
+
+    y holds labels (-1: hidden) and `asked` which nodes are predicted: mentions, strangers and tokens that resemble no base span.
+    """
+    g = graph(text, base_spans(text))
+    if g is None:
+        return None
+    known = {key for (_, _, label), keys in zip(g["spans"], g["keys"], strict=True) if label > 0 for key in keys}
+    y = [label if label > 0 else -1 if known.intersection(keys) else 0 for (_, _, label), keys in zip(g["spans"], g["keys"], strict=True)]
+    asked, x, skip = [v == 0 for v in y], list(g["x"]), list(g["skip"])
+    for k, (a, b, label) in enumerate(g["spans"]):
+        if not g["keys"][k] or y[k] < 0:
+            continue
+        word = _mention(label - 1, text[a:b]) if label > 0 else text[a:b]
+        if set(_keys(word)).intersection(g["keys"][k]):
+            skip.append((k, len(x)))
+            x.append(np.array(_features(word, "", "")))
+            y.append(y[k])
+            asked.append(True)
+            if label > 0:
+                x.append(np.array(_features(word.translate(OTHER_DIGITS), "", "")))
+                y.append(0)
+                asked.append(True)
+    return {"x": np.array(x, np.float32), "y": np.array(y), "asked": np.array(asked), "chain": g["chain"], "skip": skip}
 
 
 def unlearnt() -> dict[str, np.ndarray]:
-    """The weights' prior means: none, but for like tokens, which are held to agree on entity labels."""
     n = len(KINDS) + 1
-    return {"w": np.zeros((FEATURES, n)), "chain": np.zeros((n, n)), "skip": np.diag([0.0] + [SKIP_PRIOR] * (n - 1))}
+    return {"w": np.zeros((FEATURES, n)), "chain": np.zeros((n, n)), "skip": np.zeros((n, n))}
 
 
-def learn(graphs: list[dict], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> dict[str, np.ndarray]:
-    """Pseudo-likelihood: each node's label given its features and its neighbours' labels."""
-    theta, prior, n = unlearnt(), unlearnt(), len(KINDS) + 1
-    if not graphs:
+def learn(examples: list[dict], steps: int = 400, rate: float = 1.0, decay: float = 1e-4) -> dict[str, np.ndarray]:
+    """Pseudo-likelihood of the asked nodes: each one's label given its features and its neighbours' labels."""
+    theta, n = unlearnt(), len(KINDS) + 1
+    if not examples:
         return theta
-    size = np.cumsum([0, *[len(g["spans"]) for g in graphs]])
-    x = np.concatenate([g["x"] for g in graphs])
-    y = np.array([max(0, s[2]) for g in graphs for s in g["spans"]])
-    hot = np.eye(n)[y]
+    size = np.cumsum([0, *[len(g["y"]) for g in examples]])
+    x, y, asked = (np.concatenate([g[c] for g in examples]) for c in ("x", "y", "asked"))
+    hot = np.where((y >= 0)[:, None], np.eye(n)[np.maximum(y, 0)], 0.0)
     near = {}
     for kind in ("chain", "skip"):
-        e = np.array([(a + o, b + o) for g, o in zip(graphs, size, strict=False) for a, b in g[kind]], np.int64).reshape(-1, 2)
+        e = np.array([(a + o, b + o) for g, o in zip(examples, size, strict=False) for a, b in g[kind]], np.int64).reshape(-1, 2)
         near[kind] = np.zeros((len(y), n))
         np.add.at(near[kind], e[:, 0], hot[e[:, 1]])
         np.add.at(near[kind], e[:, 1], hot[e[:, 0]])
-    for _ in range(steps):
+        near[kind] = near[kind][asked]
+    x, hot = x[asked], hot[asked]
+    for _ in range(steps if len(x) else 0):
         score = x @ theta["w"] + near["chain"] @ theta["chain"] + near["skip"] @ theta["skip"]
         p = np.exp(score - score.max(axis=1, keepdims=True))
-        miss = (hot - p / p.sum(axis=1, keepdims=True)) / len(y)
+        miss = (hot - p / p.sum(axis=1, keepdims=True)) / len(x)
         theta["w"] += rate * (x.T @ miss - decay * theta["w"])
         for kind in ("chain", "skip"):
             g = near[kind].T @ miss
-            theta[kind] += rate * (g + g.T - decay * (theta[kind] - prior[kind]))
+            theta[kind] += rate * (g + g.T - decay * theta[kind])
     return theta
 
 
@@ -209,20 +281,27 @@ def all_spans(text: str, theta: dict[str, np.ndarray]) -> tuple[list[tuple[int,
     return base, sorted(base + [(a, int(k) - 1, b) for (a, b, label), k, q in zip(g["spans"], best, p, strict=True) if label < 0 and k and q[k] >= SURE])
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> dict[str, np.ndarray]:
-    """Weights learnt from at most sample_docs documents, the texts with the least hashes."""
-    src = picked(docs, text=text_col).where("text rlike '[0-9@]'").withColumn("h", F.xxhash64("text"))
-    most = src.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
-    sample = src.where(F.col("h") <= F.lit(most)).dropDuplicates(["h"])
+def fit(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, characters: int = SAMPLE_CHARACTERS) -> dict[str, np.ndarray]:
+    """Weights learnt from the whole texts of least hash that may hold nodes, at most sample_docs of them and `characters` in all."""
+    tune(docs.sparkSession)
+    src = picked(docs, text=text_col).where(F.col("text").rlike(CANDIDATE)).withColumn("h", F.xxhash64("text"))
+    first = src.select("h", F.length("text").alias("n")).where(F.col("n") <= characters).distinct().orderBy("h").limit(sample_docs).toPandas()
+    fits = first.h[first.n.cumsum() <= characters].tolist()
+    if not fits:
+        return unlearnt()
+    sample = src.where((F.col("h") <= fits[-1]) & (F.length("text") <= characters)).dropDuplicates(["h"])
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [g for t in pdf.text if (g := graph(t, base_spans(t)))]
-            yield pd.DataFrame({"x": [g["x"].tobytes() for g in got], "labels": [[s[2] for s in g["spans"]] for g in got], "chain": [np.array(g["chain"], np.int64).tobytes() for g in got], "skip": [np.array(g["skip"], np.int64).tobytes() for g in got]})
+            got = [g for t in pdf.text if (g := example(t))]
+            yield pd.DataFrame({c: [np.ascontiguousarray(g[c], kind).tobytes() for g in got] for c, kind in PARTS.items()})
+
+    rows = sample.mapInPandas(nodes, ", ".join(f"{c} binary" for c in PARTS)).collect()
+    got = [{c: np.frombuffer(bytes(r[c]), kind) for c, kind in PARTS.items()} for r in sorted(rows, key=lambda r: (bytes(r.x), bytes(r.skip)))]
+    return learn([g | {"x": g["x"].reshape(-1, FEATURES), "chain": g["chain"].reshape(-1, 2), "skip": g["skip"].reshape(-1, 2)} for g in got])
+
 
-    rows = sample.mapInPandas(nodes, "x binary, labels array<int>, chain binary, skip binary").collect()
-    edges = lambda b: np.frombuffer(b, np.int64).reshape(-1, 2).tolist()
-    return learn([{"x": np.frombuffer(bytes(r.x)).reshape(-1, FEATURES), "spans": [(0, 0, k) for k in r.labels], "chain": edges(r.chain), "skip": edges(r.skip)} for r in sorted(rows, key=lambda r: bytes(r.x))])
+PARTS = {"x": np.float32, "y": np.int64, "asked": np.bool_, "chain": np.int64, "skip": np.int64}
 
 
 def find(docs: DataFrame, theta: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,28 +5,31 @@ classes occurs, how many words are distinct or repeat one just before, how long
 vector; gated attention weighs the passages (tanh and sigmoid branches, softmax over the document's passages); a logistic
 unit scores the weighted sum. Labels stand for documents alone; the attention learns which passages they are about.
 
-Learning takes at most MOST_LABELLED labelled documents (those with the least hashes of id), on the driver, in memory that this bounds.
-Scores are made for every whole text by tasks.
+Learning takes all passages of a sample of labelled documents, those with the least hashes of id and text: at most MOST_LABELLED of them and
+at most MOST_CHARACTERS in all (both are parameters), on the driver, in memory that this bounds. Scores are made for every whole text by tasks.
 
-Rules: null and empty texts are one empty passage and get a score; null labels teach nothing; without labels of both kinds
-every score is the labels' mean (0.5 without any); rows are independent, so repeated rows get equal scores.
+Rules: null and empty texts are one empty passage and get a score; null labels teach nothing, nor do those of a doc_id whose labels
+differ; rows equal in doc_id and text teach once; without labels of both kinds every score is the labels' mean (0.5 without
+any); rows are independent, so repeated rows get equal scores; a column of the score's name is replaced, others are carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_text, picked, table, tune
+from .common import by_characters, crc32_text, picked, table, tune
 
 WORDS = 64
-MOST_LABELLED = 6000
-MOST_PASSAGES = 64  # of a document while learning (evenly spread ones); scoring takes all
+MOST_LABELLED, MOST_CHARACTERS = 6000, 30_000_000  # of the sample to learn from
+BATCH = 500_000  # characters that are encoded at once
 HIDDEN, GATES, EPOCHS, RATE = 24, 12, 16, 0.01
 # character classes: space, line end, lower, upper, other letter, digit, stop, bar, quote, other sign
 N_CLASSES = 10
@@ -45,7 +48,10 @@ def _class(c: int) -> int:
     return 5 if kind[0] == "N" else 6 if s in ".,;:" else 7 if s in "|<>{}=/\\" else 8 if s in "\"'()-?" else 9
 
 
-CLASSES = np.array([_class(c) for c in range(0x3000)], np.uint8)
+@functools.cache
+def classes() -> np.ndarray:
+    """The class of every code point."""
+    return np.array([_class(c) for c in range(sys.maxunicode + 1)], np.uint8)
 
 
 def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +60,7 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) + 1 for t in texts])
     doc = np.repeat(np.arange(len(texts)), np.diff(np.append(0, ends)))
-    cls = CLASSES[np.minimum(points, len(CLASSES) - 1)].astype(np.int64)
+    cls = classes()[points].astype(np.int64)
     black = cls > 1
     begins = black & ~np.append(False, black[:-1])
     begins[np.append(0, ends[:-1])] |= black[np.append(0, ends[:-1])]
@@ -121,7 +127,7 @@ def learn(x: np.ndarray, doc: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
         return constant(y.mean() if len(y) else 0.5)
     r = np.random.default_rng(seed)
     p = {"enc": r.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)), "enc_b": np.zeros(HIDDEN), "v": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "u": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATES)), "a": r.normal(0, GATES**-0.5, GATES), "out": np.zeros(HIDDEN), "out_b": np.zeros(1)}
-    fixed = {"mean": x.mean(axis=0), "sd": x.std(axis=0) + 1e-2}
+    fixed = {"mean": x.mean(axis=0, dtype=np.float64), "sd": x.std(axis=0, dtype=np.float64) + 1e-2}
     m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
     first = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
     for _ in range(EPOCHS):
@@ -148,46 +154,57 @@ def learn(x: np.ndarray, doc: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
     return p | fixed
 
 
-def _some(k: int, n: int) -> np.ndarray:
-    return k + (np.arange(n) if n <= MOST_PASSAGES else np.linspace(0, n - 1, MOST_PASSAGES).astype(int))
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, characters: int) -> DataFrame:
+    """doc_id, text and y of whole labelled documents, in order of a hash, up to both bounds; each (doc_id, text) once."""
+    known = picked(labels, doc_id=id_col, y=label_col).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
+    texts = picked(docs, doc_id=id_col, text=text_col).where("doc_id is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = texts.withColumn("h", F.xxhash64("doc_id", "text")).withColumn("n", F.length("text"))
+    first = texts.select("doc_id", "h", "n").join(known, "doc_id").where(F.col("n") <= characters).select("h", "n").distinct().orderBy("h").limit(most).toPandas()
+    fits = first[first.n.cumsum() <= characters]
+    chosen = docs.sparkSession.createDataFrame(fits[["h"]], "h long") if len(fits) else docs.sparkSession.createDataFrame([], "h long")
+    rows = texts.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["doc_id", "h"])  # no more than `most` keys
+    return rows.join(known, "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED) -> dict:
-    """A model of label_col from at most `most` labelled documents."""
-    known = picked(labels, doc_id=id_col, y=label_col).where("y is not null and doc_id is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = picked(docs, doc_id=id_col, text=text_col)
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("y").cast("int").alias("y"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MOST_LABELLED, characters: int = MOST_CHARACTERS) -> dict:
+    """A model of label_col, learnt from all passages of at most `most` labelled documents of at most `characters` in all."""
+    tune(docs.sparkSession)
+    rows = sample(docs, labels, id_col, text_col, label_col, most, characters)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                x, doc = passages(pdf.text.tolist())
-                at = np.searchsorted(doc, np.arange(len(pdf) + 1))
-                yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "x": [x[_some(a, b - a)].astype("<f4").tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})
+            for a, b in by_characters(pdf.text.tolist(), BATCH):
+                p = pdf.iloc[a:b]
+                x, doc = passages(p.text.tolist())
+                at = np.searchsorted(doc, np.arange(len(p) + 1))
+                yield pd.DataFrame({"doc_id": p.doc_id, "y": p.y, "x": [x[i:j].astype("<f4").tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]})
 
-    got = sorted(rows.mapInPandas(encode, "doc_id long, y int, x binary").limit(2 * most).collect(), key=lambda r: (r.doc_id, bytes(r.x)))  # ids that repeat in the documents count once more at most
+    got = sorted(rows.mapInPandas(encode, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     if not got:
         return constant(0.5)
     bags = [np.frombuffer(bytes(r.x), "<f4").reshape(-1, FEATURES) for r in got]
-    return learn(np.concatenate(bags).astype(np.float64), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([float(r.y > 0) for r in got]))
+    return learn(np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), np.array([float(r.y > 0) for r in got]))
 
 
-def scored(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """The same rows and columns with a score between 0 and 1 of every whole text."""
-    tune(docs.sparkSession)
+def score_of(text: Column, model: dict) -> Column:
+    """The score, between 0 and 1, of a whole text."""
     model = {k: w if k == "constant" else w.astype(np.float32) for k, w in model.items()}
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if "constant" in model:
             return pd.Series(np.full(len(texts), model["constant"]))
-        parts = []
-        for at in range(0, len(texts), 250):
-            x, doc = passages([t or "" for t in texts.iloc[at : at + 250]])
-            parts.append(forward(model, x, doc)[0])
+        whole = [t or "" for t in texts]
+        parts = [forward(model, *passages(whole[a:b]))[0] for a, b in by_characters(whole, BATCH)]
         return pd.Series(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0))
 
-    return docs.withColumn(out_col, score(F.col(f"`{text_col}`")))
+    return score(text)
+
+
+def scored(docs: DataFrame, model: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """The same rows and columns with the score in out_col."""
+    tune(docs.sparkSession)
+    return docs.withColumn(out_col, score_of(F.col(f"`{text_col}`"), model))
 
 
 def held_out(doc_id):
