@@ -68,15 +68,15 @@ def by_characters(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
-def join_salted(left: DataFrame, right: DataFrame, key: str, count: str, spread: list[str]) -> DataFrame:
-    """left joined to right on key, where right has few rows a key and `count`, how many rows of left hold it.
+def join_salted(left: DataFrame, right: DataFrame, key: list[str], count: str, spread: list[str], total: int) -> DataFrame:
+    """left joined to right on key, where right has one row or few a key, with `count`, how many of left's `total` rows (or fewer) hold it.
 
     Keys with more than a HOT_SHARES-th of left's rows, of which there are fewer than HOT_SHARES, are dealt over SALTS tasks by the columns
     `spread`; their rows of right are copied that often. No task gets more of one key than that share or a SALTS-th of the key.
     """
-    total = left.count()
-    hot = F.broadcast(right.where(F.col(count) > total // HOT_SHARES).select(key).distinct().withColumn("_hot", F.lit(True)))
+    most = max(SALTS, total // HOT_SHARES)
+    hot = F.broadcast(right.where(F.col(count) > most).select(*key).distinct().withColumn("_hot", F.lit(True)))  # fewer than HOT_SHARES rows
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col(count) > total // HOT_SHARES, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(right.withColumn("_salt", F.explode(copies)).drop(count), [key, "_salt"]).drop("_salt")
+    copies = F.when(F.col(count) > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(copies)).drop(count), [*key, "_salt"]).drop("_salt")

@@ -15,15 +15,16 @@ BLOOM_BITS = 1 << 25  # fixed: 4 MB, whatever the input; only its share of false
 BLOOM_HASHES = 3
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of edges (a, b: long), by large-star and small-star steps.
 
     Each step takes minima per node, combined before the shuffle, so a node of any degree is one row; each round is written to the
-    shared folder. Loops and repeated edges are harmless; null ends are dropped.
+    shared folder, and rounds end when nothing changes (their number grows with the logarithm of the nodes). Loops and repeated edges are harmless;
+    null ends are dropped.
     """
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = stars.union(stars.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,8 +36,6 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = stars.select(F.col("v").alias("node")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

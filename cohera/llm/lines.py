@@ -7,7 +7,7 @@ compared with the other's.
 
 Plan: narrow rows (hash, place) find hashes that repeat; the places go back to their documents, which are shuffled once by key and give the
 chunks' bytes; grouping by hash and bytes is the comparison, combined before the shuffle; what is to go is joined to the documents, whose
-shuffle is reused.
+shuffle is reused. A chunk that very many documents share is dealt over many tasks in the joins on its hash.
 
 Rules: a null text is an empty one; chunks of one line, and blank ones, stay; rows equal in doc_id and text are one document
 and get equal results; a null doc_id comes before all others; lines that remain keep their order; other columns are carried
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_salted, table, written
 
 WINDOW = 2
 DIVISOR = 3
@@ -65,13 +65,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = places.where("_c.t > _c.s").select("_id", "_key", F.col("_c.s").alias("_s"), F.col("_c.t").alias("_t"), _body(F.col("_c.s"), F.col("_c.t")).alias("_b"))
     places = places.where("trim(replace(_b, '\n', '')) <> ''").select("_id", "_key", "_s", "_t", F.xxhash64("_b").alias("_h"))
     places = written(places, "places")
-    often = places.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    back = places.join(often, "_h").groupBy("_id", "_key").agg(F.collect_set(F.struct("_s", "_t", "_h")).alias("_maybe"))
+    often = written(places.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    total = places.count()
+    back = join_salted(places, often, ["_h"], "n", ["_id", "_key", "_s"], total).groupBy("_id", "_key").agg(F.collect_set(F.struct("_s", "_t", "_h")).alias("_maybe"))
     joined = src.join(back.withColumnsRenamed({"_id": "_i", "_key": "_k"}), F.col("_id").eqNullSafe(F.col("_i")) & F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_i", "_k")
     cut = joined.where("_maybe is not null").select("_id", "_key", "_maybe", _once(F.split("_text", "\n")).alias("_lines"))
     cut = cut.select("_id", "_key", "_lines", F.explode("_maybe").alias("_c")).select("_id", "_key", F.col("_c._s").alias("_s"), F.col("_c._t").alias("_t"), F.col("_c._h").alias("_h"), _body(F.col("_c._s"), F.col("_c._t")).alias("_b"))
-    first = cut.groupBy("_h", "_b").agg(F.min(F.struct("_id", "_key", "_s")).alias("_first"), F.count("*").alias("n")).where("n > 1").select("_h", F.sha2("_b", 256).alias("_d"), "_first")
-    gone = cut.select("_id", "_key", "_s", "_t", "_h", F.sha2("_b", 256).alias("_d")).join(first, ["_h", "_d"]).where(~F.struct("_id", "_key", "_s").eqNullSafe(F.col("_first")))
+    first = cut.groupBy("_h", "_b").agg(F.min(F.struct("_id", "_key", "_s")).alias("_first"), F.count("*").alias("n")).where("n > 1").select("_h", F.sha2("_b", 256).alias("_d"), "_first", "n")
+    gone = join_salted(cut.select("_id", "_key", "_s", "_t", "_h", F.sha2("_b", 256).alias("_d")), written(first, "first"), ["_h", "_d"], "n", ["_id", "_key", "_s"], total).where(~F.struct("_id", "_key", "_s").eqNullSafe(F.col("_first")))
     gone = gone.groupBy("_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("_s", "_t")))).alias("_gone")).withColumnsRenamed({"_id": "_i", "_key": "_k"})
     out = joined.drop("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
     out = out.select("_row", "_text", "_gone", _once(F.when(F.col("_gone").isNotNull(), F.split("_text", "\n"))).alias("_lines"))

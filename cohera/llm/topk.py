@@ -1,90 +1,113 @@
 """Exact top-k inner products by the threshold algorithm.
 
-Candidates and queries are dealt into blocks; a task holds one block of each. It sorts the candidates along every dimension
-once. A query walks all its lists from their favourable ends, in rounds of doubling depth; candidates met for the first time are scored
-in full, and the walk stops once the sum of the lists' current values cannot reach the kth score. The blocks' winners
-are ranked together per query. Block sizes are fixed, so a task's memory does not grow with the input.
-
-Rules: vectors that are null, or hold a null, NaN or infinite component, take no part, nor do vectors of another length than
-the others' (the longest one's); rows with a null id take no part; a row never answers for its own id, so rows repeating the query's id don't either; rows
-that repeat another id answer once each, ranked in no order between them; ties go to the smaller id; an empty table gives no rows.
+Candidates are dealt into blocks; a task sorts a block's rows along every dimension once, and all queries then stream past it. A query walks
+all its lists from their favourable ends, in rounds of doubling depth; candidates met for the first time are scored
+in full, and the walk stops once the sum of the lists' current values cannot reach the kth score. A block keeps k rows a
+query; the blocks' winners are ranked together per query. A candidate moves once; a query moves once per block of
+BLOCK_ROWS candidates. A task holds one block and one batch of queries, whatever the input.
+
+Rules: vectors that are null, or hold a null, NaN or infinite component, take no part; a query's candidates are the vectors of its own length
+(an empty one's inner product is 0); scaled components and scores beyond a 64-bit integer are the nearest one, so ranks beyond it
+go by id; rows with a null id take no part; a row never answers for its own id, so rows repeating the query's id don't either; rows
+that repeat another id answer once each, ranked in no order between them; equal query rows are one query; ties go to the smaller id; other
+columns are left; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import picked, table, tune
 
-BLOCK_ROWS = 8192
-BLOCK_QUERIES = 2048
+BLOCK_ROWS = 32768
+LONG = 2**63 - 1
 RESULT = "query_id long, vec_id long, score long"
 
 
-def threshold_topk(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, first_depth: int = 16) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best among the block's rows other than its own; ties to the smaller id."""
-    n, dims = vectors.shape
-    order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # dims x n, ascending
-    values = np.take_along_axis(vectors.T, order, axis=1)
-    exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dims < 2**52
-    table = vectors.astype(np.float64) if exact else vectors.astype(object)
-    falling = order[:, ::-1]
-    out = []
-    for q, qid in zip(queries, query_ids.tolist(), strict=True):
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        weight = q.astype(np.float64) if exact else q.astype(object)
-        met = ids == qid
-        best_id, best = np.zeros(0, np.int64), np.zeros(0, table.dtype)
-        depth, done = min(first_depth, n), 0
+class Lists:
+    """A block of candidates, sorted along every dimension."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+        self.ids, self.n, self.vectors = ids, len(ids), vectors
+        self.order = np.argsort(vectors, axis=0, kind="stable").T.copy()  # dimensions x rows, ascending
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+        self.largest = max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
+        self.plain, self.wide = vectors.astype(np.float64), None
+
+    def top(self, q: np.ndarray, query_id: int, k: int, first_depth: int = 16) -> list[tuple[int, int, int]]:
+        """(query id, id, score) of the k best rows other than the query's own; ties to the smaller id."""
+        exact = self.largest * max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0)))) * max(1, len(q)) < 2**52
+        if not exact and self.wide is None:
+            self.wide = self.vectors.astype(object)
+        table, weight, kind = (self.plain, q.astype(np.float64), np.float64) if exact else (self.wide, q.astype(object), object)
+        up, down, falling = np.flatnonzero(q > 0), np.flatnonzero(q < 0), self.order[:, ::-1]
+        met = self.ids == query_id
+        best_id, best = np.zeros(0, np.int64), np.zeros(0, kind)
+        depth, done = min(first_depth, self.n), 0
         while True:
-            fresh = np.zeros(n, bool)
+            fresh = np.zeros(self.n, bool)
             fresh[falling[up, done:depth]] = True
-            fresh[order[down, done:depth]] = True
+            fresh[self.order[down, done:depth]] = True
             if not len(up) and not len(down):
                 fresh[:] = True  # every score is 0
             rows = np.flatnonzero(fresh & ~met)
             met[rows] = True
-            score = np.concatenate([best, table[rows] @ weight])
-            who = np.concatenate([best_id, ids[rows]])
+            found = table[rows] @ weight if len(q) else np.zeros(len(rows), kind)
+            score = np.concatenate([best, found if exact else np.array([max(-LONG - 1, min(LONG, int(x))) for x in found], object)])
+            who = np.concatenate([best_id, self.ids[rows]])
             if len(score) > 4 * k and exact:
                 keep = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
                 score, who = score[keep], who[keep]
             keep = np.lexsort((who, -score))[:k]
             best, best_id = score[keep], who[keep]
-            bound = values[up, n - depth].astype(table.dtype) @ weight[up] + values[down, depth - 1].astype(table.dtype) @ weight[down] if len(up) + len(down) else 0
-            if depth == n or len(best) == k and best[-1] > bound:
+            bound = self.values[up, self.n - depth].astype(kind) @ weight[up] + self.values[down, depth - 1].astype(kind) @ weight[down] if len(up) + len(down) else 0
+            if depth == self.n or len(best) == k and best[-1] > bound:
                 break
-            done, depth = depth, min(2 * depth, n)
-        out += [(qid, int(i), int(s)) for i, s in zip(best_id, best, strict=True)]
-    return out
+            done, depth = depth, min(2 * depth, self.n)
+        return [(query_id, int(i), int(s)) for i, s in zip(best_id, best, strict=True)]
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score over floor(scale * x) of every component; is_query is a condition on the column vec_id."""
     tune(rows.sparkSession)
     src = picked(rows, vec_id=id_col, v=vector_col).where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    src = src.where(fine & (F.size("v") > 0)).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
-    n, n_queries, dims = src.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("v"))).first()
-    src = src.where(F.size("v") == (dims or 0))
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_queries))
-    key = F.xxhash64("vec_id", "v")
-    cand = src.withColumn("block", F.pmod(key, F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = src.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query_block", F.pmod(key, F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def search(pdf: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        pdf, queries = pdf.sort_values("vec_id"), queries.sort_values("vec_id")
-        found = threshold_topk(pdf.vec_id.to_numpy(), np.stack(pdf.v.to_numpy()), np.stack(queries.v.to_numpy()), queries.vec_id.to_numpy(), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    keys = ["block", "query_block"]
-    found = cand.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, RESULT)
+    src = src.where(fine).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+    blocks = max(1, -(-src.count() // block_rows))
+    block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")  # rows that repeat are dealt apart
+    cand = src.select(block, F.lit(0).alias("asks"), "vec_id", "v")
+    asked = src.where(is_query).dropDuplicates(["vec_id", "v"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")
+    n = min(blocks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 8)
+    dealt = cand.union(asked).select("block", F.size("v").alias("size"), "asks", "vec_id", "v").repartition(n, "block").sortWithinPartitions("block", "size", "asks", "vec_id")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors, lists = None, [], [], None
+        for b in batches:
+            block, size, asks, who = (np.asarray(b.column(c)) for c in range(4))
+            flat, out = np.asarray(b.column(4).flatten()), []
+            ends = np.append(0, np.cumsum(size.astype(np.int64)))
+            cut = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (size[1:] != size[:-1]) | (asks[1:] != asks[:-1])))
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(block)], strict=True):
+                if (block[a], size[a]) != now:
+                    now, ids, vectors, lists = (block[a], size[a]), [], [], None
+                v = flat[ends[a] : ends[z]].reshape(z - a, size[a])
+                if not asks[a]:
+                    ids.append(who[a:z])
+                    vectors.append(v)
+                elif ids:
+                    lists = lists or Lists(np.concatenate(ids), np.concatenate(vectors))
+                    for q, w in zip(v, who[a:z].tolist(), strict=True):
+                        out += lists.top(q, w, k)
+            got = np.array(out, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, c]) for c in range(3)], names=["query_id", "vec_id", "score"])
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(search, RESULT)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

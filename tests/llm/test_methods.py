@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from cohera.llm import graphs, jaccard, lines, mpegts, phrases, pii, quality, topk
+from cohera.llm import common, graphs, jaccard, lines, mpegts, phrases, pii, quality, topk
 from pyspark.sql import functions as F
 
 R = random.Random(4)
@@ -117,6 +117,19 @@ def test_line_dedup(spark):
     assert sorted(len(r.text) for r in lines.dedup_lines(twice).collect())[1:] == [7, 7]
 
 
+def test_hot_and_long_lines(spark):
+    block = "\n".join(prose(4) for _ in range(12))
+    texts = [prose(3) + "\n" + block + "\n" + prose(3) for _ in range(200)] + ["\n".join(f"{k} of many" for k in range(30_000)), "y" * 300_000 + "\n" + "y" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in lines.dedup_lines(docs).orderBy("doc_id").collect()]
+    assert got == plain_line_dedup(texts)
+    left = spark.createDataFrame([(k % 3 and 7, k) for k in range(999)] + [(9, 1)], "k int, v int")
+    right = spark.createDataFrame([(0, 333, "a"), (7, 666, "b"), (9, 1, "c")], "k int, n int, name string")
+    joined = common.join_salted(left, right, ["k"], "n", ["v"], 1000)
+    assert sorted((r.k, r.v, r.name) for r in joined.collect()) == sorted((r.k, r.v, {0: "a", 7: "b", 9: "c"}[r.k]) for r in left.collect())
+    assert [r.text for r in lines.dedup_lines(docs.limit(0)).collect()] == []
+
+
 def test_transport_stream(spark):
     for n in (0, 1, 575, 576, 577, 20_000):
         data = R.randbytes(n)
@@ -195,14 +208,15 @@ def test_threshold_search(spark):
     r = np.random.default_rng(1)
     v = r.integers(-3, 4, (300, 5)).astype(np.int64)
     ids = np.arange(300)
-    got = topk.threshold_topk(ids, v, v[::50], ids[::50], 5, first_depth=2)
+    lists = topk.Lists(ids, v)
+    got = [x for q in range(0, 300, 50) for x in lists.top(v[q], q, 5, first_depth=2)]
     want = []
     for q in range(0, 300, 50):
         s = v @ v[q]
         want += [(q, k, int(s[k])) for k in sorted((k for k in range(300) if k != q), key=lambda k: (-s[k], k))[:5]]
     assert got == want
     rows = [(int(k), [float(x) / 256 for x in row], "c") for k, row in zip(ids, v, strict=True)] + [(1000, None, ""), (1001, [1.0, None, 1.0, 1.0, 1.0], ""), (1002, [float("nan")] * 5, ""), (None, [1.0] * 5, "")]
-    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") % 50 == 0, block_rows=64, block_queries=3)
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), F.col("vec_id") % 50 == 0, block_rows=64)
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in out.collect()) == sorted((q, 1 + k % 5, i, s) for k, (q, i, s) in enumerate(want))
 
 
@@ -216,6 +230,19 @@ def test_base_patterns():
     assert pii.show(pii.base_spans("é a@b.cc 1.2.3.4 1.2.3.999, 4111 1111 1111 1111 +1 (555) 123-4567")) == "email:2:8,ip:9:16,card:28:47,phone:48:65"
 
 
+def test_threshold_search_hard_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [9.0, inf]), (4, [nan, 1.0]), (5, [1.0, None]), (6, []), (50, []), (7, [1.0, 1.0, 1.0]), (100, [-1.0, 0.0]), (None, [1.0, 1.0]), (8, None)]
+    docs = spark.createDataFrame([(a, b, "c", 1) for a, b in rows], "vec_id long, embedding array<double>, score string, rank int")
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(docs, F.col("vec_id") % 50 == 0, k=3, block_rows=4).collect())
+    unit = 256 * 256
+    assert got == [(0, 1, 1, unit * 3 // 2), (0, 2, 2, unit * 3 // 2), (0, 3, 2, unit * 3 // 2), (50, 1, 6, 0), (100, 1, 1, -unit // 2), (100, 2, 2, -unit // 2), (100, 3, 2, -unit // 2)]
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [1e18, 5.0]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    top = 2**63 - 1
+    assert sorted((x.rank, x.vec_id, x.score) for x in topk.top_k(huge, F.col("vec_id") == 0).collect()) == [(1, 1, top), (2, 2, top), (3, 3, -top - 1)]
+    assert topk.top_k(docs.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
 def personal(k, r):
     number, local = f"+1 555 {r.randrange(100, 999)} {r.randrange(1000, 9999)}", f"{r.choice(VOCAB)}.{r.randrange(99)}"
     return [f"call {number} soon", f"mail {local}@home{k}.org", f"order 00{r.randrange(10**8, 10**9)} came"][k % 3] + " " + prose(30, r)
