@@ -1,19 +1,12 @@
-"""Connected components and Bloom filters over DataFrames."""
+"""Connected components over DataFrames."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
-BLOOM_BITS = 1 << 25  # fixed: 4 MB, whatever the input; only its share of false hits grows
-BLOOM_HASHES = 3
-
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of edges (a, b: long), by large-star and small-star steps.
@@ -38,30 +31,3 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = stars.select(F.col("v").alias("node")).distinct()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
-
-
-def bloom(keys: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A bit map of at most bits / 64 words that holds every key (long)."""
-    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits)) for k in range(BLOOM_HASHES)]))
-    words = keys.select(at.alias("p")).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b"))
-    got = words.toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[np.asarray(got["w"])] = np.asarray(got["b"]).astype(np.int64).view(np.uint64)
-    return out
-
-
-def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
-    """The rows whose key may be in the bitmap: all that are, and a few that are not."""
-    sent = df.sparkSession.sparkContext.broadcast(bitmap)
-    bits = len(bitmap) * 64
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = np.ones(b.num_rows, bool)
-            for k in range(BLOOM_HASHES):
-                p = np.asarray(b.column(b.num_columns - BLOOM_HASHES + k))
-                hit &= (sent.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-            yield b.filter(pa.array(hit)).select(list(range(b.num_columns - BLOOM_HASHES)))
-
-    places = [F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits)).alias(f"_bloom_{k}") for k in range(BLOOM_HASHES)]
-    return df.where(F.col(column).isNotNull()).select("*", *places).mapInArrow(keep, df.schema)

@@ -1,19 +1,24 @@
 """N-gram Jaccard join: an exact similarity join of documents on their sets of word n-grams, and its components.
 
-The join is a sparse product of the incidence of documents by n-grams with its transpose, by blocks: rows that are equal
-(documents with one set) are one row; a column stays in a row only while the size bound lets it matter (of n n-grams, ordered
-rarest first, two rows that reach the threshold share one of the first n - ceil(t n) + 1, and at the first that they share
-enough of both must be left); columns with one row left go; joining the rest on the n-gram and counting per pair accumulates overlaps; pairs whose sizes alone rule the threshold out go.
-Signatures of fixed size then bound each pair's overlap, and what is left is verified on whole sets.
+The join is a sparse product of the incidence matrix of documents by n-grams with its transpose, by blocks, in which overlap counts accumulate
+and decide. Texts are read to make the matrix and never again: rows that are equal (documents with one set) are one row, kept with its n-grams.
 
-Not all pairs of a group are made. First each row meets the rows that lead most of its n-grams (stars); verified links make
-components; only n-grams with more than one component are joined in full, and only across components. So a large group of
-near copies costs a few pairs per document, and no link between components is missed.
+1. Head columns. N-grams are ordered rarest first. Of n n-grams, two rows that reach the threshold share one of the first
+   n - ceil(t n) + 1, so only those columns are multiplied to find pairs, in blocks by hash of the n-gram. Counts of a pair add up within a block
+   and then over blocks; with what is left of both rows after the last common column they bound its whole overlap, and pairs whose bound
+   is below what their sizes ask for are discarded, as are those that signatures of fixed size rule out.
+2. Whole rows. For each pair left, a block of rows meets the row it is paired with (a block of sparse rows times one column of the transpose), and the overlap
+   that accumulates there decides. A row paired with very many others is copied to as many blocks as they fill.
 
-The order of n-grams takes their rarity from a sketch of fixed size over the whole corpus; any order gives the same result.
+Not all pairs of a group are made. First each row meets the rows that lead most of its head columns (stars); links make
+components; only columns with more than one component are multiplied in full, and only across components. So a large group of
+near copies costs a few pairs per document, and no link between components is missed; links inside a component are not counted.
+
+The order of n-grams takes their rarity from a sketch of fixed size over the whole corpus; any order gives the same result. An n-gram is 48 bits of
+a hash in a kept row: two different ones of a pair of rows of n n-grams meet with odds of n * n / 2 ** 48.
 
 Rules: a null text is an empty set; empty sets link with nothing; rows that share a doc_id are one node; a row without doc_id
-gets its size, links with nothing and has no component; an empty table gives no rows.
+gets its size, links with nothing and has no component; other columns are left; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, table, tune, written
+from .common import join_salted, picked, table, tune, written
 from .encoders import buffered
-from .graphs import bloom, components, maybe_in
-from .words import in_bitmap, key_bitmap, runs, split_words
+from .graphs import components
+from .words import MOST_BITS, in_bitmap, key_bitmap, maybe_in, runs, split_words
 
 BUCKETS = 1 << 18  # of the sketch of n-gram counts
 CHUNK = 1 << 14
 BITS = 1024  # of a set's signature
+BLOCK_ROWS = 1000  # of the rows that meet one other in a block
 STAR_HUBS = (1, 4)  # hubs per row in each star round
 
 
@@ -73,8 +79,19 @@ def _sketch(src: DataFrame, words: int) -> np.ndarray:
     return out
 
 
+def packed(gram: np.ndarray) -> np.ndarray:
+    """48 bits of each hash as 6 bytes."""
+    return np.ascontiguousarray((gram >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, text_hash, n (size of the set), set_key (its digest), head (the n-grams that the bound leaves) and bits (its signature)."""
+    """doc_id, n (size of the set), set_key (its digest), head (the n-grams that the bound leaves, rarest first), bits (its signature) and row (all n-grams)."""
     counts = src.sparkSession.sparkContext.broadcast(_sketch(src, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,102 +106,130 @@ def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
                 bits[k, (s >> np.uint64(32) & np.uint64(BITS - 1)).astype(np.int64)] = True
             bits = [x.tobytes() for x in np.packbits(bits, axis=1)]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["text_hash"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "text_hash", "n", "set_key", "head", "bits"])
+            whole = [packed(s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(whole, pa.binary())], names=["doc_id", "n", "set_key", "head", "bits", "row"])
 
-    return src.mapInArrow(rows, "doc_id long, text_hash long, n long, set_key binary, head array<long>, bits binary")
+    return src.mapInArrow(rows, "doc_id long, n long, set_key binary, head array<long>, bits binary, row binary")
 
 
-def _hits(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """class, n, gram, left (n-grams from this one on) for the columns that may have more than one row."""
-    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+def _postings(nodes: DataFrame, bitmap: np.ndarray | None, shared: DataFrame) -> DataFrame:
+    """gram, rep, n, left (n-grams from this one on) for the columns that have, or by the bit map may have, more than one row."""
+    sent = nodes.sparkSession.sparkContext.broadcast(bitmap)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             head = b.column(2)
             gram, size = np.asarray(head.flatten()), np.diff(np.asarray(head.offsets))
-            hit = in_bitmap(gram.view(np.uint64), sent.value)
+            hit = np.ones(len(gram), bool) if sent.value is None else in_bitmap(gram.view(np.uint64), sent.value)
             row = np.repeat(np.arange(b.num_rows), size)
             place = np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size)
             n = np.asarray(b.column(1))[row]
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column(0))[row[hit]]), pa.array(n[hit]), pa.array(gram[hit]), pa.array((n - place)[hit])], names=["class", "n", "gram", "left"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[hit]), pa.array(np.asarray(b.column(0))[row[hit]]), pa.array(n[hit]), pa.array((n - place)[hit])], names=["gram", "rep", "n", "left"])
 
-    return rows.select("class", "n", "head").mapInArrow(pick, "class long, n long, gram long, left long")
+    out = nodes.select("rep", "n", "head").mapInArrow(pick, "gram long, rep long, n long, left long")
+    return out if bitmap is not None else out.join(shared.select("gram"), "gram")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their signatures leave: each bit that one set has alone is an n-gram that the other lacks."""
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (row, hub) that their signatures leave: each bit that one set has alone is an n-gram that the other lacks."""
+    side = lambda x: nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(side("row"), "row").join(side("hub"), "hub").select("row", "hub", "n_row", "n_hub", "bits_row", "bits_hub")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buffered(batches, 3 << 20):
-            x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_a", "bits_b"))
-            n, m = np.asarray(t["n_a"]), np.asarray(t["n_b"])
+            x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_row", "bits_hub"))
+            n, m = np.asarray(t["n_row"]), np.asarray(t["n_hub"])
             most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
             good = pa.array((100 + percent) * most >= percent * (n + m))
-            yield pa.RecordBatch.from_arrays([t["a"].combine_chunks().filter(good), t["b"].combine_chunks().filter(good)], names=["a", "b"])
-
-    return both.mapInArrow(pick, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, src: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; texts are fetched for the rows in pairs alone."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = maybe_in(src, "doc_id", bloom(nodes, "doc_id")).join(classes.select(F.col("rep").alias("doc_id"), "text_hash"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
-    sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in buffered(batches, 3 << 20):
-            left, right = shingle_sets(t["text_a"].combine_chunks(), words), shingle_sets(t["text_b"].combine_chunks(), words)
-            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-            size = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64)
-            good = pa.array((both > 0) & (100 * both >= percent * (size - both)))
-            yield pa.RecordBatch.from_arrays([t["a"].combine_chunks().filter(good), t["b"].combine_chunks().filter(good)], names=["a", "b"])
-
-    return sides.mapInArrow(overlap, "a long, b long").distinct()
-
-
-def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            yield pa.RecordBatch.from_arrays([t["row"].combine_chunks().filter(good), t["hub"].combine_chunks().filter(good)], names=["row", "hub"])
+
+    return both.mapInArrow(pick, "row long, hub long")
+
+
+def _product(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (row, hub) whose accumulated overlap reaches the threshold, as links (a, b)."""
+    total = pairs.count()
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("k"))
+    hubs = written(hubs.withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS)), "hubs")
+    dealt = join_salted(pairs, hubs, ["hub"], "k", ["row"], total).select("hub", F.pmod(F.xxhash64("row"), "blocks").alias("block"), "row")
+    ids = pairs.select(F.explode(F.array("row", "hub")).alias("rep")).distinct()
+    wanted = written(ids.join(nodes.select("rep", "first", "set_key"), "rep"), "wanted")
+    whole = maybe_in(rows.select("doc_id", "set_key", "row"), "doc_id", key_bitmap(wanted, "first"))
+    whole = whole.join(wanted, [whole.doc_id == wanted["first"], whole.set_key == wanted.set_key]).select("rep", F.col("row").alias("grams"))
+    whole = written(whole.dropDuplicates(["rep"]), "rows")
+    side = lambda df, c, kind: df.join(whole.withColumnRenamed("rep", c), c).select("hub", "block", F.lit(kind).alias("kind"), F.col(c).alias("row"), "grams")
+    copies = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    blocks = side(copies.withColumn("own", F.col("hub")), "own", 0).union(side(dealt, "row", 1)).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hub = None, np.zeros(0, np.uint64)
+        for b in batches:
+            head, block, kind, row = (np.asarray(b.column(c)) for c in range(4))
+            grams, out = b.column(4), []
+            cut = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1])))
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(head)], strict=True):
+                if not kind[a]:
+                    now, hub = head[a], np.sort(unpacked(np.frombuffer(grams[a].as_py(), np.uint8)))
+                    continue
+                if head[a] != now:
+                    raise ValueError("a block of rows without its column")
+                parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in grams.slice(a, z - a)]
+                size = np.array([len(x) // 6 for x in parts])
+                flat = unpacked(np.concatenate(parts))
+                hit = hub[np.minimum(np.searchsorted(hub, flat), len(hub) - 1)] == flat
+                overlap = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+                good = 100 * overlap >= percent * (size + len(hub) - overlap)
+                out += [(min(x, int(now)), max(x, int(now))) for x in row[a:z][good].tolist()]
+            got = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    return blocks.mapInArrow(multiply, "a long, b long").distinct()
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, n_shingles, component_id: two documents link when percent * union <= 100 * intersection. A row per row of docs."""
     tune(docs.sparkSession)
-    src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(incidence(src, words, percent), "incidence")
     known = rows.where("doc_id is not null and n > 0")
-    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")).withColumn("class", F.xxhash64("set_key")), "classes")
-    classes = written(known.select("set_key", "doc_id", "text_hash", "n", "bits").join(reps, [known.set_key == reps.set_key, known.doc_id == reps.rep]).select("rep", "text_hash", "n", "bits").distinct(), "nodes")
-    known = known.withColumn("class", F.xxhash64("set_key"))
-    shared = known.select("class", F.explode("head").alias("gram")).groupBy("gram").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("gram")
-    shared = written(shared, "columns")
-    hits = _hits(known, key_bitmap(shared, "gram")).join(shared, "gram").distinct()
-    grams = written(hits.join(reps.select("class", "rep"), "class").select("gram", "rep", F.col("rep").alias("component"), "n", "left"), "shared")
+    # a distinct set is a node, with a number of its own: one doc_id may be the first of several sets
+    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "classes")
+    nodes = known.select("set_key", "doc_id", "n", "head", "bits").join(reps, "set_key").where("doc_id = first").dropDuplicates(["set_key"])
+    nodes = written(nodes.select("set_key", "first", "rep", "n", "head", "bits"), "nodes")
+    shared = written(nodes.select(F.explode("head").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "columns")
+    grams = written(_postings(nodes, key_bitmap(shared, "gram", most_bits), shared).withColumn("component", F.col("rep")), "shared")
+    reach = lambda rest, x, y: rest * (100 + percent) >= percent * (x + y)
     links = None
     for k, most in enumerate([*STAR_HUBS, None]):
         if k:
             found = components(links)
-            grams = written(grams.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gram", "rep", F.coalesce("component", "rep").alias("component"), "n", "left"), "shared")
+            grams = written(grams.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gram", "rep", "n", "left", F.coalesce("component", "rep").alias("component")), "shared")
         # a hub: the row with most n-grams still to come, so the one with fewest of its own; in later rounds any
         row, rank = F.struct("rep", "component", "n", "left"), F.xxhash64("rep", F.lit(k)) if k else F.struct(F.col("n") - F.col("left"), F.col("rep"))
-        mixed = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n"), F.min_by(row, rank).alias("hub")).where("lo < hi")
+        mixed = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n"), F.min_by(row, rank).alias("lead"), F.count("*").alias("k")).where("lo < hi")
         # at the first n-gram that two rows share, the shorter rest of the two bounds the overlap; sums stand for unions
-        reach = lambda rest, x, y: rest * (100 + percent) >= percent * (x + y)
         fits = lambda x, y, rx, ry: reach(F.least(rx, ry), x, y)
-        rest = grams.join(mixed, "gram").where(reach(F.col("left"), F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))))
+        rest = join_salted(grams, written(mixed, "mixed"), ["gram"], "k", ["rep"], grams.count()).where(reach(F.col("left"), F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))))
         if most:
-            star = rest.where((F.col("rep") != F.col("hub.rep")) & (F.col("component") != F.col("hub.component")) & fits(F.col("n"), F.col("hub.n"), F.col("left"), F.col("hub.left")))
-            counted = star.groupBy("rep", F.col("hub.rep").alias("other")).agg(F.count("*").alias("overlap"))
-            best = counted.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("overlap", "other")), asc=False), 1, most).alias("best"))  # no more hubs than a row has n-grams
-            pairs = best.select("rep", F.explode("best.other").alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+            star = rest.where((F.col("rep") != F.col("lead.rep")) & (F.col("component") != F.col("lead.component")) & fits(F.col("n"), F.col("lead.n"), F.col("left"), F.col("lead.left")))
+            counted = star.groupBy(F.col("rep").alias("row"), F.col("lead.rep").alias("hub")).agg(F.count("*").alias("overlap"))
+            best = counted.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("overlap", "hub")), asc=False), 1, most).alias("best"))  # no more hubs than a row has n-grams
+            pairs = best.select("row", F.explode("best.hub").alias("hub"))
         else:
+            # the product of the head columns across components: counts add up per pair, and with the rest after the last common column bound its overlap
             x, y = rest.select("gram", "rep", "component", "n", "left").alias("x"), rest.select("gram", "rep", "component", "n", "left").alias("y")
-            pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left"))).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        good = _verified(written(_near(pairs, classes, percent), "pairs"), src, classes, words, percent)
+            both = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left")))
+            summed = both.groupBy(F.col("x.rep").alias("row"), F.col("y.rep").alias("hub")).agg(F.count("*").alias("overlap"), F.min(F.least("x.left", "y.left")).alias("after"), F.min(F.col("x.n") + F.col("y.n")).alias("sizes"))
+            pairs = summed.where(reach(F.col("overlap") + F.col("after") - 1, F.col("sizes"), F.lit(0))).select("row", "hub")
+        good = _product(written(_near(pairs, nodes, percent), "pairs"), rows, nodes, percent)
         links = written(good if links is None else links.union(good), "links")
-    same = rows.where("doc_id is not null and n > 0").join(reps, "set_key")
-    again = known.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1")
-    twice = same.join(again, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = known.select("doc_id", "n", "set_key").join(reps, "set_key").select("doc_id", "n", "rep", "first")
+    twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").join(same, "doc_id").select("a", F.col("rep").alias("b"))
     found = components(links.union(twice))
+    least = reps.join(found.withColumnRenamed("node", "rep"), "rep").groupBy("component").agg(F.min("first").alias("component_id"))
+    grouped = found.join(least, "component").select(F.col("node").alias("rep"), "component_id")
     lone = rows.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = same.select("doc_id", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = same.join(grouped, "rep", "left").select("doc_id", "n", F.coalesce("component_id", "first").alias("component_id"))
     return out.union(lone).withColumnRenamed("n", "n_shingles")
 
 

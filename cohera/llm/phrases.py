@@ -3,11 +3,12 @@
 A window is WINDOW consecutive words. Each window has an anchor, the run of ANCHOR words in it with the least hash, so equal
 windows have equal anchors.
 
-1. Anchors seen in one document alone rule their windows out (a Bloom filter of fixed size carries the others to the tasks).
+1. Anchors seen in one document alone rule their windows out. The others go to the tasks as a Bloom filter sized by their number; where that would
+   pass MOST_BITS, each document is joined with the list of its own instead.
 2. The remaining windows are confirmed: those in two documents at least get the least doc_id that holds them. Counting is by
    128-bit hashes, combined before the shuffle, so a passage that a third of all documents share stays one row per task.
 3. Each first document gives its confirmed windows as passages: windows side by side with one anchor are one record of text.
-4. Documents are dealt into groups of bounded expected size. Each group gets the passages whose anchors its documents hold, compiles them
+4. Documents are dealt into groups of bounded expected bytes. Each group gets the passages whose anchors its documents hold, compiles them
    into its own automaton (pyahocorasick, over word numbers), and streams its whole documents through it. A record's pattern is what all of
    its windows share; around a hit, words are compared on both sides, so removal rests on the words themselves.
 
@@ -30,13 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, table, tune, written
+from .common import join_salted, picked, table, tune, written
 from .encoders import buffered
-from .graphs import bloom, maybe_in
-from .words import in_bitmap, key_bitmap, mixed, runs, split_words
+from .words import MOST_BITS, PRIME, in_bitmap, key_bitmap, maybe_in, mixed, runs, split_words
 
 WINDOW, ANCHOR = 50, 8
-GROUP_DOCS = 1500  # expected documents of a group
+GROUP_BYTES = 3 << 20  # expected text of a group
 BATCH = 3 << 20
 # an odd multiplier, and its inverse modulo 2**64, for hashes of windows from running sums
 STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -87,7 +87,25 @@ def _anchor_rows(src: DataFrame, window: int, anchor: int) -> DataFrame:
     return src.mapInArrow(rows, "doc_id long, anchor long")
 
 
-def _window_rows(src: DataFrame, bitmap: np.ndarray, window: int, anchor: int) -> DataFrame:
+def _marked(src: DataFrame, held: DataFrame, total: int, keys: DataFrame, most_bits: int) -> tuple[DataFrame, np.ndarray | None]:
+    """src and a bit map of the anchors in keys (anchor, n); or, where they are too many, src with the list `marks` of each document's own."""
+    bitmap = key_bitmap(keys, "anchor", most_bits)
+    if bitmap is not None:
+        return src, bitmap
+    own = join_salted(held, keys.select("anchor", "n"), ["anchor"], "n", ["doc_id"], total).groupBy("doc_id").agg(F.collect_set("anchor").alias("marks"))
+    return src.join(own, "doc_id", "left"), None
+
+
+def _recur(t: pa.Table, doc: np.ndarray, anchors: np.ndarray, bitmap: np.ndarray | None) -> np.ndarray:
+    """Which of a batch's anchors may be among the keys."""
+    if bitmap is not None:
+        return in_bitmap(anchors, bitmap)
+    marks = t["marks"].combine_chunks()
+    row = np.repeat(np.arange(len(t), dtype=np.uint64), np.asarray(pc.fill_null(pc.list_value_length(marks), 0)))
+    return np.isin(mixed(anchors ^ doc.astype(np.uint64) * PRIME), mixed(np.asarray(marks.flatten()).view(np.uint64) ^ row * PRIME))
+
+
+def _window_rows(src: DataFrame, bitmap: np.ndarray | None, window: int, anchor: int) -> DataFrame:
     """doc_id, h, g: the hashes of every window whose anchor may recur."""
     sent = src.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -95,7 +113,7 @@ def _window_rows(src: DataFrame, bitmap: np.ndarray, window: int, anchor: int) -
         for t in buffered(batches, BATCH):
             h, at, _ = split_words(t["text"].combine_chunks())
             start, doc, a = window_anchors(h, at, window, anchor)
-            hit = in_bitmap(a, sent.value)
+            hit = _recur(t, doc, a, sent.value)
             some = np.zeros(len(at) - 1, bool)
             some[doc[hit]] = True
             words = np.repeat(some, np.diff(at))  # of the documents concerned
@@ -130,7 +148,7 @@ def _passages(owners: DataFrame, window: int, anchor: int) -> DataFrame:
     return owners.mapInArrow(rows, "anchor long, first long, run int, words string")
 
 
-def _routed(src: DataFrame, bitmap: np.ndarray, window: int, anchor: int) -> DataFrame:
+def _routed(src: DataFrame, bitmap: np.ndarray | None, window: int, anchor: int) -> DataFrame:
     """doc_id, n_words, kept, removed: whole documents; those without recurring anchors are done, the others carry text for their automaton."""
     sent = src.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -138,7 +156,7 @@ def _routed(src: DataFrame, bitmap: np.ndarray, window: int, anchor: int) -> Dat
         for t in buffered(batches, BATCH):
             h, at, words = split_words(t["text"].combine_chunks())
             _, doc, a = window_anchors(h, at, window, anchor)
-            hit = np.bincount(doc[in_bitmap(a, sent.value)], minlength=len(t)) > 0
+            hit = np.bincount(doc[_recur(t, doc, a, sent.value)], minlength=len(t)) > 0
             whole = pc.binary_join(pa.ListArray.from_arrays(at.astype(np.int32), words), pa.scalar(" ", pa.large_string()))
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(np.diff(at)), whole.cast(pa.string()), pa.array(hit)], names=["doc_id", "n_words", "kept", "open"])
 
@@ -181,25 +199,28 @@ class Automaton:
         return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, group_docs: int = GROUP_DOCS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space); a row per row of docs."""
     tune(docs.sparkSession)
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dated = src.where("doc_id is not null")
     held = written(_anchor_rows(dated, window, anchor), "anchors")
-    recurring = held.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    windows = _window_rows(dated, key_bitmap(recurring, "anchor"), window, anchor)
+    total = held.count()
+    recurring = held.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
+    recurring = written(recurring, "recurring")
+    windows = _window_rows(*_marked(dated, held, total, recurring, most_bits), window, anchor)
     firsts = windows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     own = written(firsts.groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("h").alias("own")), "firsts")  # no more than the document has windows
-    owners = maybe_in(dated, "doc_id", bloom(own, "doc_id")).join(own, "doc_id")
+    owners = maybe_in(dated, "doc_id", key_bitmap(own, "doc_id", most_bits)).join(own, "doc_id")
     passages = written(_passages(owners, window, anchor), "passages")
-    known = passages.groupBy("anchor").agg(F.min("first").alias("first"))
-    groups = max(1, -(-docs.count() // group_docs))
+    known = written(passages.groupBy("anchor").agg(F.min("first").alias("first")).join(recurring, "anchor"), "known")
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-size // group_bytes))
     group = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("group")
-    later = held.alias("x").join(known.alias("k"), (F.col("x.anchor") == F.col("k.anchor")) & (F.col("x.doc_id") > F.col("k.first"))).select("x.anchor", "doc_id")
+    later = join_salted(held, known, ["anchor"], "n", ["doc_id"], total).where("doc_id > first")
     where = later.select("anchor", group).distinct()
     needed = where.join(passages, "anchor").select("group", "first", "run", "words")
-    routed = _routed(src, key_bitmap(known, "anchor"), window, anchor)
+    routed = _routed(*_marked(src, held, total, known, most_bits), window, anchor)
 
     def locate(pdf: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
         out, removed = pdf["kept"].tolist(), np.zeros(len(pdf), np.int64)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITMAP_BITS, HASHES = 1 << 26, 3
+KEY_BITS, MOST_BITS, HASHES = 16, 1 << 28, 3  # bits for each key; beyond MOST_BITS (32 MB) no bit map is made
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,8 +67,12 @@ def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [mixed(keys + np.uint64((k + 1) * int(PRIME) % 2**64)) >> shift for k in range(HASHES)]
 
 
-def key_bitmap(keys: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
-    """A Bloom filter of a column of longs; its size is fixed, only its share of false hits grows with the keys."""
+def key_bitmap(keys: DataFrame, column: str, most_bits: int = MOST_BITS) -> np.ndarray | None:
+    """A Bloom filter of a column of longs, sized by how many there are; None where it would pass most_bits, so that callers join instead."""
+    need = max(KEY_BITS * keys.count(), 1 << 12)
+    if need > most_bits:
+        return None
+    bits = 1 << (need - 1).bit_length()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,3 +90,17 @@ def in_bitmap(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     for p in _places(keys, len(bitmap) * 64):
         hit &= (bitmap[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
     return hit
+
+
+def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray | None) -> DataFrame:
+    """The rows whose key (long) may be in the bitmap: all that are, and a few that are not; without a bitmap all rows with a key."""
+    known = df.where(F.col(column).isNotNull())
+    if bitmap is None:
+        return known
+    sent, at = df.sparkSession.sparkContext.broadcast(bitmap), df.columns.index(column)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(np.asarray(b.column(at)).view(np.uint64), sent.value)))
+
+    return known.mapInArrow(keep, df.schema)

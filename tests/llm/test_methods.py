@@ -58,6 +58,36 @@ def test_jaccard_nulls_and_repeated_ids(spark):
     assert got == [("3", 3), ("5", 3), ("5", 3), ("None", None)]
 
 
+def test_jaccard_sets_of_one_id(spark):
+    a, b, c = prose(90), prose(90), prose(90)
+    docs = spark.createDataFrame([(2, a), (2, b), (2, b), (7, a + " z"), (8, "y " + b), (9, c), (10, c), (11, c + " x")], "doc_id long, text string")
+    for bits in (jaccard.MOST_BITS, 0):
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_join(docs, 4, 85, most_bits=bits).collect()}
+        assert got == {(2, 87): 2, (7, 88): 2, (8, 88): 2, (9, 87): 9, (10, 87): 9, (11, 88): 9}
+
+
+def test_jaccard_many_near_copies(spark):
+    r = random.Random(12)
+    base = [prose(200, r) for _ in range(3)]
+    texts = []
+    for k in range(150):
+        words = base[k % 3].split()
+        for _ in range(r.randrange(0, 9)):
+            words[r.randrange(200)] = f"q{r.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*[t.split()[i:] for i in range(4)])) for t in texts]
+    low = list(range(150))
+    for _ in range(6):
+        for a in range(150):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+    got = {x.doc_id: x.component_id for x in jaccard.jaccard_join(frame(spark, texts), 4, 85).collect()}
+    assert got == dict(enumerate(low))
+    whole = np.array([7, 1 << 20, (1 << 63) + (5 << 16)], np.uint64)
+    assert (jaccard.unpacked(jaccard.packed(whole).ravel()) == whole >> np.uint64(16)).all()
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(40, 41), (41, 41)], "a long, b long")
     got = {r.node: r.component for r in graphs.components(edges).collect()}
@@ -67,7 +97,9 @@ def test_components(spark):
 def test_repeats_removed(spark):
     texts = [*corpus(), "again again " * 60, "again again " * 60]
     docs = frame(spark, texts).union(spark.createDataFrame([(None, texts[0], "", 1, "")], "doc_id long, text string, n string, g int, c string"))
-    got = {r.doc_id: r for r in phrases.remove_repeats(docs, group_docs=5).collect()}
+    got = {r.doc_id: r for r in phrases.remove_repeats(docs, group_bytes=5000).collect()}
+    joined = {r.doc_id: r for r in phrases.remove_repeats(docs, group_bytes=5000, most_bits=0).collect()}  # lists of anchors instead of a bit map
+    assert joined == got
     seen = set()
     for k, t in enumerate(texts):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
