@@ -23,7 +23,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from labels outside the held-out third."""
     labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
-    return quality.scored(docs, quality.fit(docs, labels), out_col="_score").where("_score >= 0.5").select(*docs.columns)
+    return docs.where(quality.score_of(F.col("text"), quality.fit(docs, labels)) >= 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of least doc_id; documents without words or doc_id stay."""
+    """One document of each group of near duplicates, that of least doc_id; documents without words or doc_id stay.
+
+    Rows that share that doc_id but not the text all stay, and of rows that share both one stays (the one of least hash over its columns).
+    """
     found = jaccard.jaccard_join(docs, SIMILAR_WORDS, SIMILAR_PERCENT)
-    kept = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    first = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = first.groupBy("doc_id", F.sha2("text", 256).alias("_text_key")).agg(F.min_by(row, F.xxhash64(row)).alias("_row"))
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns]).union(docs.where("doc_id is null"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
