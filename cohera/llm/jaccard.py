@@ -1,13 +1,13 @@
 """N-gram Jaccard join: an exact similarity join of documents on their sets of word n-grams, and its components.
 
 The join is a sparse product of the incidence matrix of documents by n-grams with its transpose, by blocks, in which overlap counts accumulate
-and decide. Texts are read to make the matrix and never again: rows that are equal (documents with one set) are one row, kept with its n-grams.
+and decide. Texts are read where they lie, to make the matrix, and never moved: rows that are equal (documents with one set) are one row.
 
 1. Head columns. N-grams are ordered rarest first. Of n n-grams, two rows that reach the threshold share one of the first
    n - ceil(t n) + 1, so only those columns are multiplied to find pairs, in blocks by hash of the n-gram. Counts of a pair add up within a block
    and then over blocks; with what is left of both rows after the last common column they bound its whole overlap, and pairs whose bound
    is below what their sizes ask for are discarded, as are those that signatures of fixed size rule out.
-2. Whole rows. For each pair left, a block of rows meets the row it is paired with (a block of sparse rows times one column of the transpose), and the overlap
+2. Whole rows. Rows of pairs that are left are made again with all their n-grams, which takes less than keeping all rows. For each pair left, a block of rows meets the row it is paired with (a block of sparse rows times one column of the transpose), and the overlap
    that accumulates there decides. A row paired with very many others is copied to as many blocks as they fill.
 
 Not all pairs of a group are made. First each row meets the rows that lead most of its head columns (stars); links make
@@ -91,7 +91,7 @@ def unpacked(raw: np.ndarray) -> np.ndarray:
 
 
 def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n (size of the set), set_key (its digest), head (the n-grams that the bound leaves, rarest first), bits (its signature) and row (all n-grams)."""
+    """doc_id, n (size of the set), set_key (its digest), head (the n-grams that the bound leaves, rarest first), and bits (its signature)."""
     counts = src.sparkSession.sparkContext.broadcast(_sketch(src, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,10 +106,21 @@ def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
                 bits[k, (s >> np.uint64(32) & np.uint64(BITS - 1)).astype(np.int64)] = True
             bits = [x.tobytes() for x in np.packbits(bits, axis=1)]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            whole = [packed(s).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(whole, pa.binary())], names=["doc_id", "n", "set_key", "head", "bits", "row"])
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "set_key", "head", "bits"])
 
-    return src.mapInArrow(rows, "doc_id long, n long, set_key binary, head array<long>, bits binary, row binary")
+    return src.mapInArrow(rows, "doc_id long, n long, set_key binary, head array<long>, bits binary")
+
+
+def whole_rows(src: DataFrame, wanted: DataFrame, words: int, most_bits: int) -> DataFrame:
+    """first, set_key and grams (all n-grams, 6 bytes each) of the nodes in wanted (and of a few more)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in buffered(batches, 3 << 20):
+            sets = shingle_sets(t["text"].combine_chunks(), words)
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(keys, pa.binary()), pa.array([packed(s).tobytes() for s in sets], pa.binary())], names=["first", "set_key", "grams"])
+
+    return maybe_in(src, "doc_id", key_bitmap(wanted, "first", most_bits)).mapInArrow(rows, "first long, set_key binary, grams binary")
 
 
 def _postings(nodes: DataFrame, bitmap: np.ndarray | None, shared: DataFrame) -> DataFrame:
@@ -146,20 +157,15 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(pick, "row long, hub long")
 
 
-def _product(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _product(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, percent: int, most_bits: int) -> DataFrame:
     """The pairs (row, hub) whose accumulated overlap reaches the threshold, as links (a, b)."""
-    total = pairs.count()
-    hubs = pairs.groupBy("hub").agg(F.count("*").alias("k"))
-    hubs = written(hubs.withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS)), "hubs")
-    dealt = join_salted(pairs, hubs, ["hub"], "k", ["row"], total).select("hub", F.pmod(F.xxhash64("row"), "blocks").alias("block"), "row")
-    ids = pairs.select(F.explode(F.array("row", "hub")).alias("rep")).distinct()
-    wanted = written(ids.join(nodes.select("rep", "first", "set_key"), "rep"), "wanted")
-    whole = maybe_in(rows.select("doc_id", "set_key", "row"), "doc_id", key_bitmap(wanted, "first"))
-    whole = whole.join(wanted, [whole.doc_id == wanted["first"], whole.set_key == wanted.set_key]).select("rep", F.col("row").alias("grams"))
-    whole = written(whole.dropDuplicates(["rep"]), "rows")
-    side = lambda df, c, kind: df.join(whole.withColumnRenamed("rep", c), c).select("hub", "block", F.lit(kind).alias("kind"), F.col(c).alias("row"), "grams")
-    copies = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    blocks = side(copies.withColumn("own", F.col("hub")), "own", 0).union(side(dealt, "row", 1)).repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
+    hubs = pairs.groupBy("hub").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS))
+    hubs = written(hubs, "hubs")
+    dealt = join_salted(pairs, hubs, ["hub"], "k", ["row"], pairs.count()).select("hub", F.pmod(F.xxhash64("row"), "blocks").alias("block"), F.lit(1).alias("kind"), F.col("row").alias("rep"))
+    copies = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
+    asked = written(dealt.union(copies).join(nodes.select("rep", "first", "set_key"), "rep"), "asked")
+    rows = whole_rows(src, asked.select("first").distinct(), words, most_bits)
+    blocks = asked.join(rows, ["first", "set_key"]).select("hub", "block", "kind", "rep", "grams").repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub = None, np.zeros(0, np.uint64)
@@ -190,8 +196,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     """doc_id, n_shingles, component_id: two documents link when percent * union <= 100 * intersection. A row per row of docs."""
     tune(docs.sparkSession)
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(incidence(src, words, percent), "incidence")
-    known = rows.where("doc_id is not null and n > 0")
+    made = written(incidence(src, words, percent), "incidence")
+    known = made.where("doc_id is not null and n > 0")
     # a distinct set is a node, with a number of its own: one doc_id may be the first of several sets
     reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     nodes = known.select("set_key", "doc_id", "n", "head", "bits").join(reps, "set_key").where("doc_id = first").dropDuplicates(["set_key"])
@@ -221,14 +227,14 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             both = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left")))
             summed = both.groupBy(F.col("x.rep").alias("row"), F.col("y.rep").alias("hub")).agg(F.count("*").alias("overlap"), F.min(F.least("x.left", "y.left")).alias("after"), F.min(F.col("x.n") + F.col("y.n")).alias("sizes"))
             pairs = summed.where(reach(F.col("overlap") + F.col("after") - 1, F.col("sizes"), F.lit(0))).select("row", "hub")
-        good = _product(written(_near(pairs, nodes, percent), "pairs"), rows, nodes, percent)
+        good = _product(written(_near(pairs, nodes, percent), "pairs"), nodes, src, words, percent, most_bits)
         links = written(good if links is None else links.union(good), "links")
     same = known.select("doc_id", "n", "set_key").join(reps, "set_key").select("doc_id", "n", "rep", "first")
     twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").join(same, "doc_id").select("a", F.col("rep").alias("b"))
     found = components(links.union(twice))
     least = reps.join(found.withColumnRenamed("node", "rep"), "rep").groupBy("component").agg(F.min("first").alias("component_id"))
     grouped = found.join(least, "component").select(F.col("node").alias("rep"), "component_id")
-    lone = rows.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    lone = made.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = same.join(grouped, "rep", "left").select("doc_id", "n", F.coalesce("component_id", "first").alias("component_id"))
     return out.union(lone).withColumnRenamed("n", "n_shingles")
 
