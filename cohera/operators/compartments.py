@@ -6,18 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .stats import correlation, with_midrank
+from .ranks import joined, with_midrank
+from .stats import correlation
 
 
 def module_scores(df: DataFrame, sample: str, feature: str, value: str, markers: DataFrame, kind: str) -> DataFrame:
     """Mean, per sample and kind, of the z scores (population spread, 1e-8 added) of the kind's markers. Only marker features are standardised."""
     m = df.join(markers.select(feature).distinct(), feature, "left_semi")
-    w = Window.partitionBy(feature)
-    z = m.withColumn("_z", (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + 1e-8))
+    spread = m.groupBy(feature).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    z = joined(m, spread, [feature]).withColumn("_z", (F.col(value) - F.col("_m")) / (F.col("_s") + 1e-8))
     return z.join(markers.select(feature, kind), feature).groupBy(sample, kind).agg(F.avg("_z").alias("score"))
 
 
@@ -99,30 +100,27 @@ def residualise(df: DataFrame, sample: str, feature: str, value: str, covariates
 
 
 def combat(df: DataFrame, sample: str, feature: str, value: str, batch: str) -> DataFrame:
-    """Parametric empirical-Bayes batch correction without covariates.
+    """Parametric empirical-Bayes batch correction without covariates; all variances are population variances of at least 1e-8.
 
     Moments per feature and batch are aggregates; the fixed point of a batch runs over its vector of features as one group
-    (features, not samples), and the adjustment is a join. Features without spread come back unchanged.
+    (features, not samples), and the adjustment is a join. With one feature variances are not shrunk.
     """
-    per = df.groupBy(feature, batch).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count(value)).alias("_ss"))
-    grand = per.groupBy(feature).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_g"), F.sqrt(F.sum("_ss") / F.sum("_n")).alias("_sd"))
-    std = per.join(grand, feature).where("_sd > 0").select(feature, batch, F.col("_n").cast("double"), ((F.col("_m") - F.col("_g")) / F.col("_sd")).alias("_gamma"), F.try_divide(F.col("_ss") / F.col("_sd") ** 2, F.col("_n") - 1).alias("_delta"))
+    floor = F.lit(1e-8)
+    per = df.groupBy(feature, batch).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"))
+    grand = per.groupBy(feature).agg((F.sum(F.col("_n") * F.col("_m")) / F.sum("_n")).alias("_g"), F.sqrt(F.greatest(F.sum(F.col("_n") * F.col("_v")) / F.sum("_n"), floor)).alias("_sd"))
+    std = per.join(grand, feature).select(feature, batch, F.col("_n").cast("double"), ((F.col("_m") - F.col("_g")) / F.col("_sd")).alias("_gamma"), (F.col("_v") / F.col("_sd") ** 2).alias("_delta"))
     schema = StructType([df.schema[feature], df.schema[batch], StructField("_gs", DoubleType()), StructField("_ds", DoubleType())])
 
     def shrink(p: pd.DataFrame) -> pd.DataFrame:
-        n, g, d = (p[c].to_numpy(dtype=float) for c in ("_n", "_gamma", "_delta"))
-        d = np.where(np.isnan(d), 1.0, d)
-        gbar, t2, m, s2 = g.mean(), g.var(ddof=1) if len(g) > 1 else 0.0, d.mean(), d.var(ddof=1) if len(d) > 1 else 0.0
-        if s2 <= 0 or t2 <= 0:
-            return pd.DataFrame({feature: p[feature], batch: p[batch], "_gs": g, "_ds": d})
-        a, b = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
-        gs, ds = g.copy(), d.copy()
-        for _ in range(500):
-            g1 = (t2 * n * g + ds * gbar) / (t2 * n + ds)
-            d1 = (b + 0.5 * ((n - 1) * d + n * (g - g1) ** 2)) / (n / 2 + a - 1)
-            change = max(np.abs((g1 - gs) / np.where(gs == 0, 1, gs)).max(), np.abs((d1 - ds) / ds).max())
+        n, g, v = (p[c].to_numpy(dtype=float) for c in ("_n", "_gamma", "_delta"))
+        d = np.maximum(v, 1e-8)
+        gs, ds, mean, s2 = g, d, d.mean(), d.var()
+        for _ in range(500 if s2 > 0 else 0):
+            g1 = (g.var() * n * g + ds * g.mean()) / (g.var() * n + ds)
+            d1 = ((mean * s2 + mean**3) / s2 + 0.5 * n * (v + (g - g1) ** 2)) / (n / 2 + (2 * s2 + mean**2) / s2 - 1)
+            change = max((np.abs(g1 - gs) / (np.abs(gs) + 1e-12)).max(), (np.abs(d1 - ds) / (np.abs(ds) + 1e-12)).max())
             gs, ds = g1, d1
-            if change < 1e-4:
+            if change <= 1e-4:
                 break
         return pd.DataFrame({feature: p[feature], batch: p[batch], "_gs": gs, "_ds": ds})
 

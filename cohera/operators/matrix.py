@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import with_midrank
+from .ranks import joined, quantiles, row_numbers, running, with_midrank
 
 
 def long_form(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
@@ -13,29 +13,27 @@ def long_form(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
 
 
 def log_cpm(df: DataFrame, sample: list[str], value: str = "value") -> DataFrame:
-    total = F.sum(value).over(Window.partitionBy(*sample))
-    return df.withColumn("log_cpm", F.log1p(F.try_divide(1e6 * F.col(value), total)))
+    total = df.groupBy(*sample).agg(F.sum(value).alias("_total"))
+    return joined(df, total, sample).withColumn("log_cpm", F.log1p(F.try_divide(1e6 * F.col(value), F.col("_total")))).drop("_total")
 
 
 def z_within(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFrame:
-    """Population z; a spread of 0 counts as 1."""
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(value).over(w)
-    return df.withColumn(out, (F.col(value) - F.avg(value).over(w)) / F.when(sd > 0, sd).otherwise(1.0))
+    """Population z; a spread of 0 counts as 1. Moments are aggregates joined back, so a large group is no single task."""
+    m = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return joined(df, m, by).withColumn(out, (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
 
 
 def control_z(df: DataFrame, value: str, label: str, by: list[str], out: str = "z") -> DataFrame:
     """(x - mean of controls) / pooled spread within classes (two degrees less); a spread of 0 counts as 1."""
-    w = Window.partitionBy(*by)
     c0, c1 = F.when(F.col(label) == 0, F.col(value)), F.when(F.col(label) == 1, F.col(value))
-    ss = F.coalesce(F.var_pop(c0).over(w) * F.count(c0).over(w), F.lit(0.0)) + F.coalesce(F.var_pop(c1).over(w) * F.count(c1).over(w), F.lit(0.0))
-    sd = F.sqrt(F.try_divide(ss, F.count(value).over(w) - 2))
-    return df.withColumn(out, (F.col(value) - F.avg(c0).over(w)) / F.when(sd > 0, sd).otherwise(1.0))
+    ss = F.coalesce(F.var_pop(c0) * F.count(c0), F.lit(0.0)) + F.coalesce(F.var_pop(c1) * F.count(c1), F.lit(0.0))
+    m = df.groupBy(*by).agg(F.avg(c0).alias("_m"), F.sqrt(F.try_divide(ss, F.count(value) - 2)).alias("_s"))
+    return joined(df, m, by).withColumn(out, (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
 
 
 def quantile_normalise(df: DataFrame, value: str, column: str, key: str) -> DataFrame:
     """Each column's values become the mean, over columns, of the values of the same rank."""
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(column).orderBy(value, key)))
+    ranked = row_numbers(df, value, [column], [key], "_rank")
     profile = ranked.groupBy("_rank").agg(F.avg(value).alias("normalised"))
     return ranked.join(profile, "_rank").drop("_rank")
 
@@ -53,25 +51,25 @@ def top_n(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
 
 def deciles(df: DataFrame, value: str, out: str = "decile") -> DataFrame:
     """How many of the exact 10th to 90th percentiles a value reaches."""
-    cuts = df.agg(F.percentile(value, F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("_cuts"))
-    return df.join(F.broadcast(cuts)).withColumn(out, F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")  # one row
+    cuts = quantiles(df, value, [], [k / 10 for k in range(1, 10)])
+    reached = sum([F.when(F.col(f"q{k}") <= F.col(value), 1).otherwise(0) for k in range(9)], F.lit(0))
+    return df.join(F.broadcast(cuts)).withColumn(out, reached).drop(*[f"q{k}" for k in range(9)])  # one row
 
 
 def median_split(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return df.withColumn("half", F.when(F.col(value) >= F.median(value).over(Window.partitionBy(*by)), "high").otherwise("low"))
+    cut = quantiles(df, value, by, [0.5])
+    return joined(df, cut, by, "left").withColumn("half", F.when(F.col(value) >= F.col("q0"), "high").otherwise("low")).drop("q0")
 
 
 def top_fraction(df: DataFrame, value: str, by: list[str], fraction: float) -> DataFrame:
-    cut = df.groupBy(*by).agg(F.percentile(value, 1 - fraction).alias("_cut"))
-    return df.join(cut, by).where(F.col(value) >= F.col("_cut")).drop("_cut")
+    return joined(df, quantiles(df, value, by, [1 - fraction]), by).where(F.col(value) >= F.col("q0")).drop("q0")
 
 
 def cumulative_gain(df: DataFrame, feature: str, gain: str, fraction: float) -> DataFrame:
     """The fewest features, best first, that hold the fraction of all gain."""
-    w = Window.orderBy(F.desc(gain), feature).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum(gain).over(Window.partitionBy())
-    kept = df.withColumn("_t", total).withColumn("_before", F.coalesce(F.sum(gain).over(w), F.lit(0.0)))
-    return kept.where(F.col("_before") < fraction * F.col("_t")).drop("_t", "_before")
+    total = df.agg(F.sum(gain).alias("_t"))
+    kept = running(df, gain, [], [gain], descending=True, tie=[feature]).join(F.broadcast(total))  # one row
+    return kept.where(F.col(f"{gain}_before") < fraction * F.col("_t")).drop("_t", f"{gain}_before")
 
 
 def z_against(df: DataFrame, reference: DataFrame, feature: str, value: str, out: str = "z") -> DataFrame:
@@ -101,8 +99,9 @@ def normal_quantile(p: Column) -> Column:
 
 def normal_scores(df: DataFrame, sample: str, value: str, out: str = "score") -> DataFrame:
     """Per sample, the normal quantile of midrank / (n + 1); null values have none."""
-    ranked = with_midrank(df, value, [sample], "_r")
-    return ranked.withColumn(out, normal_quantile(F.col("_r") / (F.count(value).over(Window.partitionBy(sample)) + 1))).drop("_r")
+    n = df.groupBy(sample).agg(F.count(value).alias("_n"))
+    ranked = joined(with_midrank(df, value, [sample], "_r"), n, [sample])
+    return ranked.withColumn(out, normal_quantile(F.col("_r") / (F.col("_n") + 1))).drop("_r", "_n")
 
 
 def break_even(df: DataFrame, k: str, metric: str) -> DataFrame:
@@ -117,3 +116,39 @@ def ratio_to_next(df: DataFrame, feature: str, kind: str, value: str, out: str =
     w = Window.partitionBy(feature)
     two = F.slice(F.sort_array(F.collect_list(value).over(w), asc=False), 1, 2)
     return df.withColumn("_t", two).withColumn(out, F.col(value) - F.when(F.col(value) == F.col("_t")[0], F.get("_t", F.lit(1))).otherwise(F.col("_t")[0])).drop("_t")
+
+
+def filled(df: DataFrame, sample: str, feature: str, value: str, how: str, train: DataFrame | None = None) -> DataFrame:
+    """The long table with null and NaN values filled: "zero", "column_mean" (the feature's mean), "row_median" (the sample's median) or "train_mean" (the
+    feature's mean over the samples of train). A feature or sample without a known value is filled with 0."""
+    v = F.col(value).cast("double")
+    rows = df.withColumn(value, F.when(~F.isnan(v), v))
+    if how == "zero":
+        return rows.fillna(0.0, [value])
+    if how == "row_median":
+        fill, key = quantiles(rows, value, [sample], [0.5]).withColumnRenamed("q0", "_fill"), [sample]
+    else:
+        known = rows.join(train.select(sample).distinct(), sample, "left_semi") if how == "train_mean" else rows
+        fill, key = known.groupBy(feature).agg(F.avg(value).alias("_fill")), [feature]
+    return joined(rows, fill, key, "left").withColumn(value, F.coalesce(value, "_fill", F.lit(0.0))).drop("_fill")
+
+
+def varying(df: DataFrame, feature: str, value: str, least_range: float = 1e-50) -> DataFrame:
+    """Rows of the features whose finite values differ by more than least_range; a feature without finite values goes."""
+    v = F.col(value).cast("double")
+    fine = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    kept = df.groupBy(feature).agg((F.max(fine) - F.min(fine)).alias("_s")).where(F.col("_s") > least_range)
+    return df.join(kept.select(feature), feature, "left_semi")
+
+
+def expressed(df: DataFrame, feature: str, value: str, least: float, share: float) -> DataFrame:
+    """Rows of the features that reach at least `least` in at least this share of their samples."""
+    good = df.groupBy(feature).agg(F.avg(F.when(F.col(value) >= least, 1.0).otherwise(0.0)).alias("_s")).where(F.col("_s") >= share)
+    return df.join(good.select(feature), feature, "left_semi")
+
+
+def without_lowest(df: DataFrame, feature: str, value: str, fraction: float = 0.25) -> DataFrame:
+    """Rows of the features whose mean lies above the given quantile of all features' means."""
+    means = df.groupBy(feature).agg(F.avg(value).alias("_m"))
+    cut = quantiles(means, "_m", [], [fraction])
+    return df.join(means.join(F.broadcast(cut)).where("_m > q0").select(feature), feature, "left_semi")  # one row of cuts

@@ -90,16 +90,15 @@ def forward_selection(score: Callable[[list[list[str]]], DataFrame], pool: list[
     return out
 
 
-def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, rounds: int = 20) -> tuple[DataFrame, int]:
-    """Applies step (select, flag, discard) until no key is dropped any more, at most `rounds` times; lineage is cut by checkpoint."""
-    now, n, k = start, start.count(), 0
-    for k in range(1, rounds + 1):
-        after = checkpointed(step(now))
-        m = after.select(key).distinct().count()
+def until_stable(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: str) -> tuple[DataFrame, int]:
+    """Applies step (select, flag, discard) until no key is dropped any more; lineage is cut by checkpoint. Each round but the last drops a key, so it ends."""
+    now, n, k = start, start.select(key).distinct().count(), 0
+    while True:
+        now, k = checkpointed(step(now)), k + 1
+        m = now.select(key).distinct().count()
         if m == n:
-            return after, k
-        now, n = after, m
-    return now, k
+            return now, k
+        n = m
 
 
 def combo_gain(single: DataFrame, combos: DataFrame) -> DataFrame:

@@ -30,28 +30,26 @@ def skeleton(correlations: DataFrame, n: int, z_cut: float = 1.959963984540054)
     full = correlations.select("a", "b", "r").union(correlations.select(F.col("b"), F.col("a"), F.col("r")))
     kept = correlations.where("a < b").where(dependent(F.col("r"), 0)).select("a", "b", "r")
     sides = kept.select("a", "b").union(kept.select("b", "a"))
-    third = kept.join(sides.select(F.col("a").alias("_x"), F.col("b").alias("c")), (F.col("a") == F.col("_x")) | (F.col("b") == F.col("_x"))).where("c <> a and c <> b").select("a", "b", "r", "c").distinct()
+    by_a = kept.join(sides.withColumnRenamed("b", "c"), "a").select("a", "b", "r", "c")
+    by_b = kept.join(sides.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", "b", "r", "c")
+    third = by_a.union(by_b).where("c <> a and c <> b").distinct()
     with_c = third.join(full.select(F.col("a"), F.col("b").alias("c"), F.col("r").alias("_ac")), ["a", "c"]).join(full.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("r").alias("_bc")), ["b", "c"])
     part = F.try_divide(F.col("r") - F.col("_ac") * F.col("_bc"), F.sqrt((1 - F.col("_ac") ** 2) * (1 - F.col("_bc") ** 2)))
     gone = with_c.where(~dependent(part, 1)).select("a", "b").distinct()
     return kept.join(gone, ["a", "b"], "left_anti")
 
 
-def reachable(edges: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
-    """All pairs (a, b) linked by a path, by joining only the pairs new in the last round to the edges.
-
-    Made for lineage graphs of steps and files. Raises where the rounds do not suffice.
-    """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
-    done, new = e, e
-    for _ in range(rounds):
-        step = new.select("a", F.col("b").alias("_m")).join(e.select(F.col("a").alias("_m"), "b"), "_m").select("a", "b").distinct()
-        new = step.join(done, ["a", "b"], "left_anti")
-        new = checkpointed(new)
-        if new.isEmpty():
-            return done
-        done = done.union(new)
-    raise ValueError(f"paths are longer than {rounds} edges")
+def reachable(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """All pairs (a, b) linked by a path. Every round joins the pairs that the last one found to all pairs so far, so paths double and
+    rounds grow with the logarithm of the longest one."""
+    done = checkpointed(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct())
+    new = done
+    while not new.isEmpty():
+        onward = new.select("a", F.col("b").alias("_m")).join(done.select(F.col("a").alias("_m"), "b"), "_m").select("a", "b")
+        back = done.select("a", F.col("b").alias("_m")).join(new.select(F.col("a").alias("_m"), "b"), "_m").select("a", "b")
+        new = checkpointed(onward.union(back).distinct().join(done, ["a", "b"], "left_anti"))
+        done = checkpointed(done.union(new))
+    return done
 
 
 def stale(artefacts: DataFrame, edges: DataFrame) -> DataFrame:

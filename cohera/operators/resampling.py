@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
-
-
-def hashed(*parts: Column | str | int, seed: int = 0) -> Column:
-    """A whole number from 0 to 2^32 - 1 out of the parts; any engine with MD5 gives the same."""
-    cols = [F.lit(str(seed)), *[(F.lit(p) if isinstance(p, int) else F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("long")
+from .draws import hashed
+from .ranks import running
+from .stats import roc_on_grid
 
 
 def draws(df: DataFrame, key: str, replicates: int, by: list[str] | None = None, seed: int = 0) -> DataFrame:
@@ -37,8 +34,8 @@ def weighted_auc(df: DataFrame, score: str, label: str, times: str, by: list[str
     """Area per group of rows that count several times; null for one class."""
     n = F.col(times)
     g = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, n).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, n).otherwise(0)).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("_u", F.col("_p") * (below + F.col("_q") / F.lit(2.0)))
+    g = running(g, score, by, ["_q"])
+    g = g.withColumn("_u", F.col("_p") * (F.col("_q_before") + F.col("_q") / F.lit(2.0)))
     return g.groupBy(*by).agg(F.try_divide(F.sum("_u"), (F.sum("_p") * F.sum("_q")).cast("double")).alias("auc"))
 
 
@@ -57,6 +54,15 @@ def paired_bootstrap(df: DataFrame, key: str, a: str, b: str, label: str, replic
     return x.join(y, "replicate").where("auc_a is not null and auc_b is not null").withColumn("difference", F.col("auc_a") - F.col("auc_b"))
 
 
+def roc_band(df: DataFrame, key: str, score: str, label: str, replicates: int, steps: int = 100, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """fpr (a fixed grid), low, middle, high: quantiles, over replicates drawn within the classes, of the rate of true positives at each grid point."""
+    rows = df.join(draws(df, key, replicates, [label], seed).select(key, "replicate", "times"), key)
+    curves = roc_on_grid(rows, score, label, steps, ["replicate"], "times")
+    tail = (1 - level) / 2
+    q = F.percentile("tpr", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))  # of replicates
+    return curves.groupBy("fpr").agg(q.alias("_q")).select("fpr", *[F.col("_q")[k].alias(c) for k, c in enumerate(("low", "middle", "high"))])
+
+
 def interval(df: DataFrame, value: str, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
     return df.agg(F.count(value).alias("replicates"), F.avg(value).alias("mean"), F.percentile(value, tail).alias("low"), F.percentile(value, 1 - tail).alias("high"))

@@ -11,21 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .draws import hashed
+from .ranks import LARGEST, joined, row_numbers, running, with_midrank
 
-def with_midrank(df: DataFrame, value: str, by: list[str], out: str = "midrank") -> DataFrame:
-    """Average rank of value within the groups; null values have no rank."""
-    w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0)))
 
-
-def two_group_auc(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
-    """Per group: n1, n0, auc (ties count half; null for one class) and rank_biserial. Rows of null value or label are left out."""
-    ranked = with_midrank(df.where(F.col(value).isNotNull() & F.col(label).isNotNull()), value, by)
+def label_counts(df: DataFrame, value: str, label: str, by: list[str], largest: int = LARGEST) -> DataFrame:
+    """Per group and distinct value: rows of each class (_p, _q), all (_t), and rows of class 0 at smaller values (_q_before)."""
+    known = df.where(F.col(value).isNotNull() & F.col(label).isNotNull())
     hit = F.col(label) == 1
-    g = ranked.groupBy(*by).agg(F.count(F.when(hit, 1)).alias("n1"), F.count(F.when(~hit, 1)).alias("n0"), F.sum(F.when(hit, F.col("midrank"))).alias("r1"))
-    auc = F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
-    return g.withColumn("auc", auc).withColumn("rank_biserial", 2 * F.col("auc") - 1).drop("r1")
+    g = known.groupBy(*by, value).agg(F.count(F.when(hit, 1)).alias("_p"), F.count(F.when(~hit, 1)).alias("_q"), F.count("*").alias("_t"))
+    return running(g, value, by, ["_q"], largest=largest)
+
+
+def two_group_auc(df: DataFrame, value: str, label: str, by: list[str], largest: int = LARGEST) -> DataFrame:
+    """Per group: n1, n0, auc (ties count half; null for one class) and rank_biserial. Rows of null value or label are left out.
+
+    Rows are counted per distinct value first, combined before the shuffle, so only distinct values are ordered.
+    """
+    g = label_counts(df, value, label, by, largest).groupBy(*by).agg(F.coalesce(F.sum("_p"), F.lit(0)).alias("n1"), F.coalesce(F.sum("_q"), F.lit(0)).alias("n0"), F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / F.lit(2.0))).alias("_u"))
+    auc = F.try_divide(F.col("_u"), (F.col("n1") * F.col("n0")).cast("double"))
+    return g.withColumn("auc", auc).withColumn("rank_biserial", 2 * F.col("auc") - 1).drop("_u")
 
 
 def hedges(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
@@ -85,9 +90,9 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: list[str], largest: int = LARGEST) -> DataFrame:
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_midrank(with_midrank(full, x, by, "_rx"), y, by, "_ry")
+    ranked = with_midrank(with_midrank(full, x, by, "_rx", largest), y, by, "_ry", largest)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
@@ -116,40 +121,62 @@ def decision_curve(df: DataFrame, score: str, label: str, thresholds: list[float
     return g.select("threshold", (F.col("tp") / F.col("n") - F.col("fp") / F.col("n") * odds).alias("net_benefit"), (F.col("rate") - (1 - F.col("rate")) * odds).alias("treat_all"))
 
 
-def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """threshold, tpr, fpr, youden at every distinct score (counts per score first, so the running sum is over scores)."""
-    g = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("_n"))
-    w, every = Window.orderBy(F.desc("threshold")), Window.partitionBy()
-    g = g.select("threshold", (F.sum("_p").over(w) / F.sum("_p").over(every)).alias("tpr"), (F.sum("_n").over(w) / F.sum("_n").over(every)).alias("fpr"))
-    return g.withColumn("youden", F.col("tpr") - F.col("fpr"))
+def roc_points(df: DataFrame, score: str, label: str, by: list[str] | None = None, weight: str | None = None, largest: int = LARGEST) -> DataFrame:
+    """by, threshold, tpr, fpr, youden at every distinct score (rows are counted per score first, so only scores are ordered)."""
+    by, n = by or [], F.col(weight) if weight else F.lit(1).cast("long")
+    g = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(F.when(F.col(label) == 1, n).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 0, n).otherwise(0)).alias("_n"))
+    every = g.groupBy(*by).agg(F.sum("_p").alias("_ps"), F.sum("_n").alias("_ns"))
+    r = joined(running(g, "threshold", by, ["_p", "_n"], descending=True, largest=largest), every, by)
+    r = r.select(*by, "threshold", F.try_divide((F.col("_p_before") + F.col("_p")).cast("double"), F.col("_ps")).alias("tpr"), F.try_divide((F.col("_n_before") + F.col("_n")).cast("double"), F.col("_ns")).alias("fpr"))
+    return r.withColumn("youden", F.col("tpr") - F.col("fpr"))
+
+
+def roc_on_grid(df: DataFrame, score: str, label: str, steps: int = 100, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """by, fpr (0, 1 / steps, ..., 1), tpr: the ROC curve by linear interpolation between its points; at a point met several times the last rate counts.
+
+    Every stretch of the curve covers the grid points in it: a row per point and grid point, nothing is paired.
+    """
+    by = by or []
+    p = roc_points(df, score, label, by, weight).where("tpr is not null and fpr is not null")
+    corners = p.groupBy(*by, "fpr").agg(F.min("tpr").alias("_low"), F.max("tpr").alias("_high"))
+    corners = corners.unionByName(p.select(*by).distinct().withColumns({"fpr": F.lit(0.0), "_low": F.lit(0.0), "_high": F.lit(0.0)})) if by else corners.unionByName(df.sparkSession.sql("select 0.0d as fpr, 0.0d as _low, 0.0d as _high"))
+    corners = corners.groupBy(*by, "fpr").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    w = Window.partitionBy(*by).orderBy("fpr")  # distinct rates of false positives on a curve
+    legs = corners.select(*by, "fpr", "_low", "_high", F.lag("fpr").over(w).alias("_x"), F.lag("_high").over(w).alias("_y"))
+    first, last = F.floor(F.col("_x") * steps + 1e-9) + 1, F.floor(F.col("fpr") * steps + 1e-9)
+    cells = legs.where("_x is not null").select(*by, "fpr", "_low", "_high", "_x", "_y", F.explode(F.when(first <= last, F.sequence(first, last))).alias("_g"))
+    x = F.col("_g") / F.lit(float(steps))
+    at = F.when(F.abs(x - F.col("fpr")) < 1e-12, F.col("_high")).otherwise(F.col("_y") + (F.col("_low") - F.col("_y")) * (x - F.col("_x")) / (F.col("fpr") - F.col("_x")))
+    zero = corners.where("fpr = 0").select(*by, F.lit(0.0).alias("fpr"), F.col("_high").alias("tpr"))
+    return cells.select(*by, x.alias("fpr"), at.alias("tpr")).unionByName(zero)
 
 
 def weighted_unit_mean(df: DataFrame, metric: str, unit: str, cohort: str) -> DataFrame:
-    """Every unit weighs the same, and so do the cohorts within a unit; null metrics carry no weight."""
-    per = df.where(F.col(metric).isNotNull()).groupBy(unit).agg(F.avg(metric).alias("_m"))
+    """Every unit weighs the same, and so do the cohorts within a unit, whatever their rows; null metrics carry no weight."""
+    each = df.where(F.col(metric).isNotNull()).groupBy(unit, cohort).agg(F.avg(metric).alias("_c"))
+    per = each.groupBy(unit).agg(F.avg("_c").alias("_m"))
     return per.agg(F.count("*").alias("units"), F.avg("_m").alias("weighted_mean"))
 
 
-def mann_whitney(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, label: str, by: list[str], largest: int = LARGEST) -> DataFrame:
     """u (of label 1), n1, n0, z and the two-sided p: normal approximation with tie and continuity correction; null for one class or all ties."""
-    rows = with_midrank(df.where(F.col(value).isNotNull() & F.col(label).isNotNull()), value, by)
-    t = F.count("*").over(Window.partitionBy(*by, value)).cast("double")
-    hit = F.col(label) == 1
-    g = rows.withColumn("_t", t * t - 1).groupBy(*by).agg(F.count(F.when(hit, 1)).alias("n1"), F.count(F.when(~hit, 1)).alias("n0"), F.sum(F.when(hit, F.col("midrank"))).alias("_r"), F.sum("_t").alias("_ties"))
+    t = F.col("_t").cast("double")
+    c = label_counts(df, value, label, by, largest)
+    g = c.groupBy(*by).agg(F.sum("_p").alias("n1"), F.sum("_q").alias("n0"), F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / F.lit(2.0))).alias("u"), F.sum(t * (t * t - 1)).alias("_ties"))
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     n = n1 + n0
     sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1))))
-    g = g.withColumn("u", F.col("_r") - n1 * (n1 + 1) / 2)
     off = F.col("u") - n1 * n0 / 2
     g = g.withColumn("z", F.signum(off) * F.try_divide(F.greatest(F.abs(off) - 0.5, F.lit(0.0)), sd))
     return g.withColumn("p", normal_two_sided_p(F.col("z"))).select(*by, "n1", "n0", "u", "z", "p")
 
 
-def signed_rank(df: DataFrame, difference: str, by: list[str]) -> DataFrame:
+def signed_rank(df: DataFrame, difference: str, by: list[str], largest: int = LARGEST) -> DataFrame:
     """Wilcoxon signed rank: n (without zeros), the sum of positive ranks, z with tie correction and p."""
     d = df.where((F.col(difference) != 0)).withColumn("_a", F.abs(F.col(difference)))
-    t = F.count("*").over(Window.partitionBy(*by, "_a")).cast("double")
-    g = with_midrank(d, "_a", by).withColumn("_t", t * t - 1).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("midrank")).otherwise(0.0)).alias("w"), F.sum("_t").alias("_ties"))
+    c = running(d.groupBy(*by, "_a").agg(F.count("*").alias("_t"), F.count(F.when(F.col(difference) > 0, 1)).alias("_p")), "_a", by, ["_t"], largest=largest)
+    t = F.col("_t").cast("double")
+    g = c.groupBy(*by).agg(F.sum("_t").alias("n"), F.sum(F.col("_p") * (F.col("_t_before") + (F.col("_t") + 1) / F.lit(2.0))).alias("w"), F.sum(t * (t * t - 1)).alias("_ties"))
     n = F.col("n").cast("double")
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
     g = g.withColumn("z", F.try_divide(F.col("w") - n * (n + 1) / 4, sd))
@@ -218,15 +245,15 @@ def poisson_binomial_tail(probs: Column, k: Column) -> Column:
 
 def residual(df: DataFrame, y: str, x: str, by: list[str], out: str) -> DataFrame:
     """Residual of the line of y on x within each group; y less its mean where x does not vary."""
-    w = Window.partitionBy(*by)
-    xm, ym, vx = F.avg(x).over(w), F.avg(y).over(w), F.var_pop(x).over(w)
-    slope = F.coalesce(F.try_divide(F.covar_pop(x, y).over(w), vx), F.lit(0.0))
-    return df.withColumn(out, F.col(y) - ym - slope * (F.col(x) - xm))
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    line = df.groupBy(*by).agg(F.avg(a).alias("_xm"), F.avg(b).alias("_ym"), F.coalesce(F.try_divide(F.covar_pop(a, b), F.var_pop(a)), F.lit(0.0)).alias("_slope"))
+    return joined(df, line, by).withColumn(out, F.col(y) - F.col("_ym") - F.col("_slope") * (F.col(x) - F.col("_xm"))).drop("_xm", "_ym", "_slope")
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, cov: str, by: list[str]) -> DataFrame:
     """Ranks of x and y lose their linear part in the rank of the covariate; then Spearman of what is left. Residuals are rounded at 1e-9, so ties stay ties."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cov).isNotNull())
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cov).isNotNull()).select(*by, x, y, cov)
     for c, name in ((x, "_rx"), (y, "_ry"), (cov, "_rc")):
         r = with_midrank(r, c, by, name)
     r = residual(residual(r, "_rx", "_rc", by, "_ex"), "_ry", "_rc", by, "_ey")
@@ -325,11 +352,35 @@ def enrichment_score(ranked: DataFrame, sets: DataFrame) -> DataFrame:
 
     Only members are touched: before the m-th member at place r the sum has fallen by (r - m) equal steps, so the extreme lies at a member or just before one.
     """
-    places = ranked.select("gene", "score", F.row_number().over(Window.orderBy(F.desc("score"), "gene")).alias("_r"))
-    n = ranked.agg(F.count("*").alias("_n"))
-    m = sets.select("term", "gene").distinct().join(places, "gene").join(F.broadcast(n))  # one row
-    w, every = Window.partitionBy("term").orderBy("_r"), Window.partitionBy("term")
+    places = row_numbers(ranked.select("gene", "score"), "score", [], ["gene"], "_r", descending=True)
+    return _extremes(sets.select("term", "gene").distinct().join(places, "gene"), ["term"], ranked.count())
+
+
+def permuted_enrichment(ranked: DataFrame, sets: DataFrame, permutations: int, least: int = 10, most: int = 500, seed: int = 0) -> DataFrame:
+    """term, size, es, nes and p of the terms with `least` to `most` ranked genes, against permutations of the genes over the places of the ranking.
+
+    p and nes rest on the permutations whose score has the sign of es: p = (those at least as large + 1) / (those + 1), nes = es / their mean size (null
+    without any). A permutation orders all genes by a hash, so it comes out the same when a task is run again; members alone are joined to it.
+    """
+    genes = ranked.select("gene", "score")
+    places = row_numbers(genes, "score", [], ["gene"], "_r", descending=True).select("_r", "score")
+    members = sets.select("term", "gene").distinct().join(genes.select("gene"), "gene")
+    size = members.groupBy("term").agg(F.count("*").alias("size")).where(F.col("size").between(least, most))
+    members = members.join(size.select("term"), "term")
+    dealt = genes.select("gene", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("_draw")).withColumn("_h", hashed("_draw", "gene", seed=seed))
+    dealt = row_numbers(dealt, "_h", ["_draw"], ["gene"], "_r").select("_draw", "gene", "_r")
+    null = _extremes(members.join(dealt, "gene").join(places, "_r"), ["term", "_draw"], genes.count()).select("term", F.col("es").alias("_null"))
+    es = _extremes(members.join(row_numbers(genes, "score", [], ["gene"], "_r", descending=True), "gene"), ["term"], genes.count())
+    same = F.signum("_null") == F.signum("es")
+    g = es.join(null, "term").groupBy("term", "size", "es").agg(F.count(F.when(same, 1)).alias("_n"), F.count(F.when(same & (F.abs("_null") >= F.abs("es")), 1)).alias("_k"), F.avg(F.when(same, F.abs("_null"))).alias("_mean"))
+    return g.select("term", "size", "es", F.try_divide(F.col("es"), F.col("_mean")).alias("nes"), ((F.col("_k") + 1) / (F.col("_n") + 1)).alias("p"))
+
+
+def _extremes(m: DataFrame, by: list[str], n: int) -> DataFrame:
+    """by, size and es from members with their places (_r, score) among n: before the k-th member at place r the sum has fallen by r - k equal steps."""
+    w, every = Window.partitionBy(*by).orderBy("_r"), Window.partitionBy(*by)  # the members of a set
     m = m.withColumn("_k", F.row_number().over(w)).withColumn("_m", F.count("*").over(every)).withColumn("_up", F.sum(F.abs("score")).over(w)).withColumn("_all", F.sum(F.abs("score")).over(every))
-    down = (F.col("_r") - F.col("_k")) / (F.col("_n") - F.col("_m"))
-    g = m.withColumn("_after", F.col("_up") / F.col("_all") - down).withColumn("_before", (F.col("_up") - F.abs("score")) / F.col("_all") - down).groupBy("term").agg(F.max("_m").alias("size"), F.max("_after").alias("_hi"), F.min("_before").alias("_lo"))
-    return g.select("term", "size", F.when(F.col("_hi") >= -F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("es"))
+    down = F.try_divide((F.col("_r") - F.col("_k")).cast("double"), F.lit(n) - F.col("_m"))
+    g = m.withColumn("_after", F.col("_up") / F.col("_all") - down).withColumn("_before", (F.col("_up") - F.abs("score")) / F.col("_all") - down)
+    g = g.groupBy(*by).agg(F.max("_m").alias("size"), F.max("_after").alias("_hi"), F.min("_before").alias("_lo"))
+    return g.select(*by, "size", F.when(F.col("_hi") >= -F.col("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("es"))

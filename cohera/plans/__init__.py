@@ -1,6 +1,6 @@
 """The registered queries, each with its DuckDB twin where SQL can say it."""
 
-from . import annotation, catalogue, modelling, selection, statistics
+from . import annotation, catalogue, modelling, selection, statistics, transfer
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "annotation", "catalogue", "modelling", "selection", "statistics"]
+__all__ = ["ORACLE", "QUERIES", "annotation", "catalogue", "modelling", "selection", "statistics", "transfer"]

@@ -59,9 +59,9 @@ def composite_priority(spark, d):
     return an.prioritised(p, "p_brand", {"large": 2.0, "dear": 1.0}).select("p_brand", "priority")
 
 
-@query("WITH n AS (SELECT p_partkey, sign(p_size - 25) AS need FROM part WHERE p_partkey % 7 = 0 AND p_size <> 25), s AS (SELECT DISTINCT l_suppkey AS term, l_partkey AS gene, CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END AS way FROM lineitem) SELECT term, count(*) FILTER (way = need) AS \"right\", count(*) FILTER (way = -need) AS wrong FROM s JOIN n ON gene = p_partkey GROUP BY 1")
+@query("WITH n AS (SELECT p_partkey, sign(p_size - 25) AS need FROM part WHERE p_size <> 25), s AS (SELECT DISTINCT l_suppkey AS term, l_partkey AS gene, CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END AS way FROM lineitem) SELECT term, count(*) FILTER (way = need) AS \"right\", count(*) FILTER (way = -need) AS wrong FROM s JOIN n ON gene = p_partkey GROUP BY 1")
 def direction_reversal(spark, d):
-    need = parquet(spark, d, "part").where("p_partkey % 7 = 0 and p_size <> 25").select(F.col("p_partkey").alias("gene"), F.sign(F.col("p_size") - 25).cast("int").alias("way"), F.lit(0.5).alias("chance"))
+    need = parquet(spark, d, "part").where("p_size <> 25").select(F.col("p_partkey").alias("gene"), F.sign(F.col("p_size") - 25).cast("int").alias("way"), F.lit(0.5).alias("chance"))
     s = parquet(spark, d, "lineitem").select(F.col("l_suppkey").alias("term"), F.col("l_partkey").alias("gene"), F.when(F.col("l_partkey") % 2 == 0, 1).otherwise(-1).alias("way")).distinct()
     return an.reversal(s, need).select("term", "right", "wrong")
 
@@ -102,9 +102,9 @@ def _ranked(keys: str, value: str, rows: str) -> str:
     return f"SELECT {keys}, y, rank() OVER (PARTITION BY {keys} ORDER BY {value}) + (count(*) OVER (PARTITION BY {keys}, {value}) - 1) / 2.0 AS r FROM {rows}"
 
 
-def _features(spark, d, most):
+def _features(spark, d, most=None):
     e = parquet(spark, d, "embeddings").where("label is not null")
-    return e.select("vec_id", F.posexplode(F.slice("embedding", 1, most)).alias("f", "v"), (F.col("label") % 2).alias("y")).select("vec_id", (F.col("f") + 1).alias("f"), F.col("v").cast("double").alias("v"), "y")
+    return e.select("vec_id", F.posexplode(F.slice("embedding", 1, most) if most else "embedding").alias("f", "v"), (F.col("label") % 2).alias("y")).select("vec_id", (F.col("f") + 1).alias("f"), F.col("v").cast("double").alias("v"), "y")
 
 
 @query(f"""WITH {FEATURES}, s AS (SELECT f, {AUC} AS auc FROM ({_ranked("f", "v", "e WHERE f <= 6")}) GROUP BY 1), c AS (SELECT a.f AS a, b.f AS b, a.v + b.v AS v, a.y FROM e a JOIN e b USING (vec_id) WHERE a.f < b.f AND b.f <= 6), p AS (SELECT a, b, {AUC} AS auc FROM ({_ranked("a, b", "v", "c")}) GROUP BY 1, 2)
@@ -118,25 +118,25 @@ def pair_synergy(spark, d):
     return gain.select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"), "auc", "synergy")
 
 
-@query(f"WITH {FEATURES}, c AS (SELECT f AS k, y, sum(v) OVER (PARTITION BY vec_id ORDER BY f) AS v FROM e WHERE f <= 10) SELECT CAST(k AS INT) AS k, {AUC} AS auc FROM ({_ranked('k', 'v', 'c')}) GROUP BY 1")
+@query(f"WITH {FEATURES}, c AS (SELECT f AS k, y, sum(v) OVER (PARTITION BY vec_id ORDER BY f) AS v FROM e) SELECT CAST(k AS INT) AS k, {AUC} AS auc FROM ({_ranked('k', 'v', 'c')}) GROUP BY 1")
 def incremental_curve(spark, d):
-    c = _features(spark, d, 10).select(F.col("f").alias("k"), "y", F.sum("v").over(Window.partitionBy("vec_id").orderBy("f")).alias("v"))
+    c = _features(spark, d).select(F.col("f").alias("k"), "y", F.sum("v").over(Window.partitionBy("vec_id").orderBy("f")).alias("v"))
     return st.two_group_auc(c, "v", "y", ["k"]).select("k", "auc")
 
 
-@query(f"WITH {FEATURES}, c AS (SELECT f, y, sum(v) OVER (PARTITION BY vec_id) AS t, v FROM e WHERE f <= 10), l AS (SELECT f, y, t - v AS v FROM c), w AS (SELECT {AUC} AS a FROM (SELECT y, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS r FROM c WHERE f = 1)) SELECT CAST(f AS INT) AS f, any_value(a) - {AUC} AS delta FROM ({_ranked('f', 'v', 'l')}), w GROUP BY 1")
+@query(f"WITH {FEATURES}, c AS (SELECT f, y, sum(v) OVER (PARTITION BY vec_id) AS t, v FROM e), l AS (SELECT f, y, t - v AS v FROM c), w AS (SELECT {AUC} AS a FROM (SELECT y, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS r FROM c WHERE f = 1)) SELECT CAST(f AS INT) AS f, any_value(a) - {AUC} AS delta FROM ({_ranked('f', 'v', 'l')}), w GROUP BY 1")
 def leave_one_feature_out(spark, d):
-    c = _features(spark, d, 10).withColumn("t", F.sum("v").over(Window.partitionBy("vec_id")))
+    c = _features(spark, d).withColumn("t", F.sum("v").over(Window.partitionBy("vec_id")))
     whole = st.two_group_auc(c.where("f = 1"), "t", "y", []).select(F.col("auc").alias("_a"))
     left = st.two_group_auc(c.withColumn("v", F.col("t") - F.col("v")), "v", "y", ["f"])
     return left.join(F.broadcast(whole)).select("f", (F.col("_a") - F.col("auc")).alias("delta"))  # one row
 
 
 @query(f"""WITH {FEATURES}, t AS (SELECT vec_id, y, sum(v) AS t FROM e WHERE f <= 4 GROUP BY 1, 2), w AS (SELECT {AUC} AS a FROM (SELECT y, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS r FROM t)),
-s AS (SELECT p.f AS slot, c.f AS candidate, t.y, t - p.v + c.v AS v FROM t JOIN e p USING (vec_id) JOIN e c USING (vec_id) WHERE p.f <= 4 AND c.f BETWEEN 5 AND 12), r AS (SELECT slot, candidate, {AUC} AS auc FROM ({_ranked('slot, candidate', 'v', 's')}) GROUP BY 1, 2)
+s AS (SELECT p.f AS slot, c.f AS candidate, t.y, t - p.v + c.v AS v FROM t JOIN e p USING (vec_id) JOIN e c USING (vec_id) WHERE p.f <= 4 AND c.f > 4), r AS (SELECT slot, candidate, {AUC} AS auc FROM ({_ranked('slot, candidate', 'v', 's')}) GROUP BY 1, 2)
 SELECT CAST(slot AS INT) AS slot, CAST(candidate AS INT) AS candidate, auc FROM r, w WHERE auc >= a - 0.002""")
 def replacement_screen(spark, d):
-    e = _features(spark, d, 12)
+    e = _features(spark, d)  # slots: the panel of the first four; candidates: all others
     panel = e.where("f <= 4").withColumn("t", F.sum("v").over(Window.partitionBy("vec_id")))
     base = st.two_group_auc(panel.where("f = 1"), "t", "y", []).select(F.col("auc").alias("_a"))
     other = e.where("f > 4").select("vec_id", F.col("f").alias("candidate"), F.col("v").alias("w"))
@@ -158,12 +158,10 @@ def forward_selection(spark, d):
 
 @query()
 def decontamination_fixpoint(spark, d):
-    """Orders whose price stays within 1.6 standard deviations of the mean of their priority, once none falls out any more or after 20 rounds."""
+    """Orders whose price stays within 1.6 standard deviations of the mean of their priority, once none falls out any more."""
 
     def step(now):
-        w = Window.partitionBy("o_orderpriority")
-        z = now.withColumn("_m", F.avg("o_totalprice").over(w)).withColumn("_s", F.stddev_pop("o_totalprice").over(w))
-        return z.where("abs(o_totalprice - _m) <= 1.6 * _s").drop("_m", "_s")
+        return mx.z_within(now, "o_totalprice", ["o_orderpriority"], "_z").where("abs(_z) <= 1.6").drop("_z")
 
     return md.until_stable(parquet(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), step, "o_orderkey")[0]
 

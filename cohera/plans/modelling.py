@@ -170,13 +170,13 @@ def neighbour_recurrence(spark, d):
     return nw.hubs(_edges(spark, d), "a", "b")
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS f, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), p AS (SELECT vec_id, f, v FROM e WHERE f < 12), c AS (SELECT x.f AS a, y.f AS b, corr(x.v, y.v) AS r FROM p x JOIN p y USING (vec_id) WHERE x.f <> y.f GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM embeddings),
+@query("""WITH e AS (SELECT vec_id, unnest(range(len(embedding))) AS f, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), p AS (SELECT vec_id, f, v FROM e), c AS (SELECT x.f AS a, y.f AS b, corr(x.v, y.v) AS r FROM p x JOIN p y USING (vec_id) WHERE x.f <> y.f GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM embeddings),
 k AS (SELECT a, b, r FROM c, n WHERE a < b AND abs(atanh(r)) * sqrt(n - 3) > 1.959963984540054), s AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
 t AS (SELECT DISTINCT k.a, k.b, k.r, s.b AS c FROM k JOIN s ON s.a = k.a OR s.a = k.b WHERE s.b <> k.a AND s.b <> k.b),
 g AS (SELECT DISTINCT t.a, t.b FROM t JOIN c x ON x.a = t.a AND x.b = t.c JOIN c y ON y.a = t.b AND y.b = t.c, n WHERE abs(atanh((t.r - x.r * y.r) / sqrt((1 - x.r * x.r) * (1 - y.r * y.r)))) * sqrt(n - 4) <= 1.959963984540054)
 SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b, r FROM k WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.a = k.a AND g.b = k.b)""")
 def causal_skeleton(spark, d):
-    p = _emb(spark, d).where("f < 12")
+    p = _emb(spark, d)
     c = p.select("vec_id", F.col("f").alias("a"), F.col("v").alias("_x")).join(p.select("vec_id", F.col("f").alias("b"), F.col("v").alias("_y")), "vec_id").where("a < b").groupBy("a", "b").agg(F.corr("_x", "_y").alias("r"))
     return nw.skeleton(c, parquet(spark, d, "embeddings").count())
 

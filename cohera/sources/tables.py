@@ -13,10 +13,13 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows from the shared checkpoint folder of the session, without their lineage; a folder of its own only where none is named (tests)."""
+    """The rows from the shared checkpoint folder of the session, without their lineage; a folder of its own only in local mode where none is named (tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return df.checkpoint()
 
 
@@ -29,10 +32,11 @@ def gene_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """row, col, value (from 1) of a coordinate file; comments and the size line (the first after them) are dropped."""
-    t = spark.read.text(path).where(~F.col("value").startswith("%")).select(F.split(F.trim("value"), r"\s+").alias("p"), F.monotonically_increasing_id().alias("_at"))
-    first = t.agg(F.min("_at").alias("_first"))
-    rows = t.join(F.broadcast(first)).where("_at > _first and size(p) = 3")
+    """row, col, value (from 1) of coordinate files; each file's comments and size line (its first after them) are dropped."""
+    t = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("_at"))
+    t = t.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(F.split(F.trim("value"), r"\s+").alias("p"), "_file", "_at")
+    first = t.groupBy("_file").agg(F.min("_at").alias("_first"))
+    rows = t.join(first, "_file").where("_at > _first and size(p) = 3")
     return rows.select(F.col("p")[0].cast("long").alias("row"), F.col("p")[1].cast("long").alias("col"), F.expr("try_cast(p[2] as double)").alias("value"))
 
 
