@@ -141,8 +141,14 @@ def _postings(nodes: DataFrame, bitmap: np.ndarray | None, shared: DataFrame) ->
     return out if bitmap is not None else out.join(shared.select("gram"), "gram")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _of_pairs(pairs: DataFrame, nodes: DataFrame, most_bits: int) -> DataFrame:
+    """The nodes of pairs, and a few more: others do not move."""
+    return maybe_in(nodes, "rep", key_bitmap(pairs.select(F.explode(F.array("row", "hub")).alias("rep")).distinct(), "rep", most_bits))
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int, most_bits: int) -> DataFrame:
     """The pairs (row, hub) that their signatures leave: each bit that one set has alone is an n-gram that the other lacks."""
+    nodes = _of_pairs(pairs, nodes, most_bits)
     side = lambda x: nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.join(side("row"), "row").join(side("hub"), "hub").select("row", "hub", "n_row", "n_hub", "bits_row", "bits_hub")
 
@@ -163,7 +169,7 @@ def _product(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, per
     hubs = written(hubs, "hubs")
     dealt = join_salted(pairs, hubs, ["hub"], "k", ["row"], pairs.count()).select("hub", F.pmod(F.xxhash64("row"), "blocks").alias("block"), F.lit(1).alias("kind"), F.col("row").alias("rep"))
     copies = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
-    asked = written(dealt.union(copies).join(nodes.select("rep", "first", "set_key"), "rep"), "asked")
+    asked = written(dealt.union(copies).join(_of_pairs(pairs, nodes.select("rep", "first", "set_key"), most_bits), "rep"), "asked")
     rows = whole_rows(src, asked.select("first").distinct(), words, most_bits)
     blocks = asked.join(rows, ["first", "set_key"]).select("hub", "block", "kind", "rep", "grams").repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
 
@@ -227,7 +233,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             both = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left")))
             summed = both.groupBy(F.col("x.rep").alias("row"), F.col("y.rep").alias("hub")).agg(F.count("*").alias("overlap"), F.min(F.least("x.left", "y.left")).alias("after"), F.min(F.col("x.n") + F.col("y.n")).alias("sizes"))
             pairs = summed.where(reach(F.col("overlap") + F.col("after") - 1, F.col("sizes"), F.lit(0))).select("row", "hub")
-        good = _product(written(_near(pairs, nodes, percent), "pairs"), nodes, src, words, percent, most_bits)
+        good = _product(written(_near(written(pairs, "candidates"), nodes.select("rep", "n", "bits"), percent, most_bits), "pairs"), nodes, src, words, percent, most_bits)
         links = written(good if links is None else links.union(good), "links")
     same = known.select("doc_id", "n", "set_key").join(reps, "set_key").select("doc_id", "n", "rep", "first")
     twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").join(same, "doc_id").select("a", F.col("rep").alias("b"))
