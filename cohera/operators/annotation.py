@@ -39,10 +39,18 @@ def with_sources(named: dict[str, DataFrame], key: str) -> DataFrame:
     return out.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("_source")), "+").alias("sources"))
 
 
+MOST_TERMS = 2000  # that are sent to every task as one array
+
+
 def literature_counts(docs: DataFrame, doc: str, text: str, terms: DataFrame, least: int) -> DataFrame:
-    """term, documents (that hold it as a word, in any case), flagged (at least `least`). Words join terms, so any number of terms costs one pass."""
-    words = docs.select(F.col(doc).alias("_d"), F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("_w"))
+    """term, documents (that hold it as a word, in any case), flagged (at least `least`). Up to MOST_TERMS terms are looked for in each text's own words before
+    anything is exploded; more terms are joined to the words. Either way it is one pass."""
     wanted = terms.select("term", F.lower("term").alias("_w"))
+    own = F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))
+    few = [r[0] for r in wanted.select("_w").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(few) <= MOST_TERMS:
+        own = F.array_intersect(own, F.array(*[F.lit(w) for w in few]) if few else F.array().cast("array<string>"))
+    words = docs.select(F.col(doc).alias("_d"), F.explode(own).alias("_w"))
     n = words.join(wanted.select("_w").distinct(), "_w").groupBy("_w").agg(F.count_distinct("_d").alias("_n"))
     n = wanted.join(n, "_w", "left").withColumn("documents", F.coalesce("_n", F.lit(0)))
     return n.select("term", "documents", (F.col("documents") >= least).alias("flagged"))

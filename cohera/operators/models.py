@@ -1,61 +1,88 @@
-"""Models over tasks: every (repeat, fold, candidate) is one group of a grid, so Spark spreads the fits and the driver only steers."""
+"""Models over tasks: every (repeat, fold, candidate) is one fit of a grid, made from sums that Spark takes; the driver only steers."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..sources.tables import checkpointed
+from .ranks import joined
 from .resampling import weighted_auc
+from .stats import two_group_auc
 
 
-def ridge_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, steps: int = 50) -> np.ndarray:
-    """Coefficients (intercept first, not shrunk) of an L2 logistic regression with inverse strength c, by Newton steps."""
-    x = np.column_stack([np.ones(len(x)), x])
-    shrink = np.full(x.shape[1], 1 / c)
-    shrink[0] = 1e-9
-    beta = np.zeros(x.shape[1])
+MOST_FITS = 20_000  # fits that are steered at once; the driver holds their coefficients and sums, never rows
+
+
+def logistic_fits(rows: DataFrame, fit: list[str], label: str, features: list[str], c: float = 1.0, steps: int = 30) -> tuple[DataFrame, dict]:
+    """Ridge logistic regressions, one per combination of the columns `fit`, by Newton steps whose gradients and curvatures are sums over rows.
+
+    A step is one aggregate (combined before the shuffle); the driver solves a system of the features' size per fit. Features must be without nulls.
+    Returns the coefficients as a frame (fit, _beta: intercept first, not shrunk; null for rows of one class) and as a dictionary with each fit's rate of class 1.
+    """
+    rows = checkpointed(rows.select(*fit, label, *features))  # read once per step
+    spark, k = rows.sparkSession, len(features) + 1
+    x = [F.lit(1.0), *[F.col(f) for f in features]]
+    sizes = rows.groupBy(*fit).agg(F.avg(F.col(label).cast("double")).alias("_rate")).limit(MOST_FITS + 1).collect() if fit else rows.agg(F.avg(F.col(label).cast("double")).alias("_rate")).collect()
+    if len(sizes) > MOST_FITS:
+        raise ValueError(f"more than {MOST_FITS} fits at once: take fewer candidates a step")
+    rate = {tuple(r[f] for f in fit): r["_rate"] for r in sizes if r["_rate"] is not None}
+    beta = {key: np.zeros(k) for key, v in rate.items() if 0 < v < 1}
+    shrink = np.array([1e-9] + [1 / c] * (k - 1))
+    schema = StructType([*[rows.schema[f] for f in fit], StructField("_beta", ArrayType(DoubleType()))])
+
+    def frame(of: dict) -> DataFrame:
+        return spark.createDataFrame([(*key, b.tolist()) for key, b in of.items()], schema)
+
+    going = set(beta)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (weight * (y - p)) - shrink * beta)
-        beta += move
-        if np.abs(move).max() < 1e-10:
+        if not going:
             break
-    return beta
+        now = joined(rows, F.broadcast(frame({key: beta[key] for key in going})), fit)  # at most MOST_FITS rows
+        score = sum((F.col("_beta")[i] * v for i, v in enumerate(x)), F.lit(0.0))
+        now = now.withColumn("_p", 1 / (1 + F.exp(-F.least(F.greatest(score, F.lit(-30.0)), F.lit(30.0)))))
+        w, miss = F.col("_p") * (1 - F.col("_p")), F.col(label) - F.col("_p")
+        sums = [F.sum(miss * v).alias(f"_g{i}") for i, v in enumerate(x)] + [F.sum(w * x[i] * x[j]).alias(f"_h{i}_{j}") for i in range(k) for j in range(i, k)]
+        for r in now.groupBy(*fit).agg(*sums).collect():
+            key = tuple(r[f] for f in fit)
+            h = np.empty((k, k))
+            for i in range(k):
+                for j in range(i, k):
+                    h[i, j] = h[j, i] = r[f"_h{i}_{j}"]
+            move = np.linalg.solve(h + np.diag(shrink), np.array([r[f"_g{i}"] for i in range(k)]) - shrink * beta[key])
+            beta[key] = beta[key] + move
+            if np.abs(move).max() < 1e-9:
+                going.discard(key)
+    return frame(beta), rate
 
 
 def out_of_fold(df: DataFrame, task: list[str], fold: str, key: str, label: str, features: list[str], c: float = 1.0) -> DataFrame:
     """Scores of rows by models that have not seen their fold: scaling and model are refitted per task and fold. task columns, key, label, score.
 
-    A task's rows (samples of the cohorts, not cells) come to one group per fold: training rows are copied to the other folds' groups before the shuffle.
+    Rows are counted for the fits of the other folds where they lie; only sums per task and fold are shuffled, so no cohort comes to one task.
     Null features count as the training mean; a fold whose training rows are of one class scores their rate.
     """
-    held = df.select(*task, fold).distinct().withColumnRenamed(fold, "_held")
-    rows = df.select(*task, fold, key, label, *[F.col(f).cast("double").alias(f) for f in features]).join(F.broadcast(held), task) if task else df.join(F.broadcast(held))  # tasks x folds
-    rows = rows.select(*task, "_held", fold, key, F.col(label).cast("double").alias(label), *features)
-    schema = StructType([*[df.schema[t] for t in task], df.schema[key], StructField(label, DoubleType()), StructField("score", DoubleType())])
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        test = (p[fold] == p["_held"]).to_numpy()
-        x, y = p[features].to_numpy(dtype=float), p[label].to_numpy(dtype=float)
-        mean = np.nan_to_num(np.nanmean(np.where(test[:, None], np.nan, x), axis=0)) if (~test).any() else np.zeros(len(features))
-        x = np.where(np.isnan(x), mean, x) - mean
-        sd = x[~test].std(axis=0) if (~test).any() else np.ones(len(features))
-        x = x / np.where(sd > 0, sd, 1)
-        use = ~test & ~np.isnan(y)
-        if len(set(y[use])) < 2:
-            score = np.full(int(test.sum()), y[use].mean() if use.any() else 0.5)
-        else:
-            beta = ridge_logistic(x[use], y[use], np.ones(int(use.sum())), c)
-            score = 1 / (1 + np.exp(-np.clip(beta[0] + x[test] @ beta[1:], -30, 30)))
-        return p.loc[test, [*task, key, label]].assign(score=score)
-
-    return rows.groupBy(*task, "_held").applyInPandas(fit, schema)
+    known = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+    rows = df.select(*task, fold, key, F.col(label).cast("double").alias(label), *[known(f).alias(f) for f in features])
+    held = rows.select(*task, fold).distinct().withColumnRenamed(fold, "_held")
+    train = joined(rows, held, task) if task else rows.join(F.broadcast(held))  # folds
+    train = train.where(~F.col(fold).eqNullSafe(F.col("_held")))
+    m = train.groupBy(*task, "_held").agg(*[a for f in features for a in (F.coalesce(F.avg(f), F.lit(0.0)).alias(f"_m_{f}"), F.stddev_pop(F.col(f)).alias(f"_s_{f}"), F.count("*").alias(f"_a_{f}"), F.count(f).alias(f"_k_{f}"))])
+    # a null is the mean, which narrows the spread by the share of known values
+    spread = {f: F.col(f"_s_{f}") * F.sqrt(F.col(f"_k_{f}") / F.col(f"_a_{f}")) for f in features}
+    scaled = [(F.coalesce(F.col(f) - F.col(f"_m_{f}"), F.lit(0.0)) / F.when(spread[f] > 0, spread[f]).otherwise(1.0)).alias(f) for f in features]
+    fitted = joined(train.where(F.col(label).isNotNull()), m, [*task, "_held"]).select(*task, "_held", label, *scaled)
+    betas, rate = logistic_fits(fitted, [*task, "_held"], label, features, c)
+    test = joined(rows.withColumn("_held", F.col(fold)), m, [*task, "_held"], "left").select(*task, "_held", key, label, *[F.coalesce(x, F.lit(0.0)).alias(f) for f, x in zip(features, scaled, strict=True)])
+    score = sum((F.col("_beta")[i + 1] * F.col(f) for i, f in enumerate(features)), F.col("_beta")[0])
+    rates = df.sparkSession.createDataFrame([(*k, float(v)) for k, v in rate.items()], StructType([*[rows.schema[t] for t in task], StructField("_held", rows.schema[fold].dataType), StructField("_rate", DoubleType())]))
+    out = joined(joined(test, betas, [*task, "_held"], "left"), rates, [*task, "_held"], "left")
+    fine = 1 / (1 + F.exp(-F.least(F.greatest(score, F.lit(-30.0)), F.lit(30.0))))
+    return out.select(*task, key, label, F.coalesce(fine, "_rate", F.lit(0.5)).alias("score"))
 
 
 def pooled_auc_of(scores: DataFrame, task: list[str], repeat: str | None, key: str, label: str) -> DataFrame:
@@ -109,23 +136,22 @@ def combo_gain(single: DataFrame, combos: DataFrame) -> DataFrame:
 
 
 def covariate_adjustment(df: DataFrame, by: list[str], label: str, score: str, covariates: list[str], c: float = 1.0) -> DataFrame:
-    """by, model, coefficient of the standardised score (null in the covariates' own model), auc of the fitted values, for score, covariates and both. Incomplete rows are left out; one class alone gives no rows."""
+    """by, model, coefficient of the standardised score (null in the covariates' own model), auc of the fitted values, for score, covariates and both. Incomplete rows are left out; one class alone gives no rows.
+
+    Moments, Newton sums and areas are aggregates, so a group of any size is no single task.
+    """
     models = {"score": [score], "covariates": covariates, "both": [score, *covariates]}
-    rows = df.select(*by, label, *[F.col(x).cast("double").alias(x) for x in models["both"]]).dropna(subset=[label, *models["both"]])
-    rows = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    schema = StructType([*[df.schema[b] for b in by], StructField("model", StringType()), StructField("coefficient", DoubleType()), StructField("auc", DoubleType())])
-
-    def fit(p: pd.DataFrame) -> pd.DataFrame:
-        use, y = models[p["model"].iloc[0]], p[label].to_numpy(dtype=float)
-        if len(set(y)) < 2:
-            return p.iloc[:0].assign(coefficient=0.0, auc=0.0)[schema.names]
-        x = p[use].to_numpy()
-        sd = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(sd > 0, sd, 1)
-        beta = ridge_logistic(x, y, np.ones(len(y)), c)
-        rank = pd.Series(beta[0] + x @ beta[1:]).rank().to_numpy()
-        n1 = y.sum()
-        auc = (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
-        return p.iloc[:1].assign(coefficient=beta[1] if score in use else None, auc=auc)[schema.names]
-
-    return rows.groupBy(*by, "model").applyInPandas(fit, schema)
+    names = [score, *covariates]
+    rows = df.select(*by, label, *[F.col(x).cast("double").alias(x) for x in names]).dropna(subset=[label, *names])
+    m = rows.groupBy(*by).agg(*[a for x in names for a in (F.avg(x).alias(f"_m_{x}"), F.stddev_pop(x).alias(f"_s_{x}"))])
+    z = joined(rows, m, by).select(*by, label, *[((F.col(x) - F.col(f"_m_{x}")) / F.when(F.col(f"_s_{x}") > 0, F.col(f"_s_{x}")).otherwise(1.0)).alias(x) for x in names])
+    out = None
+    for model, use in models.items():
+        betas, _ = logistic_fits(z, by, label, use, c)
+        line = sum((F.col("_beta")[i + 1] * F.col(x) for i, x in enumerate(use)), F.col("_beta")[0])
+        fitted = joined(z, betas, by).select(*by, label, F.round(line, 12).alias("_line"))
+        areas = two_group_auc(fitted, "_line", label, by)
+        coefficient = F.col("_beta")[1] if score in use else F.lit(None).cast("double")
+        one = joined(areas, betas, by).select(*by, F.lit(model).alias("model"), coefficient.alias("coefficient"), "auc")
+        out = one if out is None else out.union(one)
+    return out

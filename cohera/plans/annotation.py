@@ -158,10 +158,10 @@ def forward_selection(spark, d):
 
 @query()
 def decontamination_fixpoint(spark, d):
-    """Orders whose price stays within 1.6 standard deviations of the mean of their priority, once none falls out any more."""
+    """Orders whose price stays within 1.8 standard deviations of the mean of their priority, once none falls out any more."""
 
     def step(now):
-        return mx.z_within(now, "o_totalprice", ["o_orderpriority"], "_z").where("abs(_z) <= 1.6").drop("_z")
+        return mx.z_within(now, "o_totalprice", ["o_orderpriority"], "_z").where("abs(_z) <= 1.8").drop("_z")
 
     return md.until_stable(parquet(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), step, "o_orderkey")[0]
 
