@@ -152,3 +152,20 @@ def without_lowest(df: DataFrame, feature: str, value: str, fraction: float = 0.
     means = df.groupBy(feature).agg(F.avg(value).alias("_m"))
     cut = quantiles(means, "_m", [], [fraction])
     return df.join(means.join(F.broadcast(cut)).where("_m > q0").select(feature), feature, "left_semi")  # one row of cuts
+
+
+def above_mean_gain(df: DataFrame, feature: str, gain: str) -> DataFrame:
+    """The features whose gain reaches the mean gain."""
+    return df.join(F.broadcast(df.agg(F.avg(gain).alias("_mean")))).where(F.col(gain) >= F.col("_mean")).select(feature, gain)  # one row
+
+
+def log_where_raw(df: DataFrame, value: str, cohort: str, log_scale: list, out: str = "logged") -> DataFrame:
+    """log1p of the values but for the cohorts that are on a log scale already, which stay."""
+    return df.withColumn(out, F.when(F.col(cohort).isin(*log_scale), F.col(value)).otherwise(F.log1p(F.col(value))))
+
+
+def fold_changes(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
+    """by, ratio, pseudo, back: log2 fold changes of class means as plain ratio (null where either is not positive), with pseudo-count 1, and of means on a log1p scale taken back, with 1e-3."""
+    m = df.groupBy(*by).agg(*[F.avg(F.when(F.col(label) == k, F.col(value))).alias(f"_m{k}") for k in (0, 1)])
+    a, b = F.col("_m1"), F.col("_m0")
+    return m.select(*by, F.when((a > 0) & (b > 0), F.log2(a / b)).alias("ratio"), F.log2((a + 1) / (b + 1)).alias("pseudo"), F.log2((F.expm1(a) + 1e-3) / (F.expm1(b) + 1e-3)).alias("back"))

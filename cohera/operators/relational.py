@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .draws import hashed
+from .ranks import row_numbers
+
 
 def disjoint(rows: DataFrame, train: DataFrame, donor: str) -> DataFrame:
     """The rows whose donor is in no training row."""
@@ -163,3 +166,11 @@ def fallback_filter(df: DataFrame, conditions: list[Column], order: list, n: int
         keep = keep | ((F.col("_pick") == k) & c)
     top = chosen.where(F.col("_pick") == len(conditions)).orderBy(*order).limit(n)
     return chosen.where(keep).unionByName(top).drop("_pick")
+
+
+def matched_sample(candidates: DataFrame, panel: DataFrame, key: str, pattern: str, seed: int = 0) -> DataFrame:
+    """pattern, key: as many candidates outside the panel per pattern as the panel has there (all, where there are fewer), those of least hash."""
+    wanted = panel.join(candidates, key).groupBy(pattern).agg(F.count("*").alias("_m"))
+    free = candidates.join(panel.select(key), key, "left_anti").join(wanted, pattern)
+    ranked = row_numbers(free.withColumn("_h", hashed(key, seed=seed)), "_h", [pattern], [key], "_n")
+    return ranked.where(F.col("_n") <= F.col("_m")).select(pattern, key)

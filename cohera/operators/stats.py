@@ -171,6 +171,65 @@ def mann_whitney(df: DataFrame, value: str, label: str, by: list[str], largest:
     return g.withColumn("p", normal_two_sided_p(F.col("z"))).select(*by, "n1", "n0", "u", "z", "p")
 
 
+MOST_EXACT = 50  # rows of a group whose rank test is counted out
+
+
+def _rank_sum_ways(n1: int, n0: int) -> np.ndarray:
+    """How many of the orders of n1 + n0 distinct values give each u, from 0 to n1 * n0."""
+    ways = np.zeros((n1 + 1, n1 * n0 + 1))
+    ways[0, 0] = 1
+    for rank in range(1, n1 + n0 + 1):
+        for k in range(min(rank, n1), 0, -1):
+            move = rank - k  # rows of the other class below the k-th
+            if move <= n1 * n0:
+                ways[k, move:] += ways[k - 1, : n1 * n0 + 1 - move]
+    return ways[n1]
+
+
+def _tail(ways: np.ndarray, at: float, alternative: str) -> float:
+    p, k = ways / ways.sum(), int(round(at))
+    low, high = p[: k + 1].sum(), p[k:].sum()
+    return float({"less": low, "greater": high, "two-sided": min(1.0, 2 * min(low, high))}[alternative])
+
+
+def exact_mann_whitney(df: DataFrame, value: str, label: str, by: list[str], alternative: str = "two-sided") -> DataFrame:
+    """by, n1, n0, u, ties (whether values repeat) and p: counted out where no values repeat, a class has at most 8 rows and both at most MOST_EXACT, by the normal
+    approximation elsewhere. alternative: "two-sided", "less" or "greater" (label 1 has the smaller, the larger values)."""
+    ties = label_counts(df, value, label, by).groupBy(*by).agg((F.max("_t") > 1).alias("ties"))
+    g = joined(mann_whitney(df, value, label, by), ties, by)
+
+    @F.pandas_udf(DoubleType())
+    def p(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series, near: pd.Series) -> pd.Series:
+        fine = lambda a, b, t: not t and min(a, b) <= 8 and a + b <= MOST_EXACT and min(a, b) > 0
+        return pd.Series([_tail(_rank_sum_ways(int(a), int(b)), x, alternative) if fine(a, b, t) else q for x, a, b, t, q in zip(u, n1, n0, ties, near)], dtype="float64")
+
+    sides = {"two-sided": F.col("p"), "less": F.when(F.col("z") < 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2), "greater": F.when(F.col("z") > 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2)}
+    return g.select(*by, "n1", "n0", "u", "ties", p("u", "n1", "n0", "ties", sides[alternative]).alias("p"))
+
+
+def exact_signed_rank(df: DataFrame, difference: str, by: list[str]) -> DataFrame:
+    """by, n, w and the two-sided p: counted out where sizes do not repeat and n is at most MOST_EXACT, by the normal approximation elsewhere."""
+    d = df.where(F.col(difference) != 0).withColumn("_a", F.abs(F.col(difference)))
+    ties = d.groupBy(*by, "_a").count().groupBy(*by).agg((F.max("count") > 1).alias("_same"))
+    g = joined(signed_rank(df, difference, by), ties, by)
+
+    @F.pandas_udf(DoubleType())
+    def p(n: pd.Series, w: pd.Series, same: pd.Series, near: pd.Series) -> pd.Series:
+        out = []
+        for k, x, t, q in zip(n, w, same, near):
+            if t or k > MOST_EXACT:
+                out.append(q)
+                continue
+            ways = np.zeros(k * (k + 1) // 2 + 1)
+            ways[0] = 1
+            for rank in range(1, k + 1):
+                ways[rank:] = ways[rank:] + ways[:-rank]
+            out.append(_tail(ways, x, "two-sided"))
+        return pd.Series(out, dtype="float64")
+
+    return g.select(*by, "n", "w", p("n", "w", "_same", "p").alias("p"))
+
+
 def signed_rank(df: DataFrame, difference: str, by: list[str], largest: int = LARGEST) -> DataFrame:
     """Wilcoxon signed rank: n (without zeros), the sum of positive ranks, z with tie correction and p."""
     d = df.where((F.col(difference) != 0)).withColumn("_a", F.abs(F.col(difference)))
@@ -332,6 +391,22 @@ def pooled_auc(df: DataFrame, auc: str, n1: str, n0: str, sd: str, by: list[str]
     return w.groupBy(*by).agg(F.count("*").alias("k"), (F.sum(F.col("_w") * F.col(auc)) / F.sum("_w")).alias("pooled"), (F.sqrt(F.sum((F.col("_w") * F.col(sd)) ** 2)) / F.sum("_w")).alias("se"))
 
 
+def sign_consistency(effects: DataFrame, g: str, v: str, by: list[str], least: int) -> DataFrame:
+    """Random effects of the features seen in at least `least` units, with same_sign: how many units share the commoner sign."""
+    signs = effects.where(F.col(g).isNotNull() & (F.col(v) > 0)).groupBy(*by).agg(F.greatest(F.count(F.when(F.col(g) > 0, 1)), F.count(F.when(F.col(g) < 0, 1))).alias("same_sign"))
+    return joined(random_effects(effects, g, v, by), signs, by).where(F.col("k") >= least)
+
+
+def leave_one_cohort_means(df: DataFrame, metric: str, unit: str, cohort: str) -> DataFrame:
+    """held_out, weighted_mean: the equal-unit mean without each cohort in turn, from sums per cohort and unit alone."""
+    each = df.where(F.col(metric).isNotNull()).groupBy(unit, cohort).agg(F.avg(metric).alias("_c"))
+    units = each.groupBy(unit).agg(F.sum("_c").alias("_s"), F.count("*").alias("_n"))
+    means = units.agg(F.sum(F.col("_s") / F.col("_n")).alias("_all"), F.count("*").alias("_units"))
+    own = each.join(units, unit).withColumn("_without", F.when(F.col("_n") > 1, (F.col("_s") - F.col("_c")) / (F.col("_n") - 1)))
+    lost = own.groupBy(F.col(cohort).alias("held_out")).agg(F.sum(F.coalesce("_without", F.lit(0.0)) - F.col("_s") / F.col("_n")).alias("_d"), F.count(F.when(F.col("_without").isNull(), 1)).alias("_gone"))
+    return lost.join(F.broadcast(means)).select("held_out", F.try_divide(F.col("_all") + F.col("_d"), F.col("_units") - F.col("_gone")).alias("weighted_mean"))  # one row
+
+
 def leave_one_out_meta(effects: DataFrame, feature: str, unit: str, g: str, v: str) -> DataFrame:
     """Random effects without each unit in turn: the sign stays and every p is below 0.05 (robust), and the worst p.
 

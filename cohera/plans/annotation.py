@@ -59,11 +59,16 @@ def composite_priority(spark, d):
     return an.prioritised(p, "p_brand", {"large": 2.0, "dear": 1.0}).select("p_brand", "priority")
 
 
-@query("WITH n AS (SELECT p_partkey, sign(p_size - 25) AS need FROM part WHERE p_size <> 25), s AS (SELECT DISTINCT l_suppkey AS term, l_partkey AS gene, CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END AS way FROM lineitem) SELECT term, count(*) FILTER (way = need) AS \"right\", count(*) FILTER (way = -need) AS wrong FROM s JOIN n ON gene = p_partkey GROUP BY 1")
+@query("""WITH n AS (SELECT p_partkey, sign(p_size - 25) AS need FROM part WHERE p_size <> 25), s AS (SELECT DISTINCT l_suppkey AS term, l_partkey AS gene, CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE -1 END AS way FROM lineitem),
+g AS (SELECT term, count(*) FILTER (way = need) AS r, count(*) FILTER (way = -need) AS w FROM s JOIN n ON gene = p_partkey GROUP BY 1), k AS (SELECT *, r + w AS n, unnest(range(r, r + w + 1)) AS k FROM g),
+p AS (SELECT term, r, w, least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))) AS p FROM k GROUP BY 1, 2, 3), q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM p)
+SELECT term, r AS "right", w AS wrong, round(p, 9) AS p, round(least(1.0, min(raw) OVER (ORDER BY p DESC, raw DESC ROWS UNBOUNDED PRECEDING)), 9) AS q FROM q""")
 def direction_reversal(spark, d):
     need = parquet(spark, d, "part").where("p_size <> 25").select(F.col("p_partkey").alias("gene"), F.sign(F.col("p_size") - 25).cast("int").alias("way"), F.lit(0.5).alias("chance"))
     s = parquet(spark, d, "lineitem").select(F.col("l_suppkey").alias("term"), F.col("l_partkey").alias("gene"), F.when(F.col("l_partkey") % 2 == 0, 1).otherwise(-1).alias("way")).distinct()
-    return an.reversal(s, need).select("term", "right", "wrong")
+    hits = an.reversal(s, need).select("term", "right", "wrong")
+    tested = st.adjusted(hits.withColumn("p", st.sign_test_p("right", "wrong")), "p")  # every gene's chance is one half
+    return tested.select("term", "right", "wrong", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
 
 
 @query("SELECT l_suppkey, r, CASE WHEN r >= 0.85 THEN 'likely' WHEN r >= 0.6 THEN 'probable' WHEN r IS NOT NULL THEN 'unlikely' END AS verdict FROM (SELECT l_suppkey, corr(l_extendedprice, l_quantity) AS r FROM lineitem GROUP BY 1)")

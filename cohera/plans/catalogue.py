@@ -140,14 +140,14 @@ def top_n_per_group(spark, d):
     return mx.top_n(o, ["o_orderpriority"], [F.desc("o_totalprice"), "o_orderkey"], 10)
 
 
-@query("WITH c AS (SELECT quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM orders), d AS (SELECT len(list_filter(c, lambda q: q <= o_totalprice)) AS decile FROM orders, c) SELECT CAST(decile AS INTEGER) AS decile, count(*) AS n FROM d GROUP BY 1")
+@query("WITH c AS (SELECT quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS c FROM orders), d AS (SELECT o_orderkey, len(list_filter(c, lambda q: q <= o_totalprice)) AS decile FROM orders, c) SELECT o_orderkey, CAST(decile AS INTEGER) AS decile FROM d")
 def decile_bins(spark, d):
-    return mx.deciles(parquet(spark, d, "orders"), "o_totalprice").groupBy("decile").agg(F.count("*").alias("n"))
+    return mx.deciles(parquet(spark, d, "orders"), "o_totalprice").select("o_orderkey", "decile")
 
 
-@query("WITH h AS (SELECT o_orderpriority, CASE WHEN o_totalprice >= median(o_totalprice) OVER (PARTITION BY o_orderpriority) THEN 'high' ELSE 'low' END AS half FROM orders) SELECT o_orderpriority, half, count(*) AS n FROM h GROUP BY ALL")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice >= median(o_totalprice) OVER (PARTITION BY o_orderpriority) THEN 'high' ELSE 'low' END AS half FROM orders")
 def median_split(spark, d):
-    return mx.median_split(parquet(spark, d, "orders"), "o_totalprice", ["o_orderpriority"]).groupBy("o_orderpriority", "half").agg(F.count("*").alias("n"))
+    return mx.median_split(parquet(spark, d, "orders"), "o_totalprice", ["o_orderpriority"]).select("o_orderkey", "half")
 
 
 @query("WITH c AS (SELECT event_type, quantile_cont(value, 0.9) AS cut FROM events GROUP BY 1) SELECT event_id, event_type, value FROM events JOIN c USING (event_type) WHERE value >= cut")
