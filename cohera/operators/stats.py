@@ -203,7 +203,7 @@ def exact_mann_whitney(df: DataFrame, value: str, label: str, by: list[str], alt
         fine = lambda a, b, t: not t and min(a, b) <= 8 and a + b <= MOST_EXACT and min(a, b) > 0
         return pd.Series([_tail(_rank_sum_ways(int(a), int(b)), x, alternative) if fine(a, b, t) else q for x, a, b, t, q in zip(u, n1, n0, ties, near)], dtype="float64")
 
-    sides = {"two-sided": F.col("p"), "less": F.when(F.col("z") < 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2), "greater": F.when(F.col("z") > 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2)}
+    sides = {"two-sided": F.col("p"), "less": F.when(F.col("z") < 0, F.col("p") / 2).when(F.col("z") >= 0, 1 - F.col("p") / 2), "greater": F.when(F.col("z") > 0, F.col("p") / 2).when(F.col("z") <= 0, 1 - F.col("p") / 2)}
     return g.select(*by, "n1", "n0", "u", "ties", p("u", "n1", "n0", "ties", sides[alternative]).alias("p"))
 
 
