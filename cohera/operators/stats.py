@@ -70,7 +70,7 @@ def normal_two_sided_p(z: Column) -> Column:
     poly = F.lit(fit[0])
     for c in fit[1:]:
         poly = poly * t + c
-    return F.least(F.lit(1.0), t * F.exp(-x * x + poly))
+    return F.when(z.isNotNull(), F.least(F.lit(1.0), t * F.exp(-x * x + poly)))
 
 
 def adjusted(df: DataFrame, p: str, family: list[str] | None = None, out: str = "q") -> DataFrame:

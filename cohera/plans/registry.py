@@ -23,4 +23,4 @@ def normal_p(table: str, z: str) -> str:
     poly = str(fit[0])
     for c in fit[1:]:
         poly = f"({poly} * t + {c})"
-    return f"p AS (SELECT * EXCLUDE (t), least(1.0, t * exp(-{z} * {z} / 2 + {poly})) AS p FROM (SELECT *, {t} AS t FROM {table}))"
+    return f"p AS (SELECT * EXCLUDE (t), CASE WHEN {z} IS NOT NULL THEN least(1.0, t * exp(-{z} * {z} / 2 + {poly})) END AS p FROM (SELECT *, {t} AS t FROM {table}))"
