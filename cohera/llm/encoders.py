@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-MOST_WORDS, MOST_IDS = 600_000, 1 << 24  # kept per worker; then the cache starts anew
-BATCH_BYTES = 12 << 20  # of text that is encoded at once
+MOST_WORDS, MOST_IDS = 300_000, 1 << 23  # kept per worker; then the cache starts anew
+BATCH_BYTES = 6 << 20  # of text that is encoded at once
 MARKS = ".,;:!?\"'()[]-*&$%#@/|"
 
 

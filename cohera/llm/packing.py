@@ -26,7 +26,7 @@ from .common import picked, table, tune, vocabulary
 from .encoders import ByteLevel, buffered, encoder, with_end
 
 WINDOW = 1024
-LOAD = 12 << 20  # bytes of text that are packed together
+LOAD = 3 << 20  # bytes of text that are packed together
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
 
 
