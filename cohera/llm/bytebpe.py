@@ -33,8 +33,8 @@ FREE, LETTER, NUMBER, OTHER, SPACE, WHITE, ONE, TWO = range(8)
 # classes: letters first (plain; s t m d; r v; e; l), then number, other, apostrophes by what follows, spaces and white space by what follows, end of a text
 PLAIN, STMD, RV, E, L, NUM, OTH, AP0, AP1, AP2, SP_LAST, SP, WS_LAST, WS, END = range(15)
 BLOCK = 32
-BATCH = 500_000  # characters that are cut at once
-MOST_PIECES = 1_000_000
+BATCH = 250_000  # characters that are cut at once
+MOST_PIECES = 400_000
 
 
 def _step(cls: int, state: int) -> tuple[int, bool]:
@@ -215,7 +215,7 @@ class Encoder:
         x = np.frombuffer(ids, "<u4")
         if not len(x):
             return b""
-        ends = np.frombuffer(ends, "<u8").astype(np.int64) if ends is not None else self.offsets(ids)[1:]
+        ends = np.frombuffer(ends, "<u4").astype(np.int64) if ends is not None else self.offsets(ids)[1:]
         size = np.diff(ends, prepend=0)
         if len(ends) != len(x) or (size != self.length[x]).any():
             raise ValueError("the offsets are not those of the ids")
@@ -236,7 +236,7 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """doc_id, ids (binary, 4 bytes each) and ends (binary, 8 bytes each: the byte after each id's, for slicing by token)."""
+    """doc_id, ids (binary, 4 bytes each) and ends (binary, 4 bytes each, as a text has less than 2 GB: the byte after each id's, for slicing by token)."""
     tune(docs.sparkSession)
     path = vocabulary(name)
 
@@ -246,7 +246,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for a, b in by_characters(pdf.text.tolist(), BATCH):
                 p = pdf.iloc[a:b]
                 ids = enc.encode(p.text.tolist())
-                yield pd.DataFrame({"doc_id": p.doc_id.to_numpy(), "ids": ids, "ends": [enc.offsets(x)[1:].astype("<u8").tobytes() for x in ids]}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": p.doc_id.to_numpy(), "ids": ids, "ends": [enc.offsets(x)[1:].astype("<u4").tobytes() for x in ids]}).astype({"doc_id": "Int64"})
 
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return src.mapInPandas(lambda it: encode(p.astype({"doc_id": "Int64"}) for p in it), "doc_id long, ids binary, ends binary")

@@ -29,7 +29,7 @@ from .common import by_characters, crc32_text, picked, table, tune
 
 WORDS = 64
 MOST_LABELLED, MOST_CHARACTERS = 6000, 30_000_000  # of the sample to learn from
-BATCH = 500_000  # characters that are encoded at once
+BATCH = 150_000  # characters that are encoded at once
 HIDDEN, GATES, EPOCHS, RATE = 24, 12, 16, 0.01
 # character classes: space, line end, lower, upper, other letter, digit, stop, bar, quote, other sign
 N_CLASSES = 10
