@@ -31,3 +31,17 @@ def test_stages(spark, tmp_path):
     assert sum(p.length for p in pieces) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
     for stage in (cp.drop_repeated_lines, cp.drop_near_duplicates, cp.mask_personal_data, cp.pack_windows):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_hard_rows(spark, tmp_path):
+    prose = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, prose, "a"), (1, prose, "a"), (1, "other text of the same id", "b"), (2, prose + " z", "c"), (None, prose, "d"), (None, None, "e"), (3, None, "f"), (4, "", "g")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), 0.5) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, _score double")
+    kept = cp.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.source) for r in kept.collect()) == [("1", "a"), ("1", "b"), ("3", "f"), ("4", "g"), ("None", "d"), ("None", "e")]
+    spark.createDataFrame([(1, 1), (2, 0), (3, 0), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    judged = cp.keep_quality(spark, docs, str(tmp_path))
+    assert judged.columns == docs.columns
+    assert {r._score for r in judged.collect()} <= {0.5}
+    assert cp.keep_quality(spark, docs.limit(0), str(tmp_path)).count() == 0
