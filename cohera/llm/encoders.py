@@ -44,6 +44,8 @@ def buffered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iter
             held, size = [], 0
     if size or held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = None
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task should not keep what this one needed
 
 
 class WordCache:
