@@ -6,6 +6,7 @@ from .bytebpe import op6_byte_bpe
 from .idfile import op5_token_ids
 from .jaccard import OP10_SQL, op10_jaccard
 from .lines import OP1_SQL, op1_line_dedup
+from .merkle import OP13_SQL, op13_merkle
 from .mpegts import op2_media
 from .packing import op4_packing
 from .phrases import op8_substrings
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_pii": op9_pii,
     "op10_jaccard": op10_jaccard,
+    "op13_merkle": op13_merkle,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op7_topk": OP7_SQL,
     "op10_jaccard": OP10_SQL,
+    "op13_merkle": OP13_SQL,
 }
