@@ -8,6 +8,7 @@ from .jaccard import OP10_SQL, op10_jaccard
 from .lines import OP1_SQL, op1_line_dedup
 from .merkle import OP13_SQL, op13_merkle
 from .mpegts import op2_media
+from .nearest import OP12_SQL, op12_nearest
 from .packing import op4_packing
 from .phrases import op8_substrings
 from .pii import op9_pii
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_pii": op9_pii,
     "op10_jaccard": op10_jaccard,
+    "op12_nearest": op12_nearest,
     "op13_merkle": op13_merkle,
 }
 ORACLE: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op7_topk": OP7_SQL,
     "op10_jaccard": OP10_SQL,
+    "op12_nearest": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
