@@ -44,7 +44,7 @@ def with_ranges(df: DataFrame, value: str, out: str = "_range") -> DataFrame:
     n = min(MOST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(value).cast("double")
     cuts = df.agg(F.percentile_approx(v, F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10_000))).first()[0] if n > 1 else []
-    return df.withColumn(out, _range_of(v, sorted(set(cuts or []))))
+    return df.withColumn(out, F.when(v.isNull(), -1).otherwise(_range_of(v, sorted(set(cuts or [])))))
 
 
 def running(df: DataFrame, value: str, by: list[str], sums: list[str], descending: bool = False, tie: list[str] | None = None, largest: int = LARGEST) -> DataFrame:
