@@ -14,6 +14,7 @@ from .phrases import op8_substrings
 from .pii import op9_pii
 from .quality import op3_quality
 from .topk import OP7_SQL, op7_topk
+from .trie import OP11_SQL, op11_trie
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_pii": op9_pii,
     "op10_jaccard": op10_jaccard,
+    "op11_trie": op11_trie,
     "op12_nearest": op12_nearest,
     "op13_merkle": op13_merkle,
 }
@@ -33,6 +35,7 @@ ORACLE: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op7_topk": OP7_SQL,
     "op10_jaccard": OP10_SQL,
+    "op11_trie": OP11_SQL,
     "op12_nearest": OP12_SQL,
     "op13_merkle": OP13_SQL,
 }
