@@ -68,12 +68,13 @@ def coordinates(leaves: DataFrame, keys: list[str], keep: list[str]) -> DataFram
 class Store:
     """Levels of all trees, in Parquet by level; level 0 is the leaves' table itself, with its other columns."""
 
-    def __init__(self, leaves: DataFrame):
-        """leaves: tree, at, n, node and others."""
+    def __init__(self, leaves: DataFrame, width: int = BAND):
+        """leaves: tree, at, n, node and others; width: levels of a band."""
+        self.width = width
         self.spark = leaves.sparkSession
         self.leaves = written(leaves, "merkle-leaves")
         self.most = self.leaves.agg(F.max("n")).first()[0] or 0
-        self.bands = max(1, -(-depth_of(self.most) // BAND)) if self.most else 0
+        self.bands = max(1, -(-depth_of(self.most) // width)) if self.most else 0
         self.path = f"{shared_dir(self.spark)}/merkle-levels-{uuid.uuid4().hex}"
         for band in range(self.bands if self.most > 1 else 0):
             self._build(band)
@@ -83,18 +84,18 @@ class Store:
         return self.spark.read.schema("tree string, at long, n long, node binary, level int").parquet(self.path).where(F.col("level").between(first, last))
 
     def _build(self, band: int) -> None:
-        low = band * BAND
+        width, low = self.width, band * self.width
 
         def levels(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("at")
             tree, n, at, nodes, out = p["tree"].iloc[0], int(p["n"].iloc[0]), int(p["at"].iloc[0]), p["node"].tolist(), []
-            for level in range(low + 1, min(low + BAND, depth_of(n)) + 1):
+            for level in range(low + 1, min(low + width, depth_of(n)) + 1):
                 at, nodes = at >> 1, [parent(*nodes[k : k + 2]) for k in range(0, len(nodes), 2)]
                 out.append(pd.DataFrame({"level": level, "tree": tree, "at": range(at, at + len(nodes)), "n": n, "node": nodes}))
             return pd.concat(out) if out else pd.DataFrame(columns=["level", "tree", "at", "n", "node"])
 
         base = self.leaves.where("n > 1").select("tree", "at", "n", "node") if band == 0 else self.level(low, low).where(F.col("n") > 1 << low).select("tree", "at", "n", "node")
-        made = base.groupBy("tree", F.shiftright("at", BAND).alias("block")).applyInPandas(levels, "level int, tree string, at long, n long, node binary")
+        made = base.groupBy("tree", F.shiftright("at", width).alias("block")).applyInPandas(levels, "level int, tree string, at long, n long, node binary")
         made.write.partitionBy("level").mode("append").option("compression", "none").parquet(self.path)
 
     def roots(self) -> DataFrame:
@@ -105,23 +106,23 @@ class Store:
         # the depth of n nodes is the number of binary digits of n - 1
         top = F.length(F.bin(F.col("n") - 1)).cast("int")
         high = self.level(1, depth_of(self.most)).where((F.col("at") == 0) & (F.col("level") == top))
-        return alone.union(high.select("tree", "node", F.floor((F.col("level") - 1) / BAND).cast("int").alias("band")))
+        return alone.union(high.select("tree", "node", F.floor((F.col("level") - 1) / self.width).cast("int").alias("band")))
 
     def fold(self, tops: DataFrame, last: Callable[[pd.DataFrame, list[list[tuple[int, bytes]]], pd.Series], pd.DataFrame], schema: str) -> DataFrame:
         """tops: tree, band, path, ends: the path of each tree's root. last makes the result of a block's leaves, their paths and the block's top row."""
-        passed = None
+        passed, width = None, self.width
         for band in reversed(range(self.bands)):
-            low = band * BAND
+            low = band * width
             above = tops.where(F.col("band") == band).select("tree", F.lit(0).cast("long").alias("block"), "path", "ends")
             above = above if passed is None else above.union(passed)
             extra = [c for c in self.leaves.columns if c not in ("tree", "at", "n", "node")] if band == 0 else []
             base = self.leaves.select("tree", F.lit(0).alias("level"), "at", "n", "node", *extra) if band == 0 else self.level(low, low).where(F.col("n") > 1 << low).select("tree", "level", "at", "n", "node")
             if self.most > 1:
-                upper = self.level(low + 1, low + BAND - 1).select("tree", "level", "at", "n", "node")
+                upper = self.level(low + 1, low + width - 1).select("tree", "level", "at", "n", "node")
                 base = base.unionByName(upper, allowMissingColumns=True)
-            base = base.withColumn("block", F.expr(f"shiftright(at, {low + BAND} - level)"))
+            base = base.withColumn("block", F.expr(f"shiftright(at, {low + width} - level)"))
 
-            got = base.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInPandas(_scan(low, last if band == 0 else _handed_down), schema if band == 0 else "tree string, block long, path binary, ends binary")
+            got = base.groupBy("tree", "block").cogroup(above.groupBy("tree", "block")).applyInPandas(_scan(low, width, last if band == 0 else _handed_down), schema if band == 0 else "tree string, block long, path binary, ends binary")
             if band == 0:
                 return got
             passed = written(got, "merkle-paths")
@@ -132,18 +133,18 @@ def _handed_down(own: pd.DataFrame, paths: list[list[tuple[int, bytes]]], row: p
     return pd.DataFrame({"tree": own["tree"].to_numpy(), "block": own["at"].to_numpy(), "path": [_packed(x) + row["path"] for x in paths], "ends": row["ends"]})
 
 
-def _scan(low: int, last: Callable) -> Callable:
-    return lambda p, top: last(*_paths(p, low), top.iloc[0])
+def _scan(low: int, width: int, last: Callable) -> Callable:
+    return lambda p, top: last(*_paths(p, low, width), top.iloc[0])
 
 
-def _paths(p: pd.DataFrame, low: int) -> tuple[pd.DataFrame, list[list[tuple[int, bytes]]]]:
+def _paths(p: pd.DataFrame, low: int, width: int) -> tuple[pd.DataFrame, list[list[tuple[int, bytes]]]]:
     """A block's lowest nodes in order, and for each its siblings within the block's band: nodes and coordinates are both sorted, so every level is one scan."""
     p = p.sort_values(["level", "at"])
     own = p[p["level"] == low]
     n, start = int(own["n"].iloc[0]), own["at"].to_numpy()
     paths: list[list[tuple[int, bytes]]] = [[] for _ in start]
     at, group = start, p.groupby("level")["node"].apply(list).to_dict()
-    for level in range(low, min(low + BAND, depth_of(n))):
+    for level in range(low, min(low + width, depth_of(n))):
         nodes = group[level]
         base = int(at[0])
         for k, a in enumerate(at.tolist()):
@@ -173,7 +174,7 @@ def folded(node: bytes, path: list[tuple[int, bytes]]) -> bytes:
     return node
 
 
-def manifest(docs: DataFrame, tampered: Column | None = None, fields: dict[str, str] | None = None, tree_col: str = "lang", id_col: str = "doc_id", count_col: str = "n_chars") -> DataFrame:
+def manifest(docs: DataFrame, tampered: Column | None = None, fields: dict[str, str] | None = None, tree_col: str = "lang", id_col: str = "doc_id", count_col: str = "n_chars", band: int = BAND) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified for every row; `tampered`, a condition on the fields, adds 1 to their count before a row is checked."""
     spark = docs.sparkSession
     tune(spark)
@@ -184,13 +185,13 @@ def manifest(docs: DataFrame, tampered: Column | None = None, fields: dict[str,
     tree = F.coalesce(F.concat(F.lit("s"), F.col(tree_col).cast("string")), F.lit("n"))  # names a null tree, and keeps the order
     leaves = src.select(tree.alias("tree"), F.col(id_col).cast("long").alias("doc_id"), digest(*[field(F.col(c)) for c in fields]).alias("node"), F.when(changed, other).alias("shown"), F.rand(7).alias("spread"))
     leaves = written(leaves, "merkle-digests")
-    low = Store(coordinates(leaves, ["doc_id", "node", "spread"], ["doc_id", "node", "shown"]).withColumn("doc_id", F.col("doc_id").cast("string")))  # pandas has no long with nulls
+    low = Store(coordinates(leaves, ["doc_id", "node", "spread"], ["doc_id", "node", "shown"]).withColumn("doc_id", F.col("doc_id").cast("string")), band)  # pandas has no long with nulls
     schema = "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     if not low.bands:
         return spark.createDataFrame([], schema).withColumn("doc_id", F.col("doc_id").cast("long"))
     roots = written(low.roots(), "merkle-roots")
     names = roots.select(F.lit("root").alias("tree"), F.col("tree").alias("name"), "node", "band")
-    high = Store(coordinates(names, ["name"], ["name", "node", "band"]))
+    high = Store(coordinates(names, ["name"], ["name", "node", "band"]), band)
     whole = high.roots().select("tree", "band", F.lit(b"").alias("path"), F.col("node").alias("ends"))
 
     def tops(own: pd.DataFrame, paths: list, row: pd.Series) -> pd.DataFrame:

@@ -4,8 +4,8 @@ Queries are dealt into groups whose bytes are bounded, candidates into groups fo
 holds a group of queries and their k best so far, and candidates stream past in batches. Vectors become int8 codes (one scale a row); products of codes
 are whole numbers, and the norms of what rounding took off bound how far a product can lie from the true one (Cauchy and Schwarz). A pair whose upper bound is
 below the query's kth lower bound, or below its kth score so far, is dropped; the rest are scored on the original vectors, summed in
-order of components, so that equal vectors score equally. Equal vectors of a batch are one column of the product, with their k + 1 smallest ids: no
-more of them can be among k answers. Each tile gives at most k answers a query id; these sorted lists are merged by a heap.
+order of components, so that equal vectors score equally. Equal vectors of a batch are one column of the product, with their k + 1 smallest ids, each
+k times at most: no more of them can be among k answers. Each tile gives at most k answers a query id; these sorted lists are merged by a heap.
 
 Rules: vectors that are null, all zero or empty, or hold a null, NaN or infinite component, take no part, nor do rows with a null id; candidates are the vectors
 of the query's own length; a row never answers for its own id, so rows repeating the query's id don't either; rows that repeat another id answer once each; equal query
@@ -77,8 +77,12 @@ class Asked:
         _, first, of = np.unique(raw, return_index=True, return_inverse=True)
         order = np.lexsort((ids, of))
         starts = np.searchsorted(of[order], np.arange(len(first)))
-        few = np.arange(len(order)) - starts[of[order]] <= self.k
-        ids, of, v = ids[order][few], of[order][few], vectors[first]
+        ids, of, v = ids[order], of[order], vectors[first]
+        place = np.arange(len(ids))
+        new = np.append(True, (ids[1:] != ids[:-1]) | (of[1:] != of[:-1]))
+        which = np.cumsum(new) - 1  # distinct (vector, id) up to here
+        few = (which - which[starts[of]] <= self.k) & (place - place[new][which] < self.k)
+        ids, of = ids[few], of[few]
         starts = np.append(np.searchsorted(of, np.arange(len(first))), len(of))
         # columns that hold a query's own id
         low, high = (np.searchsorted(self.ids[self.sorted], ids, side=s) for s in ("left", "right"))
@@ -139,8 +143,8 @@ class Asked:
         """query id, ids and scores, best first; queries of one id give one list."""
         there = np.arange(self.k) < self.held[:, None]
         q, who, score, place = ranked(np.repeat(self.ids, self.held), self.best_id[there], self.best[there], self.k)
-        starts = np.flatnonzero(place == 0).tolist()
-        for a, z in zip(starts, [*starts[1:], len(q)], strict=True):
+        starts = [*np.flatnonzero(place == 0).tolist(), len(q)]
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
             yield int(q[a]), who[a:z], score[a:z]
 
 
