@@ -1,8 +1,8 @@
-"""Edges, closures and skeletons."""
+"""Edges, closures, skeletons and centrality."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
@@ -53,9 +53,122 @@ def reachable(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def stale(artefacts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Artefacts (name, modified) with something upstream (edges source -> target) that is younger: name, stale, because (the youngest)."""
-    up = reachable(edges, "source", "target")
+    """Artefacts (name, modified) with something upstream (edges source -> target) that is younger: name, stale, because (the youngest, ties to the larger name).
+
+    The youngest so far moves along the edges from the nodes where it has changed; a node holds one value, never its ancestors. Rounds are as many as
+    the longest path that changes anything has edges; loops end, since values only grow.
+    """
     times = artefacts.select("name", "modified")
-    seen = up.join(times.select(F.col("name").alias("a"), F.col("modified").alias("_t")), "a").groupBy(F.col("b").alias("name")).agg(F.max(F.struct("_t", "a")).alias("_u"))
-    late = F.coalesce(F.col("_u._t") > F.col("modified"), F.lit(False))
-    return times.join(seen, "name", "left").select("name", late.alias("stale"), F.when(late, F.col("_u.a")).alias("because"))
+    e = checkpointed(edges.select("source", "target").where("source is not null and target is not null").distinct())
+    own = times.where("modified is not null").groupBy("name").agg(F.max("modified").alias("_t")).select("name", F.struct("_t", "name").alias("_up"))
+    seen = None
+    moved = own
+    while True:
+        came = e.join(moved.withColumnRenamed("name", "source"), "source").groupBy(F.col("target").alias("name")).agg(F.max("_up").alias("_new"))
+        if seen is None:
+            now = checkpointed(came.select("name", F.col("_new").alias("_up"), F.lit(True).alias("_moved")))
+        else:
+            both = seen.select("name", "_up").join(came, "name", "full_outer")
+            grown = F.col("_new").isNotNull() & (F.col("_up").isNull() | (F.col("_new") > F.col("_up")))
+            now = checkpointed(both.select("name", F.when(grown, F.col("_new")).otherwise(F.col("_up")).alias("_up"), grown.alias("_moved")))
+        seen = now
+        moved = now.where("_moved").select("name", "_up")
+        if moved.isEmpty():
+            break
+    late = F.coalesce(F.col("_up._t") > F.col("modified"), F.lit(False))
+    return times.join(seen.select("name", "_up"), "name", "left").select("name", late.alias("stale"), F.when(late, F.col("_up.name")).alias("because"))
+
+
+def _partial(i: int, j: int, given: list[int], r) -> Column:
+    """Partial correlation of the ith and jth of a candidate's features, given others, from plain correlations r(i, j)."""
+    if not given:
+        return r(min(i, j), max(i, j))
+    last, rest = given[-1], given[:-1]
+    x, y, z = _partial(i, j, rest, r), _partial(i, last, rest, r), _partial(j, last, rest, r)
+    return F.try_divide(x - y * z, F.sqrt(F.greatest((1 - y * y) * (1 - z * z), F.lit(0.0))))
+
+
+def deep_skeleton(correlations: DataFrame, n: int, most: int = 3, z_cut: float = 1.959963984540054) -> tuple[DataFrame, DataFrame]:
+    """Edges (a < b, r) that stay dependent, by Fisher's z, given any set of up to `most` neighbours of a or of b; and separations (a, b, level, given, z) of the pairs that do not.
+
+    Level by level: neighbours are those that the level before has left (so the order of tests does not matter), candidates are edges joined to their ends' neighbours as often as the set
+    has members, in rising order, and each takes one row of the correlation matrix per member, from which the partial correlation follows by recursion. Of several
+    sets that separate a pair the one of least z is kept, ties to the first in order. It ends where no end has neighbours enough. Correlations of a panel: pairs once, in either order.
+    """
+    full = correlations.select("a", "b", "r").union(correlations.select(F.col("b"), F.col("a"), F.col("r"))).where("a <> b and r is not null").distinct()
+    rows = checkpointed(full.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "r"))).alias("_row")))  # a matrix row per feature
+
+    def z_of(r: Column, k: int) -> Column:
+        return F.abs(F.atanh(F.greatest(F.least(r, F.lit(1 - 1e-12)), F.lit(-1 + 1e-12)))) * max(n - k - 3, 0) ** 0.5
+
+    pairs = full.where("a < b").withColumn("_z", z_of(F.col("r"), 0))
+    none = F.array().cast(f"array<{full.schema['a'].dataType.simpleString()}>")
+    gone = pairs.where(~(F.col("_z") > z_cut)).select("a", "b", F.lit(0).alias("level"), none.alias("given"), F.col("_z").alias("z"))
+    kept = checkpointed(pairs.where(F.col("_z") > z_cut).select("a", "b", "r"))
+    for level in range(1, most + 1):
+        sides = checkpointed(kept.select("a", "b").union(kept.select("b", "a")).toDF("_of", "_c"))
+        degree = sides.groupBy("_of").count().agg(F.max("count")).first()[0] or 0
+        if degree < level + 1:
+            break
+        tried = None
+        for end, other in (("a", "b"), ("b", "a")):
+            sets = kept.select("a", "b", F.col(end).alias("_of"), F.col(other).alias("_other"), none.alias("given"))
+            for k in range(level):
+                sets = sets.join(sides, "_of").where(F.col("_c") != F.col("_other"))
+                if k:
+                    sets = sets.where(F.col("_c") > F.element_at("given", -1))
+                sets = sets.withColumn("given", F.concat("given", F.array("_c"))).drop("_c")
+            tried = sets.select("a", "b", "given") if tried is None else tried.union(sets.select("a", "b", "given"))
+        tried = tried.distinct()
+        names = [F.col("a"), F.col("b"), *[F.col("given")[k] for k in range(level)]]
+        for k in range(level + 1):  # the last member's row is not needed
+            tried = tried.withColumn("_at", names[k]).join(rows.select(F.col("a").alias("_at"), F.col("_row").alias(f"_row{k}")), "_at").drop("_at")
+        r = lambda i, j, names=names: F.try_element_at(F.col(f"_row{i}"), names[j])
+        scored = tried.select("a", "b", "given", z_of(_partial(0, 1, list(range(2, level + 2)), r), level).alias("z")).where(~(F.col("z") > z_cut))
+        best = scored.groupBy("a", "b").agg(F.min(F.struct("z", "given")).alias("_s"))
+        out = checkpointed(best.select("a", "b", F.lit(level).alias("level"), F.col("_s.given").alias("given"), F.col("_s.z").alias("z")))
+        gone = gone.union(out)
+        kept = checkpointed(kept.join(out.select("a", "b"), ["a", "b"], "left_anti"))
+    return kept, gone
+
+
+def betweenness(edges: DataFrame, a: str, b: str, length: str, digits: int = 9) -> DataFrame:
+    """node, betweenness: over all pairs of other nodes, the share of shortest paths of an undirected graph that pass through it, over the number of such pairs.
+
+    From every source at once: distances spread from rows that have become shorter; edges on shortest paths form a graph without cycles per source, along which path counts move forward
+    and dependencies back, a round per edge of the longest shortest path. Everything is rows (source, node): the driver sees none. Of several edges between two nodes the shortest
+    counts, loops do not; lengths must be positive. Distances that agree to `digits` decimals are equal.
+    """
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(length).cast("double").alias("w")).where("u is not null and v is not null and w is not null")
+    if not e.where("not (w > 0)").isEmpty():
+        raise ValueError("lengths must be positive")
+    nodes = checkpointed(e.select("u").union(e.select("v")).distinct())
+    links = checkpointed(e.union(e.select("v", "u", "w")).where("u <> v").groupBy("u", "v").agg(F.min("w").alias("w")))
+    n = nodes.count()
+    known = checkpointed(nodes.select(F.col("u").alias("s"), F.col("u").alias("x"), F.lit(0.0).alias("d")))
+    fresh = known
+    while not fresh.isEmpty():
+        reached = fresh.join(links, F.col("x") == F.col("u")).groupBy("s", F.col("v").alias("x")).agg(F.min(F.col("d") + F.col("w")).alias("_new"))
+        both = known.join(reached, ["s", "x"], "full_outer")
+        less = F.col("_new").isNotNull() & (F.col("d").isNull() | (F.col("_new") < F.col("d")))
+        both = checkpointed(both.select("s", "x", F.when(less, F.col("_new")).otherwise(F.col("d")).alias("d"), less.alias("_less")))
+        known, fresh = both.select("s", "x", "d"), both.where("_less").select("s", "x", "d")
+    on = known.join(links, F.col("x") == F.col("u")).select("s", "u", "v", (F.col("d") + F.col("w")).alias("_d"))
+    ends = known.select(F.col("s"), F.col("x").alias("v"), F.col("d"))
+    steps = checkpointed(on.join(ends, ["s", "v"]).where(F.round(F.col("_d") - F.col("d"), digits) == 0).select("s", "u", "v"))
+
+    def along(first: DataFrame, here: str, there: str) -> DataFrame:
+        """s, x, total: what first (s, x, m) gives to every node over all paths of one edge or more."""
+        got, front = None, first
+        while not front.isEmpty():
+            front = front.withColumnRenamed("x", here).join(steps, ["s", here]).groupBy("s", F.col(there).alias("x")).agg(F.sum("m").alias("m"))
+            front = checkpointed(front)
+            got = front if got is None else checkpointed(got.union(front).groupBy("s", "x").agg(F.sum("m").alias("m")))
+        return first.limit(0) if got is None else got
+
+    counts = along(nodes.select(F.col("u").alias("s"), F.col("u").alias("x"), F.lit(1.0).alias("m")), "u", "v").withColumnRenamed("m", "paths")
+    counts = checkpointed(counts)
+    back = along(counts.select("s", "x", (1 / F.col("paths")).alias("m")), "v", "u")
+    depends = counts.join(back, ["s", "x"]).where("s <> x").groupBy(F.col("x").alias("u")).agg(F.sum(F.col("paths") * F.col("m")).alias("_b"))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return nodes.join(depends, "u", "left").select(F.col("u").alias("node"), (F.coalesce("_b", F.lit(0.0)) * scale).alias("betweenness"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
 from .draws import hashed
 from .ranks import row_numbers
 
@@ -85,17 +86,23 @@ def match_features(features: DataFrame, panel: DataFrame, kinds: list[str], targ
     return found.groupBy(target).agg(F.min(F.struct("_at", "feature", "kind")).alias("b")).select(target, "b.feature", "b.kind")
 
 
-def contained_probes(probes: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+def contained_probes(probes: DataFrame, texts: DataFrame, k: int, width: int = 4096) -> DataFrame:
     """Places (from 1) where a probe (probe, seq of k letters at least) lies in a text (name, sequence), on either strand.
 
-    Every text gives its k-mers with their places; a probe is looked up by its first k letters and then compared whole.
-    Probes shorter than k cannot be looked up and are left out.
+    Every text gives its k-mers with their places alone; a probe is looked up by its first k letters, and the text is fetched for the hit, to compare the probe whole.
+    Texts are cut into pieces of `width` letters before k-mers are made, so what is shuffled grows with the letters and memory with a piece.
+    Probes shorter than k cannot be looked up and are left out; equal texts of one name are one text.
     """
-    kmers = texts.where(F.length("sequence") >= k).select("name", "sequence", F.explode(F.sequence(F.lit(1), F.length("sequence") - k + 1)).alias("at"))
-    kmers = kmers.withColumn("_k", F.substring("sequence", F.col("at"), F.lit(k))).withColumn("_rest", F.col("sequence"))
+    texts = texts.select("name", "sequence").where(F.length("sequence") >= k).distinct().withColumn("_text", F.sha2(F.col("sequence").cast("binary"), 256))
+    starts = F.sequence(F.lit(0), F.length("sequence") - k, F.lit(width))
+    pieces = texts.select("name", "_text", F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring("sequence", s + 1, F.lit(width + k - 1)).alias("piece")))).alias("p"))
+    places = F.sequence(F.lit(1), F.length("p.piece") - k + 1)
+    kmers = pieces.select("name", "_text", F.explode(F.transform(places, lambda i: F.struct((F.col("p.s") + i).alias("at"), F.substring(F.col("p.piece"), i, F.lit(k)).alias("_k")))).alias("m")).select("name", "_text", "m.at", "m._k")
     strands = F.array(F.struct(F.lit("+").alias("strand"), F.col("seq").alias("_s")), F.struct(F.lit("-").alias("strand"), F.reverse(F.translate("seq", "ACGT", "TGCA")).alias("_s")))
     p = probes.where(F.length("seq") >= k).select("probe", F.explode(strands).alias("x")).select("probe", "x.*").withColumn("_k", F.substring("_s", 1, k))
-    return kmers.join(p, "_k").where(F.substring("_rest", F.col("at"), F.length("_s")) == F.col("_s")).select("probe", "name", "strand", "at")
+    hits = kmers.join(p, "_k").select("name", "_text", "probe", "strand", "_s", "at")
+    whole = hits.withColumnRenamed("name", "_name").join(texts, "_text").where(F.col("_name").eqNullSafe(F.col("name")) & (F.substring("sequence", F.col("at"), F.length("_s")) == F.col("_s")))
+    return whole.select("probe", "name", "strand", "at")
 
 
 def overlaps(a: DataFrame, b: DataFrame, chrom: str, window: int, width: int) -> DataFrame:
@@ -117,21 +124,43 @@ def strata(df: DataFrame, key: str, group: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(group).cast("string"))), "+").alias("pattern"))
 
 
-def greedy_match(candidates: DataFrame, group: str, left: str, right: str, score: str, order: str) -> DataFrame:
-    """Within each group (a cohort's candidates, a few thousand rows) every left, by order, takes its best right that is still free."""
+def greedy_match(candidates: DataFrame, group: str, left: str, right: str, score: str, order: str, block: int = 512) -> DataFrame:
+    """Within each group every left, by order, takes its best right that is still free (ties: the least). Rows of one order are one left; a null order comes first.
+
+    Lefts go in blocks of `block` by order, a round a block, all groups at once. Of a left's free rights the `block` best are enough, since the others of its block can take no more than
+    that; ranking them is spread by left, and a task solves one block of a group: block x block rows, however large the group. Rights taken are kept for the rounds that follow.
+    """
     import pandas as pd
 
+    kind = candidates.select(group, left, right, score, order).schema
+
     def go(p: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
-        for _, rows in p.sort_values([order, score, right], ascending=[True, False, True]).groupby(order, sort=False):
-            free = rows[~rows[right].isin(taken)]
-            if len(free):
-                taken.add(free.iloc[0][right])
-                out.append(free.iloc[0])
-        return pd.DataFrame(out, columns=p.columns)
-
-    cols = candidates.select(group, left, right, score, order)
-    return cols.groupBy(group).applyInPandas(go, cols.schema)
+        for _, rows in p.sort_values(["_block_place", "_rank"]).groupby("_block_place", sort=False):
+            for r in rows.itertuples(index=False):
+                if r._asdict()[right] not in taken:
+                    taken.add(r._asdict()[right])
+                    out.append(r)
+                    break
+        return pd.DataFrame(out, columns=p.columns)[kind.names]
+
+    rows = candidates.select(group, left, right, score, order).where(F.col(right).isNotNull())
+    lefts = checkpointed(row_numbers(rows.select(group, order).distinct().withColumn("_none", F.lit(0)), "_none", [group], [order], "_place"))
+    lefts = lefts.select(F.col(group).alias("_group"), F.col(order).alias("_order"), ((F.col("_place") - 1) / block).cast("long").alias("_block"), F.col("_place").alias("_block_place"))
+    rows = checkpointed(rows.join(lefts, F.col(group).eqNullSafe(F.col("_group")) & F.col(order).eqNullSafe(F.col("_order"))).drop("_group", "_order"))
+    last = rows.agg(F.max("_block")).first()[0]
+    matched = None
+    best = Window.partitionBy(group, "_block_place").orderBy(F.desc(score), F.col(right), F.col(left))
+    for k in range(0 if last is None else last + 1):
+        free = rows.where(F.col("_block") == k)
+        if matched is not None:
+            taken = matched.select(F.col(group).alias("_group"), F.col(right).alias("_right"))
+            free = free.join(taken, F.col(group).eqNullSafe(F.col("_group")) & (F.col(right) == F.col("_right")), "left_anti")
+        once = Window.partitionBy(group, "_block_place", right).orderBy(F.desc(score), F.col(left))
+        free = free.withColumn("_once", F.row_number().over(once)).where("_once = 1").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= block).drop("_once", "_block")
+        new = free.groupBy(group).applyInPandas(go, kind)
+        matched = checkpointed(new if matched is None else matched.union(new))
+    return candidates.select(group, left, right, score, order).limit(0) if matched is None else matched
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:

@@ -129,9 +129,11 @@ def all_pairs_of_groups(spark, d):
 
 @query()
 def greedy_best_match(spark, d):
-    p = parquet(spark, d, "part").where("p_size > 45").select("p_type", "p_partkey", "p_retailprice")
-    a, b = p.select("p_type", F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("_x")), p.select("p_type", F.col("p_partkey").alias("substitute"), F.col("p_retailprice").alias("_y"))
-    near = a.join(b, "p_type").where("gene <> substitute and abs(_x - _y) < 20").withColumn("score", -F.abs(F.col("_x") - F.col("_y"))).withColumn("slot", F.col("gene"))
+    """Each part of a type is replaced by the free one of nearest price, less than 20 away: prices meet by bands of 20."""
+    p = parquet(spark, d, "part").select("p_type", "p_partkey", "p_retailprice").withColumn("_band", F.floor(F.col("p_retailprice") / 20))
+    a = p.select("p_type", "_band", F.col("p_partkey").alias("gene"), F.col("p_retailprice").alias("_x"))
+    b = p.select("p_type", F.explode(F.array(*[F.col("_band") + k for k in (-1, 0, 1)])).alias("_band"), F.col("p_partkey").alias("substitute"), F.col("p_retailprice").alias("_y"))
+    near = a.join(b, ["p_type", "_band"]).where("gene <> substitute and abs(_x - _y) < 20").withColumn("score", -F.abs(F.col("_x") - F.col("_y"))).withColumn("slot", F.col("gene"))
     return rel.greedy_match(near, "p_type", "gene", "substitute", "score", "slot")
 
 

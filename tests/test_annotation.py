@@ -112,7 +112,7 @@ def test_normal_scores_by_query(spark):
 
 
 def test_greedy_match_by_query(spark):
-    p = spark.read.parquet(f"{SF}/part.parquet").where("p_size > 45").toPandas()
+    p = spark.read.parquet(f"{SF}/part.parquet").toPandas()
     want = set()
     for kind, g in p.groupby("p_type"):
         used = set()
