@@ -75,34 +75,57 @@ def centred(s: Products, rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarra
 
 
 def descend(g: np.ndarray, targets: np.ndarray, alphas: np.ndarray, most: int = 20_000, tolerance: float = 1e-9) -> Iterator[np.ndarray]:
-    """For each column of alphas (targets x path, falling): coefficients targets x features that minimise half the mean squared error plus alpha times their sizes."""
+    """For each column of alphas (targets x path, falling): coefficients targets x features that minimise half the mean squared error plus alpha times their sizes.
+
+    After every third round of coordinates, the features in use are solved for exactly; a target whose solution keeps their signs and meets the optimality conditions is settled.
+    """
     p = len(g)
     w, c = np.zeros((len(targets), p)), g[targets]
-    own = np.arange(p) == targets[:, None]
     diagonal = np.diag(g)
+    free = (np.arange(p) != targets[:, None]) & (diagonal > 1e-12)
     active = np.flatnonzero(diagonal > 1e-12)
     for a in range(alphas.shape[1]):
         alpha = alphas[:, a]
-        every = True
-        for _ in range(most):
-            largest = 0.0
-            for j in active if every else active[np.abs(w[:, active]).max(axis=0) > 0]:
-                rest = c[:, j] - w @ g[:, j] + w[:, j] * diagonal[j]
-                new = np.sign(rest) * np.maximum(np.abs(rest) - alpha, 0) / diagonal[j]
-                new[own[:, j]] = 0.0
-                largest = max(largest, float(np.abs(new - w[:, j]).max()))
-                w[:, j] = new
-            if largest < tolerance:
-                if every:
-                    break
-                every = True  # the held-back ones once more
-            else:
-                every = False
+        live = np.arange(len(targets))
+        for turn in range(most):
+            v, largest = w[live], np.zeros(len(live))
+            for j in active:
+                rest = c[live, j] - v @ g[:, j] + v[:, j] * diagonal[j]
+                new = np.where(free[live, j], np.sign(rest) * np.maximum(np.abs(rest) - alpha[live], 0) / diagonal[j], 0.0)
+                largest = np.maximum(largest, np.abs(new - v[:, j]))
+                v[:, j] = new
+            w[live] = v
+            settled = largest < tolerance
+            if turn % 3 == 2:
+                for k in np.flatnonzero(~settled):
+                    t = live[k]
+                    settled[k] = _solved(g, c[t], w[t], alpha[t], free[t])
+            live = live[~settled]
+            if not len(live):
+                break
         else:
             raise ValueError(f"coordinate descent has not converged in {most} rounds")
         yield w.copy()
 
 
+def _solved(g: np.ndarray, c: np.ndarray, w: np.ndarray, alpha: float, free: np.ndarray) -> bool:
+    """Puts the exact solution for the features in use into w, if it is the minimum."""
+    use = np.flatnonzero(w)
+    sign = np.sign(w[use])
+    try:
+        exact = np.linalg.solve(g[np.ix_(use, use)], c[use] - alpha * sign)
+    except np.linalg.LinAlgError:
+        return False
+    if not (np.sign(exact) == sign).all():
+        return False
+    rest = np.abs(c - g[:, use] @ exact)
+    rest[use] = 0
+    if (rest[free] > alpha * (1 + 1e-9) + 1e-12).any():
+        return False
+    w[use] = exact
+    return True
+
+
 def path_of(g: np.ndarray, targets: np.ndarray, length: int, least: float) -> np.ndarray:
     """Falling penalties per target, from the one that leaves nothing to `least` of it."""
     reach = np.abs(g[targets])

@@ -79,13 +79,14 @@ def stale(artefacts: DataFrame, edges: DataFrame) -> DataFrame:
     return times.join(seen.select("name", "_up"), "name", "left").select("name", late.alias("stale"), F.when(late, F.col("_up.name")).alias("because"))
 
 
-def _partial(i: int, j: int, given: list[int], r) -> Column:
-    """Partial correlation of the ith and jth of a candidate's features, given others, from plain correlations r(i, j)."""
-    if not given:
-        return r(min(i, j), max(i, j))
-    last, rest = given[-1], given[:-1]
-    x, y, z = _partial(i, j, rest, r), _partial(i, last, rest, r), _partial(j, last, rest, r)
-    return F.try_divide(x - y * z, F.sqrt(F.greatest((1 - y * y) * (1 - z * z), F.lit(0.0))))
+def _with_partial(tried: DataFrame, level: int, r) -> DataFrame:
+    """Adds _r: the partial correlation of a candidate's first two features given its `level` others. r(i, j) is the plain one of its ith and jth; each round leaves the last feature out."""
+    size = level + 2
+    out = tried.withColumns({f"_r{i}_{j}": r(i, j) for i in range(size) for j in range(i + 1, size)})
+    for last in reversed(range(2, size)):
+        left = lambda i, j, z=last: F.try_divide(F.col(f"_r{i}_{j}") - F.col(f"_r{i}_{z}") * F.col(f"_r{j}_{z}"), F.sqrt(F.greatest((1 - F.col(f"_r{i}_{z}") ** 2) * (1 - F.col(f"_r{j}_{z}") ** 2), F.lit(0.0))))
+        out = out.select(*tried.columns, *[left(i, j).alias(f"_r{i}_{j}") for i in range(last) for j in range(i + 1, last)])
+    return out.withColumnRenamed("_r0_1", "_r")
 
 
 def deep_skeleton(correlations: DataFrame, n: int, most: int = 3, z_cut: float = 1.959963984540054) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +125,7 @@ def deep_skeleton(correlations: DataFrame, n: int, most: int = 3, z_cut: float =
         for k in range(level + 1):  # the last member's row is not needed
             tried = tried.withColumn("_at", names[k]).join(rows.select(F.col("a").alias("_at"), F.col("_row").alias(f"_row{k}")), "_at").drop("_at")
         r = lambda i, j, names=names: F.try_element_at(F.col(f"_row{i}"), names[j])
-        scored = tried.select("a", "b", "given", z_of(_partial(0, 1, list(range(2, level + 2)), r), level).alias("z")).where(~(F.col("z") > z_cut))
+        scored = _with_partial(tried, level, r).select("a", "b", "given", z_of(F.col("_r"), level).alias("z")).where(~(F.col("z") > z_cut))
         best = scored.groupBy("a", "b").agg(F.min(F.struct("z", "given")).alias("_s"))
         out = checkpointed(best.select("a", "b", F.lit(level).alias("level"), F.col("_s.given").alias("given"), F.col("_s.z").alias("z")))
         gone = gone.union(out)

@@ -124,43 +124,58 @@ def strata(df: DataFrame, key: str, group: str) -> DataFrame:
     return df.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col(group).cast("string"))), "+").alias("pattern"))
 
 
-def greedy_match(candidates: DataFrame, group: str, left: str, right: str, score: str, order: str, block: int = 512) -> DataFrame:
+def greedy_match(candidates: DataFrame, group: str, left: str, right: str, score: str, order: str, block: int = 512, listed: int = 64) -> DataFrame:
     """Within each group every left, by order, takes its best right that is still free (ties: the least). Rows of one order are one left; a null order comes first.
 
-    Lefts go in blocks of `block` by order, a round a block, all groups at once. Of a left's free rights the `block` best are enough, since the others of its block can take no more than
-    that; ranking them is spread by left, and a task solves one block of a group: block x block rows, however large the group. Rights taken are kept for the rounds that follow.
+    All groups advance together in rounds. A round takes a group's next `block` lefts with the `listed` best of each one's free rights, ranked where the left's rows lie, so a task solves
+    block x listed rows however large the group. A left whose list is used up though it had more ends its group's round there: it comes first in the next one, with a fresh list.
+    So the result is the sequential rule's, and only lefts that crowd on the same rights cost more rounds.
     """
     import pandas as pd
 
-    kind = candidates.select(group, left, right, score, order).schema
+    names = [group, left, right, score, order]
+    kind = candidates.select(*names).schema
+    took = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kind)}, _next long, _marker boolean"
 
     def go(p: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, rows in p.sort_values(["_block_place", "_rank"]).groupby("_block_place", sort=False):
-            for r in rows.itertuples(index=False):
-                if r._asdict()[right] not in taken:
-                    taken.add(r._asdict()[right])
-                    out.append(r)
+        p = p.sort_values(["_place", "_rank"])
+        taken, chosen, done, after = set(), [], 0, int(p["_end"].iloc[0])
+        for k, (place, r, last) in enumerate(zip(p["_place"].tolist(), p[right].tolist(), p["_last"].tolist(), strict=True)):
+            if place == done:
+                continue
+            if r not in taken:
+                taken.add(r)
+                chosen.append(k)
+                done = place
+            elif last:  # the end of its list: nothing free, or not known here
+                if p["_more"].iloc[k]:
+                    after = place
                     break
-        return pd.DataFrame(out, columns=p.columns)[kind.names]
-
-    rows = candidates.select(group, left, right, score, order).where(F.col(right).isNotNull())
-    lefts = checkpointed(row_numbers(rows.select(group, order).distinct().withColumn("_none", F.lit(0)), "_none", [group], [order], "_place"))
-    lefts = lefts.select(F.col(group).alias("_group"), F.col(order).alias("_order"), ((F.col("_place") - 1) / block).cast("long").alias("_block"), F.col("_place").alias("_block_place"))
-    rows = checkpointed(rows.join(lefts, F.col(group).eqNullSafe(F.col("_group")) & F.col(order).eqNullSafe(F.col("_order"))).drop("_group", "_order"))
-    last = rows.agg(F.max("_block")).first()[0]
+        out = p.iloc[[*chosen, 0]][names].copy()
+        out["_next"], out["_marker"] = after, [False] * len(chosen) + [True]
+        return out
+
+    rows = candidates.select(*names).where(F.col(right).isNotNull())
+    lefts = checkpointed(row_numbers(rows.select(group, order).distinct().withColumn("_none", F.lit(0)), "_none", [group], [order], "_place").select(F.col(group).alias("_group"), F.col(order).alias("_order"), "_place"))
+    rows = rows.join(lefts, F.col(group).eqNullSafe(F.col("_group")) & F.col(order).eqNullSafe(F.col("_order"))).drop("_group", "_order")
+    here = checkpointed(lefts.groupBy("_group").agg(F.lit(1).cast("long").alias("_from"), F.max("_place").alias("_most")))
+    own = Window.partitionBy(group, "_place")
     matched = None
-    best = Window.partitionBy(group, "_block_place").orderBy(F.desc(score), F.col(right), F.col(left))
-    for k in range(0 if last is None else last + 1):
-        free = rows.where(F.col("_block") == k)
+    while not here.isEmpty():
         if matched is not None:
+            free = rows.join(here.select("_group", "_from"), F.col(group).eqNullSafe(F.col("_group"))).where(F.col("_place") >= F.col("_from")).drop("_group", "_from")
             taken = matched.select(F.col(group).alias("_group"), F.col(right).alias("_right"))
-            free = free.join(taken, F.col(group).eqNullSafe(F.col("_group")) & (F.col(right) == F.col("_right")), "left_anti")
-        once = Window.partitionBy(group, "_block_place", right).orderBy(F.desc(score), F.col(left))
-        free = free.withColumn("_once", F.row_number().over(once)).where("_once = 1").withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= block).drop("_once", "_block")
-        new = free.groupBy(group).applyInPandas(go, kind)
-        matched = checkpointed(new if matched is None else matched.union(new))
-    return candidates.select(group, left, right, score, order).limit(0) if matched is None else matched
+            rows = checkpointed(free.join(taken, F.col(group).eqNullSafe(F.col("_group")) & (F.col(right) == F.col("_right")), "left_anti"))
+        turn = rows.join(here, F.col(group).eqNullSafe(F.col("_group"))).where((F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_from") + block))
+        turn = turn.withColumns({"_rank": F.row_number().over(own.orderBy(F.desc(score), F.col(right), F.col(left))), "_n": F.count("*").over(own)}).where(F.col("_rank") <= listed)
+        turn = turn.select(*names, "_place", "_rank", (F.col("_rank") == F.least(F.col("_n"), F.lit(listed))).alias("_last"), (F.col("_n") > listed).alias("_more"), (F.col("_from") + block).alias("_end"))
+        new = checkpointed(turn.groupBy(group).applyInPandas(go, took))
+        got = new.where("not _marker").select(*names)
+        matched = got if matched is None else checkpointed(matched.union(got))
+        after = new.where("_marker").select(F.col(group).alias("_g"), "_next")
+        here = here.join(after, F.col("_group").eqNullSafe(F.col("_g")), "left").select("_group", F.coalesce("_next", F.col("_from") + block).alias("_from"), "_most")
+        here = checkpointed(here.where("_from <= _most"))
+    return candidates.select(*names).limit(0) if matched is None else matched
 
 
 def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str]) -> DataFrame:

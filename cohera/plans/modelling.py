@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compartments as cm
-from ..operators import models as md
 from ..operators import networks as nw
 from ..operators import resampling as rs
 from ..sources.tables import parquet
@@ -73,27 +72,6 @@ def noninferiority_stop(spark, d):
     return rs.smallest_noninferior(parquet(spark, d, "part").select(F.col("p_size").alias("k"), (F.col("p_retailprice") / 1000 / F.col("p_size")).alias("loss")), "k", "loss", 0.1)
 
 
-@query()
-def pooled_out_of_fold_auc(spark, d):
-    f = rs.folds(_sample(spark, d), "doc_id", 5, ["y"], 2)
-    return md.pooled_auc_of(md.out_of_fold(f, ["repeat"], "fold", "doc_id", "y", ["s", "t"]), ["repeat"], "repeat", "doc_id", "y")
-
-
-@query()
-def backward_elimination(spark, d):
-    e = parquet(spark, d, "embeddings").where("label is not null").select("vec_id", (F.col("label") % 2).alias("y"), *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(4)])
-    f = rs.folds(e, "vec_id", 3, ["y"])
-
-    def score(sets):
-        grid = [f.select("vec_id", "y", "fold", F.lit(k).alias("candidate"), *[(F.col(c) if c in s else F.lit(0.0)).alias(c) for c in ("f0", "f1", "f2", "f3")]) for k, s in enumerate(sets)]
-        rows = grid[0]
-        for g in grid[1:]:
-            rows = rows.union(g)
-        return md.pooled_auc_of(md.out_of_fold(rows, ["candidate"], "fold", "vec_id", "y", ["f0", "f1", "f2", "f3"]), ["candidate"], None, "vec_id", "y").withColumnRenamed("auc", "score")
-
-    return spark.createDataFrame(md.backward_elimination(score, ["f0", "f1", "f2", "f3"], keep=2), "dropped string, score double")
-
-
 MODULES = """e AS (SELECT user_id, event_type AS f, avg(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT 'error' AS f, 'a' AS kind UNION ALL SELECT 'click', 'a' UNION ALL SELECT 'click', 'b' UNION ALL SELECT f, 'c' FROM (SELECT DISTINCT f FROM e) WHERE f NOT IN ('click', 'error')),
 z AS (SELECT user_id, f, (v - avg(v) OVER (PARTITION BY f)) / (stddev_pop(v) OVER (PARTITION BY f) + 1e-8) AS z FROM e), c AS (SELECT user_id, kind, avg(z) AS score FROM z JOIN m USING (f) GROUP BY 1, 2)"""
 

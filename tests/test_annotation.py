@@ -118,7 +118,7 @@ def test_greedy_match_by_query(spark):
         used = set()
         price = dict(zip(g.p_partkey, g.p_retailprice))
         for gene in sorted(price):
-            near = [(abs(price[gene] - price[s]), s) for s in price if s != gene and s not in used and abs(price[gene] - price[s]) < 20]
+            near = [(abs(price[gene] - price[s]), s) for s in price if s != gene and s not in used and abs(price[gene] - price[s]) < 1]
             if near:
                 used.add(min(near)[1])
                 want.add((kind, gene, min(near)[1]))
