@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -171,40 +172,64 @@ def mann_whitney(df: DataFrame, value: str, label: str, by: list[str], largest:
     return g.withColumn("p", normal_two_sided_p(F.col("z"))).select(*by, "n1", "n0", "u", "z", "p")
 
 
-MOST_EXACT = 50  # rows of a group whose rank test is counted out
+def mann_whitney_sides(df: DataFrame, value: str, label: str, by: list[str], largest: int = LARGEST) -> DataFrame:
+    """mann_whitney's rows and p_less, p_greater: the tails for label 1 having the smaller, the larger values, each with its own continuity correction."""
+    t = F.col("_t").cast("double")
+    c = label_counts(df, value, label, by, largest)
+    g = c.groupBy(*by).agg(F.sum("_p").alias("n1"), F.sum("_q").alias("n0"), F.sum(F.col("_p") * (F.col("_q_before") + F.col("_q") / F.lit(2.0))).alias("u"), F.sum(t * (t * t - 1)).alias("_ties"), (F.max("_t") > 1).alias("ties"))
+    n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
+    n = n1 + n0
+    sd = F.sqrt(n1 * n0 / 12 * (n + 1 - F.try_divide(F.col("_ties"), n * (n - 1))))
+    off = F.col("u") - n1 * n0 / 2
 
+    def upper(z: Column) -> Column:
+        return F.when(z >= 0, normal_two_sided_p(z) / 2).otherwise(1 - normal_two_sided_p(z) / 2)
 
+    sides = {"p_less": upper(F.try_divide(-off - 0.5, sd)), "p_greater": upper(F.try_divide(off - 0.5, sd))}
+    both = normal_two_sided_p(F.try_divide(F.greatest(F.abs(off) - 0.5, F.lit(0.0)), sd))
+    known = F.try_divide(F.lit(1.0), sd).isNotNull()
+    return g.select(*by, "n1", "n0", "u", "ties", F.when(known, both).alias("p"), *[F.when(known, c).alias(k) for k, c in sides.items()])
+
+
+MOST_EXACT = 50  # differences whose signed ranks are counted out
+MOST_WAYS = 2_000_000  # values of u: a smaller class of 8 against a quarter of a million rows
+
+
+@lru_cache(maxsize=64)
 def _rank_sum_ways(n1: int, n0: int) -> np.ndarray:
-    """How many of the orders of n1 + n0 distinct values give each u, from 0 to n1 * n0."""
-    ways = np.zeros((n1 + 1, n1 * n0 + 1))
-    ways[0, 0] = 1
-    for rank in range(1, n1 + n0 + 1):
-        for k in range(min(rank, n1), 0, -1):
-            move = rank - k  # rows of the other class below the k-th
-            if move <= n1 * n0:
-                ways[k, move:] += ways[k - 1, : n1 * n0 + 1 - move]
-    return ways[n1]
+    """How many of the orders of n1 + n0 distinct values give each u, from 0 to n1 * n0, as whole numbers of any size.
+
+    The counts are the coefficients of the product of (1 - q^(n + i)) / (1 - q^i) for i up to the smaller class: a shifted difference and a running sum each.
+    """
+    k, n = min(n1, n0), max(n1, n0)
+    ways = np.zeros(k * n + 1, object)
+    ways[0] = 1
+    for i in range(1, k + 1):
+        if n + i <= k * n:
+            ways[n + i :] = ways[n + i :] - ways[: -(n + i)]
+        for r in range(i):
+            ways[r::i] = np.add.accumulate(ways[r::i])
+    return ways
 
 
 def _tail(ways: np.ndarray, at: float, alternative: str) -> float:
-    p, k = ways / ways.sum(), int(round(at))
-    low, high = p[: k + 1].sum(), p[k:].sum()
+    k, total = int(round(at)), ways.sum()
+    low, high = ways[: k + 1].sum() / total, ways[k:].sum() / total
     return float({"less": low, "greater": high, "two-sided": min(1.0, 2 * min(low, high))}[alternative])
 
 
 def exact_mann_whitney(df: DataFrame, value: str, label: str, by: list[str], alternative: str = "two-sided") -> DataFrame:
-    """by, n1, n0, u, ties (whether values repeat) and p: counted out where no values repeat, a class has at most 8 rows and both at most MOST_EXACT, by the normal
-    approximation elsewhere. alternative: "two-sided", "less" or "greater" (label 1 has the smaller, the larger values)."""
-    ties = label_counts(df, value, label, by).groupBy(*by).agg((F.max("_t") > 1).alias("ties"))
-    g = joined(mann_whitney(df, value, label, by), ties, by)
+    """by, n1, n0, u, ties (whether values repeat) and p. Orders are counted out where no values repeat and a class has at most 8 rows, however many the other has (up to MOST_WAYS
+    values of u); elsewhere p is the normal approximation of the side. alternative: "two-sided", "less" or "greater" (label 1 has the smaller, the larger values)."""
+    near = {"two-sided": "p", "less": "p_less", "greater": "p_greater"}[alternative]
+    g = mann_whitney_sides(df, value, label, by)
 
     @F.pandas_udf(DoubleType())
     def p(u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series, near: pd.Series) -> pd.Series:
-        fine = lambda a, b, t: not t and min(a, b) <= 8 and a + b <= MOST_EXACT and min(a, b) > 0
+        fine = lambda a, b, t: not t and 0 < min(a, b) <= 8 and a * b <= MOST_WAYS
         return pd.Series([_tail(_rank_sum_ways(int(a), int(b)), x, alternative) if fine(a, b, t) else q for x, a, b, t, q in zip(u, n1, n0, ties, near)], dtype="float64")
 
-    sides = {"two-sided": F.col("p"), "less": F.when(F.col("z") < 0, F.col("p") / 2).when(F.col("z") >= 0, 1 - F.col("p") / 2), "greater": F.when(F.col("z") > 0, F.col("p") / 2).when(F.col("z") <= 0, 1 - F.col("p") / 2)}
-    return g.select(*by, "n1", "n0", "u", "ties", p("u", "n1", "n0", "ties", sides[alternative]).alias("p"))
+    return g.select(*by, "n1", "n0", "u", "ties", p("u", "n1", "n0", "ties", near).alias("p"))
 
 
 def exact_signed_rank(df: DataFrame, difference: str, by: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+from .draws import hashed
 from .matrix import z_against
 from .ranks import joined
 from .stats import two_group_auc
@@ -72,3 +74,106 @@ def trim_without_each(df: DataFrame, sample: str, feature: str, value: str, labe
             active[r["_held"]].remove(r["b"]["f"])
             out.append((r["_held"], step, r["b"]["f"], r["b"]["s"]))
     return out
+
+
+ARMS = ("fixed", "full_data", "pool_fixed", "nested", "random_pool", "random_all")
+
+
+def decomposition(df: DataFrame, sample: str, feature: str, value: str, label: str, fold: str, fixed: DataFrame, pool: DataFrame, size: int, draws: int, seed: int = 0) -> DataFrame:
+    """One row: how much of a panel's held-out area is owed to choosing it on the samples that test it.
+
+    Six arms on shared folds, each a panel tried on the fold that its weights have not seen: `fixed` (a given table of features), full_data (the `size` strongest on all samples), pool_fixed (on the
+    training samples, among a given pool), nested (on the training samples, among all), random_pool and random_all (the mean of `draws` panels of least hash). A feature's strength is
+    its weight: the difference of class means over the spread of the training samples; a sample's score is the weighted sum of its panel's scaled values. Columns: the arms' mean areas over folds,
+    total = fixed - nested and its parts fixed - full_data, full_data - pool_fixed, pool_fixed - nested.
+
+    A fold's training sums are all sums less its own, so every arm, fold and draw comes from one aggregate; panels are rows (arm, draw, fold, feature) and meet the long table once.
+    """
+    rows = df.where(F.col(value).isNotNull() & F.col(label).isNotNull() & F.col(fold).isNotNull()).select(sample, feature, value, label, fold)
+    v, y = F.col(value).cast("double"), F.col(label)
+    own = checkpointed(rows.groupBy(fold, feature).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum(y).alias("n1"), F.sum(v * y).alias("s1")))
+    sums = ["n", "s", "q", "n1", "s1"]
+    total = own.groupBy(feature).agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    held = own.select(fold).distinct()
+    every = held.join(total.select(feature)).join(own, [fold, feature], "left").join(total, feature)  # folds x features
+    less = {c: F.col(f"_{c}") - F.coalesce(c, F.lit(0)) for c in sums}
+
+    def weights(table: DataFrame, keys: list[str], of: dict) -> DataFrame:
+        spread = F.sqrt(F.greatest(of["q"] / of["n"] - (of["s"] / of["n"]) ** 2, F.lit(0.0)))
+        gap = F.try_divide(of["s1"], of["n1"]) - F.try_divide(of["s"] - of["s1"], of["n"] - of["n1"])
+        out = table.select(*keys, spread.alias("spread"), F.try_divide(gap, spread).alias("weight"))
+        return checkpointed(out.where("weight is not null and spread > 0"))
+
+    train = weights(every, [fold, feature], less)
+    whole = weights(total, [feature], {c: F.col(f"_{c}") for c in sums})
+
+    def strongest(table: DataFrame, by: list[str]) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc(F.round(F.abs("weight"), 12)), feature)  # features of a fold
+        return table.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= size)
+
+    def drawn(table: DataFrame) -> DataFrame:
+        each = table.select(fold, feature, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+        order = Window.partitionBy(fold, "draw").orderBy(hashed("draw", fold, feature, seed=seed), feature)
+        return each.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= size)
+
+    among = train.join(pool.select(feature).distinct(), feature, "left_semi")
+    panels = {
+        "fixed": train.join(fixed.select(feature).distinct(), feature, "left_semi").withColumn("draw", F.lit(0)),
+        "full_data": train.join(strongest(whole, []).select(feature), feature, "left_semi").withColumn("draw", F.lit(0)),
+        "pool_fixed": strongest(among, [fold]).withColumn("draw", F.lit(0)),
+        "nested": strongest(train, [fold]).withColumn("draw", F.lit(0)),
+        "random_pool": drawn(among),
+        "random_all": drawn(train),
+    }
+    chosen = None
+    for arm, p in panels.items():
+        p = p.select(F.lit(arm).alias("arm"), "draw", fold, feature)
+        chosen = p if chosen is None else chosen.union(p)
+    terms = rows.join(train, [fold, feature]).withColumn("_term", F.col("weight") * F.col(value) / F.col("spread")).join(chosen, [fold, feature])
+    scores = terms.groupBy("arm", "draw", fold, sample, label).agg(F.round(F.sum("_term"), 10).alias("_score"))
+    areas = two_group_auc(scores, "_score", label, ["arm", "draw", fold]).where("auc is not null")
+    means = areas.groupBy("arm", fold).agg(F.avg("auc").alias("auc")).groupBy("arm").agg(F.avg("auc").alias("auc"))
+    one = means.agg(*[F.max(F.when(F.col("arm") == a, F.col("auc"))).alias(a) for a in ARMS])
+    gap = lambda a, b: F.col(a) - F.col(b)
+    return one.select(*ARMS, gap("fixed", "nested").alias("total"), gap("fixed", "full_data").alias("approximation"), gap("full_data", "pool_fixed").alias("ranking"), gap("pool_fixed", "nested").alias("pooling"))
+
+
+def forward_swaps(train: DataFrame, cohorts: DataFrame, slots: list[tuple], options: dict, objective: object, sample: str, feature: str, value: str, label: str, cohort: str, least: int = 5) -> list[dict]:
+    """Swaps a panel's slots for their replacements one at a time, each time the one that gains most on the objective cohort, as long as any gains.
+
+    slots: (slot, feature) in panel order; options: slot -> replacement. A slot counts in a cohort where both it and the training rows hold the feature that now fills it: a replacement that a cohort lacks
+    drops the slot there, it does not bring the old feature back. A state with fewer than `least` slots in the objective cohort is not tried. Weights are the class means' difference of scaled
+    training values, so a sample's score is the sum of its slots' terms: terms are made once, and a step is one job in which all candidates are rows (candidate, slot, feature). Steps: step, slot, replacement, gain, areas (by cohort).
+    """
+    spark = train.sparkSession
+    scaled = z_against(train, train, feature, value, "_z")
+    weights = mean_difference_weights(scaled, feature, "_z", label).where("weight is not null")
+    terms = z_against(cohorts, train, feature, value, "_z").join(weights, feature).where("_z is not null")
+    terms = checkpointed(terms.select(cohort, sample, label, F.col(feature).alias("_filled"), (F.col("_z") * F.col("weight")).alias("_term")))
+    kind = train.schema[feature].dataType.simpleString()
+    held = {(r[0], r[1]) for r in terms.select(cohort, "_filled").distinct().join(spark.createDataFrame([(f,) for f in {*(f for _, f in slots), *options.values()}], f"_filled {kind}"), "_filled").select(cohort, "_filled").collect()}  # cohorts x panel
+
+    def areas(states: dict[int, dict], within: DataFrame) -> dict:
+        filled = spark.createDataFrame([(k, n, f) for k, active in states.items() for n, f in enumerate(active.get(s, f) for s, f in slots)], f"_state int, _slot int, _filled {kind}")
+        scores = within.join(F.broadcast(filled), "_filled").groupBy("_state", cohort, sample, label).agg(F.round(F.sum("_term"), 10).alias("_score"))  # states x panel rows
+        return {(r["_state"], r[cohort]): r["auc"] for r in two_group_auc(scores, "_score", label, ["_state", cohort]).collect()}  # a row per state and cohort
+
+    active: dict = {}
+    now = areas({0: active}, terms).get((0, objective))
+    out: list[dict] = []
+    only = terms.where(F.col(cohort) == F.lit(objective))
+    while True:
+        tries = {k: {**active, s: options[s]} for k, (s, _) in enumerate(slots) if s in options and s not in active}
+        tries = {k: a for k, a in tries.items() if sum((objective, a.get(s, f)) in held for s, f in slots) >= least}
+        if not tries:
+            return out
+        found = areas(tries, only)
+        gains = [(round(found[k, objective] - (now if now is not None else 0.0), 12), -k) for k in tries if found.get((k, objective)) is not None]
+        gain, k = max(gains, default=(0.0, 0))
+        if gain <= 0:
+            return out
+        slot = slots[-k][0]
+        active = tries[-k]
+        every = {c: a for (_, c), a in areas({0: active}, terms).items()}
+        now = every[objective]
+        out.append({"step": len(out) + 1, "slot": slot, "replacement": options[slot], "gain": gain, "areas": every})

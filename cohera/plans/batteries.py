@@ -41,7 +41,7 @@ def meta_same_sign(spark, d):
 
 @query()
 def exact_small_groups(spark, d):
-    """Customers of rare high balance against the others of their nation and segment."""
+    """Every third customer against the others of their nation and segment, by balance."""
     c = parquet(spark, d, "customer").select("c_nationkey", "c_mktsegment", F.round("c_acctbal", 2).alias("x"), (F.col("c_custkey") % 3 == 0).cast("int").alias("y"))
     return st.exact_mann_whitney(c, "x", "y", ["c_nationkey", "c_mktsegment"])
 
