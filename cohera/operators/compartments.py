@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .ranks import joined, with_midrank
+from .ranks import joined, largest_group, with_midrank
 from .stats import correlation
 
 
@@ -30,7 +30,8 @@ def best_kind(scores: DataFrame, sample: str, kind: str) -> DataFrame:
 def nearest_centroid(df: DataFrame, sample: str, feature: str, value: str, centroids: DataFrame, kind: str, reference: str) -> DataFrame:
     """Spearman of every sample with every kind's centroid over the features they share; the best kind and its rho."""
     j = df.select(sample, feature, value).join(centroids.select(feature, kind, reference), feature)
-    r = with_midrank(with_midrank(j, value, [sample, kind], "_a"), reference, [sample, kind], "_b")
+    size = largest_group(j, [sample, kind])
+    r = with_midrank(with_midrank(j, value, [sample, kind], "_a", size=size), reference, [sample, kind], "_b", size=size)
     rho = r.groupBy(sample, kind).agg(correlation("_a", "_b").alias("score"))
     return best_kind(rho, sample, kind).join(rho, [sample, kind]).withColumnRenamed("score", "rho")
 

@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
 from .draws import hashed
+from .ranks import joined
 from .resampling import weighted_auc
 
 MOST_NUMBERS = 8_000_000  # sums of a pass, which a task and the driver hold
 
 
 class Fit(NamedTuple):
-    """out: (level, fold) pairs whose rows are no training rows; test: the pair whose rows are scored (None: all rows).
+    """out: (level, fold) pairs whose rows are no training rows; only: the pair whose rows alone are (None: all others); test: the pair whose rows are scored (None: all rows).
     c: strength of the coefficients' prior, or a function of the number of training rows; use: the features' places (None: all)."""
 
     out: tuple[tuple[int, int], ...] = ()
     c: float | Callable[[int], float] = 1.0
     use: tuple[int, ...] | None = None
     test: tuple[int, int] | None = None
+    only: tuple[int, int] | None = None
 
 
 class Model(NamedTuple):
@@ -61,15 +63,17 @@ class Grid:
         """fits x size: the sums of make(fit's number, x, y) over each fit's training rows."""
         if len(fits) * size > MOST_NUMBERS:
             raise ValueError(f"{len(fits)} fits of {size} sums are more than {MOST_NUMBERS} numbers: take fewer fits at once")
-        outs, width = [f.out for f in fits], self.width
+        outs, width = [(f.out, f.only) for f in fits], self.width
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(outs), size))
             for b in batches:
                 y, x, folds = _unpacked(b, width)
                 known = ~np.isnan(y)
-                for k, out in enumerate(outs):
+                for k, (out, only) in enumerate(outs):
                     rows = known & ~_held(folds, out)
+                    if only:
+                        rows &= _held(folds, (only,))
                     if rows.any():
                         total[k] += make(k, x[rows], y[rows])
             at = np.flatnonzero(total)
@@ -82,7 +86,7 @@ class Grid:
 
     def _moments(self, fits: list[Fit]) -> list[tuple[np.ndarray, np.ndarray, int, float]]:
         """Training mean and spread of each feature (null counts as the mean), rows and share of class 1, per distinct training set."""
-        sets = list(dict.fromkeys(f.out for f in fits))
+        sets = list(dict.fromkeys((f.out, f.only) for f in fits))
         p = self.width
         at = self._summed([Fit()], 2 * p, lambda k, x, y: np.concatenate([(~np.isnan(x)).sum(axis=0), np.nansum(x, axis=0)]))[0]
         shift = at[p:] / np.maximum(at[:p], 1)
@@ -92,12 +96,12 @@ class Grid:
             return np.concatenate([[len(y), y.sum()], (~np.isnan(d)).sum(axis=0), np.nansum(d, axis=0), np.nansum(d * d, axis=0)])
 
         of = {}
-        for out, s in zip(sets, self._summed([Fit(o) for o in sets], 2 + 3 * p, make), strict=True):
+        for out, s in zip(sets, self._summed([Fit(o, only=i) for o, i in sets], 2 + 3 * p, make), strict=True):
             n, k, m, q = int(s[0]), s[2 : 2 + p], s[2 + p : 2 + 2 * p], s[2 + 2 * p :]
             mean = m / np.maximum(k, 1)
             spread = np.sqrt(np.maximum(q - k * mean**2, 0) / max(n, 1))
             of[out] = (mean + shift, np.where(spread > 1e-12 * (1 + np.abs(shift)), spread, 1.0), n, s[1] / n if n else 0.5)
-        return [of[f.out] for f in fits]
+        return [of[f.out, f.only] for f in fits]
 
     def fitted(self, fits: list[Fit], steps: int = 60, tolerance: float = 1e-8, strict: bool = True, start: list[np.ndarray] | None = None) -> list[Model]:
         """Newton's method on all fits at once, a pass a step; a step that makes the loss larger is halved. A fit of one class has coefficients 0 and counts as converged.
@@ -152,8 +156,8 @@ class Grid:
             models.append(Model(whole, m[0], m[1], m[2], m[3], d, ck))
         return models
 
-    def scores(self, fits: list[Fit], models: list[Model]) -> DataFrame:
-        """fit (its number), key, y, score of the rows that each fit is tested on; a fit of one class scores its rate."""
+    def scores(self, fits: list[Fit], models: list[Model], line: bool = False) -> DataFrame:
+        """fit (its number), key, y, score of the rows that each fit is tested on; a fit of one class scores its rate. line: the linear value instead of the probability."""
         tests, width = [f.test for f in fits], self.width
         kind = self.rows.schema["key"].dataType.simpleString()
 
@@ -166,7 +170,9 @@ class Grid:
                     if not len(rows):
                         continue
                     z = _scaled(x[rows], m.mean, m.spread, np.arange(width + 1))
-                    s = 1 / (1 + np.exp(-np.clip(z @ m.beta, -500, 500))) if 0 < m.rate < 1 else np.full(len(rows), m.rate)
+                    s = z @ m.beta
+                    if not line:
+                        s = 1 / (1 + np.exp(-np.clip(s, -500, 500))) if 0 < m.rate < 1 else np.full(len(rows), m.rate)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), k, np.int32)), keys.take(pa.array(rows)), pa.array(y[rows], mask=np.isnan(y[rows])), pa.array(s)], names=["fit", "key", "y", "score"])
 
         return self.rows.mapInArrow(go, f"fit int, key {kind}, y double, score double")
@@ -263,3 +269,27 @@ def eliminated(grid: Grid, names: list[str], folds: list[int], keep: int, c: flo
 
 def fold_column(key: str, parts: int, seed: int = 0) -> Column:
     return (hashed(key, seed=seed) % parts).cast("int")
+
+
+def covariate_models(df: DataFrame, by: list[str], label: str, score: str, covariates: list[str], c: float = 1.0) -> DataFrame:
+    """by, model, coefficient of the standardised score (null in the covariates' own model), auc of the fitted values, for score, covariates and both. Incomplete rows are left out; one class alone gives no rows.
+
+    All groups and all three models are fits of one grid, fed by the same passes; groups are as many as fits can be steered at once.
+    """
+    names = [score, *covariates]
+    rows = df.select(*by, label, *names).dropna(subset=[label, *names])
+    groups = checkpointed(rows.select(*by).distinct().withColumn("_g", F.monotonically_increasing_id()))
+    number = {r["_g"]: k for k, r in enumerate(groups.select("_g").orderBy("_g").limit(MOST_NUMBERS // 64).collect())}
+    dense = df.sparkSession.createDataFrame(list(number.items()), "_g long, _level long") if number else None
+    if dense is None:
+        return df.sparkSession.createDataFrame([], df.select(*by).schema).withColumns({"model": F.lit(""), "coefficient": F.lit(0.0), "auc": F.lit(0.0)})
+    groups = groups.join(F.broadcast(dense), "_g").drop("_g")  # a row per group
+    grid = Grid(joined(rows, groups, by).withColumn("_key", F.lit(0)), "_key", label, names, ["_level"])
+    models = {"score": (0,), "covariates": tuple(range(1, len(names))), "both": tuple(range(len(names)))}
+    fits = [Fit((), c, use, (0, g), (0, g)) for g in range(len(number)) for use in models.values()]
+    made = grid.fitted(fits)
+    auc = areas(grid.scores(fits, made, line=True).withColumn("score", F.round("score", 12)))
+    kinds = list(models)
+    table = [(k, k // 3, kinds[k % 3], float(m.beta[1]) if 0 in fits[k].use else None) for k, m in enumerate(made) if 0 < m.rate < 1]
+    out = df.sparkSession.createDataFrame(table, "fit int, _level long, model string, coefficient double").join(auc, "fit").join(groups, "_level")
+    return out.select(*by, "model", "coefficient", "auc")

@@ -12,7 +12,6 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..sources.tables import checkpointed
 from .ranks import joined
 from .resampling import weighted_auc
-from .stats import two_group_auc
 
 
 MOST_FITS = 20_000  # fits that are steered at once; the driver holds their coefficients and sums, never rows
@@ -133,25 +132,3 @@ def combo_gain(single: DataFrame, combos: DataFrame) -> DataFrame:
     c = combos.withColumn("_m", F.array_sort("members")).dropDuplicates(["_m"])
     best = c.select("_m", F.explode("_m").alias("feature")).join(single.withColumnRenamed("auc", "_a"), "feature").groupBy("_m").agg(F.max("_a").alias("_best"))
     return c.join(best, "_m").select(F.col("_m").alias("members"), "auc", (F.col("auc") - F.col("_best")).alias("synergy"))
-
-
-def covariate_adjustment(df: DataFrame, by: list[str], label: str, score: str, covariates: list[str], c: float = 1.0) -> DataFrame:
-    """by, model, coefficient of the standardised score (null in the covariates' own model), auc of the fitted values, for score, covariates and both. Incomplete rows are left out; one class alone gives no rows.
-
-    Moments, Newton sums and areas are aggregates, so a group of any size is no single task.
-    """
-    models = {"score": [score], "covariates": covariates, "both": [score, *covariates]}
-    names = [score, *covariates]
-    rows = df.select(*by, label, *[F.col(x).cast("double").alias(x) for x in names]).dropna(subset=[label, *names])
-    m = rows.groupBy(*by).agg(*[a for x in names for a in (F.avg(x).alias(f"_m_{x}"), F.stddev_pop(x).alias(f"_s_{x}"))])
-    z = joined(rows, m, by).select(*by, label, *[((F.col(x) - F.col(f"_m_{x}")) / F.when(F.col(f"_s_{x}") > 0, F.col(f"_s_{x}")).otherwise(1.0)).alias(x) for x in names])
-    out = None
-    for model, use in models.items():
-        betas, _ = logistic_fits(z, by, label, use, c)
-        line = sum((F.col("_beta")[i + 1] * F.col(x) for i, x in enumerate(use)), F.col("_beta")[0])
-        fitted = joined(z, betas, by).select(*by, label, F.round(line, 12).alias("_line"))
-        areas = two_group_auc(fitted, "_line", label, by)
-        coefficient = F.col("_beta")[1] if score in use else F.lit(None).cast("double")
-        one = joined(areas, betas, by).select(*by, F.lit(model).alias("model"), coefficient.alias("coefficient"), "auc")
-        out = one if out is None else out.union(one)
-    return out

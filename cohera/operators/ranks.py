@@ -25,6 +25,7 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
 
 
 def largest_group(df: DataFrame, by: list[str]) -> int:
+    """Rows of the largest group. This runs df: where several ranks are taken of the same rows, count once and pass the number on as `size`."""
     return (df.groupBy(*by).count().agg(F.max("count")).first()[0] if by else df.count()) or 0
 
 
@@ -47,12 +48,12 @@ def with_ranges(df: DataFrame, value: str, out: str = "_range") -> DataFrame:
     return df.withColumn(out, F.when(v.isNull(), -1).otherwise(_range_of(v, sorted(set(cuts or [])))))
 
 
-def running(df: DataFrame, value: str, by: list[str], sums: list[str], descending: bool = False, tie: list[str] | None = None, largest: int = LARGEST) -> DataFrame:
+def running(df: DataFrame, value: str, by: list[str], sums: list[str], descending: bool = False, tie: list[str] | None = None, largest: int = LARGEST, size: int | None = None) -> DataFrame:
     """Adds, for each column of sums, <column>_before: its sum over the group's rows before this one in order of value and tie."""
     way = F.desc if descending else F.asc
     order = [way(value), *(tie or [])]
     earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if largest_group(df, by) <= largest:
+    if (largest_group(df, by) if size is None else size) <= largest:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumns({f"{c}_before": earlier(w, c) for c in sums})
     rows = with_ranges(df, value)
@@ -64,20 +65,20 @@ def running(df: DataFrame, value: str, by: list[str], sums: list[str], descendin
     return out.select(*df.columns, *[(F.col(f"_{c}_inner") + F.col(f"_{c}_ranges")).alias(f"{c}_before") for c in sums])
 
 
-def row_numbers(df: DataFrame, value: str, by: list[str], tie: list[str], out: str, descending: bool = False, largest: int = LARGEST) -> DataFrame:
+def row_numbers(df: DataFrame, value: str, by: list[str], tie: list[str], out: str, descending: bool = False, largest: int = LARGEST, size: int | None = None) -> DataFrame:
     """Numbers from 1 in order of value and tie within the groups."""
-    got = running(df.withColumn("_one", F.lit(1).cast("long")), value, by, ["_one"], descending, tie, largest)
+    got = running(df.withColumn("_one", F.lit(1).cast("long")), value, by, ["_one"], descending, tie, largest, size)
     return got.withColumn(out, F.col("_one_before") + 1).drop("_one", "_one_before")
 
 
-def with_midrank(df: DataFrame, value: str, by: list[str], out: str = "midrank", largest: int = LARGEST) -> DataFrame:
+def with_midrank(df: DataFrame, value: str, by: list[str], out: str = "midrank", largest: int = LARGEST, size: int | None = None) -> DataFrame:
     """Average rank of value within the groups; null values have no rank."""
-    if largest_group(df, by) <= largest:
+    if (largest_group(df, by) if size is None else size) <= largest:
         w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value)
         ties = Window.partitionBy(*by, value)
         return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0)))
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_t"))
-    ranks = running(counts, value, by, ["_t"], largest=largest)
+    ranks = running(counts, value, by, ["_t"], largest=largest)  # distinct values: their own number
     return joined(df, ranks.select(*by, value, (F.col("_t_before") + (F.col("_t") + 1) / F.lit(2.0)).alias(out)), [*by, value], "left")
 
 

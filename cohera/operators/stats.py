@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..sources.tables import checkpointed
 from .draws import hashed
-from .ranks import LARGEST, joined, row_numbers, running, with_midrank
+from .ranks import LARGEST, joined, largest_group, row_numbers, running, with_midrank
 
 
 def label_counts(df: DataFrame, value: str, label: str, by: list[str], largest: int = LARGEST) -> DataFrame:
@@ -91,9 +92,11 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: list[str], largest: int = LARGEST) -> DataFrame:
-    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = with_midrank(with_midrank(full, x, by, "_rx", largest), y, by, "_ry", largest)
+def spearman(df: DataFrame, x: str, y: str, by: list[str], largest: int = LARGEST, size: int | None = None) -> DataFrame:
+    """by, n, rho. size: rows of the largest group, where known; else they are counted once for both ranks."""
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    size = largest_group(full, by) if size is None else size
+    ranked = with_midrank(with_midrank(full, x, by, "_rx", largest, size), y, by, "_ry", largest, size)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
@@ -358,12 +361,19 @@ def residual(df: DataFrame, y: str, x: str, by: list[str], out: str) -> DataFram
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, cov: str, by: list[str]) -> DataFrame:
-    """Ranks of x and y lose their linear part in the rank of the covariate; then Spearman of what is left. Residuals are rounded at 1e-9, so ties stay ties."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cov).isNotNull()).select(*by, x, y, cov)
+    """Ranks of x and y lose their linear part in the rank of the covariate; then Spearman of what is left. Residuals are rounded at 1e-9, so ties stay ties.
+
+    The rows are written and counted once; five ranks are taken of them, and both lines come from one aggregate.
+    """
+    r = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cov).isNotNull()).select(*by, x, y, cov))
+    size = largest_group(r, by)
     for c, name in ((x, "_rx"), (y, "_ry"), (cov, "_rc")):
-        r = with_midrank(r, c, by, name)
-    r = residual(residual(r, "_rx", "_rc", by, "_ex"), "_ry", "_rc", by, "_ey")
-    return spearman(r.withColumn("_ex", F.round("_ex", 9)).withColumn("_ey", F.round("_ey", 9)), "_ex", "_ey", by)
+        r = with_midrank(r, c, by, name, size=size)
+    slope = lambda c: F.coalesce(F.try_divide(F.covar_pop("_rc", c), F.var_pop("_rc")), F.lit(0.0))
+    line = r.groupBy(*by).agg(F.avg("_rc").alias("_mc"), F.avg("_rx").alias("_mx"), F.avg("_ry").alias("_my"), slope("_rx").alias("_sx"), slope("_ry").alias("_sy"))
+    left = lambda c, m, s: F.round(F.col(c) - F.col(m) - F.col(s) * (F.col("_rc") - F.col("_mc")), 9)
+    r = joined(r, line, by).select(*by, left("_rx", "_mx", "_sx").alias("_ex"), left("_ry", "_my", "_sy").alias("_ey"))
+    return spearman(r, "_ex", "_ey", by, size=size)
 
 
 def pearson_screen(df: DataFrame, sample: str, feature: str, value: str, target: DataFrame, least_r: float, cap: int, alpha: float = 0.05) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotation as an
 from ..operators import matrix as mx
+from ..operators import grids
 from ..operators import models as md
 from ..operators import resampling as rs
 from ..operators import stats as st
@@ -107,18 +108,18 @@ def _ranked(keys: str, value: str, rows: str) -> str:
     return f"SELECT {keys}, y, rank() OVER (PARTITION BY {keys} ORDER BY {value}) + (count(*) OVER (PARTITION BY {keys}, {value}) - 1) / 2.0 AS r FROM {rows}"
 
 
-def _features(spark, d, most=None):
+def _features(spark, d):
     e = parquet(spark, d, "embeddings").where("label is not null")
-    return e.select("vec_id", F.posexplode(F.slice("embedding", 1, most) if most else "embedding").alias("f", "v"), (F.col("label") % 2).alias("y")).select("vec_id", (F.col("f") + 1).alias("f"), F.col("v").cast("double").alias("v"), "y")
+    return e.select("vec_id", F.posexplode("embedding").alias("f", "v"), (F.col("label") % 2).alias("y")).select("vec_id", (F.col("f") + 1).alias("f"), F.col("v").cast("double").alias("v"), "y")
 
 
-@query(f"""WITH {FEATURES}, s AS (SELECT f, {AUC} AS auc FROM ({_ranked("f", "v", "e WHERE f <= 6")}) GROUP BY 1), c AS (SELECT a.f AS a, b.f AS b, a.v + b.v AS v, a.y FROM e a JOIN e b USING (vec_id) WHERE a.f < b.f AND b.f <= 6), p AS (SELECT a, b, {AUC} AS auc FROM ({_ranked("a, b", "v", "c")}) GROUP BY 1, 2)
+@query(f"""WITH {FEATURES}, s AS (SELECT f, {AUC} AS auc FROM ({_ranked("f", "v", "e")}) GROUP BY 1), c AS (SELECT a.f AS a, b.f AS b, a.v + b.v AS v, a.y FROM e a JOIN e b USING (vec_id) WHERE a.f < b.f), p AS (SELECT a, b, {AUC} AS auc FROM ({_ranked("a, b", "v", "c")}) GROUP BY 1, 2)
 SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, p.auc, p.auc - greatest(x.auc, z.auc) AS synergy FROM p JOIN s x ON x.f = a JOIN s z ON z.f = b""")
 def pair_synergy(spark, d):
-    e = _features(spark, d, 6)
+    e = _features(spark, d)
     single = st.two_group_auc(e, "v", "y", ["f"]).select(F.col("f").alias("feature"), "auc")
     other = e.select("vec_id", F.col("f").alias("g"), F.col("v").alias("w"))
-    pairs = e.join(other, "vec_id").where("f < g").select(F.array("f", "g").alias("members"), (F.col("v") + F.col("w")).alias("v"), "y")  # of six features
+    pairs = e.join(other, "vec_id").where("f < g").select(F.array("f", "g").alias("members"), (F.col("v") + F.col("w")).alias("v"), "y")  # of a panel
     gain = md.combo_gain(single, st.two_group_auc(pairs, "v", "y", ["members"]).select("members", "auc"))
     return gain.select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"), "auc", "synergy")
 
@@ -151,14 +152,16 @@ def replacement_screen(spark, d):
 
 @query()
 def forward_selection(spark, d):
-    e = _features(spark, d, 6)
+    """The first three of all dimensions."""
+    e = _features(spark, d)
+    n = e.agg(F.max("f")).first()[0] or 0
 
     def score(sets):
         grid = spark.createDataFrame([(k, f) for k, s in enumerate(sets) for f in s], "candidate int, f int")
         sums = e.join(F.broadcast(grid), "f").groupBy("candidate", "vec_id", "y").agg(F.sum("v").alias("v"))  # features x candidates
         return st.two_group_auc(sums, "v", "y", ["candidate"]).select("candidate", F.col("auc").alias("score"))
 
-    return spark.createDataFrame(md.forward_selection(score, list(range(1, 7)), 3), "added int, score double")
+    return spark.createDataFrame(md.forward_selection(score, list(range(1, n + 1)), 3), "added int, score double")
 
 
 @query()
@@ -174,7 +177,7 @@ def decontamination_fixpoint(spark, d):
 @query()
 def covariate_adjustment(spark, d):
     o = parquet(spark, d, "orders").select("o_orderstatus", (F.col("o_orderpriority") < "3").cast("int").alias("y"), "o_totalprice", (F.col("o_custkey") % 10).alias("age"))
-    return md.covariate_adjustment(o, ["o_orderstatus"], "y", "o_totalprice", ["age"])
+    return grids.covariate_models(o, ["o_orderstatus"], "y", "o_totalprice", ["age"])
 
 
 @query("""WITH g AS (SELECT o_orderstatus, 'all' AS rows_of, CAST(substr(o_orderpriority, 1, 1) AS INT) AS stage, o_totalprice AS s FROM orders UNION ALL SELECT o_orderstatus, 'cases', CAST(substr(o_orderpriority, 1, 1) AS INT), o_totalprice FROM orders WHERE substr(o_orderpriority, 1, 1) > '1'),

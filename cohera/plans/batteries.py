@@ -9,7 +9,7 @@ from ..operators import matrix as mx
 from ..operators import relational as rel
 from ..operators import resampling as rs
 from ..operators import stats as st
-from ..sources.tables import parquet
+from ..sources.tables import checkpointed, parquet
 from .catalogue import AUC, LINES, _lines
 from .modelling import EMB, H, _emb
 from .registry import query
@@ -21,7 +21,7 @@ RHO = "sr AS (SELECT p_brand, rank() OVER (PARTITION BY p_brand ORDER BY x) + (c
 @query(f"""WITH {LINES}, {AUC}, {RHO}, {PARTIAL} SELECT p_brand, 'two_group' AS test, CAST(n1 + n0 AS BIGINT) AS n, auc AS value FROM auc UNION ALL SELECT p_brand, 'correlation', count(*), corr(rx, ry) FROM sr GROUP BY 1
 UNION ALL SELECT p_brand, 'partial', count(*), corr(x, y) FROM k GROUP BY 1""".replace(" by,", " b_y,").replace("by * (c", "b_y * (c"))
 def association_battery(spark, d):
-    x = _lines(spark, d)
+    x = checkpointed(_lines(spark, d))  # three tests read it
     row = lambda df, name, n, value: df.select("p_brand", F.lit(name).alias("test"), n.alias("n"), F.col(value).alias("value"))
     two = row(st.two_group_auc(x, "x", "label", ["p_brand"]), "two_group", F.col("n1") + F.col("n0"), "auc")
     return two.union(row(st.spearman(x, "x", "y", ["p_brand"]), "correlation", F.col("n"), "rho")).union(row(st.partial_spearman(x, "x", "y", "label", ["p_brand"]), "partial", F.col("n"), "rho"))

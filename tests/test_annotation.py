@@ -6,7 +6,7 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 from cohera.operators import annotation as an
-from cohera.operators import models as md
+from cohera.operators import grids
 from cohera.operators import resampling as rs
 from cohera.plans import QUERIES
 from cohera.sources import files
@@ -47,10 +47,10 @@ def test_evidence(spark):
 
 def test_forward_selection_takes_the_best_each_time(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet").where("label is not null").toPandas()
-    x, y = np.stack(e.embedding.to_numpy())[:, :6].astype(float), (e.label % 2).to_numpy()
+    x, y = np.stack(e.embedding.to_numpy()).astype(float), (e.label % 2).to_numpy()
     taken, want = [], []
     for _ in range(3):
-        auc, best = max((rank_auc(x[:, [*taken, k]].sum(axis=1), y), -k) for k in range(6) if k not in taken)
+        auc, best = max((rank_auc(x[:, [*taken, k]].sum(axis=1), y), -k) for k in range(x.shape[1]) if k not in taken)
         taken.append(-best)
         want.append((-best + 1, pytest.approx(auc, abs=1e-9)))
     assert [tuple(r) for r in QUERIES["forward_selection"](spark, SF).collect()] == want
@@ -72,7 +72,7 @@ def test_covariate_adjustment(spark):
     s, a = rng.normal(size=120), rng.normal(size=120)
     y = (s + a + rng.normal(size=120) > 0).astype(int)
     rows = [("g", int(v), float(p), float(q)) for v, p, q in zip(y, s, a)] + [("h", 1, 0.5, 0.5), ("g", None, 1.0, 1.0), ("g", 1, None, 1.0)]
-    got = {r.model: r for r in md.covariate_adjustment(spark.createDataFrame(rows, "k string, y int, s double, a double"), ["k"], "y", "s", ["a"]).collect()}
+    got = {r.model: r for r in grids.covariate_models(spark.createDataFrame(rows, "k string, y int, s double, a double"), ["k"], "y", "s", ["a"]).collect()}
     assert set(got) == {"score", "covariates", "both"} and got["covariates"].coefficient is None
     assert got["score"].auc == pytest.approx(rank_auc(s, y)) and got["covariates"].auc == pytest.approx(rank_auc(a, y))
     z = np.column_stack([np.ones(120), (s - s.mean()) / s.std(), (a - a.mean()) / a.std()])
