@@ -2,8 +2,10 @@
 
 Overlong documents are first cut into full windows; the rest of each goes, longest first, into the open window with the least
 room that still holds it. A segment tree indexed by remaining room finds that window. Each task packs the documents it reads, a
-load of about LOAD bytes of text at a time: nothing is shuffled, no key can be hot, memory is bounded in bytes, and a load
-leaves at most its last windows partly filled. A sequence_id is the task's number and the window's number in it.
+load of about LOAD bytes of text at a time, and closes the windows that are full or lack at most a SLACK-th. The pieces of all
+other windows are packed again, in groups of about REST ids whatever the partitions were: only they are shuffled, by a hash of
+their place, so no key can be hot, and memory is bounded in bytes. Many tiny partitions fill as well as few large ones.
+A sequence_id is the number of the task, or of the group with bit 62 set, and the window's number in it.
 
 Ids are those of the tokenizers library as it stands: a special marker in a text is its own id (markers=False: plain text).
 
@@ -22,11 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import picked, table, tune, vocabulary
+from .common import picked, table, tune, vocabulary, written
 from .encoders import ByteLevel, buffered, encoder, with_end
 
 WINDOW = 1024
 LOAD = 3 << 20  # bytes of text that are packed together
+REST, SLACK = 1 << 18, 128  # ids that are packed together the second time; windows that lack no more than this part are closed
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -87,7 +90,37 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = WINDOW) -> tuple[np.nda
     return window, offset
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, digest: bool = False, markers: bool = True, load: int = LOAD) -> DataFrame:
+def _again(rests: DataFrame, window: int, rest: int) -> DataFrame:
+    """The pieces of windows that were left open, with a new sequence_id and offset."""
+    groups = max(1, -(-(rests.agg(F.sum("length")).first()[0] or 0) // rest))
+    tasks = min(groups, 8 * int(rests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    group = F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(groups)).alias("_group")
+    dealt = rests.select(group, *rests.columns).repartition(tasks, "_group").sortWithinPartitions("_group")
+
+    def placed(held: list[pa.RecordBatch], group: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks().drop_columns("_group")
+        place, offset = best_fit_decreasing(np.asarray(t["length"]), window)
+        t = t.set_column(t.column_names.index("sequence_id"), "sequence_id", pa.array((1 << 62 | group << 40) + place))
+        return t.set_column(t.column_names.index("offset"), "offset", pa.array(offset)).to_batches()[0]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            key = np.asarray(b.column(0))
+            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+                if held and key[a] != now:
+                    yield placed(held, now)
+                    held = []
+                now = int(key[a])
+                held.append(b.slice(a, z - a))
+        if held:
+            yield placed(held, now)
+
+    return dealt.mapInArrow(pack, rests.schema)
+
+
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 0, digest: bool = False, markers: bool = True, load: int = LOAD, rest: int = REST) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and ids (binary, 4 bytes each); with digest ids_crc32 instead."""
     tune(docs.sparkSession)
     path = vocabulary("byte_bpe_50k.json")
@@ -101,18 +134,20 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             start = window * (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))
             length = np.minimum(window, sizes[of] - start)
             place, offset = best_fit_decreasing(length, window)
+            closed = pa.array(np.bincount(place, length)[place] >= window - window // SLACK) if len(place) else pa.array([], pa.bool_())
             ends = np.append(0, 4 * np.cumsum(length))
             if digest:
                 raw = memoryview(ids).cast("B") if len(ids) else b""
                 own = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.int64())
             else:
                 own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(ends.astype("<i8")), pa.py_buffer(ids)]).cast(pa.binary())
-            columns = [t["doc_id"].combine_chunks().take(of), pa.array(start), pa.array(length), pa.array(sizes[of]), pa.array(base + place), pa.array(offset), own]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids"])
+            columns = [t["doc_id"].combine_chunks().take(of), pa.array(start), pa.array(length), pa.array(sizes[of]), pa.array(base + place), pa.array(offset), own, closed]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32" if digest else "ids", "closed"])
             base += int(place.max()) + 1 if len(place) else 0
 
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return src.mapInArrow(pack, f"{PIECES}, {'ids_crc32 long' if digest else 'ids binary'}")
+    pieces = written(src.mapInArrow(pack, f"{PIECES}, {'ids_crc32 long' if digest else 'ids binary'}, closed boolean"), "pieces")
+    return pieces.where("closed").drop("closed").union(_again(pieces.where("not closed").drop("closed"), window, rest))
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:

@@ -78,6 +78,25 @@ def test_packing_whole(spark):
     assert packing.pack_documents(frame(spark).limit(0)).count() == 0
 
 
+def test_packing_of_tiny_partitions(spark):
+    """A document a load, a load a partition: what is left of each is packed again."""
+    texts = ["word " * (1 + 37 * k % 700) for k in range(120)] + ["", None]
+    few = packing.pack_documents(frame(spark, texts).repartition(1), digest=True).collect()
+    many = packing.pack_documents(frame(spark, texts).repartition(200, "doc_id"), digest=True).collect()
+    piece = lambda r: (r.doc_id, r.start, r.length, r.doc_tokens, r.ids_crc32)
+    assert sorted(map(piece, few)) == sorted(map(piece, many))
+    for rows in (few, many, packing.pack_documents(frame(spark, texts).repartition(200, "doc_id"), digest=True, rest=20_000).collect()):
+        windows = {}
+        for r in rows:
+            windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in windows.values():
+            parts.sort()
+            assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+            assert sum(n for _, n in parts) <= packing.WINDOW
+        total = sum(r.length for r in rows)
+        assert len(windows) <= 1.03 * total / packing.WINDOW + 3
+
+
 def test_null_and_repeated_ids_pack(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (3, None)], "doc_id long, text string")
     rows = packing.pack_documents(docs).collect()
