@@ -4,7 +4,7 @@ Candidates are dealt into blocks; a task sorts a block's rows along every dimens
 all its lists from their favourable ends, in rounds of doubling depth; candidates met for the first time are scored
 in full, and the walk stops once the sum of the lists' current values cannot reach the kth score. A block keeps k rows a
 query; the blocks' winners are ranked together per query. A candidate moves once; a query moves once per block of
-BLOCK_ROWS candidates. A task holds one block and one batch of queries, whatever the input.
+BLOCK_ROWS candidates, or of BLOCK_BYTES where their vectors are long. A task holds one block and one batch of queries, whatever the input.
 
 Rules: vectors that are null, or hold a null, NaN or infinite component, take no part; a query's candidates are the vectors of its own length
 (an empty one's inner product is 0); scaled components and scores beyond a 64-bit integer are the nearest one, so ranks beyond it
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import picked, table, tune
 
-BLOCK_ROWS = 32768
+BLOCK_ROWS, BLOCK_BYTES = 32768, 1 << 24  # of a block of candidates, whichever is less; its sorted lists take some five times the bytes
 LONG = 2**63 - 1
 RESULT = "query_id long, vec_id long, score long"
 
@@ -72,13 +72,14 @@ class Lists:
         return [(query_id, int(i), int(s)) for i, s in zip(best_id, best, strict=True)]
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score over floor(scale * x) of every component; is_query is a condition on the column vec_id."""
     tune(rows.sparkSession)
     src = picked(rows, vec_id=id_col, v=vector_col).where("vec_id is not null and v is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     src = src.where(fine).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
-    blocks = max(1, -(-src.count() // block_rows))
+    n, components = src.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_rows), -(-8 * components // block_bytes))
     block = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block")  # rows that repeat are dealt apart
     cand = src.select(block, F.lit(0).alias("asks"), "vec_id", "v")
     asked = src.where(is_query).dropDuplicates(["vec_id", "v"]).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "v")
