@@ -10,8 +10,11 @@ and decide. Texts are read where they lie, to make the matrix, and never moved:
 2. Whole rows. Rows of pairs that are left are made again with all their n-grams, which takes less than keeping all rows. For each pair left, a block of rows meets the row it is paired with (a block of sparse rows times one column of the transpose), and the overlap
    that accumulates there decides. A row paired with very many others is copied to as many blocks as they fill.
 
+   Where those places of rows in blocks are few (MOST_ASKED, counted first) they are broadcast to the texts' tasks, so a row moves once, to its block; beyond
+   that rows and places are shuffled to meet first.
+
 Not all pairs of a group are made. First each row meets the rows that lead most of its head columns (stars); links make
-components; only columns with more than one component are multiplied in full, and only across components. So a large group of
+components; only columns with more than one component stay for the next round and are multiplied in full in the last, and only across components. So a large group of
 near copies costs a few pairs per document, and no link between components is missed; links inside a component are not counted.
 
 The order of n-grams takes their rarity from a sketch of fixed size over the whole corpus; any order gives the same result. An n-gram is 48 bits of
@@ -41,6 +44,7 @@ BUCKETS = 1 << 18  # of the sketch of n-gram counts
 CHUNK = 1 << 14
 BITS = 1024  # of a set's signature
 BLOCK_ROWS = 1000  # of the rows that meet one other in a block
+MOST_ASKED = 1 << 19  # places of rows in blocks that are broadcast, some 100 bytes each; beyond it whole rows are shuffled to their places' key first
 STAR_HUBS = (1, 4)  # hubs per row in each star round
 
 
@@ -163,7 +167,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, most_bits: int) -> D
     return both.mapInArrow(pick, "row long, hub long")
 
 
-def _product(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, percent: int, most_bits: int) -> DataFrame:
+def _product(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, percent: int, most_bits: int, most_asked: int) -> DataFrame:
     """The pairs (row, hub) whose accumulated overlap reaches the threshold, as links (a, b)."""
     hubs = pairs.groupBy("hub").agg(F.count("*").alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS))
     hubs = written(hubs, "hubs")
@@ -171,7 +175,8 @@ def _product(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, per
     copies = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), F.col("hub").alias("rep"))
     asked = written(dealt.union(copies).join(_of_pairs(pairs, nodes.select("rep", "first", "set_key"), most_bits), "rep"), "asked")
     rows = whole_rows(src, asked.select("first").distinct(), words, most_bits)
-    blocks = asked.join(rows, ["first", "set_key"]).select("hub", "block", "kind", "rep", "grams").repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
+    sent = F.broadcast(asked) if asked.count() <= most_asked else asked
+    blocks = rows.join(sent, ["first", "set_key"]).select("hub", "block", "kind", "rep", "grams").repartition("hub", "block").sortWithinPartitions("hub", "block", "kind")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, hub = None, np.zeros(0, np.uint64)
@@ -198,16 +203,16 @@ def _product(pairs: DataFrame, nodes: DataFrame, src: DataFrame, words: int, per
     return blocks.mapInArrow(multiply, "a long, b long").distinct()
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MOST_BITS, most_asked: int = MOST_ASKED) -> DataFrame:
     """doc_id, n_shingles, component_id: two documents link when percent * union <= 100 * intersection. A row per row of docs."""
     tune(docs.sparkSession)
     src = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     made = written(incidence(src, words, percent), "incidence")
     known = made.where("doc_id is not null and n > 0")
     # a distinct set is a node, with a number of its own: one doc_id may be the first of several sets
-    reps = written(known.groupBy("set_key").agg(F.min("doc_id").alias("first")).withColumn("rep", F.monotonically_increasing_id()), "classes")
-    nodes = known.select("set_key", "doc_id", "n", "head", "bits").join(reps, "set_key").where("doc_id = first").dropDuplicates(["set_key"])
-    nodes = written(nodes.select("set_key", "first", "rep", "n", "head", "bits"), "nodes")
+    sets = known.groupBy("set_key").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("n", "head", "bits")])  # one set, one head
+    nodes = written(sets.withColumn("rep", F.monotonically_increasing_id()).select("set_key", "first", "rep", "n", "head", "bits"), "nodes")
+    reps = nodes.select("set_key", "first", "rep")
     shared = written(nodes.select(F.explode("head").alias("gram")).groupBy("gram").agg(F.count("*").alias("k")).where("k > 1"), "columns")
     grams = written(_postings(nodes, key_bitmap(shared, "gram", most_bits), shared).withColumn("component", F.col("rep")), "shared")
     reach = lambda rest, x, y: rest * (100 + percent) >= percent * (x + y)
@@ -215,7 +220,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     for k, most in enumerate([*STAR_HUBS, None]):
         if k:
             found = components(links)
-            grams = written(grams.drop("component").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gram", "rep", "n", "left", F.coalesce("component", "rep").alias("component")), "shared")
+            grams = written(rest.select("gram", "rep", "n", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("gram", "rep", "n", "left", F.coalesce("component", "rep").alias("component")), "shared")
         # a hub: the row with most n-grams still to come, so the one with fewest of its own; in later rounds any
         row, rank = F.struct("rep", "component", "n", "left"), F.xxhash64("rep", F.lit(k)) if k else F.struct(F.col("n") - F.col("left"), F.col("rep"))
         mixed = grams.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least_n"), F.min_by(row, rank).alias("lead"), F.count("*").alias("k")).where("lo < hi")
@@ -223,6 +228,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         fits = lambda x, y, rx, ry: reach(F.least(rx, ry), x, y)
         rest = join_salted(grams, written(mixed, "mixed"), ["gram"], "k", ["rep"], grams.count()).where(reach(F.col("left"), F.col("n"), F.greatest(F.col("least_n"), F.ceil(F.col("n") * percent / 100))))
         if most:
+            rest = written(rest, "rest")  # the next round's: what has left a column cannot pair there again, and a column of one component stays so
             star = rest.where((F.col("rep") != F.col("lead.rep")) & (F.col("component") != F.col("lead.component")) & fits(F.col("n"), F.col("lead.n"), F.col("left"), F.col("lead.left")))
             counted = star.groupBy(F.col("rep").alias("row"), F.col("lead.rep").alias("hub")).agg(F.count("*").alias("overlap"))
             best = counted.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct("overlap", "hub")), asc=False), 1, most).alias("best"))  # no more hubs than a row has n-grams
@@ -233,7 +239,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
             both = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"), F.col("x.left"), F.col("y.left")))
             summed = both.groupBy(F.col("x.rep").alias("row"), F.col("y.rep").alias("hub")).agg(F.count("*").alias("overlap"), F.min(F.least("x.left", "y.left")).alias("after"), F.min(F.col("x.n") + F.col("y.n")).alias("sizes"))
             pairs = summed.where(reach(F.col("overlap") + F.col("after") - 1, F.col("sizes"), F.lit(0))).select("row", "hub")
-        good = _product(written(_near(written(pairs, "candidates"), nodes.select("rep", "n", "bits"), percent, most_bits), "pairs"), nodes, src, words, percent, most_bits)
+        good = _product(written(_near(written(pairs, "candidates"), nodes.select("rep", "n", "bits"), percent, most_bits), "pairs"), nodes, src, words, percent, most_bits, most_asked)
         links = written(good if links is None else links.union(good), "links")
     same = known.select("doc_id", "n", "set_key").join(reps, "set_key").select("doc_id", "n", "rep", "first")
     twice = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").join(same, "doc_id").select("a", F.col("rep").alias("b"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from cohera.llm import jaccard
 
 
@@ -10,7 +11,8 @@ def shingles(text):
     return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)}
 
 
-def test_many_near_copies_of_one_text(spark):
+@pytest.mark.parametrize("most_asked", [jaccard.MOST_ASKED, 0])
+def test_many_near_copies_of_one_text(spark, most_asked):
     r = random.Random(1)
     base = [f"w{k}" for k in range(80)]
     texts = [" ".join(base)]
@@ -24,5 +26,5 @@ def test_many_near_copies_of_one_text(spark):
         w[40:60] = [f"miss{k}x{i}" for i in range(20)]
         misses.append(" ".join(w))
     docs = spark.createDataFrame([(k, t) for k, t in enumerate([*misses, *texts])], "doc_id long, text string")
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_join(docs, 4, 85).collect()}
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_join(docs, 4, 85, most_asked=most_asked).collect()}
     assert got == {k: (len(shingles(t)), k if k < len(misses) else len(misses)) for k, t in enumerate([*misses, *texts])}
