@@ -6,7 +6,7 @@ and decide. Texts are read where they lie, to make the matrix, and never moved:
 1. Head columns. N-grams are ordered rarest first. Of n n-grams, two rows that reach the threshold share one of the first
    n - ceil(t n) + 1, so only those columns are multiplied to find pairs, in blocks by hash of the n-gram. Counts of a pair add up within a block
    and then over blocks; with what is left of both rows after the last common column they bound its whole overlap, and pairs whose bound
-   is below what their sizes ask for are discarded, as are those that signatures of fixed size rule out.
+   is below what their sizes ask for are discarded, as are those that signatures (bit maps of two to four bits an n-gram) rule out.
 2. Whole rows. Rows of pairs that are left are made again with all their n-grams, which takes less than keeping all rows. For each pair left, a block of rows meets the row it is paired with (a block of sparse rows times one column of the transpose), and the overlap
    that accumulates there decides. A row paired with very many others is copied to as many blocks as they fill.
 
@@ -42,7 +42,7 @@ from .words import MOST_BITS, in_bitmap, key_bitmap, maybe_in, runs, split_words
 
 BUCKETS = 1 << 18  # of the sketch of n-gram counts
 CHUNK = 1 << 14
-BITS = 1024  # of a set's signature
+LEAST_BITS = 1024  # of a set's signature, which has two to four bits an n-gram beyond that
 BLOCK_ROWS = 1000  # of the rows that meet one other in a block
 MOST_ASKED = 1 << 19  # places of rows in blocks that are broadcast, some 100 bytes each; beyond it whole rows are shuffled to their places' key first
 STAR_HUBS = (1, 4)  # hubs per row in each star round
@@ -60,6 +60,21 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """A bit map of the n-grams; its size is a power of two, so one folds onto a smaller one."""
+    size = max(LEAST_BITS, 1 << (2 * len(grams) - 1).bit_length()) if len(grams) else LEAST_BITS
+    bits = np.zeros(size, bool)
+    bits[(grams >> np.uint64(32) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n: int, m: int) -> int:
+    """No fewer than the n-grams that sets of n and m share: each bit that one has alone is an n-gram that the other lacks."""
+    least = min(len(x), len(y)) // 8
+    x, y = (np.bitwise_or.reduce(np.frombuffer(s, np.uint64).reshape(-1, least), axis=0) for s in (x, y))
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _sketch(src: DataFrame, words: int) -> np.ndarray:
     """How many n-grams of all documents fall in each bucket."""
 
@@ -105,10 +120,7 @@ def incidence(src: DataFrame, words: int, percent: int) -> DataFrame:
             for s in sets:
                 n = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 heads.append(s[np.lexsort((s, counts.value[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:n]].view(np.int64))
-            bits = np.zeros((len(sets), BITS), bool)
-            for k, s in enumerate(sets):
-                bits[k, (s >> np.uint64(32) & np.uint64(BITS - 1)).astype(np.int64)] = True
-            bits = [x.tobytes() for x in np.packbits(bits, axis=1)]
+            bits = [signature(s) for s in sets]
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "n", "set_key", "head", "bits"])
 
@@ -151,16 +163,15 @@ def _of_pairs(pairs: DataFrame, nodes: DataFrame, most_bits: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int, most_bits: int) -> DataFrame:
-    """The pairs (row, hub) that their signatures leave: each bit that one set has alone is an n-gram that the other lacks."""
+    """The pairs (row, hub) that their signatures leave."""
     nodes = _of_pairs(pairs, nodes, most_bits)
     side = lambda x: nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.join(side("row"), "row").join(side("hub"), "hub").select("row", "hub", "n_row", "n_hub", "bits_row", "bits_hub")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in buffered(batches, 3 << 20):
-            x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_row", "bits_hub"))
             n, m = np.asarray(t["n_row"]), np.asarray(t["n_hub"])
-            most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+            most = np.array([most_shared(*x) for x in zip(t["bits_row"].to_pylist(), t["bits_hub"].to_pylist(), n.tolist(), m.tolist(), strict=True)], np.int64)
             good = pa.array((100 + percent) * most >= percent * (n + m))
             yield pa.RecordBatch.from_arrays([t["row"].combine_chunks().filter(good), t["hub"].combine_chunks().filter(good)], names=["row", "hub"])
 
