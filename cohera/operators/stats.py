@@ -45,10 +45,13 @@ def hedges(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
     return m.withColumn("v", F.try_divide(n.cast("double"), F.col("n1") * F.col("n0")) + F.col("g") * F.col("g") / (2 * n)).select(*by, "n1", "n0", "g", "v")
 
 
-def welch_t(df: DataFrame, value: str, label: str, by: list[str]) -> DataFrame:
+def welch_t(df: DataFrame, value: str, label: str, by: list[str], least_se: float | None = None) -> DataFrame:
+    """by, t. Where neither class varies, t is null, or taken over least_se where that is given (the smallest normal double keeps its sign)."""
     case, ctrl = F.when(F.col(label) == 1, F.col(value)), F.when(F.col(label) == 0, F.col(value))
     m = df.groupBy(*by).agg(F.avg(case).alias("m1"), F.avg(ctrl).alias("m0"), (F.var_samp(case) / F.count(case)).alias("e1"), (F.var_samp(ctrl) / F.count(ctrl)).alias("e0"))
-    return m.select(*by, F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(F.col("e1") + F.col("e0"))).alias("t"))
+    se = F.sqrt(F.col("e1") + F.col("e0"))
+    se = se if least_se is None else F.when(se == 0, F.lit(least_se)).otherwise(se)
+    return m.select(*by, F.try_divide(F.col("m1") - F.col("m0"), se).alias("t"))
 
 
 def random_effects(effects: DataFrame, g: str, v: str, by: list[str]) -> DataFrame:

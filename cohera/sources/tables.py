@@ -41,7 +41,7 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name and sequence of each record."""
-    t = spark.read.text(path, lineSep=">").where("trim(value) <> ''")
+    """name and sequence of each record. A record begins at a line's first sign, so its header may hold > too."""
+    t = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where("trim(value) <> ''")
     lines = F.split("value", "\n")
-    return t.select(F.split(lines[0], r"\s")[0].alias("name"), F.upper(F.array_join(F.slice(lines, 2, F.size(lines)), "")).alias("sequence"))
+    return t.select(F.split(lines[0], r"\s")[0].alias("name"), F.upper(F.regexp_replace(F.array_join(F.slice(lines, 2, F.size(lines)), ""), r"\s", "")).alias("sequence"))
