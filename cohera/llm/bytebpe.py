@@ -10,7 +10,8 @@ white space that leaves its last character to what follows.
 
 Encoding keeps, beside the ids, where each id's bytes end; decoding puts the ids' bytes there.
 
-Rules: a null text is an empty text with no ids; rows are independent, so repeated rows give repeated results.
+Rules: a null text is an empty text with no ids; a null doc_id stays null; rows are independent, so repeated rows give repeated results;
+an empty table gives no rows; texts of any length are encoded whole.
 """
 
 from __future__ import annotations
