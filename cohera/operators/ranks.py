@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 LARGEST = 200_000  # rows of a group that one task may order
 MOST_RANGES = 512
 
@@ -77,9 +79,14 @@ def with_midrank(df: DataFrame, value: str, by: list[str], out: str = "midrank",
         w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value)
         ties = Window.partitionBy(*by, value)
         return df.withColumn(out, F.when(F.col(value).isNotNull(), F.rank().over(w) + (F.count("*").over(ties) - 1) / F.lit(2.0)))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_t"))
+    return joined(df, midranks(df.withColumn("_one", F.lit(1).cast("long")), value, by, "_one", out, largest), [*by, value], "left")
+
+
+def midranks(df: DataFrame, value: str, by: list[str], times: str, out: str, largest: int = LARGEST) -> DataFrame:
+    """by, value and the average rank of each distinct value, rows counting `times`; null values have none. Distinct values are written once, so df is read once."""
+    counts = checkpointed(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(times).alias("_t")))
     ranks = running(counts, value, by, ["_t"], largest=largest)  # distinct values: their own number
-    return joined(df, ranks.select(*by, value, (F.col("_t_before") + (F.col("_t") + 1) / F.lit(2.0)).alias(out)), [*by, value], "left")
+    return ranks.select(*by, value, (F.col("_t_before") + (F.col("_t") + 1) / F.lit(2.0)).alias(out))
 
 
 def quantiles(df: DataFrame, value: str, by: list[str], at: list[float], largest: int = LARGEST) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from ..sources.tables import checkpointed
 from .draws import hashed
-from .ranks import LARGEST, joined, largest_group, row_numbers, running, with_midrank
+from .ranks import LARGEST, joined, largest_group, midranks, row_numbers, running, with_midrank
 
 
 def label_counts(df: DataFrame, value: str, label: str, by: list[str], largest: int = LARGEST) -> DataFrame:
@@ -99,10 +99,25 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str], largest: int = LARGES
     """by, n, rho. size: rows of the largest group, where known; else they are counted once for both ranks."""
     full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     size = largest_group(full, by) if size is None else size
+    if size > largest:
+        return rho_of_cells(checkpointed(full.groupBy(*by, x, y).agg(F.count("*").alias("_times"))), x, y, by, largest)
     ranked = with_midrank(with_midrank(full, x, by, "_rx", largest, size), y, by, "_ry", largest, size)
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
+def rho_of_cells(cells: DataFrame, x: str, y: str, by: list[str], largest: int = LARGEST) -> DataFrame:
+    """by, n, rho of written rows (by, x, y, _times) that count several times: ranks are those of distinct values, and sums of products are weighted, so a row is never repeated."""
+    r = cells
+    for c, name in ((x, "_rx"), (y, "_ry")):
+        r = joined(r, midranks(cells, c, by, "_times", name, largest), [*by, c])
+    product = lambda a, b: F.sum(F.col("_times") * F.col(a) * F.col(b))
+    varies = lambda c: F.min(c) < F.max(c)
+    g = r.groupBy(*by).agg(F.sum("_times").alias("n"), product("_rx", "_ry").alias("_xy"), product("_rx", "_rx").alias("_xx"), product("_ry", "_ry").alias("_yy"), (varies("_rx") & varies("_ry")).alias("_varies"))
+    n = F.col("n").cast("double")
+    off = n * ((n + 1) / 2) ** 2  # the mean of midranks is known
+    return g.select(*by, "n", F.when(F.col("_varies"), F.try_divide(F.col("_xy") - off, F.sqrt((F.col("_xx") - off) * (F.col("_yy") - off)))).alias("rho"))
+
+
 def calibration(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Reliability per equal-width bin, the last one closed: n, confidence, accuracy."""
     b = F.least(F.floor(F.col(score) * bins), F.lit(bins - 1)).cast("int").alias("bin")
@@ -363,20 +378,32 @@ def residual(df: DataFrame, y: str, x: str, by: list[str], out: str) -> DataFram
     return joined(df, line, by).withColumn(out, F.col(y) - F.col("_ym") - F.col("_slope") * (F.col(x) - F.col("_xm"))).drop("_xm", "_ym", "_slope")
 
 
-def partial_spearman(df: DataFrame, x: str, y: str, cov: str, by: list[str]) -> DataFrame:
+def partial_spearman(df: DataFrame, x: str, y: str, cov: str, by: list[str], largest: int = LARGEST) -> DataFrame:
     """Ranks of x and y lose their linear part in the rank of the covariate; then Spearman of what is left. Residuals are rounded at 1e-9, so ties stay ties.
 
-    The rows are written and counted once; five ranks are taken of them, and both lines come from one aggregate.
+    The rows are written and counted once, equal ones as one with their number; five ranks are taken of them, and both lines come from one aggregate.
     """
-    r = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cov).isNotNull()).select(*by, x, y, cov))
-    size = largest_group(r, by)
+    r = checkpointed(df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(cov).isNotNull()).groupBy(*by, x, y, cov).agg(F.count("*").alias("_times")))
+    size = r.groupBy(*by).agg(F.sum("_times").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if size <= largest:
+        r = r.select(*by, x, y, cov, F.explode(F.array_repeat(F.lit(1).cast("long"), F.col("_times").cast("int"))).alias("_times"))
+    cells = r
     for c, name in ((x, "_rx"), (y, "_ry"), (cov, "_rc")):
-        r = with_midrank(r, c, by, name, size=size)
-    slope = lambda c: F.coalesce(F.try_divide(F.covar_pop("_rc", c), F.var_pop("_rc")), F.lit(0.0))
-    line = r.groupBy(*by).agg(F.avg("_rc").alias("_mc"), F.avg("_rx").alias("_mx"), F.avg("_ry").alias("_my"), slope("_rx").alias("_sx"), slope("_ry").alias("_sy"))
+        r = with_midrank(r, c, by, name, size=size) if size <= largest else joined(r, midranks(cells, c, by, "_times", name, largest), [*by, c])
+    if size <= largest:
+        slope = lambda c: F.coalesce(F.try_divide(F.covar_pop("_rc", c), F.var_pop("_rc")), F.lit(0.0))
+        line = r.groupBy(*by).agg(F.avg("_rc").alias("_mc"), F.avg("_rx").alias("_mx"), F.avg("_ry").alias("_my"), slope("_rx").alias("_sx"), slope("_ry").alias("_sy"))
+    else:
+        product = lambda c: F.sum(F.col("_times") * F.col("_rc") * F.col(c))
+        g = r.groupBy(*by).agg(F.sum("_times").cast("double").alias("_n"), product("_rx").alias("_cx"), product("_ry").alias("_cy"), product("_rc").alias("_cc"), (F.min("_rc") < F.max("_rc")).alias("_varies"))
+        mean = (F.col("_n") + 1) / 2  # of midranks, whatever the ties
+        slope = lambda c: F.coalesce(F.when(F.col("_varies"), F.try_divide(F.col(c) - F.col("_n") * mean * mean, F.col("_cc") - F.col("_n") * mean * mean)), F.lit(0.0))
+        line = g.select(*by, *[mean.alias(m) for m in ("_mc", "_mx", "_my")], slope("_cx").alias("_sx"), slope("_cy").alias("_sy"))
     left = lambda c, m, s: F.round(F.col(c) - F.col(m) - F.col(s) * (F.col("_rc") - F.col("_mc")), 9)
-    r = joined(r, line, by).select(*by, left("_rx", "_mx", "_sx").alias("_ex"), left("_ry", "_my", "_sy").alias("_ey"))
-    return spearman(r, "_ex", "_ey", by, size=size)
+    r = joined(r, line, by).select(*by, left("_rx", "_mx", "_sx").alias("_ex"), left("_ry", "_my", "_sy").alias("_ey"), "_times")
+    if size <= largest:
+        return spearman(r, "_ex", "_ey", by, size=size)
+    return rho_of_cells(checkpointed(r.groupBy(*by, "_ex", "_ey").agg(F.sum("_times").alias("_times"))), "_ex", "_ey", by, largest)
 
 
 def pearson_screen(df: DataFrame, sample: str, feature: str, value: str, target: DataFrame, least_r: float, cap: int, alpha: float = 0.05) -> DataFrame:
