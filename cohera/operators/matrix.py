@@ -17,6 +17,15 @@ def log_cpm(df: DataFrame, sample: list[str], value: str = "value") -> DataFrame
     return joined(df, total, sample).withColumn("log_cpm", F.log1p(F.try_divide(1e6 * F.col(value), F.col("_total")))).drop("_total")
 
 
+def log_cpm_of_columns(df: DataFrame, sample: list[str], features: list[str]) -> DataFrame:
+    """sample, feature, value, log_cpm of features that lie in columns: summed per sample where they lie, made long after that, so a sample's rows are shuffled once. Null values have no row."""
+    wide = df.groupBy(*sample).agg(*[F.sum(F.col(f).cast("double")).alias(f) for f in features])
+    total = sum((F.coalesce(F.col(f), F.lit(0.0)) for f in features), F.lit(0.0))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
+    long = wide.select(*sample, total.alias("_total"), F.explode(F.filter(cells, lambda c: c["value"].isNotNull())).alias("_c")).select(*sample, "_total", "_c.*")
+    return long.withColumn("log_cpm", F.log1p(F.try_divide(1e6 * F.col("value"), F.col("_total")))).drop("_total")
+
+
 def z_within(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFrame:
     """Population z; a spread of 0 counts as 1. Moments are aggregates joined back, so a large group is no single task."""
     m = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))

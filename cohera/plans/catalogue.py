@@ -107,8 +107,7 @@ def weighted_unit_mean(spark, d):
 SELECT l_orderkey, feature, ln(1 + 1e6 * sum(value) / sum(sum(value)) OVER (PARTITION BY l_orderkey)) AS log_cpm FROM l GROUP BY l_orderkey, feature""")
 def expression_unpivot_log1p_cpm(spark, d):
     f = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    long = mx.long_form(parquet(spark, d, "lineitem").select("l_orderkey", *f), ["l_orderkey"], f)
-    return mx.log_cpm(long.groupBy("l_orderkey", "feature").agg(F.sum("value").alias("value")), ["l_orderkey"]).select("l_orderkey", "feature", "log_cpm")
+    return mx.log_cpm_of_columns(parquet(spark, d, "lineitem"), ["l_orderkey"], f).select("l_orderkey", "feature", "log_cpm")
 
 
 @query("""WITH z AS (SELECT o_custkey, (o_totalprice - avg(o_totalprice) OVER w) / CASE WHEN stddev_pop(o_totalprice) OVER w > 0 THEN stddev_pop(o_totalprice) OVER w ELSE 1 END AS z FROM orders WINDOW w AS (PARTITION BY o_orderpriority)) SELECT o_custkey, avg(z) AS z FROM z GROUP BY 1""")
