@@ -32,7 +32,13 @@ def nearest_centroid(df: DataFrame, sample: str, feature: str, value: str, centr
     j = df.select(sample, feature, value).join(centroids.select(feature, kind, reference), feature)
     size = largest_group(j, [sample, kind])
     r = with_midrank(with_midrank(j, value, [sample, kind], "_a", size=size), reference, [sample, kind], "_b", size=size)
-    rho = r.groupBy(sample, kind).agg(correlation("_a", "_b").alias("score"))
+    # twice a midrank is a whole number, so sums are exact and kinds of equal correlation are equal: ties go to the smaller kind whatever the order of the rows
+    known = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    a, b = (F.when(known, 2 * F.col(c)).cast("decimal(19,0)") for c in ("_a", "_b"))
+    sums = r.groupBy(sample, kind).agg(*[F.sum(x).alias(name) for x, name in ((a, "_x"), (b, "_y"), (a * b, "_xy"), (a * a, "_xx"), (b * b, "_yy"))], F.count(a).alias("_n"))
+    n = F.col("_n").cast("decimal(10,0)")
+    moment = lambda xy, x, y: (n * F.col(xy).cast("decimal(27,0)") - F.col(x).cast("decimal(18,0)") * F.col(y).cast("decimal(18,0)")).cast("double")
+    rho = sums.select(sample, kind, F.try_divide(moment("_xy", "_x", "_y"), F.sqrt(moment("_xx", "_x", "_x") * moment("_yy", "_y", "_y"))).alias("score"))
     return best_kind(rho, sample, kind).join(rho, [sample, kind]).withColumnRenamed("score", "rho")
 
 
