@@ -149,7 +149,7 @@ def forward_swaps(train: DataFrame, cohorts: DataFrame, slots: list[tuple], opti
     scaled = z_against(train, train, feature, value, "_z")
     weights = mean_difference_weights(scaled, feature, "_z", label).where("weight is not null")
     terms = z_against(cohorts, train, feature, value, "_z").join(weights, feature).where("_z is not null")
-    terms = checkpointed(terms.select(cohort, sample, label, F.col(feature).alias("_filled"), (F.col("_z") * F.col("weight")).alias("_term")))
+    terms = checkpointed(terms.select(cohort, sample, label, F.col(feature).alias("_filled"), (F.col("_z") * F.col("weight")).alias("_term")).repartition(cohort, sample))  # a sample's terms are summed where they lie
     kind = train.schema[feature].dataType.simpleString()
     held = {(r[0], r[1]) for r in terms.select(cohort, "_filled").distinct().join(spark.createDataFrame([(f,) for f in {*(f for _, f in slots), *options.values()}], f"_filled {kind}"), "_filled").select(cohort, "_filled").collect()}  # cohorts x panel
 
