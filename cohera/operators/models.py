@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..sources.tables import checkpointed
-from .ranks import joined
+from .ranks import LARGEST, MOST_RANGES, joined
 from .resampling import weighted_auc
 
 
@@ -132,3 +134,116 @@ def combo_gain(single: DataFrame, combos: DataFrame) -> DataFrame:
     c = combos.withColumn("_m", F.array_sort("members")).dropDuplicates(["_m"])
     best = c.select("_m", F.explode("_m").alias("feature")).join(single.withColumnRenamed("auc", "_a"), "feature").groupBy("_m").agg(F.max("_a").alias("_best"))
     return c.join(best, "_m").select(F.col("_m").alias("members"), "auc", (F.col("auc") - F.col("_best")).alias("synergy"))
+
+
+PAIR_SUMS = 1 << 25  # sums of two features that a task of pair_areas works out
+_RUN = "a int, b int, range int, pos binary, pos_n binary, neg binary, neg_n binary"
+
+
+def _distinct(v: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The sorted distinct values and how often each occurs (None: once each)."""
+    v = np.sort(v)
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    return (v, None) if len(first) == len(v) else (v[first], np.diff(np.append(first, len(v))))
+
+
+def _merged(values: pa.ChunkedArray, times: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Runs as one sorted one."""
+    runs = [np.frombuffer(x, "<f8") for x in values.to_pylist()]
+    counts = [np.frombuffer(x, "<i8") for x in times.to_pylist()]
+    v = np.concatenate(runs)
+    if not any(len(c) for c in counts):
+        return np.sort(v), None
+    order = np.argsort(v)
+    return v[order], np.concatenate([c if len(c) else np.ones(len(r), np.int64) for r, c in zip(runs, counts, strict=True)])[order]
+
+
+def _areas_of_runs(t: pa.Table) -> pa.Table:
+    """Of one pair and range: rows of class 1 and 0, and twice the number of pairs of rows in order (ties count half)."""
+    (pos, pos_n), (neg, neg_n) = _merged(t["pos"], t["pos_n"]), _merged(t["neg"], t["neg_n"])
+    below, upto = np.searchsorted(neg, pos, "left"), np.searchsorted(neg, pos, "right")
+    if neg_n is not None:
+        total = np.append(0, np.cumsum(neg_n))
+        below, upto = total[below], total[upto]
+    u = (below + upto) if pos_n is None else (below + upto) * pos_n
+    sizes = [len(v) if n is None else int(n.sum()) for v, n in ((pos, pos_n), (neg, neg_n))]
+    return pa.table({**{c: t[c].slice(0, 1) for c in ("a", "b", "range")}, "p": pa.array([sizes[0]], pa.int64()), "q": pa.array([sizes[1]], pa.int64()), "u": pa.array([int(u.sum())], pa.int64())})
+
+
+def pair_areas(df: DataFrame, left: str, right: str, label: str, largest: int = LARGEST) -> DataFrame:
+    """a, b (places from 0, a < b), auc: areas of left[a] + right[b], elements of two array columns, for all pairs of places. Rows without the label or one of the elements are left out.
+
+    Tasks hold some rows and write, per pair and class, the sorted distinct sums as one binary; a pair's runs meet in as many tasks as its sums have ranges of about `largest` values. Ranges are cut
+    at quantiles of a sample; any cuts give the same areas.
+    """
+    known = df.where(F.col(left).isNotNull() & F.col(right).isNotNull() & F.col(label).isNotNull())
+    known = known.select(F.col(left).cast("array<double>").alias("x"), F.col(right).cast("array<double>").alias("w"), (F.col(label) == 1).alias("hit"))
+    known = checkpointed(known)
+    n, p = known.agg(F.count("*"), F.max(F.greatest(F.size("x"), F.size("w")))).first()
+    p = p or 0
+    sums = n * p * (p - 1) // 2
+    ranges = min(MOST_RANGES, math.ceil(n / largest)) or 1
+
+    def padded(c: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements, a place a row, and which there are."""
+        size = np.asarray(c.value_lengths()).astype(np.int64)
+        at = np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        flat = c.flatten()
+        v, there = np.zeros((p, len(size))), np.zeros((p, len(size)), bool)
+        v[at[::-1]], there[at[::-1]] = flat.to_numpy(zero_copy_only=False), np.asarray(flat.is_valid())
+        return v, there
+
+    cuts = np.zeros((p, p, 0))
+    if ranges > 1:
+        sample = known.sample(min(1.0, min(4000, 1 + 4_000_000 // p) / n), seed=1).toArrow().combine_chunks()
+        (x, _), (w, _) = (padded(sample[c].combine_chunks()) for c in ("x", "w"))
+        if len(sample):
+            places = len(sample) * np.arange(1, ranges) // ranges
+            cuts = np.stack([np.sort(x[a] + w, axis=1)[:, places] for a in range(p)])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def made(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            (x, x_there), (w, w_there) = (padded(t[c].combine_chunks()) for c in ("x", "w"))
+            hit = np.asarray(t["hit"].combine_chunks())
+            whole = x_there.all() and w_there.all()
+            sides = [[np.ascontiguousarray(m[:, k]) for m in (x, w, x_there, w_there)] for k in (np.flatnonzero(hit), np.flatnonzero(~hit))]
+            out, size = [], 0
+            for a in range(p):
+                for b in range(a + 1, p):
+                    found = []
+                    for sx, sw, sx_there, sw_there in sides:
+                        v = sx[a] + sw[b]
+                        v, times = _distinct(v if whole else v[sx_there[a] & sw_there[b]])
+                        found.append((v, times, [0, *np.searchsorted(v, cuts[a, b]).tolist(), len(v)]))
+                    for k in range(cuts.shape[2] + 1):
+                        row = {"a": a, "b": b, "range": k}
+                        for name, (v, times, at) in zip(("pos", "neg"), found, strict=True):
+                            row[name] = v[at[k] : at[k + 1]].tobytes()
+                            row[f"{name}_n"] = b"" if times is None else times[at[k] : at[k + 1]].tobytes()
+                        if row["pos"] or row["neg"]:
+                            out.append(row)
+                            size += sum(len(row[c]) for c in ("pos", "neg", "pos_n", "neg_n"))
+                    if size > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+        schema = pa.schema([*[(c, pa.int32()) for c in ("a", "b", "range")], *[(c, pa.binary()) for c in ("pos", "pos_n", "neg", "neg_n")]])
+        for batch in batches:
+            rows.append(batch)
+            held += batch.num_rows
+            if held * p > 1 << 21:
+                yield from made(rows)
+                rows, held = [], 0
+        if held:
+            yield from made(rows)
+
+    dealt = known.repartition(1 + sums // PAIR_SUMS).mapInArrow(runs, _RUN)
+    met = dealt.repartition(1 + sums // (PAIR_SUMS // 4), "a", "b", "range").groupBy("a", "b", "range").applyInArrow(_areas_of_runs, "a int, b int, range int, p long, q long, u long")
+    before = F.coalesce(F.sum("q").over(Window.partitionBy("a", "b").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    g = met.withColumn("_before", before).groupBy("a", "b").agg(F.sum(F.col("u") + 2 * F.col("p") * F.col("_before")).alias("_u"), F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    return g.select("a", "b", F.try_divide(F.col("_u") / F.lit(2.0), (F.col("_p") * F.col("_q")).cast("double")).alias("auc"))

@@ -118,9 +118,9 @@ SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, p.auc, p.auc - greatest(x.auc,
 def pair_synergy(spark, d):
     e = _features(spark, d)
     single = st.two_group_auc(e, "v", "y", ["f"]).select(F.col("f").alias("feature"), "auc")
-    other = e.select("vec_id", F.col("f").alias("g"), F.col("v").alias("w"))
-    pairs = e.join(other, "vec_id").where("f < g").select(F.array("f", "g").alias("members"), (F.col("v") + F.col("w")).alias("v"), "y")  # of a panel
-    gain = md.combo_gain(single, st.two_group_auc(pairs, "v", "y", ["members"]).select("members", "auc"))
+    wide = parquet(spark, d, "embeddings").where("label is not null").select("vec_id", "embedding", (F.col("label") % 2).alias("y"))
+    pairs = md.pair_areas(wide.join(wide.select("vec_id", F.col("embedding").alias("other")), "vec_id"), "embedding", "other", "y")  # all pairs of a panel
+    gain = md.combo_gain(single, pairs.select(F.array(F.col("a") + 1, F.col("b") + 1).alias("members"), "auc"))
     return gain.select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"), "auc", "synergy")
 
 
