@@ -11,6 +11,7 @@ markers=False a marker in a text is text like any other.
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-SPELT = _byte_letters()
+SPELT = "".join(_byte_letters()[b] for b in range(256))
 
 
 def buffered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.Table]:
@@ -54,6 +55,7 @@ class WordCache:
         self.tok.encode_special_tokens = not markers
         self.markers = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()] if markers else []
         self.model = self.tok.model
+        self.tails: dict[str, list[int]] = {"": []}  # runs of MARKS after a word: few and short
         self.clear()
 
     def clear(self) -> None:
@@ -67,9 +69,17 @@ class WordCache:
 
     def _model(self, letters: str, lead: str = "") -> list[int]:
         if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(SPELT)
+            letters = codecs.charmap_decode(letters.encode(), "strict", SPELT)[0]
         return [x.id for x in self.model.tokenize(lead + letters)]
 
+    def _tail(self, marks: str) -> list[int]:
+        found = self.tails.get(marks)
+        if found is None:
+            found = self._model(marks)
+            if len(marks) <= 3:
+                self.tails[marks] = found
+        return found
+
     def _word(self, word: str) -> list[int]:
         raise NotImplementedError
 
@@ -125,7 +135,7 @@ class WordCache:
         flat = split.values.slice(at[0], at[-1] - at[0])
         at -= at[0]
         coded = flat.dictionary_encode()
-        distinct, code = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+        distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices).astype(np.int64)
         numbers = self.numbers(distinct)[code]
         self._fit(numbers, at[:-1], at[1:], code, distinct, texts)
         if self.markers:
@@ -151,7 +161,7 @@ class ByteLevel(WordCache):
         letters = word.rstrip(MARKS)
         if letters.isalpha():
             tail = word[len(letters) :]
-            return self._model(letters, "Ġ" if lead else "") + (self._model(tail) if tail else [])
+            return self._model(letters, "Ġ" if lead else "") + self._tail(tail)
         a, cut, b = word.partition("\n")
         if cut and a and b and not a[-1].isspace() and not b[0].isspace():
             return self._chunk(lead, a) + self.line_end + self._chunk("", b)
@@ -180,12 +190,22 @@ class WordLevel(WordCache):
     def _split(self, texts: pa.Array) -> pa.ListArray:
         return pc.ascii_split_whitespace(pc.ascii_lower(texts))
 
+    def numbers(self, words: list[str], make=None) -> np.ndarray:
+        self.fresh: dict[str, list[int]] = {}  # ids of the letters of this call's new words: many differ in the marks after them alone
+        try:
+            return super().numbers(words, make)
+        finally:
+            self.fresh = {}
+
     def _word(self, word: str) -> list[int]:
-        plain = word.lower() if word.isascii() else self.tok.normalizer.normalize_str(word)
+        plain = word.lower() if word.isascii() or max(word) < "\u0250" else self.tok.normalizer.normalize_str(word)  # Latin letters below are as they are composed, and have one lower case
         letters = plain.rstrip(MARKS)
         if letters.isalpha() and not ("'" in plain and plain[len(letters) :] != "'"):
-            tail = plain[len(letters) :]
-            return self._model(letters) + (self._model(tail) if tail else [])
+            tail, ids = plain[len(letters) :], self.fresh.get(letters)
+            if ids is None:
+                known = self.words.get(letters, -1)
+                ids = self.fresh[letters] = self._model(letters) if known < 0 else self.ids[self.first[known] : self.first[known] + self.size[known]].tolist()
+            return ids + self._tail(tail) if tail else ids
         return self._direct(word)
 
 

@@ -141,3 +141,15 @@ def test_byte_bpe_equals_tiktoken(spark):
         assert e.offsets(x)[-1] == len(text.encode())
     rows = bytebpe.encode_documents(frame(spark)).withColumn("d", bytebpe.decoded()).collect()
     assert all(bytes(x.d).decode() == (TEXTS[x.doc_id] or "") for x in rows)
+
+
+def test_letters_are_encoded_once_whatever_marks_follow():
+    enc = encoders.WordLevel(P.path("word_bpe_49k.json"))
+    texts = ["Mère mère, mère. (mère) ÉTÉ été! été!! Ωμέγας, ΟΔΟΣ. İx, ẋ straße, STRASSE; don't don't, 12 12, a b,", "mère?! été,,,, quatre, quatre", "quatre. <|endoftext|>, Åx, été, Été. ſs, ǅx,", ""]
+    model, calls = enc._model, []
+    enc._model = lambda letters, lead="": calls.append(letters) or model(letters, lead)
+    for _ in range(2):
+        ids, sizes = enc.encode(pa.array(texts))
+        ends = sizes.cumsum()
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert calls.count("mère") == 1 and calls.count("quatre") == 1 and calls.count("été") == 1 and calls.count(",") == 1
